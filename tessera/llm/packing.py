@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, partitions, staged
+from .common import keyed_text, partitions, ship, staged
 from .tokens import encoder, prove_whole, slices, vocabulary_text
 
 CAPACITY = 2048
@@ -20,6 +20,7 @@ END_ID = 0
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and a closing 0, cut only where longer than capacity."""
+    ship(docs.sparkSession)
     text = vocabulary_text(vocabulary_path)
     shared = docs.sparkSession.sparkContext.broadcast((zlib.crc32(text.encode()), text, prove_whole(text)))
     end, width = END_ID.to_bytes(4, "little"), 4 * capacity

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_counts
+from . import fingerprints, langid, packing, secrets, sharding, token_counts
 from .common import documents
 
 
@@ -16,9 +16,21 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(documents(spark, sf_dir))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_sharding, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_sharding, op7_document_fingerprints, op8_language_id, op9_secret_scans, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op9_secret_scans": secrets.ORACLE_SQL}

@@ -1,0 +1,187 @@
+"""Operator 9, secret scans through a trigram index; DataFrame functions only."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Rule:
+    """pattern: what is looked for, leftmost and without overlap. group/least: matches whose group is shorter than that are dropped.
+    found: a pattern that every text with a kept match has."""
+
+    kind: str
+    pattern: str
+    group: int
+    least: int
+    found: str
+
+
+# The base rules. A run of 24 or more is the same span by {24,} as by + and a length test,
+# and so for the 16 after AKIA; for assign the + stays, since a short match uses up text that a longer one could start in.
+RULES = (
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})"""),
+    Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20, "AKIA[A-Z0-9]{16}"),
+    Rule("hex", "[0-9a-f]{24,}", 0, 24, "[0-9a-f]{24}"),
+)
+
+
+def trigram_clauses(pattern: str, most: int = 256) -> list[frozenset[str]]:
+    """The pattern's query: lower-case text with a match has all trigrams of some clause. Empty: no mandatory trigram."""
+    parser, constants = re._parser, re._constants
+
+    def strings(op, arg) -> set[str] | None:
+        """All that a part can match, if these are few."""
+        if op == constants.LITERAL:
+            return {chr(arg).lower()}
+        if op == constants.IN:
+            if all(o == constants.LITERAL for o, _ in arg):
+                return {chr(a).lower() for _, a in arg}
+            return None
+        if op == constants.SUBPATTERN:
+            return run(arg[3])
+        if op == constants.BRANCH:
+            each = [run(x) for x in arg[1]]
+            return None if any(x is None for x in each) else set().union(*each)
+        if op in (constants.MAX_REPEAT, constants.MIN_REPEAT) and arg[1] == 1:
+            inner = run(arg[2])
+            return None if inner is None else inner | ({""} if arg[0] == 0 else set())
+        return None
+
+    def run(parts) -> set[str] | None:
+        out = {""}
+        for op, arg in parts:
+            more = strings(op, arg)
+            if more is None or len(out) * len(more) > most:
+                return None
+            out = {a + b for a, b in product(out, more)}
+        return out
+
+    queries: list[list[frozenset[str]]] = []
+
+    def close(texts: set[str]) -> None:
+        clauses = {frozenset(t[i : i + 3] for i in range(len(t) - 2)) for t in texts}
+        if all(clauses):
+            queries.append(sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted))
+
+    current = {""}
+    for op, arg in parser.parse(pattern):
+        more = strings(op, arg)
+        if more is None or len(current) * len(more) > most:
+            close(current)
+            current = {""} if more is None else more
+        else:
+            current = {a + b for a, b in product(current, more)}
+    close(current)
+    return min(queries, key=lambda q: (len(q), -sum(map(len, q)))) if queries else []
+
+
+def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """trigram, doc_id: the index over the trigrams that some rule asks for (a fixed dictionary, whatever the table's size)."""
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    held = F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams))
+    return low.select("doc_id", F.explode(F.array_compact(held)).alias("trigram"))
+
+
+def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
+    """doc_id, rules: by intersecting postings, the documents that hold all trigrams of a clause of an indexed rule."""
+    spark = docs.sparkSession
+    clauses = [(rule.kind, i, t, len(c)) for rule in rules for i, c in enumerate(trigram_clauses(rule.pattern)) for t in sorted(c)]
+    if not clauses:
+        return spark.createDataFrame([], "doc_id long, rules array<string>")
+    wanted = F.broadcast(spark.createDataFrame(clauses, "kind string, clause int, trigram string, size int"))  # rows: as the rules say
+    index = postings(docs, sorted({c[2] for c in clauses}))
+    met = index.join(wanted, "trigram").groupBy("doc_id", "kind", "clause", "size").agg(F.collect_set("trigram").alias("has"))
+    return met.where(F.size("has") == F.col("size")).groupBy("doc_id").agg(F.collect_set("kind").alias("rules"))
+
+
+def spans_of(text: Column, rule: Rule) -> Column:
+    """array<struct<start, kind, end>> of a rule's kept matches: pieces between matches and matches alternate, so lengths add up to places."""
+    pattern = F.lit(rule.pattern)
+    hits, groups, between = (F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.split(text, rule.pattern, -1))
+    triples = F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("b"), hits.alias("h"), groups.alias("g"))
+    none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["0"])
+        end = start + F.length(x["1"])
+        one = F.array(F.struct(start.alias("start"), F.lit(rule.kind).alias("kind"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(F.length(x["2"]) >= rule.least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+
+    named = F.transform(triples, lambda z: F.struct(z["b"].alias("0"), z["h"].alias("1"), z["g"].alias("2")))
+    walked = F.aggregate(named, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+    return F.when(text.rlike(rule.found), walked).otherwise(none)
+
+
+def numbered(n: int):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("nth"), s["kind"].alias("kind"), s["end"].alias("end"))
+
+
+def of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
+    """docs with _text (null as empty) and _spans (start, kind, end in code points; by start, then in the rules' order).
+
+    An indexed rule runs on its candidates only; a rule without mandatory trigrams runs on all texts.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = candidates(keyed, rules).withColumnRenamed("doc_id", "_id")
+    base = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    joined = base.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").withColumnRenamed("rules", "_rules")
+    none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
+    every = []
+    for n, rule in enumerate(rules):
+        spans = spans_of(F.col("_text"), rule)
+        if trigram_clauses(rule.pattern):
+            spans = F.when(F.array_contains("_rules", rule.kind), spans).otherwise(none)
+        every.append(F.transform(spans, numbered(n)))
+    return joined.withColumn("_spans", F.sort_array(F.concat(*every))).drop("_id", "_rules")
+
+
+def scan(docs: DataFrame, rules=RULES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, a row per input row.
+
+    Null text: empty, no spans. Null doc_id: kept and scanned. Rows that share a doc_id: each is
+    verified on its own text. Empty table: no rows. Other columns are dropped. Whole texts, of any length.
+    """
+    rows = with_spans(docs.select("doc_id", "text"), rules)
+    said = F.array_join(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("_spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, said.alias("spans")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+def redact(docs: DataFrame, mark: str = "[secret]", rules=RULES) -> DataFrame:
+    """docs with every found span replaced by a mark (overlapping spans by one), n_chars to match; its columns stay as they are."""
+    rows = with_spans(docs, rules)
+    text, spans = F.col("_text"), F.col("_spans")
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, kept).otherwise(acc["out"]).alias("out"))
+
+    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = F.when(F.size(spans) > 0, walked).otherwise(F.col("text"))
+    out = rows.withColumn("_new", changed)
+    columns = {"text": F.col("_new")} | ({"n_chars": F.when(F.size(spans) > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return out.withColumns(columns).select(*docs.columns)
+
+
+def _sql_spans(name: str, pattern: str, group: int, least: int, nth: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""{name} AS (SELECT doc_id, rid, list_filter(list_transform(range(1, len(h) + 1), lambda i: struct_pack(s := CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS BIGINT), n := {nth}, k := '{name}', l := length(h[i]), g := length(g[i]))), lambda z: z.g >= {least}) AS v
+      FROM (SELECT doc_id, rid, string_split_regex(text, '{p}') AS p, regexp_extract_all(text, '{p}', 0) AS h, regexp_extract_all(text, '{p}', {group}) AS g FROM t))"""
+
+
+ORACLE_SQL = "WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents), " + ", ".join(_sql_spans(r.kind, r.pattern, r.group, r.least, i) for i, r in enumerate(RULES)) + """,
+u AS (SELECT assign.doc_id, len(assign.v) AS n_assign, len(access.v) AS n_access, len(hex.v) AS n_hex,
+        coalesce(array_to_string(list_transform(list_sort(list_concat(list_concat(assign.v, access.v), hex.v)), lambda z: z.k || ':' || z.s || ':' || (z.s + z.l)), ','), '') AS spans
+      FROM assign JOIN access USING (rid) JOIN hex USING (rid))
+SELECT doc_id, n_assign, n_access, n_hex, sha256(spans) AS base_sha256, spans FROM u"""

@@ -7,7 +7,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed_text
+from .common import keyed_text, ship
 from .tokens import encoder, prove_whole, slices, vocabulary_text
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -20,6 +20,7 @@ def token_counts(docs: DataFrame, limit: int = 2048, vocabulary_path: str | None
     pre-tokens are merged. Null or empty text: 0 bytes, 0 tokens. Null doc_id: kept. Repeated rows:
     one result each. Empty table: no rows. Other columns are dropped. The whole text counts.
     """
+    ship(docs.sparkSession)
     text = vocabulary_text(vocabulary_path)
     shared = docs.sparkSession.sparkContext.broadcast((zlib.crc32(text.encode()), text, prove_whole(text)))
 
