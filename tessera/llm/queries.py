@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, packing, secrets, sharding, token_counts
+from . import fingerprints, langid, packing, secret_scan, sharding, suffixes, token_counts
 from .common import documents
 
 
@@ -12,6 +12,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -25,12 +29,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir))
+    return secret_scan.scan(documents(spark, sf_dir))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_sharding, op7_document_fingerprints, op8_language_id, op9_secret_scans, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op9_secret_scans": secrets.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_suffix_array_dedup, op6_sharding, op7_document_fingerprints, op8_language_id, op9_secret_scans, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op9_secret_scans": secret_scan.ORACLE_SQL}
