@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, packing, secret_scan, sharding, suffixes, token_counts
+from . import decontamination, fingerprints, langid, packing, quality, secret_scan, sharding, suffixes, token_counts
 from .common import documents
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -36,5 +44,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_suffix_array_dedup, op6_sharding, op7_document_fingerprints, op8_language_id, op9_secret_scans, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_best_fit_packing, op4_suffix_array_dedup, op6_sharding, op7_document_fingerprints, op8_language_id, op9_secret_scans, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op9_secret_scans": secret_scan.ORACLE_SQL}
