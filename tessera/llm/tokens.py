@@ -77,35 +77,38 @@ class Encoder:
         self.special = {s: i.to_bytes(4, "little") for s, i in special.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.whole = {w: i.to_bytes(4, "little") for w, i in whole.items()}
+        self.letters = byte_alphabet()
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def merge(self, words: list[str]) -> None:
-        """Run the library's merges for pre-tokens that are not whole tokens."""
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, at = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids, np.int64)
-            if len(ids) and at[-1] + 1 == len(part):
-                ends = np.searchsorted(at, np.arange(len(part)), side="right")
-                start = 0
-                for word, end in zip(part, ends.tolist()):
-                    self.words[word] = ids[start:end].tobytes()
-                    start = end
-            else:
-                for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    self.words[word] = np.array(e.ids, "<u4").tobytes()
+        """Run the library's merges for pre-tokens that are not whole tokens; its model takes bytes as characters."""
+        tokenize, written = self.tokenizer.model.tokenize, self.letters
+        for word in words:
+            raw = word if word.isascii() else "".join([written[b] for b in word.encode()])
+            self.words[word] = np.array([x.id for x in tokenize(raw)], "<u4").tobytes()
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.chunks) + len(chunks) > TABLE_ENTRIES:
             self.chunks.clear()
         if len(self.words) > TABLE_ENTRIES:
             self.words.clear()
-        cut = {c: self.pattern.findall(c) for c in chunks}
         whole, words = self.whole, self.words
-        self.merge(sorted({w for ws in cut.values() for w in ws if w not in whole and w not in words}))
-        for c, ws in cut.items():
-            self.chunks[c] = b"".join([whole[w] if w in whole else words[w] for w in ws])
+
+        def ids(word: str) -> bytes:
+            known = whole.get(word) or words.get(word)
+            if known is None:
+                self.merge([word])
+                known = words[word]
+            return known
+
+        for c in chunks:
+            if c.isalpha():  # letters alone are one pre-token
+                self.chunks[c] = ids(c)
+            elif c[:-1].isalpha():  # and so is one other character after them
+                self.chunks[c] = ids(c[:-1]) + ids(c[-1])
+            else:
+                self.chunks[c] = b"".join([ids(w) for w in self.pattern.findall(c)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
