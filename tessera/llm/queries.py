@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, langid, packing, quality, secret_scan, sharding, suffixes, token_counts
+from . import decontamination, fingerprints, jaccard, langid, packing, quality, secret_scan, sharding, suffixes, token_counts
 from .common import documents
 
 
@@ -24,6 +24,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -44,5 +48,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_best_fit_packing, op4_suffix_array_dedup, op6_sharding, op7_document_fingerprints, op8_language_id, op9_secret_scans, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_best_fit_packing, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_sharding, op7_document_fingerprints, op8_language_id, op9_secret_scans, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op9_secret_scans": secret_scan.ORACLE_SQL}
