@@ -1,22 +1,48 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences: language, near duplicates, benchmark passages, secrets, packing.
+
+Each stage works on all that the one before kept, and each but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing
+from tessera.llm import decontamination, jaccard, langid, packing, secret_scan
 from tessera.llm.common import staged
 
 
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; those without letters or that no language claims go."""
+    return langid.accepted(docs)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the least doc_id, of each group joined by similarity."""
+    return jaccard.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, found secrets replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their sequence and place."""
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", packed)]
+STAGES = [("language_id", with_language), ("ngram_jaccard_join", deduplicated), ("benchmark_decontamination", decontaminated), ("secret_scans", without_secrets), ("best_fit_packing", packed)]
+#: SQL can express neither the learned language model nor the vocabulary's merges; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents table; every stage is written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
