@@ -1,6 +1,903 @@
-"""All queries of the library, by name, and their SQL."""
+"""All queries of the library, by name, as (spark, sf_dir) -> DataFrame, and the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text
+from .operators import cohorts, retrieval, sites, survival, vocabulary
+from .plans import passes
+from .plans.compile import Compiler, compile_cohort
+from .plans.definition import Bound, Cohort, Counted, Criterion, Demographic, Exit, Group, Item, Rule
+from .plans.definition import Window as Days
+from .sources.cdm import LEAF, ROOT, TYPE, Cdm, sql
+from .streaming import events as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(statement: str | None = None, name: str | None = None):
+    """Register a function of the clinical views under its name, with the SQL for the same rows."""
+
+    def take(f):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(Cdm(spark, sf_dir))
+        if statement:
+            ORACLE_SQL[key] = sql(statement)
+        return f
+
+    return take
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def ids(c: Cdm, *values: int) -> DataFrame:
+    return c.spark.createDataFrame([(v,) for v in values], "concept_id long")
+
+
+# ---- arms of the running example: brand 1 against brand 2, outcome condition 1 ----------------
+
+BRAND1, BRAND2, OUTCOME = 2_000_001, 2_000_002, 2_100_001
+WITH = "concept_ancestor WHERE ancestor_concept_id"
+
+
+def under(c: Cdm, top: int) -> DataFrame:
+    return c.concept_ancestor.where(F.col("ancestor_concept_id") == top).select(F.col("descendant_concept_id").alias("concept_id"))
+
+
+def exposed(c: Cdm, top: int) -> DataFrame:
+    return c.drug_exposure.join(under(c, top), "concept_id", "left_semi")
+
+
+def arm(c: Cdm, top: int, days: int = 0) -> DataFrame:
+    return cohorts.exposure_spans(exposed(c, top), days)
+
+
+def outcomes(c: Cdm) -> DataFrame:
+    return c.condition_occurrence.where(F.col("concept_id") == OUTCOME)
+
+
+def both_arms(c: Cdm) -> DataFrame:
+    return cohorts.target_wins(arm(c, BRAND1), arm(c, BRAND2)).select("person_id", "treatment", F.col("cohort_start_date").alias("index_date"))
+
+
+def follow_up(c: Cdm) -> DataFrame:
+    arms = both_arms(c)
+    return arms.join(cohorts.first_outcome_after(arms.select("person_id", "index_date"), outcomes(c), 365), "person_id")
+
+
+def _exposed(top: int) -> str:
+    return f"SELECT * FROM drug_exposure WHERE concept_id IN (SELECT descendant_concept_id FROM {WITH} = {top})"
+
+
+ARMS = f"""a1 AS (SELECT person_id, min(start_date) AS s, max(end_date) AS e FROM ({_exposed(BRAND1)}) GROUP BY person_id),
+a2 AS (SELECT person_id, min(start_date) AS s, max(end_date) AS e FROM ({_exposed(BRAND2)}) GROUP BY person_id),
+arms AS (SELECT person_id, 1 AS treatment, s AS index_date FROM a1 UNION ALL SELECT person_id, 0, s FROM a2 WHERE person_id NOT IN (SELECT person_id FROM a1)),
+fu AS (SELECT a.person_id, a.treatment, a.index_date, coalesce(min(o.start_date) - a.index_date, 365) AS "time", CAST(min(o.start_date) IS NOT NULL AS INTEGER) AS event
+  FROM arms a LEFT JOIN (SELECT * FROM condition_occurrence WHERE concept_id = {OUTCOME}) o ON o.person_id = a.person_id AND o.start_date > a.index_date AND o.start_date <= a.index_date + 365 GROUP BY a.person_id, a.treatment, a.index_date),
+score AS (SELECT person_id, treatment, (1 + (person_id * 37) % 97) / 98.0 AS ps FROM arms)"""
+
+
+def scored(c: Cdm) -> DataFrame:
+    """A deterministic stand-in for a fitted score."""
+    return both_arms(c).select("person_id", "treatment", ((1 + (F.col("person_id") * 37) % 97) / 98.0).alias("ps"))
+
+
+def weighted(c: Cdm) -> DataFrame:
+    return scored(c).withColumn("weight", survival.iptw(F.col("ps"), F.col("treatment")))
+
+
+SQL_WEIGHT = "CASE WHEN treatment = 1 THEN 1 / least(greatest(ps, 0.01), 0.99) ELSE 1 / (1 - least(greatest(ps, 0.01), 0.99)) END"
+
+
+# ---- exposure, covariates, outcomes ----------------------------------------------------------
+
+
+@query(f"SELECT person_id, min(start_date) AS cohort_start_date, max(end_date) AS cohort_end_date FROM ({_exposed(BRAND1)}) GROUP BY person_id HAVING max(end_date) - min(start_date) >= 30")
+def exposure_span_having(c):
+    return arm(c, BRAND1, 30)
+
+
+@query(f"WITH {ARMS} SELECT person_id, treatment, CAST(year(index_date) - year_of_birth AS INTEGER) AS age, CAST(gender_concept_id = 8507 AS INTEGER) AS male FROM arms JOIN person USING (person_id)")
+def age_sex_at_index(c):
+    return both_arms(c).join(c.person, "person_id").select("person_id", "treatment", (F.year("index_date") - F.col("year_of_birth")).alias("age"), F.when(F.col("gender_concept_id") == 8507, 1).otherwise(0).alias("male"))
+
+
+@query(f"WITH {ARMS} SELECT DISTINCT a.person_id, d.concept_id FROM arms a JOIN drug_exposure d ON d.person_id = a.person_id AND d.start_date BETWEEN a.index_date - 365 AND a.index_date")
+def lookback_presence(c):
+    return cohorts.in_lookback(both_arms(c), c.drug_exposure, 365)
+
+
+@query(f"""WITH {ARMS}, p AS (SELECT DISTINCT a.person_id, d.concept_id FROM arms a JOIN drug_exposure d ON d.person_id = a.person_id AND d.start_date BETWEEN a.index_date - 365 AND a.index_date),
+n AS (SELECT count(*) AS n FROM arms), g AS (SELECT concept_id, count(*) AS n_persons FROM p GROUP BY concept_id), k AS (SELECT concept_id, n_persons, n_persons / n.n AS prevalence FROM g, n WHERE n_persons / n.n >= 0.002)
+SELECT concept_id, n_persons, round(prevalence, 6) AS prevalence, rank FROM (SELECT *, row_number() OVER (ORDER BY n_persons DESC, concept_id) AS rank FROM k) WHERE rank <= 100""")
+def covariate_prevalence_topn(c):
+    arms = both_arms(c)
+    found = cohorts.prevalent(cohorts.in_lookback(arms, c.drug_exposure, 365), arms.agg(F.count("*").alias("n")), 0.002, 100)
+    return found.select("concept_id", "n_persons", F.round("prevalence", 6).alias("prevalence"), "rank")
+
+
+@query(f"""WITH {ARMS} SELECT a.person_id, {", ".join(f"CAST(coalesce(max(CAST(m.concept_id = {2_100_000 + i} AS INTEGER)), 0) AS INTEGER) AS cond_{i}" for i in range(1, 6))}
+FROM arms a LEFT JOIN condition_occurrence m ON m.person_id = a.person_id AND m.start_date BETWEEN a.index_date - 365 AND a.index_date GROUP BY a.person_id""")
+def covariate_pivot(c):
+    arms = both_arms(c)
+    seen = cohorts.in_lookback(arms, c.condition_occurrence, 365)
+    wide = seen.groupBy("person_id").pivot("concept_id", [2_100_000 + i for i in range(1, 6)]).agg(F.lit(1))
+    out = arms.select("person_id").join(wide, "person_id", "left").na.fill(0)
+    return out.select("person_id", *(F.col(str(2_100_000 + i)).cast("int").alias(f"cond_{i}") for i in range(1, 6)))
+
+
+@query(f"WITH {ARMS}, n AS (SELECT count(*) AS n FROM arms), p AS (SELECT concept_id, count(DISTINCT a.person_id) AS k FROM arms a JOIN condition_occurrence m ON m.person_id = a.person_id AND m.start_date BETWEEN a.index_date - 365 AND a.index_date GROUP BY 1) SELECT concept_id, round(k / n.n * (1 - k / n.n) * n.n / (n.n - 1), 6) AS variance FROM p, n WHERE k / n.n * (1 - k / n.n) * n.n / (n.n - 1) >= 0.005")
+def varied_covariates(c):
+    arms = both_arms(c)
+    return cohorts.varied(cohorts.in_lookback(arms, c.condition_occurrence, 365), arms.agg(F.count("*").alias("n")), 0.005).select("concept_id", *r6("variance"))
+
+
+@query(f"""WITH {ARMS}, p AS (SELECT DISTINCT a.person_id, d.concept_id FROM arms a JOIN drug_exposure d ON d.person_id = a.person_id AND d.start_date BETWEEN a.index_date - 30 AND a.index_date)
+SELECT person_id, 'Drug: ' || coalesce(c.concept_name, CAST(p.concept_id AS VARCHAR)) AS covariate, count(*) AS n FROM p LEFT JOIN concept c USING (concept_id) GROUP BY ALL""")
+def named_covariates(c):
+    seen = cohorts.in_lookback(both_arms(c), c.drug_exposure, 30).join(c.concept.select("concept_id", "concept_name"), "concept_id", "left")
+    return seen.groupBy("person_id", F.concat(F.lit("Drug: "), F.coalesce("concept_name", F.col("concept_id").cast("string"))).alias("covariate")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ARMS}, f AS (SELECT person_id, min(start_date) AS d FROM condition_occurrence WHERE concept_id = {OUTCOME} GROUP BY person_id) SELECT a.person_id, CASE WHEN d - index_date BETWEEN 1 AND 365 THEN d - index_date ELSE 365 END AS \"time\", CASE WHEN d - index_date BETWEEN 1 AND 365 THEN 1 ELSE 0 END AS event FROM arms a LEFT JOIN f USING (person_id)")
+def outcome_first_overall(c):
+    return cohorts.first_outcome_ever(both_arms(c).select("person_id", "index_date"), outcomes(c), 365)
+
+
+@query(f'WITH {ARMS} SELECT person_id, "time", event FROM fu')
+def outcome_post_index(c):
+    return follow_up(c).select("person_id", "time", "event")
+
+
+@query(f"""WITH {ARMS}, f AS (SELECT a.person_id, min(o.start_date) AS d FROM arms a JOIN condition_occurrence o ON o.person_id = a.person_id AND o.concept_id = {OUTCOME} AND o.start_date > a.index_date GROUP BY 1),
+t AS (SELECT a.person_id, index_date, d, least(index_date + 730, p.end_date) AS stop FROM arms a LEFT JOIN f USING (person_id) LEFT JOIN observation_period p USING (person_id))
+SELECT person_id, CAST(greatest((CASE WHEN d <= stop THEN d ELSE stop END) - index_date, 0) AS INTEGER) AS "time", CAST(coalesce(d <= stop, false) AS INTEGER) AS event FROM t""")
+def censoring_tar_obs(c):
+    arms = both_arms(c)
+    first = arms.join(outcomes(c).select("person_id", "start_date"), "person_id").where("start_date > index_date").groupBy("person_id").agg(F.min("start_date").alias("d"))
+    rows = arms.join(first, "person_id", "left").join(c.observation_period.select("person_id", F.col("end_date").alias("stop")), "person_id", "left")
+    time, event = cohorts.censored(F.col("index_date"), F.col("d"), F.col("stop"), 730)
+    return rows.select("person_id", time.alias("time"), event.alias("event"))
+
+
+@query(f'WITH {ARMS}, z AS (SELECT person_id, "time" - 100 AS t, event FROM fu) SELECT person_id, CASE WHEN t <= 0 THEN 1 WHEN t > 200 THEN 200 ELSE t END AS "time", CASE WHEN t <= 0 OR t > 200 THEN 0 ELSE event END AS event FROM z')
+def unadjusted_frame(c):
+    time, event = cohorts.unadjusted(F.col("time") - 100, F.col("event"), 200)
+    return follow_up(c).select("person_id", time.alias("time"), event.alias("event"))
+
+
+@query(f"WITH {ARMS} SELECT treatment, count(*) AS n, min(index_date) AS first_index FROM arms GROUP BY treatment")
+def target_wins_dedup(c):
+    return both_arms(c).groupBy("treatment").agg(F.count("*").alias("n"), F.min("index_date").alias("first_index"))
+
+
+@query(f"""WITH {ARMS}, t AS (SELECT person_id, s FROM a1 WHERE person_id % 50 = 0), f AS (SELECT count(*) AS n, min(s) AS s FROM t)
+SELECT person_id, cohort_start_date FROM (SELECT person_id, f.s AS cohort_start_date, n, row_number() OVER (ORDER BY md5(person_id || '|42')) AS r FROM person, f WHERE person_id NOT IN (SELECT person_id FROM t)) WHERE r <= 10 * n""")
+def rest_comparator(c):
+    treated = arm(c, BRAND1).where("person_id % 50 = 0")
+    return cohorts.rest_comparator(c.person, treated)
+
+
+@query(f"SELECT DISTINCT person_id FROM condition_occurrence WHERE concept_id = {OUTCOME} AND person_id NOT IN (SELECT person_id FROM ({_exposed(BRAND1)}))")
+def never_exposed_disease(c):
+    return outcomes(c).select("person_id").distinct().join(exposed(c, BRAND1), "person_id", "left_anti")
+
+
+@query("SELECT person_id, concept_id, start_date FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY start_date, concept_id) AS r FROM condition_occurrence) WHERE r = 1")
+def first_row_per_person(c):
+    return cohorts.first_per_person(c.condition_occurrence).select("person_id", "concept_id", "start_date")
+
+
+@query("""WITH m AS (SELECT *, max(end_date) OVER (PARTITION BY person_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM drug_exposure),
+k AS (SELECT *, sum(CASE WHEN p IS NULL OR start_date > p + 30 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS era FROM m)
+SELECT person_id, min(start_date) AS start_date, max(end_date) AS end_date, count(*) AS n FROM k GROUP BY person_id, era""")
+def era_collapse(c):
+    return cohorts.eras(c.drug_exposure, 30)
+
+
+@query("""WITH m AS (SELECT *, max(end_date) OVER (PARTITION BY person_id, concept_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM drug_exposure),
+k AS (SELECT *, sum(CASE WHEN p IS NULL OR start_date > p + 30 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id, concept_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS era FROM m)
+SELECT person_id, concept_id, min(start_date) AS start_date, max(end_date) AS end_date, count(*) AS n FROM k GROUP BY person_id, concept_id, era""")
+def drug_eras(c):
+    return cohorts.eras(c.drug_exposure, 30, ("person_id", "concept_id"))
+
+
+@query("SELECT o_custkey AS person_id, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1998-01-01' AND o_orderpriority LIKE '1%' GROUP BY 1")
+def events_before_date(c):
+    return outcomes(c).where("start_date < date'1998-01-01'").groupBy("person_id").agg(F.count("*").alias("n"))
+
+
+# ---- cohort comparison -----------------------------------------------------------------------
+
+
+def as_cohort(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("person_id", "subject_id")
+
+
+@query(f"""WITH {ARMS}, l AS (SELECT DISTINCT person_id FROM a1), r AS (SELECT DISTINCT person_id FROM a2),
+n AS (SELECT (SELECT count(*) FROM l) AS n_left, (SELECT count(*) FROM r) AS n_right, (SELECT count(*) FROM l JOIN r USING (person_id)) AS n_both)
+SELECT n_left, n_right, n_both, n_left - n_both AS only_left, n_right - n_both AS only_right, round_even(n_both / n_right, 4) AS precision, round_even(n_both / n_left, 4) AS recall, round_even(2 * n_both / (n_left + n_right), 4) AS f1, round_even(n_both / (n_left + n_right - n_both), 4) AS jaccard FROM n""")
+def cohort_overlap(c):
+    return cohorts.overlap(as_cohort(arm(c, BRAND1)), as_cohort(arm(c, BRAND2)))
+
+
+@query(f"WITH {ARMS} SELECT treatment, count(DISTINCT person_id) AS n_persons, count(DISTINCT CASE WHEN event = 1 THEN person_id END) AS n_with_event, count(*) AS n_rows FROM fu GROUP BY treatment")
+def conditional_distinct(c):
+    return follow_up(c).groupBy("treatment").agg(F.countDistinct("person_id").alias("n_persons"), F.countDistinct(F.when(F.col("event") == 1, F.col("person_id"))).alias("n_with_event"), F.count("*").alias("n_rows"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("person", "drug_exposure", "condition_occurrence", "measurement", "procedure_occurrence")))
+def table_counts(c):
+    from functools import reduce
+
+    tables = ("person", "drug_exposure", "condition_occurrence", "measurement", "procedure_occurrence")
+    return reduce(DataFrame.unionByName, [getattr(c, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t in tables])
+
+
+@query("SELECT person_id, count(*) AS n, max(count(*)) OVER () AS most, count(*) / sum(count(*)) OVER () AS share FROM condition_occurrence GROUP BY person_id HAVING count(*) >= 18", name="share_of_all")
+def share_of_all(c):
+    g = c.condition_occurrence.groupBy("person_id").agg(F.count("*").alias("n")).where("n >= 18")
+    total = g.agg(F.max("n").alias("most"), F.sum("n").alias("total"))  # one row
+    return g.crossJoin(F.broadcast(total)).select("person_id", "n", "most", (F.col("n") / F.col("total")).alias("share"))
+
+
+# ---- vocabulary ------------------------------------------------------------------------------
+
+#: Concept sets of the examples: brand 1 without type 1; brand 2 with mapped sources; an unknown id and two single drugs.
+SETS = [(1, BRAND1, True, False, False), (1, TYPE + 1, True, False, True), (2, BRAND2, True, True, False), (3, 99, True, False, False), (3, LEAF + 1, False, False, False), (3, LEAF + 2, False, False, False)]
+
+
+def items(c: Cdm) -> DataFrame:
+    return c.spark.createDataFrame(SETS, "codeset_id int, concept_id long, include_descendants boolean, include_mapped boolean, is_excluded boolean")
+
+
+ITEMS = "items(codeset_id, concept_id, inc, mapped, ex) AS (VALUES " + ", ".join(str(s).lower() for s in SETS) + ")"
+EXPAND = """(SELECT codeset_id, concept_id, mapped FROM items WHERE {w} AND concept_id IN (SELECT concept_id FROM concept)
+  UNION SELECT codeset_id, descendant_concept_id, mapped FROM items JOIN concept_ancestor ON ancestor_concept_id = items.concept_id WHERE {w} AND inc AND descendant_concept_id IN (SELECT concept_id FROM concept WHERE invalid_reason IS NULL))"""
+CLOSURE = f"""{ITEMS}, plus0 AS {EXPAND.format(w="NOT ex")}, minus0 AS {EXPAND.format(w="ex")},
+plus AS (SELECT codeset_id, concept_id FROM plus0 UNION SELECT codeset_id, concept_id_1 FROM plus0 JOIN concept_relationship ON concept_id_2 = plus0.concept_id AND relationship_id = 'Maps to' WHERE mapped),
+minus AS (SELECT codeset_id, concept_id FROM minus0 UNION SELECT codeset_id, concept_id_1 FROM minus0 JOIN concept_relationship ON concept_id_2 = minus0.concept_id AND relationship_id = 'Maps to' WHERE mapped),
+closure AS (SELECT * FROM plus EXCEPT SELECT * FROM minus)"""
+
+
+@query(f"WITH {CLOSURE} SELECT * FROM closure")
+def codeset_closure(c):
+    return vocabulary.closure(items(c), c.concept_ancestor, c.concept_relationship, c.concept)
+
+
+@query(f"WITH {ITEMS} SELECT DISTINCT codeset_id, concept_id FROM items WHERE concept_id NOT IN (SELECT concept_id FROM concept)")
+def unresolvable_items(c):
+    return vocabulary.unresolvable(items(c), c.concept)
+
+
+@query("SELECT concept_id, CASE WHEN standard_concept = 'S' AND invalid_reason IS NULL THEN concept_id ELSE coalesce(t, concept_id) END AS replacement FROM concept LEFT JOIN (SELECT concept_id_1, min(concept_id_2) AS t FROM concept_relationship WHERE relationship_id IN ('Maps to', 'Concept replaced by') AND concept_id_2 IN (SELECT concept_id FROM concept WHERE standard_concept = 'S' AND invalid_reason IS NULL) GROUP BY 1) ON concept_id_1 = concept_id")
+def retired_forwarding(c):
+    return vocabulary.forwarded(c.concept.select("concept_id"), c.concept_relationship, c.concept)
+
+
+@query("SELECT concept_id, concept_name FROM concept WHERE standard_concept = 'S' AND invalid_reason IS NULL")
+def standard_concepts(c):
+    return vocabulary.standard(c.concept).select("concept_id", "concept_name")
+
+
+@query(f"SELECT ancestor_concept_id AS seed_id, concept_id, concept_name, min_levels_of_separation FROM concept_ancestor JOIN concept ON concept_id = descendant_concept_id WHERE ancestor_concept_id IN ({ROOT}, {BRAND1}) AND min_levels_of_separation BETWEEN 1 AND 1 AND standard_concept = 'S' AND invalid_reason IS NULL")
+def descendants_within_n(c):
+    return vocabulary.descendants_within(ids(c, ROOT, BRAND1), c.concept_ancestor, c.concept, 1).select("seed_id", "concept_id", "concept_name", "min_levels_of_separation")
+
+
+@query(f"SELECT descendant_concept_id AS seed_id, ancestor_concept_id AS concept_id, min_levels_of_separation FROM concept_ancestor WHERE descendant_concept_id IN ({LEAF + 1}, {LEAF + 2}) AND min_levels_of_separation BETWEEN 1 AND 2")
+def ancestors_within_n(c):
+    return vocabulary.ancestors_within(ids(c, LEAF + 1, LEAF + 2), c.concept_ancestor, 2)
+
+
+CANDIDATES = f"cand AS (SELECT {LEAF} + p_partkey AS concept_id FROM part WHERE p_partkey % 7 = 0 UNION SELECT {BRAND1} UNION SELECT {TYPE + 2})"
+
+
+def candidates(c: Cdm) -> DataFrame:
+    return c.raw("part").where("p_partkey % 7 = 0").select((LEAF + F.col("p_partkey")).alias("concept_id")).unionByName(ids(c, BRAND1, TYPE + 2)).distinct()
+
+
+@query(f"WITH {CANDIDATES} SELECT concept_id FROM cand WHERE concept_id NOT IN (SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id <> descendant_concept_id AND ancestor_concept_id IN (SELECT concept_id FROM cand))")
+def rollup_redundant(c):
+    return vocabulary.rolled_up(candidates(c), c.concept_ancestor)
+
+
+@query(f"WITH {CANDIDATES} SELECT concept_id FROM cand WHERE concept_id NOT IN (SELECT ancestor_concept_id FROM concept_ancestor WHERE descendant_concept_id IN (SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id = {BRAND1} AND min_levels_of_separation = 1) AND ancestor_concept_id <> descendant_concept_id)")
+def seed_protection(c):
+    seeds = under(c, BRAND1).where(F.col("concept_id") != BRAND1)
+    return vocabulary.without_seed_ancestors(candidates(c), seeds, c.concept_ancestor)
+
+
+@query(f"WITH {CANDIDATES} SELECT ancestor_concept_id AS concept_id, count(DISTINCT descendant_concept_id) AS n_members FROM concept_ancestor WHERE ancestor_concept_id <> descendant_concept_id AND descendant_concept_id IN (SELECT concept_id FROM cand) GROUP BY 1")
+def subsumed_ancestors(c):
+    return vocabulary.subsumers(c.concept.select("concept_id"), candidates(c), c.concept_ancestor)
+
+
+COUNTS = "dc AS (SELECT concept_id, count(DISTINCT CASE WHEN descendant_concept_id <> concept_id THEN descendant_concept_id END) AS n_descendants FROM concept LEFT JOIN concept_ancestor ON ancestor_concept_id = concept_id GROUP BY concept_id)"
+
+
+@query(f"WITH {COUNTS} SELECT concept_id, n_descendants FROM dc")
+def descendant_counts(c):
+    return vocabulary.descendant_counts(c.concept.select("concept_id"), c.concept_ancestor)
+
+
+@query(f"WITH {COUNTS}, {CANDIDATES} SELECT concept_id, n_descendants FROM cand JOIN dc USING (concept_id) WHERE n_descendants <= 100")
+def overbroad_filter(c):
+    return vocabulary.not_overbroad(candidates(c), c.concept_ancestor, 100).select("concept_id", "n_descendants")
+
+
+@query(f"WITH {COUNTS} SELECT concept_id, round(CASE WHEN n_descendants = 0 THEN 20.0 ELSE -log2(n_descendants / 2750364.0) END, 6) AS ic FROM dc ORDER BY 2 DESC, 1 LIMIT 50")
+def information_content(c):
+    n = vocabulary.descendant_counts(c.concept.select("concept_id"), c.concept_ancestor)
+    return n.select("concept_id", F.round(vocabulary.information_content(F.col("n_descendants")), 6).alias("ic")).orderBy(F.col("ic").desc(), "concept_id").limit(50)
+
+
+GROUPS = f"grp AS (SELECT p_partkey % 200 AS group_id, {LEAF} + p_partkey AS concept_id FROM part)"
+
+
+@query(f"""WITH {GROUPS}, s AS (SELECT group_id, count(DISTINCT concept_id) AS size FROM grp GROUP BY 1),
+k AS (SELECT group_id, ancestor_concept_id, count(DISTINCT concept_id) AS n, max(min_levels_of_separation) AS separation FROM grp JOIN concept_ancestor ON descendant_concept_id = concept_id WHERE min_levels_of_separation <= 5 GROUP BY ALL)
+SELECT group_id, ancestor_concept_id, separation FROM (SELECT k.*, row_number() OVER (PARTITION BY group_id ORDER BY separation, ancestor_concept_id) AS r FROM k JOIN s USING (group_id) WHERE n = size) WHERE r = 1""")
+def lca(c):
+    groups = c.raw("part").select((F.col("p_partkey") % 200).alias("group_id"), (LEAF + F.col("p_partkey")).alias("concept_id"))
+    return vocabulary.lowest_common_ancestor(groups, c.concept_ancestor)
+
+
+@query(f"SELECT DISTINCT a.child AS seed_id, b.child AS concept_id FROM is_a a JOIN is_a b USING (parent) WHERE a.child IN ({LEAF + 1}, {BRAND1}) AND a.child <> b.child")
+def siblings(c):
+    return vocabulary.siblings(ids(c, LEAF + 1, BRAND1), c.is_a)
+
+
+@query(f"""WITH RECURSIVE_ AS (SELECT 1), h1 AS (SELECT parent AS seed_id, child AS concept_id, 1 AS depth FROM is_a WHERE parent IN ({ROOT}, {BRAND2})), h2 AS (SELECT seed_id, child AS concept_id, 2 AS depth FROM h1 JOIN is_a ON parent = concept_id), h3 AS (SELECT seed_id, child AS concept_id, 3 AS depth FROM h2 JOIN is_a ON parent = concept_id)
+SELECT seed_id, concept_id, min(depth) AS depth FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY ALL""")
+def k_hop_descendants(c):
+    return vocabulary.k_hop(ids(c, ROOT, BRAND2), c.is_a, 3)
+
+
+@query(f"""WITH {COUNTS}, ic AS (SELECT concept_id, n_descendants, CASE WHEN n_descendants = 0 THEN 20.0 ELSE -log2(n_descendants / 2750364.0) END AS ic FROM dc), seed AS (SELECT concept_id AS seed_id, ic AS seed_ic FROM ic WHERE concept_id IN ({BRAND1}, {TYPE + 1})),
+top AS (SELECT seed_id, a.ancestor_concept_id AS t FROM seed JOIN concept_ancestor a ON descendant_concept_id = seed_id AND min_levels_of_separation BETWEEN 1 AND 3 JOIN ic ON ic.concept_id = a.ancestor_concept_id WHERE ic > greatest(8.0, seed_ic - 6.0)),
+dn AS (SELECT seed_id, descendant_concept_id AS concept_id, min(min_levels_of_separation) AS separation FROM top JOIN concept_ancestor ON ancestor_concept_id = t AND min_levels_of_separation <= 3 WHERE descendant_concept_id <> seed_id GROUP BY ALL)
+SELECT seed_id, concept_id, separation, n_descendants FROM (SELECT dn.*, n_descendants, row_number() OVER (PARTITION BY seed_id ORDER BY separation, n_descendants DESC, dn.concept_id) AS r FROM dn JOIN ic USING (concept_id)) WHERE r <= 40""")
+def ancestor_climb(c):
+    return vocabulary.climbed(ids(c, BRAND1, TYPE + 1), c.concept_ancestor, slack=6.0)
+
+
+@query(f"""WITH f AS (SELECT DISTINCT ancestor_concept_id AS class_id, descendant_concept_id AS concept_id FROM concept_ancestor JOIN concept ON concept_id = descendant_concept_id WHERE ancestor_concept_id IN ({ROOT}, {BRAND1}) AND ancestor_concept_id <> descendant_concept_id AND concept_class_id = 'Ingredient' AND standard_concept = 'S' AND invalid_reason IS NULL)
+SELECT * FROM f WHERE class_id IN (SELECT class_id FROM f GROUP BY 1 HAVING count(*) >= 3)""")
+def class_to_members(c):
+    return vocabulary.members_of_class(ids(c, ROOT, BRAND1), c.concept_ancestor, c.concept, "Ingredient")
+
+
+@query("""WITH k AS (SELECT concept_id AS i, lower(concept_name) AS n FROM concept WHERE concept_class_id = 'Ingredient'), t AS (SELECT descendant_concept_id AS concept_id, min(i) AS x FROM concept_ancestor JOIN k ON i = ancestor_concept_id WHERE ancestor_concept_id <> descendant_concept_id GROUP BY 1),
+w AS (SELECT concept_id, min(i) AS y FROM (SELECT concept_id, unnest(string_split(lower(concept_name), ' ')) AS n FROM concept) JOIN k USING (n) GROUP BY 1) SELECT concept_id, coalesce(x, y, concept_id) AS ingredient_id FROM concept LEFT JOIN t USING (concept_id) LEFT JOIN w USING (concept_id)""")
+def ingredient_rollup(c):
+    return vocabulary.ingredients(c.concept.select("concept_id"), c.concept_ancestor, c.concept)
+
+
+PAIRS = f"prs AS (SELECT {LEAF} + p_partkey AS a, {2_000_000} + 1 + p_partkey % 25 AS b FROM part)"
+
+
+@query(f"""WITH {PAIRS} SELECT a, b, CASE WHEN a = b THEN 'same' WHEN d.min_levels_of_separation IS NOT NULL THEN 'ancestor' WHEN u.min_levels_of_separation IS NOT NULL THEN 'descendant' ELSE 'unrelated' END AS relation, coalesce(d.min_levels_of_separation, u.min_levels_of_separation) AS separation
+FROM prs LEFT JOIN concept_ancestor d ON d.ancestor_concept_id = a AND d.descendant_concept_id = b LEFT JOIN concept_ancestor u ON u.ancestor_concept_id = b AND u.descendant_concept_id = a""")
+def hierarchy_relation(c):
+    pairs = c.raw("part").select((LEAF + F.col("p_partkey")).alias("a"), (2_000_001 + F.col("p_partkey") % 25).alias("b"))
+    return vocabulary.relation(pairs, c.concept_ancestor)
+
+
+@query("SELECT DISTINCT concept_id FROM (SELECT concept_id FROM drug_exposure UNION SELECT concept_id FROM condition_occurrence UNION SELECT concept_id FROM measurement UNION SELECT concept_id FROM procedure_occurrence)")
+def union_used_concepts(c):
+    return c.drug_exposure.select("concept_id").unionByName(c.condition_occurrence.select("concept_id")).unionByName(c.measurement.select("concept_id")).unionByName(c.procedure_occurrence.select("concept_id")).distinct()
+
+
+@query(f"WITH u AS (SELECT DISTINCT concept_id FROM ({_exposed(BRAND1)})) SELECT concept_id FROM u UNION SELECT ancestor_concept_id FROM concept_ancestor WHERE descendant_concept_id IN (SELECT * FROM u) UNION SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id IN (SELECT * FROM u)")
+def used_vocabulary(c):
+    return vocabulary.used_vocabulary(exposed(c, BRAND1).select("concept_id").distinct(), c.concept_ancestor)
+
+
+@query("""WITH e AS (SELECT DISTINCT a.child AS s, b.child AS d FROM is_a a JOIN is_a b USING (parent) WHERE a.child IN (1000001, 1000002, 1000003) AND b.child > a.child),
+r AS (SELECT s, d, row_number() OVER (PARTITION BY s ORDER BY d) AS n FROM e WHERE d IN (SELECT concept_id FROM concept WHERE standard_concept = 'S' AND invalid_reason IS NULL)) SELECT d AS concept_id, round(max(1 / (1 + 0.1 * (n - 1))), 6) AS score FROM r WHERE n <= 10 GROUP BY d""")
+def recommendations(c):
+    seeds = ids(c, LEAF + 1, LEAF + 2, LEAF + 3)
+    edges = vocabulary.siblings(seeds, c.is_a).where("concept_id > seed_id").toDF("concept_id_1", "concept_id_2")
+    return vocabulary.recommended(seeds, edges, c.concept).select("concept_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT domain_id, concept_class_id, count(*) AS n FROM concept GROUP BY ALL")
+def concepts_by_domain(c):
+    return c.concept.groupBy("domain_id", "concept_class_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT content_hash, min(set_id) AS set_id, count(*) AS n FROM (SELECT brand_id AS set_id, left(sha256('[' || array_to_string(list_sort(list(DISTINCT type_id)), ',') || ']'), 16) AS content_hash FROM parts GROUP BY brand_id) GROUP BY content_hash")
+def registry_dedup(c):
+    sets = c._parts.groupBy("brand_id").agg(F.sort_array(F.collect_set("type_id")).alias("ids"))
+    return sets.select(F.col("brand_id").alias("set_id"), F.left(F.sha2(F.to_json("ids"), 256), F.lit(16)).alias("content_hash")).groupBy("content_hash").agg(F.min("set_id").alias("set_id"), F.count("*").alias("n"))
+
+
+# ---- cohort documents ------------------------------------------------------------------------
+
+
+def sets_of(*ids_: int) -> dict[int, tuple[Item, ...]]:
+    return {i: (Item(top, descendants=True),) for i, top in enumerate(ids_, 1)}
+
+
+#: Conditions and measurements have no hierarchy in the test tables: their sets hold an id that is not in `concept`, so they are given to the compiler as plain sets.
+class Sets(Compiler):
+    """A compiler whose concept sets also hold ids unknown to the vocabulary."""
+
+    def __init__(self, cohort, cdm):
+        super().__init__(cohort, cdm)
+        plain = [(k, i.concept_id) for k, v in self.cohort.codesets.items() for i in v if not i.excluded]
+        self.codesets = self.codesets.unionByName(cdm.spark.createDataFrame(plain, "codeset_id int, concept_id long")).distinct()
+
+
+ENTRY = (Criterion("Drug", 1, first=True),)
+ANY_ENTRY = (Criterion("Drug", 1),)
+SQL_ENTRY = f"""ev AS (SELECT person_id, start_date AS index_date FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY start_date, concept_id) AS r FROM ({_exposed(BRAND1)})) WHERE r = 1),
+ent AS (SELECT e.person_id, e.index_date, p.end_date AS op_end FROM ev e JOIN observation_period p ON p.person_id = e.person_id AND e.index_date >= p.start_date + 180 AND e.index_date <= p.end_date)"""
+SQL_ALL = f"""ev AS (SELECT DISTINCT person_id, start_date AS index_date FROM ({_exposed(BRAND1)})),
+ent AS (SELECT e.person_id, e.index_date, p.end_date AS op_end FROM ev e JOIN observation_period p ON p.person_id = e.person_id AND e.index_date >= p.start_date + 180 AND e.index_date <= p.end_date)"""
+
+
+def cohort(c: Cdm, rules=(), entry=ENTRY, **more) -> Compiler:
+    named = tuple(Rule(f"r{i}", g) for i, g in enumerate(rules))
+    return Sets(Cohort(sets_of(BRAND1, OUTCOME, BRAND2, 2_100_002, 2_200_001), entry, prior_days=180, rules=named, **more), c)
+
+
+def entries_of(k: Compiler) -> DataFrame:
+    good = k.judged()
+    for name in k.rule_names():
+        good = good.where(F.col(name))
+    return good.select("person_id", "index_date")
+
+
+def condition(codeset: int, start: int | None, end: int | None, kind: int = 2, count: int = 1) -> Counted:
+    return Counted(Criterion("Condition", codeset), Days(start, end), None, kind, count)
+
+
+def n_of(concept: int, start: int | None, end: int | None, table: str = "condition_occurrence", extra: str = "") -> str:
+    after = f" AND x.start_date >= ent.index_date + ({start})" if start is not None else ""
+    before = f" AND x.start_date <= ent.index_date + ({end})" if end is not None else ""
+    return f"(SELECT count(*) FROM {table} x WHERE x.person_id = ent.person_id AND x.concept_id = {concept}{after}{before}{extra})"
+
+
+def rule_query(name: str, group: Group, where: str) -> None:
+    query(f"WITH {SQL_ENTRY} SELECT person_id, index_date FROM ent WHERE {where}", name=name)(lambda c: entries_of(cohort(c, [group])))
+
+
+query(f"WITH {SQL_ENTRY} SELECT person_id, index_date FROM ent", name="entry_first_with_observation")(lambda c: cohort(c).entries().select("person_id", "index_date"))
+query(f"WITH {SQL_ALL} SELECT person_id, index_date FROM ent", name="entry_all_events")(lambda c: cohort(c, entry=ANY_ENTRY).entries().select("person_id", "index_date"))
+rule_query("rule_presence", Group(criteria=(condition(2, -365, 0),)), f"{n_of(OUTCOME, -365, 0)} >= 1")
+rule_query("rule_absence", Group(criteria=(condition(2, -365, 0, 0, 0),)), f"{n_of(OUTCOME, -365, 0)} = 0")
+rule_query("rule_at_most", Group(criteria=(condition(2, -730, 0, 1, 1),)), f"{n_of(OUTCOME, -730, 0)} <= 1")
+rule_query("rule_exactly", Group(criteria=(condition(2, -730, 730, 0, 2),)), f"{n_of(OUTCOME, -730, 730)} = 2")
+rule_query("rule_open_window", Group(criteria=(condition(2, None, -1, 2, 2),)), f"{n_of(OUTCOME, None, -1)} >= 2")
+rule_query("group_any", Group("ANY", criteria=(condition(2, -180, 0), condition(4, -180, 0))), f"({n_of(OUTCOME, -180, 0)} >= 1 OR {n_of(2_100_002, -180, 0)} >= 1)")
+rule_query("group_all", Group("ALL", criteria=(condition(2, -900, 0), condition(4, -900, 0))), f"({n_of(OUTCOME, -900, 0)} >= 1 AND {n_of(2_100_002, -900, 0)} >= 1)")
+rule_query("group_at_least", Group("AT_LEAST", 2, (condition(2, -900, 0), condition(4, -900, 0), condition(2, 1, 900))), f"CAST({n_of(OUTCOME, -900, 0)} >= 1 AS INTEGER) + CAST({n_of(2_100_002, -900, 0)} >= 1 AS INTEGER) + CAST({n_of(OUTCOME, 1, 900)} >= 1 AS INTEGER) >= 2")
+rule_query("group_at_most", Group("AT_MOST", 1, (condition(2, -900, 0), condition(4, -900, 0))), f"CAST({n_of(OUTCOME, -900, 0)} >= 1 AS INTEGER) + CAST({n_of(2_100_002, -900, 0)} >= 1 AS INTEGER) <= 1")
+rule_query("group_nested", Group("ALL", groups=(Group("ANY", criteria=(condition(2, -180, 0), condition(4, -180, 0))), Group(criteria=(condition(2, 1, 365, 0, 0),)))), f"({n_of(OUTCOME, -180, 0)} >= 1 OR {n_of(2_100_002, -180, 0)} >= 1) AND {n_of(OUTCOME, 1, 365)} = 0")
+rule_query("demographic_rule", Group(demographics=(Demographic(Bound("bt", 30, 50), (8532,)),)), "(SELECT year(ent.index_date) - year_of_birth BETWEEN 30 AND 50 AND gender_concept_id = 8532 FROM person p WHERE p.person_id = ent.person_id)")
+rule_query("value_rule", Group(criteria=(Counted(Criterion("Measurement", 5, value=Bound("gte", 300_000), units=(8840,)), Days(-365, 0)),)), f"{n_of(2_200_001, -365, 0, 'measurement', ' AND x.value_as_number >= 300000 AND x.unit_concept_id = 8840')} >= 1")
+rule_query("range_ratio_rule", Group(criteria=(Counted(Criterion("Measurement", 5, ratio_high=Bound("gt", 1.5)), Days(-365, 0)),)), f"{n_of(2_200_001, -365, 0, 'measurement', ' AND x.value_as_number / x.range_high > 1.5')} >= 1")
+
+
+@query(f"WITH {SQL_ENTRY} SELECT (SELECT count(*) FROM ent WHERE (SELECT count(*) FROM ({_exposed(BRAND1)}) x WHERE x.person_id = ent.person_id AND x.start_date <= ent.index_date) >= 1) AS with_index_day, (SELECT count(*) FROM ent WHERE (SELECT count(*) FROM ({_exposed(BRAND1)}) x WHERE x.person_id = ent.person_id AND x.start_date <= ent.index_date - 1) >= 1) AS without_index_day")
+def index_day_boundary(c):
+    def n(end: int, name: str) -> DataFrame:
+        return entries_of(cohort(c, [Group(criteria=(Counted(Criterion("Drug", 1), Days(None, end)),))])).agg(F.count("*").alias(name))
+
+    return n(0, "with_index_day").crossJoin(F.broadcast(n(-1, "without_index_day")))  # one row each
+
+
+OPS = {"gt": "v > 200000", "gte": "v >= 200000", "lt": "v < 200000", "lte": "v <= 200000", "eq": "v = 200000", "neq": "v <> 200000", "bt": "v BETWEEN 100000 AND 200000", "!bt": "(v < 100000 OR v > 200000)"}
+
+
+@query("SELECT concept_id, " + ", ".join(f"count(CASE WHEN {w} THEN 1 END) AS n_{o.replace('!', 'not_')}" for o, w in OPS.items()) + " FROM (SELECT concept_id, value_as_number AS v FROM measurement) GROUP BY concept_id")
+def value_bounds_all_ops(c):
+    from .plans.compile import compare
+
+    bounds = [Bound(o, 100_000.0 if "bt" in o else 200_000.0, 200_000.0 if "bt" in o else None) for o in OPS]
+    return c.measurement.groupBy("concept_id").agg(*(F.count_if(compare(F.col("value_as_number"), b)).alias(f"n_{b.op.replace('!', 'not_')}") for b in bounds))
+
+
+@query("SELECT concept_id, count(CASE WHEN value_as_number / range_high > 1.2 THEN 1 END) AS n_over, count(CASE WHEN value_as_number / range_low < 0.8 THEN 1 END) AS n_under FROM measurement GROUP BY concept_id")
+def range_ratio(c):
+    from .plans.compile import ratio
+
+    v = F.col("value_as_number")
+    return c.measurement.groupBy("concept_id").agg(F.count_if(ratio(v, F.col("range_high"), Bound("gt", 1.2))).alias("n_over"), F.count_if(ratio(v, F.col("range_low"), Bound("lt", 0.8))).alias("n_under"))
+
+
+@query("SELECT concept_id, count(*) AS n FROM measurement WHERE unit_concept_id IN (8840, 8753) GROUP BY concept_id")
+def unit_equivalence(c):
+    same = c.spark.createDataFrame([(8840,), (8753,)], "unit_concept_id long")
+    return c.measurement.join(F.broadcast(same), "unit_concept_id", "left_semi").groupBy("concept_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQL_ENTRY}, z AS (SELECT ent.*, {n_of(OUTCOME, -365, 0)} >= 1 AS a, {n_of(2_100_002, -365, 0)} = 0 AS b FROM ent) SELECT 0 AS level, count(*) AS n_entries, count(DISTINCT person_id) AS n_persons FROM z UNION ALL SELECT 1, count(*), count(DISTINCT person_id) FROM z WHERE a UNION ALL SELECT 2, count(*), count(DISTINCT person_id) FROM z WHERE a AND b")
+def attrition_levels(c):
+    return cohort(c, [Group(criteria=(condition(2, -365, 0),)), Group(criteria=(condition(4, -365, 0, 0, 0),))]).attrition()
+
+
+@query(f"WITH {SQL_ENTRY}, d AS (SELECT ent.person_id, (SELECT count(*) FROM ({_exposed(BRAND2)}) x WHERE x.person_id = ent.person_id AND x.start_date BETWEEN ent.index_date - 9999 AND ent.index_date) AS n FROM ent) SELECT 'target' AS arm, count(*) AS n FROM d UNION ALL SELECT 'treatment', count(*) FROM d WHERE n >= 1 UNION ALL SELECT 'comparator', count(*) FROM d WHERE n = 0")
+def three_arms(c):
+    from functools import reduce
+
+    base = Cohort(sets_of(BRAND1, OUTCOME, BRAND2), ENTRY, prior_days=180)
+    counts = [entries_of(Sets(d, c)).agg(F.count("*").alias("n")).select(F.lit(name).alias("arm"), "n") for name, d in passes.arms(base, 3).items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query(f"WITH {SQL_ENTRY} SELECT person_id, index_date AS cohort_start_date, least(op_end, index_date + 365) AS cohort_end_date FROM ent")
+def exit_fixed(c):
+    return cohort(c, exit=Exit("fixed", 365)).cohort_rows()
+
+
+@query(f"WITH {SQL_ENTRY} SELECT person_id, index_date AS cohort_start_date, op_end AS cohort_end_date FROM ent")
+def exit_obs_end(c):
+    return cohort(c).cohort_rows()
+
+
+SQL_ERA = f"""m AS (SELECT *, max(end_date) OVER (PARTITION BY person_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ({_exposed(BRAND1)})),
+k AS (SELECT *, sum(CASE WHEN p IS NULL OR start_date > p + 30 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS era FROM m),
+era AS (SELECT person_id, min(start_date) AS s, max(end_date) + 7 AS e FROM k GROUP BY person_id, era)"""
+
+
+@query(f"WITH {SQL_ENTRY}, {SQL_ERA} SELECT ent.person_id, index_date AS cohort_start_date, least(any_value(op_end), max(e)) AS cohort_end_date FROM ent JOIN era ON era.person_id = ent.person_id AND index_date BETWEEN s AND e GROUP BY ALL")
+def exit_custom_era(c):
+    return cohort(c, exit=Exit("era", codeset=1, gap=30, offset=7)).cohort_rows()
+
+
+@query(f"WITH {SQL_ENTRY} SELECT ent.person_id, index_date AS cohort_start_date, least(any_value(op_end), coalesce(min(x.start_date), any_value(op_end))) AS cohort_end_date FROM ent LEFT JOIN condition_occurrence x ON x.person_id = ent.person_id AND x.concept_id = {OUTCOME} AND x.start_date > index_date GROUP BY ALL")
+def exit_censored(c):
+    return cohort(c, censoring=(Criterion("Condition", 2),)).cohort_rows()
+
+
+@query(f"""WITH {SQL_ALL}, s AS (SELECT person_id, index_date AS a, least(op_end, index_date + 60) AS z FROM ent), q AS (SELECT *, max(z) OVER (PARTITION BY person_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s),
+w AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p THEN 1 ELSE 0 END) OVER (PARTITION BY person_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM q) SELECT person_id, min(a) AS cohort_start_date, max(z) AS cohort_end_date FROM w GROUP BY person_id, g""")
+def cohort_collapsed_eras(c):
+    return cohort(c, entry=ANY_ENTRY, exit=Exit("fixed", 60), qualified_limit="All", expression_limit="All").cohort_rows()
+
+
+@query(f"WITH {SQL_ENTRY} SELECT CAST(7 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, index_date AS cohort_start_date, op_end AS cohort_end_date FROM ent WHERE (SELECT year(ent.index_date) - year_of_birth >= 40 FROM person p WHERE p.person_id = ent.person_id)")
+def compiled_from_json(c):
+    from .plans.definition import parse
+
+    document = {
+        "ConceptSets": [{"id": 0, "name": "brand one", "expression": {"items": [{"concept": {"CONCEPT_ID": BRAND1}, "includeDescendants": True}]}}],
+        "PrimaryCriteria": {"CriteriaList": [{"DrugExposure": {"CodesetId": 0, "First": True}}], "ObservationWindow": {"PriorDays": 180, "PostDays": 0}, "PrimaryCriteriaLimit": {"Type": "First"}},
+        "InclusionRules": [{"name": "forty or older", "expression": {"Type": "ALL", "DemographicCriteriaList": [{"Age": {"Value": 40, "Op": "gte"}}]}}],
+        "QualifiedLimit": {"Type": "First"}, "ExpressionLimit": {"Type": "First"}, "CollapseSettings": {"CollapseType": "ERA", "EraPad": 0},
+    }
+    # codeset 0 is a real set here, so that pass is not wanted: number it from 1
+    document["ConceptSets"][0]["id"] = 1
+    document["PrimaryCriteria"]["CriteriaList"][0]["DrugExposure"]["CodesetId"] = 1
+    return compile_cohort(parse(document), c, 7)
+
+
+@query(f"""WITH {SQL_ENTRY}, f AS (SELECT ent.person_id, min(x.start_date) AS d FROM ent JOIN condition_occurrence x ON x.person_id = ent.person_id AND x.concept_id = {OUTCOME} AND x.start_date > index_date GROUP BY 1),
+t AS (SELECT ent.person_id, index_date, d, least(index_date + 365, op_end) AS stop FROM ent LEFT JOIN f USING (person_id))
+SELECT person_id, index_date, CAST(greatest((CASE WHEN d <= stop THEN d ELSE stop END) - index_date, 0) AS INTEGER) AS "time", CAST(coalesce(d <= stop, false) AS INTEGER) AS event FROM t""")
+def new_users_first_outcome(c):
+    """New users of brand 1 with 180 days of prior observation, followed for a year to their first outcome."""
+    entries = cohort(c).entries()
+    first = entries.join(outcomes(c).select("person_id", "start_date"), "person_id").where("start_date > index_date").groupBy("person_id").agg(F.min("start_date").alias("d"))
+    time, event = cohorts.censored(F.col("index_date"), F.col("d"), F.col("op_end"), 365)
+    return entries.join(first, "person_id", "left").select("person_id", "index_date", time.alias("time"), event.alias("event"))
+
+
+# ---- weights, balance, survival --------------------------------------------------------------
+
+
+@query(f"WITH {ARMS} SELECT person_id, round({SQL_WEIGHT}, 6) AS weight, round({SQL_WEIGHT} * CASE WHEN treatment = 1 THEN (SELECT avg(treatment) FROM score) ELSE 1 - (SELECT avg(treatment) FROM score) END, 6) AS stabilised FROM score")
+def iptw_weights(c):
+    rows = weighted(c)
+    share = rows.agg(F.avg("treatment").alias("m"))  # one row
+    return rows.crossJoin(F.broadcast(share)).select("person_id", F.round("weight", 6).alias("weight"), F.round(survival.iptw(F.col("ps"), F.col("treatment"), F.col("m")), 6).alias("stabilised"))
+
+
+@query(f"WITH {ARMS}, w AS (SELECT person_id, {SQL_WEIGHT} AS weight FROM score) SELECT person_id, round(least(weight, (SELECT quantile_cont(weight, 0.99) FROM w)), 6) AS weight FROM w")
+def weight_trim_p99(c):
+    return survival.trimmed(weighted(c)).select("person_id", F.round("weight", 6).alias("weight"))
+
+
+def covariate_rows(c: Cdm) -> DataFrame:
+    p = weighted(c).join(c.person, "person_id").join(both_arms(c).select("person_id", "index_date"), "person_id")
+    facts = F.map_from_arrays(F.array(F.lit("age"), F.lit("male"), F.lit("race")), F.array((F.year("index_date") - F.col("year_of_birth")).cast("double"), (F.col("gender_concept_id") == 8507).cast("double"), F.col("race_concept_id").cast("double")))
+    return p.select("person_id", "treatment", "weight", F.explode(facts).alias("covariate", "value"))
+
+
+LONG = f"lng AS (SELECT person_id, treatment, {SQL_WEIGHT} AS weight, unnest(['age', 'male', 'race']) AS covariate, unnest([CAST(year(index_date) - year_of_birth AS DOUBLE), CAST(gender_concept_id = 8507 AS DOUBLE), CAST(race_concept_id AS DOUBLE)]) AS value FROM score JOIN person USING (person_id) JOIN (SELECT person_id, index_date FROM arms) USING (person_id))"
+SMD = "(SELECT covariate, abs(avg(CASE WHEN treatment = 1 THEN value END) - avg(CASE WHEN treatment = 0 THEN value END)) / sqrt((var_samp(CASE WHEN treatment = 1 THEN value END) + var_samp(CASE WHEN treatment = 0 THEN value END)) / 2) AS smd FROM lng GROUP BY covariate)"
+WSMD = """(WITH m AS (SELECT covariate, treatment, sum(weight * value) / sum(weight) AS m, sum(weight) AS v1, sum(weight * weight) AS v2 FROM lng GROUP BY ALL),
+v AS (SELECT covariate, treatment, any_value(m) AS m, sum(weight * (value - m) * (value - m)) / (any_value(v1) - any_value(v2) / any_value(v1)) AS v FROM lng JOIN m USING (covariate, treatment) GROUP BY ALL)
+SELECT a.covariate, abs(a.m - b.m) / sqrt((a.v + b.v) / 2) AS smd FROM v a JOIN v b USING (covariate) WHERE a.treatment = 1 AND b.treatment = 0)"""
+
+
+@query(f"WITH {ARMS}, {LONG} SELECT covariate, round(smd, 6) AS smd FROM {SMD}")
+def smd_unweighted(c):
+    return survival.smd(covariate_rows(c)).select("covariate", *r6("smd"))
+
+
+@query(f"WITH {ARMS}, {LONG} SELECT covariate, round(smd, 6) AS smd FROM {WSMD}")
+def smd_weighted(c):
+    return survival.weighted_smd(covariate_rows(c)).select("covariate", *r6("smd"))
+
+
+@query(f"WITH {ARMS}, {LONG} SELECT count(*) AS n_covariates, count(CASE WHEN smd < 0.1 THEN 1 END) AS n_balanced, round(max(smd), 6) AS max_smd, round(avg(smd), 6) AS mean_smd FROM {SMD}")
+def balance_summary(c):
+    return survival.balance_summary(survival.smd(covariate_rows(c))).select("n_covariates", "n_balanced", *r6("max_smd", "mean_smd"))
+
+
+@query(f"WITH {ARMS}, {LONG} SELECT covariate, round(a.smd, 6) AS smd_before, round(b.smd, 6) AS smd_after FROM {SMD} a FULL JOIN {WSMD} b USING (covariate)")
+def balance_before_after(c):
+    rows = covariate_rows(c)
+    return survival.balance_change(survival.smd(rows), survival.weighted_smd(rows)).select("covariate", *r6("smd_before", "smd_after"))
+
+
+KM = """g AS (SELECT treatment, "time", sum(event) AS n_events, count(*) AS n_left FROM fu GROUP BY ALL), h AS (SELECT *, sum(n_left) OVER (PARTITION BY treatment ORDER BY "time" DESC) AS at_risk FROM g), e AS (SELECT * FROM h WHERE n_events > 0),
+km AS (SELECT treatment, "time", at_risk, n_events, exp(sum(CASE WHEN n_events < at_risk THEN ln(1 - n_events / at_risk) ELSE 0 END) OVER w) * CASE WHEN max(CAST(n_events >= at_risk AS INTEGER)) OVER w = 1 THEN 0 ELSE 1 END AS survival, sqrt(sum(CASE WHEN n_events < at_risk THEN n_events / (at_risk * (at_risk - n_events)) ELSE 0 END) OVER w) AS gw FROM e WINDOW w AS (PARTITION BY treatment ORDER BY "time"))"""
+
+
+@query(f'WITH {ARMS}, {KM} SELECT treatment, "time", CAST(at_risk AS BIGINT) AS at_risk, CAST(n_events AS BIGINT) AS n_events, round(survival, 6) AS survival, round(survival * gw, 6) AS std_error FROM km')
+def km_curve(c):
+    return survival.kaplan_meier(follow_up(c), "treatment").select("treatment", "time", "at_risk", "n_events", *r6("survival", "std_error"))
+
+
+@query(f'WITH {ARMS}, {KM} SELECT treatment, min("time") AS median FROM km WHERE survival <= 0.95 GROUP BY treatment', name="km_time_to_quantile")
+def km_time_to_quantile(c):
+    return survival.kaplan_meier(follow_up(c), "treatment").where("survival <= 0.95").groupBy("treatment").agg(F.min("time").alias("median"))
+
+
+@query(f"""WITH {ARMS}, g AS (SELECT "time", sum(event) AS d, count(*) AS c, sum(CASE WHEN treatment = 1 THEN event ELSE 0 END) AS d1, sum(treatment) AS c1 FROM fu GROUP BY 1), h AS (SELECT *, sum(c) OVER (ORDER BY "time" DESC) AS n, sum(c1) OVER (ORDER BY "time" DESC) AS n1 FROM g),
+z AS (SELECT sum(d1) AS o, sum(d * n1 / n) AS e, sum(CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END) AS v FROM h WHERE d > 0) SELECT CAST(o AS BIGINT) AS observed, round(e, 6) AS expected, round(v, 6) AS variance, round((o - e) * (o - e) / v, 6) AS chi_square FROM z""")
+def logrank(c):
+    return survival.logrank(follow_up(c)).select("observed", *r6("expected", "variance", "chi_square"))
+
+
+@query(f"WITH {ARMS} SELECT treatment, CAST(least(floor(ps * 30), 29) + 1 AS BIGINT) AS bin, count(*) AS n FROM score GROUP BY ALL")
+def ps_histogram(c):
+    return scored(c).groupBy("treatment", F.least(F.width_bucket("ps", F.lit(0.0), F.lit(1.0), F.lit(30)), F.lit(30)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def analysis_frame(c: Cdm) -> DataFrame:
+    rows = follow_up(c).join(c.person, "person_id")
+    return rows.select("person_id", "treatment", "time", "event", (F.year("index_date") - F.col("year_of_birth")).cast("double").alias("age"), (F.col("gender_concept_id") == 8507).cast("double").alias("male"))
+
+
+@query()
+def propensity_fit(c):
+    return survival.propensity(analysis_frame(c), ["age", "male"]).select("person_id", "treatment", F.round("ps", 6).alias("ps"))
+
+
+@query()
+def psm_pairs(c):
+    return survival.matched(scored(c))
+
+
+@query()
+def mahalanobis_pairs(c):
+    frame = analysis_frame(c).join(scored(c).select("person_id", "ps"), "person_id")
+    return survival.mahalanobis_matched(frame, ["age", "male"])
+
+
+@query()
+def cox_hr(c):
+    fit = survival.cox(analysis_frame(c), ["treatment", "age", "male"])
+    rows = [(k, *(float(v[x]) for x in ("log_hr", "hr", "low", "high", "p"))) for k, v in fit.items()]
+    return c.spark.createDataFrame(rows, "covariate string, log_hr double, hr double, low double, high double, p double")
+
+
+# ---- retrieval -------------------------------------------------------------------------------
+
+
+def vectors(c: Cdm) -> tuple[DataFrame, DataFrame]:
+    e = c.raw("embeddings")
+    return e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label")
+
+
+KNN = "knn AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i])))) AS d, a.label = b.label AS same FROM embeddings a, embeddings b WHERE a.vec_id < 5)"
+
+
+@query(f"WITH {KNN} SELECT query_id, item_id, round(d, 6) AS distance, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS r FROM knn) WHERE r <= 20")
+def vector_topk(c):
+    q, v = vectors(c)
+    return retrieval.nearest(q, v, 20).select("query_id", "item_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"WITH {KNN} SELECT query_id, item_id, round(1 / (1 + d), 6) AS similarity, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS r FROM knn WHERE same) WHERE r <= 10")
+def vector_topk_in_domain(c):
+    q, v = vectors(c)
+    return retrieval.nearest(q, v, 10, "label").select("query_id", "item_id", F.round(retrieval.similarity(F.col("distance")), 6).alias("similarity"), "rank")
+
+
+RANKED = f"""{KNN}, l1 AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS r FROM knn), l2 AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY abs(a.label - b.label), b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < 5)"""
+
+
+def ranked_lists(c: Cdm) -> DataFrame:
+    q, v = vectors(c)
+    near = retrieval.nearest(q, v, 20).select(F.lit("vector").alias("source"), "query_id", "item_id", "rank")
+    pairs = v.join(F.broadcast(q))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("label") - F.col("q_label")), "item_id"))
+    return near.unionByName(pairs.select(F.lit("label").alias("source"), "query_id", "item_id", rank.alias("rank")).where("rank <= 20"))
+
+
+@query(f"WITH {RANKED} SELECT query_id, item_id, round(sum(1 / (60 + r)), 6) AS score FROM (SELECT * FROM l1 WHERE r <= 20 UNION ALL SELECT * FROM l2 WHERE r <= 20) GROUP BY ALL")
+def rrf(c):
+    return retrieval.fused(ranked_lists(c)).select("query_id", "item_id", *r6("score"))
+
+
+@query(f"WITH {RANKED} SELECT query_id, item_id, round(sum(w / (60 + r)), 6) AS score FROM (SELECT *, 0.7 AS w FROM l1 WHERE r <= 20 UNION ALL SELECT *, 0.3 FROM l2 WHERE r <= 20) GROUP BY ALL")
+def weighted_rrf(c):
+    return retrieval.fused(ranked_lists(c), {"vector": 0.7, "label": 0.3}).select("query_id", "item_id", *r6("score"))
+
+
+@query("SELECT concept_id, concept_name, r AS rank, round(1 / (1 + 0.1 * (r - 1)), 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY length(concept_name), concept_id) AS r FROM concept WHERE standard_concept = 'S' AND invalid_reason IS NULL AND contains(lower(concept_name), 'ring') AND domain_id = 'Drug') WHERE r <= 50")
+def name_search(c):
+    return retrieval.by_name(c.concept, "Ring", "Drug").select("concept_id", "concept_name", "rank", *r6("score"))
+
+
+@query("SELECT DISTINCT p_name AS name, i AS concept_id FROM part JOIN (SELECT lower(concept_name) AS k, min(concept_id) AS i FROM concept WHERE standard_concept = 'S' AND invalid_reason IS NULL GROUP BY 1 HAVING count(*) = 1) ON k = lower(p_name) UNION SELECT DISTINCT p_brand, i FROM part JOIN (SELECT lower(concept_name) AS k, min(concept_id) AS i FROM concept WHERE standard_concept = 'S' AND invalid_reason IS NULL GROUP BY 1 HAVING count(*) = 1) ON k = lower(p_brand)")
+def exact_name_unique(c):
+    p = c.raw("part")
+    names = p.select(F.col("p_name").alias("name")).unionByName(p.select(F.col("p_brand").alias("name"))).distinct()
+    return retrieval.unique_by_name(names, c.concept)
+
+
+@query("""WITH k AS (SELECT q.name AS query_id, q.name AS query, c.concept_id, c.concept_name, abs(length(c.concept_name) - length(q.name)) + (c.concept_id % 13) / 13.0 AS distance FROM (VALUES ('red ring'), ('plate'), ('small widget x')) q(name), concept c WHERE concept_class_id = 'Clinical Drug'),
+s AS (SELECT *, distance / avg(distance) OVER (PARTITION BY query_id) + CASE WHEN lower(concept_name) = query THEN -0.15 WHEN contains(lower(concept_name), query) THEN -0.08 WHEN contains(query, lower(concept_name)) THEN -0.04 WHEN len(list_filter(string_split(query, ' '), lambda w: length(w) >= 5 AND contains(lower(concept_name), left(w, least(length(w) - 2, 8))))) > 0 THEN -0.06 ELSE 0 END AS score FROM k)
+SELECT query_id, concept_id, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, concept_id) AS r FROM s) WHERE r <= 25""")
+def adjusted_score_rank(c):
+    q = c.spark.createDataFrame([("red ring",), ("plate",), ("small widget x",)], "query string")
+    d = (F.abs(F.length("concept_name") - F.length("query")) + (F.col("concept_id") % 13) / 13.0).cast("double")
+    rows = c.concept.where("concept_class_id = 'Clinical Drug'").join(F.broadcast(q)).select(F.col("query").alias("query_id"), "query", F.lit(None).cast("string").alias("wanted_domain"), "concept_id", "concept_name", "domain_id", d.alias("distance"), F.lit(0.0).alias("weight"))
+    return retrieval.adjusted(rows, 25).select("query_id", "concept_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""WITH n AS (SELECT 'Drug' AS domain_id, concept_id, count(*) AS n FROM drug_exposure GROUP BY ALL UNION ALL SELECT 'Condition', concept_id, count(*) FROM condition_occurrence GROUP BY ALL)
+SELECT domain_id, concept_id, boost FROM (SELECT domain_id, concept_id, round_even(-0.05 - 0.1 * log10(n) / log10(max(n) OVER (PARTITION BY domain_id)), 3) AS boost, row_number() OVER (PARTITION BY domain_id ORDER BY n DESC, concept_id) AS r FROM n) WHERE r <= 500""")
+def freq_boost(c):
+    d = c.drug_exposure.groupBy("concept_id").agg(F.count("*").alias("n")).withColumn("domain_id", F.lit("Drug"))
+    k = c.condition_occurrence.groupBy("concept_id").agg(F.count("*").alias("n")).withColumn("domain_id", F.lit("Condition"))
+    return retrieval.frequency_boost(d.unionByName(k))
+
+
+@query("WITH t AS (SELECT concept_id, string_split(concept_name, ' ') AS w FROM concept WHERE concept_class_id = 'Clinical Drug' AND concept_id <= 1000060) SELECT a.concept_id AS a, b.concept_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS score FROM t a, t b WHERE a.concept_id < b.concept_id AND len(list_intersect(a.w, b.w)) > 0")
+def token_jaccard(c):
+    t = c.concept.where("concept_class_id = 'Clinical Drug' AND concept_id <= 1000060").select("concept_id", retrieval.tokens(F.col("concept_name")).alias("w"))
+    words = t.select("concept_id", "w", F.explode("w").alias("k"))
+    pairs = words.alias("x").join(words.alias("y"), "k").where("x.concept_id < y.concept_id").select(F.col("x.concept_id").alias("a"), F.col("y.concept_id").alias("b"), F.round(retrieval.token_jaccard(F.col("x.w"), F.col("y.w")), 6).alias("score"))
+    return pairs.distinct()
+
+
+@query("""WITH l AS (SELECT brand_id AS id, p_brand AS name, list(leaf_id) AS m FROM parts WHERE p_partkey % 2 = 0 GROUP BY ALL), r AS (SELECT brand_id AS id, p_brand AS name, list(leaf_id) AS m FROM parts WHERE p_partkey % 3 = 0 GROUP BY ALL),
+s AS (SELECT l.id AS left_id, r.id AS right_id, CASE WHEN l.id = r.id THEN 1.0 ELSE 1 / 3 END AS name_score, len(list_intersect(l.m, r.m)) / len(list_distinct(list_concat(l.m, r.m))) AS overlap FROM l, r)
+SELECT left_id, right_id, round(name_score, 6) AS name_score, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY name_score DESC, overlap DESC, right_id) AS q FROM s WHERE name_score >= 0.5 OR (name_score >= 0.25 AND overlap > 0) OR overlap >= 0.3) WHERE q = 1""")
+def set_pairing(c):
+    def sets(where: str) -> DataFrame:
+        return c._parts.where(where).groupBy(F.col("brand_id").alias("set_id"), F.col("p_brand").alias("name")).agg(F.collect_list("leaf_id").alias("members"))
+
+    return retrieval.paired_sets(sets("p_partkey % 2 = 0"), sets("p_partkey % 3 = 0")).select("left_id", "right_id", *r6("name_score", "overlap"))
+
+
+@query("""WITH p AS (SELECT brand_id AS b, count(CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 1 END) AS i, count(CASE WHEN p_partkey % 2 = 0 THEN 1 END) AS l, count(CASE WHEN p_partkey % 3 = 0 THEN 1 END) AS r FROM parts GROUP BY 1 HAVING l > 0 AND r > 0)
+SELECT count(*) AS n_pairs, round(avg(i / l), 6) AS macro_recall, round(avg(i / r), 6) AS macro_precision, round(sum(i) / sum(l), 6) AS micro_recall, round(sum(i) / sum(r), 6) AS micro_precision, round(median(i / l), 6) AS median_recall, count(CASE WHEN i = 0 THEN 1 END) AS n_zero, count(CASE WHEN r >= 3 * l THEN 1 END) AS n_over_expanded FROM p""")
+def macro_metrics(c):
+    even, third = F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0
+    p = c._parts.groupBy("brand_id").agg(F.count_if(even & third).alias("i"), F.count_if(even).alias("l"), F.count_if(third).alias("r")).where("l > 0 AND r > 0")
+    recall, precision = F.col("i") / F.col("l"), F.col("i") / F.col("r")
+    return p.agg(
+        F.count("*").alias("n_pairs"), F.round(F.avg(recall), 6).alias("macro_recall"), F.round(F.avg(precision), 6).alias("macro_precision"), F.round(F.sum("i") / F.sum("l"), 6).alias("micro_recall"), F.round(F.sum("i") / F.sum("r"), 6).alias("micro_precision"),
+        F.round(F.percentile(recall, 0.5), 6).alias("median_recall"), F.count_if(F.col("i") == 0).alias("n_zero"), F.count_if(F.col("r") >= 3 * F.col("l")).alias("n_over_expanded"),
+    )
+
+
+# ---- sites -----------------------------------------------------------------------------------
+
+
+def domains(c: Cdm) -> dict[str, DataFrame]:
+    return {"Drug": c.drug_exposure, "Condition": c.condition_occurrence, "Measurement": c.measurement, "Procedure": c.procedure_occurrence, "Observation": c.observation}
+
+
+SNAP = "snap AS (" + " UNION ALL ".join(f"SELECT {a} AS analysis_id, concept_id, count(DISTINCT person_id) AS n_persons FROM {t} GROUP BY concept_id" for a, t in ((700, "drug_exposure"), (400, "condition_occurrence"), (1800, "measurement"), (600, "procedure_occurrence"), (800, "observation"))) + ")"
+
+
+@query(f"WITH {SNAP} SELECT * FROM snap")
+def site_prevalence(c):
+    return sites.prevalence(domains(c))
+
+
+def asked(c: Cdm) -> DataFrame:
+    return ids(c, LEAF + 5, LEAF + 6, BRAND1, ROOT, 99, OUTCOME)
+
+
+ASKED = f"asked(concept_id) AS (VALUES ({LEAF + 5}), ({LEAF + 6}), ({BRAND1}), ({ROOT}), (99), ({OUTCOME}))"
+
+
+@query(f"WITH {SNAP}, {ASKED}, s AS (SELECT concept_id, max(n_persons) AS n_persons FROM snap WHERE n_persons > 10 GROUP BY 1) SELECT a.concept_id, CASE WHEN n_persons > 0 THEN 'populated' WHEN k.concept_id IS NULL THEN 'unknown_concept' ELSE 'suppressed_or_absent' END AS state, n_persons, CASE WHEN n_persons > 0 THEN n_persons WHEN k.concept_id IS NOT NULL THEN 10 END AS upper_bound FROM asked a LEFT JOIN s USING (concept_id) LEFT JOIN concept k ON k.concept_id = a.concept_id")
+def evidence_states(c):
+    return sites.evidence(asked(c), sites.suppressed(sites.prevalence(domains(c)), 10), c.concept, 10)
+
+
+@query(f"WITH {SNAP}, {ASKED} SELECT a.concept_id, CAST(sum(n_persons) AS BIGINT) AS upper_bound FROM asked a LEFT JOIN concept_ancestor t ON t.ancestor_concept_id = a.concept_id AND t.descendant_concept_id <> a.concept_id LEFT JOIN snap s ON s.concept_id = t.descendant_concept_id GROUP BY 1")
+def descendant_upper_bound(c):
+    return sites.descendant_bound(asked(c), sites.prevalence(domains(c)), c.concept_ancestor)
+
+
+@query(f"WITH {ASKED}, n AS (SELECT concept_id, count(DISTINCT person_id) AS n FROM drug_exposure GROUP BY 1) SELECT concept_id, coalesce(n, 0) AS n_persons, CASE WHEN coalesce(n, 0) = 0 THEN 'expand' WHEN n < 10 THEN 'check mapping' ELSE 'ok' END AS advice FROM asked LEFT JOIN n USING (concept_id)")
+def zero_diagnostics(c):
+    return sites.diagnosed(asked(c), c.drug_exposure)
+
+
+@query("SELECT concept_id, unit_concept_id, count(value_as_number) AS n, min(value_as_number) AS least, round(quantile_cont(value_as_number, 0.5), 6) AS median, max(value_as_number) AS greatest FROM measurement GROUP BY ALL")
+def value_distribution(c):
+    return sites.value_distribution(c.measurement).withColumn("median", F.round("median", 6))
+
+
+@query("SELECT concept_id, unit_concept_id, count(*) AS n FROM measurement GROUP BY ALL ORDER BY n DESC")
+def unit_counts(c):
+    return c.measurement.groupBy("concept_id", "unit_concept_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "concept_id")
+
+
+@query("SELECT concept_id, race_concept_id FROM (SELECT concept_id, race_concept_id, row_number() OVER (PARTITION BY concept_id ORDER BY count(*) DESC, race_concept_id) AS r FROM condition_occurrence JOIN person USING (person_id) GROUP BY concept_id, race_concept_id) WHERE r = 1")
+def mode_value(c):
+    n = c.condition_occurrence.join(c.person, "person_id").groupBy("concept_id", "race_concept_id").agg(F.count("*").alias("n"))
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("concept_id").orderBy(F.col("n").desc(), "race_concept_id"))).where("r = 1").select("concept_id", "race_concept_id")
+
+
+@query("SELECT concept_id, least(1000, round_even(count(*) / 1500.0 * 1000, 0)) AS scaled FROM condition_occurrence GROUP BY 1", name="scaled_prevalence")
+def scaled_prevalence(c):
+    return c.condition_occurrence.groupBy("concept_id").agg(F.least(F.lit(1000.0), F.bround(F.count("*") / 1500.0 * 1000, 0)).alias("scaled"))
+
+
+@query("SELECT gender_concept_id, race_concept_id, count(*) AS n FROM person GROUP BY ROLLUP (gender_concept_id, race_concept_id)")
+def person_rollup(c):
+    return c.person.rollup("gender_concept_id", "race_concept_id").agg(F.count("*").alias("n"))
+
+
+# ---- text ------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN regexp_full_match(w, '[A-TV-Z][0-9][0-9AB](\\.[0-9A-TV-Z]{1,4})?') THEN 'icd10' WHEN regexp_full_match(w, '[0-9]{4,18}') THEN 'numeric' ELSE 'text' END AS kind, w AS code FROM (SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'E11.' || c_custkey % 10 WHEN 1 THEN CAST(c_custkey + 10000 AS VARCHAR) ELSE c_mktsegment END AS w FROM customer)")
+def code_kinds(c):
+    k = F.col("c_custkey")
+    w = F.when(k % 3 == 0, F.concat(F.lit("E11."), (k % 10).cast("string"))).when(k % 3 == 1, (k + 10000).cast("string")).otherwise(F.col("c_mktsegment"))
+    return c.raw("customer").select(k.alias("doc_id"), text.code_kind(w).alias("kind"), w.alias("code"))
+
+
+@query("SELECT brand, name, concept_id FROM (SELECT p_brand AS brand, p_name AS name, leaf_id AS concept_id, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY leaf_id) AS r FROM parts) WHERE r = 1")
+def distinct_first(c):
+    return text.distinct_first(c._parts.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("leaf_id").alias("concept_id")), ["brand", "name"], ["concept_id"])
+
+
+@query("SELECT name, concept_id, n > 1 AS ambiguous FROM (SELECT lower(trim(p_name)) AS name, min(leaf_id) AS concept_id, count(DISTINCT brand_id) AS n FROM parts GROUP BY 1)")
+def normalised_names(c):
+    return c._parts.groupBy(F.lower(F.trim("p_name")).alias("name")).agg(F.min("leaf_id").alias("concept_id"), F.countDistinct("brand_id").alias("n")).select("name", "concept_id", (F.col("n") > 1).alias("ambiguous"))
+
+
+@query()
+def parsed_thresholds(c):
+    said = F.concat(F.lit("value "), F.when(F.col("concept_id") % 3 == 0, ">= ").when(F.col("concept_id") % 3 == 1, "less than ").otherwise("above "), F.round(F.col("value_as_number") / 1000, 1).cast("string"), F.lit(" mg/dL"))
+    rows = c.measurement.select("person_id", "start_date", said.alias("said"))
+    return rows.withColumn("t", F.explode(text.parse_thresholds("said"))).select("person_id", "start_date", "said", "t.op", "t.value", "t.unit_concept_id")
+
+
+# ---- events ----------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def hourly_counts(c):
+    return streams.windowed_counts(c.raw("events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k")
+def user_sessions(c):
+    s = streams.sessions(c.raw("events"), "2 hours")
+    return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
