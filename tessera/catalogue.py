@@ -434,7 +434,7 @@ class Sets(Compiler):
     def __init__(self, cohort, cdm):
         super().__init__(cohort, cdm)
         plain = [(k, i.concept_id) for k, v in self.cohort.codesets.items() for i in v if not i.excluded]
-        self.codesets = self.codesets.unionByName(cdm.spark.createDataFrame(plain, "codeset_id int, concept_id long")).distinct()
+        self.codesets = self.codesets.unionByName(cdm.spark.createDataFrame(plain, "codeset_id int, concept_id long")).distinct().persist()
 
 
 ENTRY = (Criterion("Drug", 1, first=True),)

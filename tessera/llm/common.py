@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as ship  # for the operators
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; a local one is set only where it is unset."""
@@ -58,20 +57,3 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only doc_id and text, null text as empty: other columns, whatever their names, never reach an operator's plan."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers through Spark, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    target = os.path.join(tempfile.mkdtemp(prefix="tessera-code-"), "tessera.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent).as_posix())
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)

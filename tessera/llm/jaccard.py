@@ -210,9 +210,9 @@ def candidate_ties(sets: DataFrame, similarity: float, runs: int) -> DataFrame:
         found.append(staged(ties_within(small.select("path", "node", "embedding"), n), f"ties-{depth}"))
         if not large.limit(1).count():
             return union(found)
-        # a bucket's representatives: about REPRESENTATIVES of its members, by hash
-        pick = F.pmod(F.xxhash64("node", "path"), F.col("count")) < REPRESENTATIVES
-        few = large.where(pick).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("node", "embedding"))).alias("r"))
+        # a bucket's representatives: about REPRESENTATIVES of its members, those of least hash, so that buckets with the same members have the same ones
+        pick = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) * F.col("count") < REPRESENTATIVES << 40
+        few = large.where(pick).groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.pmod(F.xxhash64("node"), F.lit(1 << 40)).alias("h"), "node", "embedding"))).alias("r"))
         few = few.select("path", F.col("r.node").alias("r_nodes"), F.col("r.embedding").alias("r_sigs"))
         judged = staged(large.select("path", "node", "embedding").join(few, "path", "left").mapInArrow(against_representatives, "path long, node long, embedding binary, leaves boolean, root array<long>"), f"judged-{depth}")
         found.append(staged(judged.select(F.col("node").alias("a"), F.explode("root").alias("b")).where("a <> b").distinct(), f"tied-to-one-{depth}"))
@@ -231,18 +231,26 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def against_representatives(batches):
-    """A member's ties to its bucket's representatives, and whether it is so near to one that it need not split on."""
+    """A member's ties in its bucket, and whether it is so near to a representative that it need not split on.
+
+    Representatives near one another form trees, and a tie to a tree's root stands for ties to all of them: a
+    bucket gives a few ties a member, however many representatives it is near.
+    """
+    known, roots, few = None, [], None
     for batch in batches:
         leaves, root = [], []
-        for sig, nodes, sigs in zip(*(batch.column(c).to_pylist() for c in ("embedding", "r_nodes", "r_sigs"))):
+        for path, sig, nodes, sigs in zip(*(batch.column(c).to_pylist() for c in ("path", "embedding", "r_nodes", "r_sigs"))):
             if not nodes:
                 leaves.append(False)
                 root.append([])
                 continue
-            mine = np.frombuffer(sig, "<u4")
-            near = (np.frombuffer(b"".join(sigs), "<u4").reshape(-1, COORDINATES) == mine).mean(1)
+            if path != known:
+                few = np.frombuffer(b"".join(sigs), "<u4").reshape(-1, COORDINATES)
+                above = dict(forest(agreement(few, few) >= TIED_TO_ONE))
+                known, roots = path, [nodes[above.get(i, i)] for i in range(len(nodes))]
+            near = (few == np.frombuffer(sig, "<u4")).mean(1)
             leaves.append(bool((near >= LEAVES).any()))
-            root.append([nodes[i] for i in np.flatnonzero(near >= TIED_TO_ONE)])
+            root.append(sorted({roots[i] for i in np.flatnonzero(near >= TIED_TO_ONE)}))
         yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("node"), batch.column("embedding"), pa.array(leaves, pa.bool_()), pa.array(root, pa.list_(pa.int64()))], ["path", "node", "embedding", "leaves", "root"])
 
 
@@ -324,7 +332,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    texts = keyed_text(docs).join(placed.select(F.col("set_id").alias("doc_id"), "node", "component", "block", "weight", pairs.alias("pairs")), "doc_id")
+    # members' texts come by shuffle at every size: groups grow with the documents, and so would a broadcast
+    texts = keyed_text(docs).hint("merge").join(placed.select(F.col("set_id").alias("doc_id"), "node", "component", "block", "weight", pairs.alias("pairs")), "doc_id")
     tasks = texts.select("component", "block", "node", "weight", "text", F.explode("pairs").alias("pair")).withColumn("task", F.xxhash64("component", "pair"))
     counted = staged(tasks.repartition(n * 2, "task").sortWithinPartitions("task").mapInArrow(count_links(words, similarity), "node long, links long, b long"), "links")
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))

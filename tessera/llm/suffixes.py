@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import partitions, ship, shuffle_files_dropped, staged
 
 #: Length of a repeat, of the strings that anchors are chosen among, bytes of text in a block.
-SPAN, ANCHOR, BLOCK_BYTES = 50, 16, 6_000_000
+SPAN, ANCHOR, BLOCK_BYTES = 50, 16, 2_000_000
 #: An anchor in more documents than this sends its windows one by one, by their own content, so that no partition gathers them all.
 COMMON = 1000
 _U = np.uint64
@@ -49,6 +49,11 @@ def string_hashes(b: np.ndarray, k: int = ANCHOR) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """32 even bits of anchors' hashes, which as minima are small themselves."""
+    return h * _U(0x9E3779B97F4A7C15) >> _U(32)
+
+
 def anchor_runs(b: np.ndarray, ends: np.ndarray):
     """(hash, first, last): for each anchor occurrence the windows first..last that it leads. b holds texts end to end; no window crosses an end."""
     w = SPAN - ANCHOR + 1
@@ -105,7 +110,7 @@ class Block:
             units[j] = unit_of.setdefault((raw[a:z], own), len(unit_of))
         rows = np.searchsorted(self.ends, first, side="right")
         _, once = np.unique(units, return_index=True)
-        return units, first, last, rows, [k[0] for k in unit_of], [zlib.crc32(k[0]) if k[1] else int(x) >> 32 for k, x in zip(unit_of, h[once].tolist())], self.ids[rows[once]] if len(once) else np.zeros(0, np.int64)
+        return units, first, last, rows, [k[0] for k in unit_of], [zlib.crc32(k[0]) if k[1] else x for k, x in zip(unit_of, spread(h[once]).tolist())], self.ids[rows[once]] if len(once) else np.zeros(0, np.int64)
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -121,49 +126,47 @@ def unplaned(blob: bytes, dtype) -> np.ndarray:
 # ---- two-stage suffix sorting --------------------------------------------------------------
 
 
-def words_at(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+def words_of(t: np.ndarray) -> np.ndarray:
     """The eight bytes at each place as a number that compares as they do."""
-    return np.ndarray(len(t) - 7, ">u8", t, 0, (1,))[at].astype(_U)
+    return np.ndarray(len(t) - 7, ">u8", t, 0, (1,)).astype(_U)
 
 
-def prefix_equal(t: np.ndarray, a: np.ndarray, z: np.ndarray, length: int = SPAN) -> np.ndarray:
+def prefix_equal(words: np.ndarray, a: np.ndarray, z: np.ndarray, length: int = SPAN) -> np.ndarray:
     """Whether the suffixes at a and z have `length` bytes in common from their start."""
     same = np.ones(len(a), bool)
     for k in range(0, length, 8):
         live = np.flatnonzero(same)
-        x = words_at(t, a[live] + k) ^ words_at(t, z[live] + k)
+        x = words[a[live] + k] ^ words[z[live] + k]
         if length - k < 8:
             x >>= _U(8 * (8 - (length - k)))
         same[live] = x == 0
     return same
 
 
-def sort_directly(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+def sort_directly(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Suffixes in the order of their first SPAN bytes (equal ones in any order): words in turn, only where ties go on."""
-    order = at[np.argsort(words_at(t, at), kind="stable")]
+    order = at[np.argsort(words[at])]
     open_, depth = np.arange(len(order)), 0
-    tied = np.zeros(len(order), bool)
     group = np.zeros(len(order), np.int64)
     while len(open_) and depth < SPAN:
-        w = words_at(t, order[open_] + depth)
+        w = words[order[open_] + depth]
         new = np.r_[True, (w[1:] != w[:-1]) | (group[open_][1:] != group[open_][:-1]) | (open_[1:] != open_[:-1] + 1)]
         number = np.cumsum(new) - 1
         # a group whose neighbours all agree on SPAN bytes is done
         differs = np.zeros(number[-1] + 1, bool)
         j = np.flatnonzero(~new)
-        differs[number[j][~prefix_equal(t, order[open_[j - 1]], order[open_[j]])]] = True
-        tied[:] = False
+        differs[number[j][~prefix_equal(words, order[open_[j - 1]], order[open_[j]])]] = True
         go = differs[number]
         group[open_] = number
         open_ = open_[go]
         depth += 8
         if len(open_) and depth < SPAN:
-            by = np.lexsort((words_at(t, order[open_] + depth), group[open_]))
+            by = np.lexsort((words[order[open_] + depth], group[open_]))
             order[open_] = order[open_[by]]
     return order
 
 
-def two_stage(t: np.ndarray, firsts: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def two_stage(t: np.ndarray, words: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Suffix array over the first counts[i] places of each fragment, correct to SPAN bytes.
 
     t: bytes + 1, a 0 after each fragment, and padding. A suffix is small if less than its
@@ -179,7 +182,8 @@ def two_stage(t: np.ndarray, firsts: np.ndarray, counts: np.ndarray, lengths: np
     elements = np.repeat(firsts - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))
     held = np.zeros(len(t), bool)
     held[elements] = True
-    direct = sort_directly(t, elements[small[elements]])
+    direct = sort_directly(words, elements[small[elements]])
+    del elements
     heads = np.searchsorted(t[direct], np.arange(258))
     induced: list[list[np.ndarray]] = [[] for _ in range(257)]
     out: list[np.ndarray] = []
@@ -220,11 +224,12 @@ def later_windows(texts: bytes, lengths: np.ndarray, docs: np.ndarray) -> np.nda
     where[firsts + lengths] = False
     t[:n][where] = np.frombuffer(texts, np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
     counts = lengths - SPAN + 1
-    order = two_stage(t, firsts, counts, lengths)
+    words = words_of(t)
+    order = two_stage(t, words, firsts, counts)
     fragment = np.searchsorted(firsts, order, side="right") - 1
     inside = order - firsts[fragment] < counts[fragment]
     order, fragment = order[inside], fragment[inside]
-    new = np.r_[True, ~prefix_equal(t, order[:-1], order[1:])]
+    new = np.r_[True, ~prefix_equal(words, order[:-1], order[1:])]
     heads = np.flatnonzero(new)
     doc = docs[fragment]
     least = np.minimum.reduceat(doc, heads)[np.cumsum(new) - 1]
@@ -259,7 +264,9 @@ def say_anchors(parts: int):
         heads = np.flatnonzero(new)
         many = np.minimum(np.add.reduceat(other.astype(np.int64), heads), 255).astype(np.uint8) if len(heads) else np.zeros(0, np.uint8)
         h = h[heads]
-        part = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        part = (spread(h) * _U(parts) >> _U(32)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        h, many, part = h[by], many[by], part[by]
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(h) else []
         rows = [(int(part[a]), key[0].as_py(), h[a:z].tobytes(), many[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(h)])] if len(h) else []
         p, b, hs, ms = zip(*rows) if rows else ((), (), (), ())

@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,15 @@ class Compiler:
         spark = cdm.person.sparkSession
         rows = [(k, i.concept_id, i.descendants, i.mapped, i.excluded) for k, items in self.cohort.codesets.items() for i in items]
         items = spark.createDataFrame(rows, "codeset_id int, concept_id long, include_descendants boolean, include_mapped boolean, is_excluded boolean")
-        self.codesets = vocabulary.closure(items, cdm.concept_ancestor, cdm.concept_relationship, cdm.concept)
+        # used by every criterion: kept for the compile, on disk where memory is short
+        self.codesets = vocabulary.closure(items, cdm.concept_ancestor, cdm.concept_relationship, cdm.concept).persist(StorageLevel.MEMORY_AND_DISK)
+        self._entries: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop what the compile keeps."""
+        for df in (self.codesets, self._entries):
+            if df is not None:
+                df.unpersist()
 
     def rows(self, c: Criterion) -> DataFrame:
         """person_id, start_date, end_date of the events that a criterion selects."""
@@ -58,11 +67,14 @@ class Compiler:
 
     def entries(self) -> DataFrame:
         """person_id, index_date, op_start, op_end: entry events inside an observation period long enough around them."""
+        if self._entries is not None:
+            return self._entries
         c = self.cohort
         events = reduce(DataFrame.unionByName, map(self.rows, c.entry)).select("person_id", F.col("start_date").alias("index_date")).distinct()
         period = self.cdm.observation_period.select("person_id", F.col("start_date").alias("op_start"), F.col("end_date").alias("op_end"))
         inside = (F.col("index_date") >= F.date_add("op_start", c.prior_days)) & (F.date_add("index_date", c.post_days) <= F.col("op_end"))
-        return self.limited(events.join(period, "person_id").where(inside), c.primary_limit)
+        self._entries = self.limited(events.join(period, "person_id").where(inside), c.primary_limit).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._entries
 
     @staticmethod
     def limited(entries: DataFrame, limit: str) -> DataFrame:

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: Tables of a clinical data set and of its vocabulary, with the columns that the operators use.
 SCHEMAS = {
     "person": "person_id long, year_of_birth int, gender_concept_id int, race_concept_id int",
@@ -25,6 +28,9 @@ SCHEMAS = {
     "concept_relationship": "concept_id_1 long, concept_id_2 long, relationship_id string",
 }
 
+#: The vocabulary is small beside the events and read many times in a query: it is kept, on disk where memory is short. Events are not.
+KEPT = StorageLevel.MEMORY_AND_DISK
+
 MALE, FEMALE = 8507, 8532
 LEAF, BRAND, TYPE, ROOT, CONDITION, MEASURE, PROCEDURE, OBSERVED = 1_000_000, 2_000_000, 3_000_000, 4_000_000, 2_100_000, 2_200_000, 2_300_000, 2_400_000
 STATUS_CODE = {"F": 1, "O": 2, "P": 3}
@@ -65,6 +71,7 @@ class Cdm:
     """Clinical views over a folder of star-schema tables. Only what a query reads is scanned."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)  # some queries run functions of this package in Python workers
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
@@ -124,7 +131,7 @@ class Cdm:
         from pyspark.sql import Window
 
         ranked = types.withColumn("type_id", (TYPE + F.row_number().over(Window.orderBy("p_type"))).cast("long"))  # a handful of types
-        return part.join(F.broadcast(ranked), "p_type").select((LEAF + F.col("p_partkey")).alias("leaf_id"), "p_partkey", "p_name", "p_size", "p_brand", self._brand, "p_type", "type_id")
+        return part.join(F.broadcast(ranked), "p_type").select((LEAF + F.col("p_partkey")).alias("leaf_id"), "p_partkey", "p_name", "p_size", "p_brand", self._brand, "p_type", "type_id").persist(KEPT)
 
     @cached_property
     def concept(self) -> DataFrame:
@@ -140,7 +147,7 @@ class Cdm:
         root = self.spark.range(1).select(F.lit(ROOT).cast("long").alias("r"), F.lit("any drug").alias("n"))
         brands = level(p.select("brand_id", "p_brand").distinct(), "brand_id", "p_brand", "Brand Name")
         kinds = level(p.select("type_id", "p_type").distinct(), "type_id", "p_type", "Ingredient")
-        return leaf.unionByName(brands).unionByName(kinds).unionByName(level(root, "r", "n", "Class"))
+        return leaf.unionByName(brands).unionByName(kinds).unionByName(level(root, "r", "n", "Class")).persist(KEPT)
 
     @cached_property
     def is_a(self) -> DataFrame:
@@ -148,7 +155,7 @@ class Cdm:
         p = self._parts
         up = p.select(F.col("leaf_id").alias("child"), F.explode(F.array("brand_id", "type_id")).alias("parent"))
         middle = p.select(F.explode(F.array("brand_id", "type_id")).alias("child")).distinct().select("child", F.lit(ROOT).cast("long").alias("parent"))
-        return up.unionByName(middle)
+        return up.unionByName(middle).persist(KEPT)
 
     @cached_property
     def concept_ancestor(self) -> DataFrame:
@@ -156,7 +163,7 @@ class Cdm:
         rows = [edges.select(F.col("parent").alias("a"), F.col("child").alias("d"), F.lit(1).alias("s"))]
         rows.append(self._parts.select(F.lit(ROOT).cast("long").alias("a"), F.col("leaf_id").alias("d"), F.lit(2).alias("s")))
         rows.append(self.concept.select(F.col("concept_id").alias("a"), F.col("concept_id").alias("d"), F.lit(0).alias("s")))
-        return rows[0].unionByName(rows[1]).unionByName(rows[2]).toDF("ancestor_concept_id", "descendant_concept_id", "min_levels_of_separation")
+        return rows[0].unionByName(rows[1]).unionByName(rows[2]).toDF("ancestor_concept_id", "descendant_concept_id", "min_levels_of_separation").persist(KEPT)
 
     @cached_property
     def concept_relationship(self) -> DataFrame:
@@ -165,7 +172,7 @@ class Cdm:
         maps = p.where("p_size = 2").join(good, "p_name").select(F.col("leaf_id").alias("concept_id_1"), F.col("to").alias("concept_id_2"), F.lit("Maps to").alias("relationship_id"))
         replaced = p.where("p_size = 1").join(good, "p_name").select(F.col("leaf_id").alias("concept_id_1"), F.col("to").alias("concept_id_2"), F.lit("Concept replaced by").alias("relationship_id"))
         direct = self.is_a.select(F.col("child").alias("concept_id_1"), F.col("parent").alias("concept_id_2"), F.lit("Is a").alias("relationship_id"))
-        return direct.unionByName(maps).unionByName(replaced)
+        return direct.unionByName(maps).unionByName(replaced).persist(KEPT)
 
     def events(self, domain: str) -> DataFrame:
         """person_id, concept_id, start_date, end_date and, where the domain has them, value columns."""
