@@ -209,7 +209,7 @@ def candidate_ties(sets: DataFrame, similarity: float, runs: int) -> DataFrame:
         small, large = kept.where(F.col("count") <= SMALL), kept.where(F.col("count") > SMALL)
         found.append(staged(ties_within(small.select("path", "node", "embedding"), n), f"ties-{depth}"))
         if not large.limit(1).count():
-            return union(found)
+            return starred(union(found))
         # a bucket's representatives: about REPRESENTATIVES of its members, those of least hash, so that buckets with the same members have the same ones
         pick = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) * F.col("count") < REPRESENTATIVES << 40
         few = large.where(pick).groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.pmod(F.xxhash64("node"), F.lit(1 << 40)).alias("h"), "node", "embedding"))).alias("r"))
@@ -220,7 +220,7 @@ def candidate_ties(sets: DataFrame, similarity: float, runs: int) -> DataFrame:
     # what no level has split: each bucket as one group, so that its pairs are counted exactly all the same
     rest = level.groupBy("path").agg(F.min("node").alias("b"))
     found.append(staged(level.join(rest, "path").select(F.col("node").alias("a"), "b").where("a <> b"), "ties-rest"))
-    return union(found)
+    return starred(union(found))
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -230,6 +230,17 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+def starred(ties: DataFrame) -> DataFrame:
+    """The same groups from fewer ties: a member keeps its least root, and its other roots are tied to that one.
+
+    A member has a tie or a few from each bucket that it was in (runs and levels bound their number), so a group of near copies comes with
+    many times its members in ties; its roots are few, and so are the ties between them.
+    """
+    of = ties.groupBy("a").agg(F.collect_set("b").alias("roots"), F.min("b").alias("least"))
+    each = of.select("a", "least", F.explode("roots").alias("root"))
+    return each.select(F.when(F.col("root") == F.col("least"), F.col("a")).otherwise(F.col("root")).alias("a"), F.col("least").alias("b")).distinct()
+
+
 def against_representatives(batches):
     """A member's ties in its bucket, and whether it is so near to a representative that it need not split on.
 
