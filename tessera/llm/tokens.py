@@ -21,7 +21,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Anything but plain Latin text; U+0130 is out since its lower case has two code points.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa0-įı-ɏ‐-‧€]")
 #: Entries held by a worker's table before it starts anew (memory bound, not a limit on words).
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 200_000
 
 
 def load(vocabulary: str):
