@@ -20,8 +20,8 @@ import regex
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Anything but plain Latin text; U+0130 is out since its lower case has two code points.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa0-įı-ɏ‐-‧€]")
-#: Entries held by a worker's table before it starts anew (memory bound, not a limit on words).
-TABLE_ENTRIES = 200_000
+#: Entries of a worker's table before it becomes the older one (memory bound, not a limit on words).
+TABLE_ENTRIES = 150_000
 
 
 def load(vocabulary: str):
@@ -73,42 +73,50 @@ class Encoder:
     def __init__(self, vocabulary: str, whole: dict[str, int]):
         self.tokenizer = load(vocabulary)
         self.pattern = regex.compile(PRE_TOKEN)
-        special = {x["content"]: x["id"] for x in json.loads(vocabulary)["added_tokens"]}
+        described = json.loads(vocabulary)
+        special = {x["content"]: x["id"] for x in described["added_tokens"]}
         self.special = {s: i.to_bytes(4, "little") for s, i in special.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.whole = {w: i.to_bytes(4, "little") for w, i in whole.items()}
         self.letters = byte_alphabet()
+        self.four = [i.to_bytes(4, "little") for i in range(1 + max([*described["model"]["vocab"].values(), *special.values()], default=0))]
+        # what was resolved lately, and what it replaced: a table that is full becomes the older one, and what is met again is taken over from there
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-
-    def merge(self, words: list[str]) -> None:
-        """Run the library's merges for pre-tokens that are not whole tokens; its model takes bytes as characters."""
-        tokenize, written = self.tokenizer.model.tokenize, self.letters
-        for word in words:
-            raw = word if word.isascii() else "".join([written[b] for b in word.encode()])
-            self.words[word] = np.array([x.id for x in tokenize(raw)], "<u4").tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > TABLE_ENTRIES:
-            self.chunks.clear()
-        if len(self.words) > TABLE_ENTRIES:
-            self.words.clear()
-        whole, words = self.whole, self.words
-
-        def ids(word: str) -> bytes:
-            known = whole.get(word) or words.get(word)
+        self.older_words: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
+
+    def merged(self, word: str) -> bytes:
+        """The ids of a pre-token: proven whole, resolved before, or by the library's merges, whose model takes bytes as characters."""
+        known = self.whole.get(word) or self.words.get(word)
+        if known is None:
+            known = self.older_words.get(word)
             if known is None:
-                self.merge([word])
-                known = words[word]
-            return known
+                four, raw = self.four, word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+                known = b"".join([four[x.id] for x in self.tokenizer.model.tokenize(raw)])
+            self.words[word] = known
+        return known
 
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of each of the chunks, which the table then has too."""
+        if len(self.words) > TABLE_ENTRIES:
+            self.words, self.older_words = {}, self.words
+        merged, whole, older, learned = self.merged, self.whole, self.older_chunks, {}
         for c in chunks:
-            if c.isalpha():  # letters alone are one pre-token
-                self.chunks[c] = ids(c)
+            known = older.get(c)
+            if known is not None:
+                learned[c] = known
+            elif c.isalpha():  # letters alone are one pre-token
+                learned[c] = whole.get(c) or merged(c)
             elif c[:-1].isalpha():  # and so is one other character after them
-                self.chunks[c] = ids(c[:-1]) + ids(c[-1])
+                learned[c] = merged(c[:-1]) + merged(c[-1])
             else:
-                self.chunks[c] = b"".join([ids(w) for w in self.pattern.findall(c)])
+                learned[c] = b"".join([merged(w) for w in self.pattern.findall(c)])
+        if len(self.chunks) + len(learned) > TABLE_ENTRIES:
+            self.chunks, self.older_chunks = dict(learned), self.chunks
+        else:
+            self.chunks.update(learned)
+        return learned
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -116,7 +124,7 @@ class Encoder:
         odd: list[int] = []
         unknown: set[str] = set()
         get = self.chunks.get
-        kept: list[tuple[int, list[str] | None, list[bytes | None]]] = []
+        kept: list[tuple[int, list[str], list[bytes | None]]] = []
         for i, text in enumerate(texts):
             if not text:
                 out[i] = b""
@@ -134,16 +142,9 @@ class Encoder:
                 kept.append((i, chunks, ids))
             else:
                 out[i] = b"".join(ids)
-        for _, pieces in parts:
-            unknown.update(c for p in pieces if p not in self.special for c in p.lower().split() if c not in self.chunks)
-        if unknown:
-            known = {c: b for _, chunks, ids in kept for c, b in zip(chunks, ids) if b is not None} if len(self.chunks) + len(unknown) > TABLE_ENTRIES else {}
-            self.learn(unknown)
-            for i, chunks, _ in kept:
-                missing = {c for c in chunks if c not in self.chunks and c not in known}
-                if missing:
-                    self.learn(missing)
-                out[i] = b"".join([self.chunks[c] if c in self.chunks else known[c] for c in chunks])
+        learned = self.learn(unknown) if unknown else {}
+        for i, chunks, ids in kept:
+            out[i] = b"".join([learned[c] if b is None else b for c, b in zip(chunks, ids)])
         for i, pieces in parts:
             done = []
             for p in pieces:
@@ -151,10 +152,8 @@ class Encoder:
                     done.append(self.special[p])
                     continue
                 chunks = p.lower().split()
-                missing = {c for c in chunks if c not in self.chunks}
-                if missing:
-                    self.learn(missing | set(chunks))
-                done.append(b"".join([self.chunks[c] for c in chunks]))
+                ids = self.learn(set(chunks))
+                done += [ids[c] for c in chunks]
             out[i] = b"".join(done)
         for i in odd:  # one at a time: a text's encoding is several times its size
             out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
