@@ -439,9 +439,16 @@ class Sets(Compiler):
 
 ENTRY = (Criterion("Drug", 1, first=True),)
 ANY_ENTRY = (Criterion("Drug", 1),)
-SQL_ENTRY = f"""ev AS (SELECT person_id, start_date AS index_date FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY start_date, concept_id) AS r FROM ({_exposed(BRAND1)})) WHERE r = 1),
+
+
+def _in_set(top: int) -> str:
+    """Exposures of a concept set: a set's descendants are the valid ones, retired concepts under its top are not in it."""
+    return f"SELECT * FROM drug_exposure WHERE concept_id IN (SELECT descendant_concept_id FROM concept_ancestor JOIN concept ON concept_id = descendant_concept_id WHERE ancestor_concept_id = {top} AND invalid_reason IS NULL)"
+
+
+SQL_ENTRY = f"""ev AS (SELECT person_id, start_date AS index_date FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY start_date, concept_id) AS r FROM ({_in_set(BRAND1)})) WHERE r = 1),
 ent AS (SELECT e.person_id, e.index_date, p.end_date AS op_end FROM ev e JOIN observation_period p ON p.person_id = e.person_id AND e.index_date >= p.start_date + 180 AND e.index_date <= p.end_date)"""
-SQL_ALL = f"""ev AS (SELECT DISTINCT person_id, start_date AS index_date FROM ({_exposed(BRAND1)})),
+SQL_ALL = f"""ev AS (SELECT DISTINCT person_id, start_date AS index_date FROM ({_in_set(BRAND1)})),
 ent AS (SELECT e.person_id, e.index_date, p.end_date AS op_end FROM ev e JOIN observation_period p ON p.person_id = e.person_id AND e.index_date >= p.start_date + 180 AND e.index_date <= p.end_date)"""
 
 
@@ -488,7 +495,7 @@ rule_query("value_rule", Group(criteria=(Counted(Criterion("Measurement", 5, val
 rule_query("range_ratio_rule", Group(criteria=(Counted(Criterion("Measurement", 5, ratio_high=Bound("gt", 1.5)), Days(-365, 0)),)), f"{n_of(2_200_001, -365, 0, 'measurement', ' AND x.value_as_number / x.range_high > 1.5')} >= 1")
 
 
-@query(f"WITH {SQL_ENTRY} SELECT (SELECT count(*) FROM ent WHERE (SELECT count(*) FROM ({_exposed(BRAND1)}) x WHERE x.person_id = ent.person_id AND x.start_date <= ent.index_date) >= 1) AS with_index_day, (SELECT count(*) FROM ent WHERE (SELECT count(*) FROM ({_exposed(BRAND1)}) x WHERE x.person_id = ent.person_id AND x.start_date <= ent.index_date - 1) >= 1) AS without_index_day")
+@query(f"WITH {SQL_ENTRY} SELECT (SELECT count(*) FROM ent WHERE (SELECT count(*) FROM ({_in_set(BRAND1)}) x WHERE x.person_id = ent.person_id AND x.start_date <= ent.index_date) >= 1) AS with_index_day, (SELECT count(*) FROM ent WHERE (SELECT count(*) FROM ({_in_set(BRAND1)}) x WHERE x.person_id = ent.person_id AND x.start_date <= ent.index_date - 1) >= 1) AS without_index_day")
 def index_day_boundary(c):
     def n(end: int, name: str) -> DataFrame:
         return entries_of(cohort(c, [Group(criteria=(Counted(Criterion("Drug", 1), Days(None, end)),))])).agg(F.count("*").alias(name))
@@ -526,7 +533,7 @@ def attrition_levels(c):
     return cohort(c, [Group(criteria=(condition(2, -365, 0),)), Group(criteria=(condition(4, -365, 0, 0, 0),))]).attrition()
 
 
-@query(f"WITH {SQL_ENTRY}, d AS (SELECT ent.person_id, (SELECT count(*) FROM ({_exposed(BRAND2)}) x WHERE x.person_id = ent.person_id AND x.start_date BETWEEN ent.index_date - 9999 AND ent.index_date) AS n FROM ent) SELECT 'target' AS arm, count(*) AS n FROM d UNION ALL SELECT 'treatment', count(*) FROM d WHERE n >= 1 UNION ALL SELECT 'comparator', count(*) FROM d WHERE n = 0")
+@query(f"WITH {SQL_ENTRY}, d AS (SELECT ent.person_id, (SELECT count(*) FROM ({_in_set(BRAND2)}) x WHERE x.person_id = ent.person_id AND x.start_date BETWEEN ent.index_date - 9999 AND ent.index_date) AS n FROM ent) SELECT 'target' AS arm, count(*) AS n FROM d UNION ALL SELECT 'treatment', count(*) FROM d WHERE n >= 1 UNION ALL SELECT 'comparator', count(*) FROM d WHERE n = 0")
 def three_arms(c):
     from functools import reduce
 
@@ -545,7 +552,7 @@ def exit_obs_end(c):
     return cohort(c).cohort_rows()
 
 
-SQL_ERA = f"""m AS (SELECT *, max(end_date) OVER (PARTITION BY person_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ({_exposed(BRAND1)})),
+SQL_ERA = f"""m AS (SELECT *, max(end_date) OVER (PARTITION BY person_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ({_in_set(BRAND1)})),
 k AS (SELECT *, sum(CASE WHEN p IS NULL OR start_date > p + 30 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id ORDER BY start_date, end_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS era FROM m),
 era AS (SELECT person_id, min(start_date) AS s, max(end_date) + 7 AS e FROM k GROUP BY person_id, era)"""
 
