@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings of comparators, most specific first.
 COMPARATORS = (
@@ -36,7 +37,9 @@ _RANGE = re.compile(rf"(?:between\s+)?{_NUMBER}\s*(?P<unit>{_UNIT})?\s*(?:-|–|
 # What follows or leads a number that is no threshold of a measurement.
 _NOT_MEASURED = re.compile(r"^\s*(?:years?|yrs?|months?|weeks?|days?|hours?|mg\b(?!/)|tablets?|doses?|of the following|criteria|vessels?)|^\s*%\s*(?:stenosis|confidence|ci)\b", re.I)
 _STATISTIC = re.compile(r"\b(?:p|alpha|power|hazard ratio|hr|or|ci)\s*$", re.I)
-SCHEMA = "array<struct<op: string, value: double, high: double, bound: string, unit_text: string, unit_concept_id: long>>"
+SCHEMA = T.ArrayType(
+    T.StructType([T.StructField(name, kind) for name, kind in (("op", T.StringType()), ("value", T.DoubleType()), ("high", T.DoubleType()), ("bound", T.StringType()), ("unit_text", T.StringType()), ("unit_concept_id", T.LongType()))])
+)
 
 
 def fold(unit: str | None) -> str | None:
