@@ -169,8 +169,8 @@ def sort_directly(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 def two_stage(t: np.ndarray, words: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Suffix array over the first counts[i] places of each fragment, correct to SPAN bytes.
 
-    t: bytes + 1, a 0 after each fragment, and padding. A suffix is small if less than its
-    successor: these are sorted directly. The scan of the buckets, least first byte first, then puts each
+    t: bytes + 1, a 0 after each fragment, a byte above 0 after the last 0, and padding. A suffix is small if less than its
+    successor (as each 0's is): these are sorted directly. The scan of the buckets, least first byte first, then puts each
     other suffix in its bucket when its successor comes by; within a bucket the induced ones stand before the sorted ones.
     """
     change = np.flatnonzero(t[1:] != t[:-1])
@@ -223,6 +223,7 @@ def later_windows(texts: bytes, lengths: np.ndarray, docs: np.ndarray) -> np.nda
     where = np.ones(n, bool)
     where[firsts + lengths] = False
     t[:n][where] = np.frombuffer(texts, np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
+    t[n] = 1  # so that the last 0 is small like the others, and each chain of successors ends
     counts = lengths - SPAN + 1
     words = words_of(t)
     order = two_stage(t, words, firsts, counts)

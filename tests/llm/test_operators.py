@@ -141,6 +141,22 @@ def test_two_stage_order_groups_equal_prefixes():
     assert masks.tolist() == [sum(1 << a for a in range(len(b) - 49) if least[b[a : a + 50]] < i) for i, b in enumerate(bodies)]
 
 
+@pytest.mark.parametrize("texts", [["-" * 50], ["-" * 84, "-" * 60], ["a" + "-" * 60, "b" + "-" * 60], ["river stone " * 5, "_" * 50], ["0" * 50 + "\n", "1" + "0" * 50 + "\n"], [chr(244) * 30, "zyxwvutsrq" * 5 + "." * 30]])
+def test_a_run_of_one_byte_may_be_the_last_or_only_fragment(texts):
+    bodies = [t.encode() for t in texts]
+    masks = suffixes.later_windows(b"".join(bodies), np.array([len(b) for b in bodies]), np.arange(len(bodies)))
+    least = {}
+    for i, b in enumerate(bodies):
+        for a in range(len(b) - 49):
+            least.setdefault(b[a : a + 50], i)
+    assert masks.tolist() == [sum(1 << a for a in range(len(b) - 49) if least[b[a : a + 50]] < i) for i, b in enumerate(bodies)]
+
+
+def test_runs_of_dashes_are_removed(spark):
+    got = suffixes.remove_repeats(spark.createDataFrame([(1, "a" + "-" * 60), (2, "b" + "-" * 60)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == [(1, 0, 0, hashlib.sha256(b"a" + b"-" * 60).hexdigest()), (2, 60, 1, hashlib.sha256(b"b").hexdigest())]
+
+
 def test_a_common_anchor_changes_nothing(spark, docs, monkeypatch):
     want = sorted((tuple(r) for r in suffixes.remove_repeats(docs).collect()), key=repr)
     monkeypatch.setattr(suffixes, "COMMON", 1)
