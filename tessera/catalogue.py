@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -705,9 +706,15 @@ def cox_hr(c):
 # ---- retrieval -------------------------------------------------------------------------------
 
 
-def vectors(c: Cdm) -> tuple[DataFrame, DataFrame]:
+def vectors(c: Cdm) -> tuple[list[DataFrame], DataFrame]:
+    """Blocks of queries, every vector whose id is divisible by 50, and all vectors. The SQL below has only the first five ids as queries."""
     e = c.raw("embeddings")
-    return e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+    return retrieval.in_blocks(queries), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label")
+
+
+def nearest_of_all(queries: list[DataFrame], items: DataFrame, n: int, domain: str | None = None) -> DataFrame:
+    return reduce(DataFrame.unionByName, (retrieval.nearest(q, items, n, domain) for q in queries))
 
 
 KNN = "knn AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i])))) AS d, a.label = b.label AS same FROM embeddings a, embeddings b WHERE a.vec_id < 5)"
@@ -716,13 +723,13 @@ KNN = "knn AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, sqrt(list_sum(l
 @query(f"WITH {KNN} SELECT query_id, item_id, round(d, 6) AS distance, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS r FROM knn) WHERE r <= 20")
 def vector_topk(c):
     q, v = vectors(c)
-    return retrieval.nearest(q, v, 20).select("query_id", "item_id", F.round("distance", 6).alias("distance"), "rank")
+    return nearest_of_all(q, v, 20).select("query_id", "item_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query(f"WITH {KNN} SELECT query_id, item_id, round(1 / (1 + d), 6) AS similarity, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS r FROM knn WHERE same) WHERE r <= 10")
 def vector_topk_in_domain(c):
     q, v = vectors(c)
-    return retrieval.nearest(q, v, 10, "label").select("query_id", "item_id", F.round(retrieval.similarity(F.col("distance")), 6).alias("similarity"), "rank")
+    return nearest_of_all(q, v, 10, "label").select("query_id", "item_id", F.round(retrieval.similarity(F.col("distance")), 6).alias("similarity"), "rank")
 
 
 RANKED = f"""{KNN}, l1 AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS r FROM knn), l2 AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY abs(a.label - b.label), b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < 5)"""
@@ -730,10 +737,10 @@ RANKED = f"""{KNN}, l1 AS (SELECT query_id, item_id, row_number() OVER (PARTITIO
 
 def ranked_lists(c: Cdm) -> DataFrame:
     q, v = vectors(c)
-    near = retrieval.nearest(q, v, 20).select(F.lit("vector").alias("source"), "query_id", "item_id", "rank")
-    pairs = v.join(F.broadcast(q))
+    near = nearest_of_all(q, v, 20).select(F.lit("vector").alias("source"), "query_id", "item_id", "rank")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("label") - F.col("q_label")), "item_id"))
-    return near.unionByName(pairs.select(F.lit("label").alias("source"), "query_id", "item_id", rank.alias("rank")).where("rank <= 20"))
+    alike = (v.join(F.broadcast(b)).select(F.lit("label").alias("source"), "query_id", "item_id", rank.alias("rank")).where("rank <= 20") for b in q)
+    return reduce(DataFrame.unionByName, alike, near)
 
 
 @query(f"WITH {RANKED} SELECT query_id, item_id, round(sum(1 / (60 + r)), 6) AS score FROM (SELECT * FROM l1 WHERE r <= 20 UNION ALL SELECT * FROM l2 WHERE r <= 20) GROUP BY ALL")
