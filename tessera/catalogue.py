@@ -785,10 +785,8 @@ def freq_boost(c):
 
 @query("WITH t AS (SELECT concept_id, string_split(concept_name, ' ') AS w FROM concept WHERE concept_class_id = 'Clinical Drug' AND concept_id <= 1000060) SELECT a.concept_id AS a, b.concept_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS score FROM t a, t b WHERE a.concept_id < b.concept_id AND len(list_intersect(a.w, b.w)) > 0")
 def token_jaccard(c):
-    t = c.concept.where("concept_class_id = 'Clinical Drug' AND concept_id <= 1000060").select("concept_id", retrieval.tokens(F.col("concept_name")).alias("w"))
-    words = t.select("concept_id", "w", F.explode("w").alias("k"))
-    pairs = words.alias("x").join(words.alias("y"), "k").where("x.concept_id < y.concept_id").select(F.col("x.concept_id").alias("a"), F.col("y.concept_id").alias("b"), F.round(retrieval.token_jaccard(F.col("x.w"), F.col("y.w")), 6).alias("score"))
-    return pairs.distinct()
+    t = c.concept.where("concept_class_id = 'Clinical Drug'").select("concept_id", retrieval.tokens(F.col("concept_name")).alias("w"))
+    return retrieval.token_pairs(t).select("a", "b", *r6("score"))
 
 
 @query("""WITH l AS (SELECT brand_id AS id, p_brand AS name, list(leaf_id) AS m FROM parts WHERE p_partkey % 2 = 0 GROUP BY ALL), r AS (SELECT brand_id AS id, p_brand AS name, list(leaf_id) AS m FROM parts WHERE p_partkey % 3 = 0 GROUP BY ALL),
