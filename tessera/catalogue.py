@@ -182,8 +182,7 @@ def target_wins_dedup(c):
 @query(f"""WITH {ARMS}, t AS (SELECT person_id, s FROM a1 WHERE person_id % 50 = 0), f AS (SELECT count(*) AS n, min(s) AS s FROM t)
 SELECT person_id, cohort_start_date FROM (SELECT person_id, f.s AS cohort_start_date, n, row_number() OVER (ORDER BY md5(person_id || '|42')) AS r FROM person, f WHERE person_id NOT IN (SELECT person_id FROM t)) WHERE r <= 10 * n""")
 def rest_comparator(c):
-    treated = arm(c, BRAND1).where("person_id % 50 = 0")
-    return cohorts.rest_comparator(c.person, treated)
+    return cohorts.rest_comparator(c.person, arm(c, BRAND1))
 
 
 @query(f"SELECT DISTINCT person_id FROM condition_occurrence WHERE concept_id = {OUTCOME} AND person_id NOT IN (SELECT person_id FROM ({_exposed(BRAND1)}))")

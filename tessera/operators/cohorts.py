@@ -38,12 +38,21 @@ def hashed_order(key: str = "person_id", seed: int = 42) -> Column:
 
 
 def rest_comparator(persons: DataFrame, target: DataFrame, per_treated: int = 10, seed: int = 42) -> DataFrame:
-    """Persons outside the target, at most per_treated for each treated one, by hashed order; index at the target's first start."""
-    rest = persons.select("person_id").distinct().join(target.select("person_id"), "person_id", "left_anti")
+    """Persons outside the target, at most per_treated for each treated one, by hashed order; index at the target's first start.
+
+    The order is not sorted as a whole: persons are counted in buckets of the hash, running sums over the buckets
+    (65,536 at most) give the one in which the cap falls, and ranks are given only inside it.
+    """
+    rest = persons.select("person_id").distinct().join(target.select("person_id"), "person_id", "left_anti").withColumn("_h", hashed_order(seed=seed))
+    rest = rest.withColumn("_b", F.coalesce(F.substring("_h", 1, 4), F.lit("")))  # no hash: first, as nulls are
     facts = target.agg(F.countDistinct("person_id").alias("n"), F.min("cohort_start_date").alias("cohort_start_date"))  # one row
-    bound = rest.crossJoin(F.broadcast(facts)).withColumn("nth", F.row_number().over(Window.orderBy(hashed_order(seed=seed))))
-    # a global rank: only as many rows as the cap go on, so the limit is pushed into each partition
-    return bound.where(F.col("nth") <= per_treated * F.col("n")).select("person_id", "cohort_start_date")
+    upto = F.sum("count").over(Window.orderBy("_b"))
+    buckets = rest.groupBy("_b").count().select("_b", (upto - F.col("count")).alias("_before"), upto.alias("_upto"))
+    cap = per_treated * F.col("n")
+    room = buckets.crossJoin(F.broadcast(facts)).where(F.col("_before") < cap).select("_b", "cohort_start_date", F.when(F.col("_upto") > cap, cap - F.col("_before")).alias("_room"))
+    placed = rest.join(F.broadcast(room), "_b")
+    inside = placed.where("_room IS NOT NULL").withColumn("_nth", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "person_id"))).where("_nth <= _room")
+    return placed.where("_room IS NULL").unionByName(inside.drop("_nth")).select("person_id", "cohort_start_date")
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str = "subject_id") -> DataFrame:
