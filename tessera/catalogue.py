@@ -301,7 +301,7 @@ CANDIDATES = f"cand AS (SELECT {LEAF} + p_partkey AS concept_id FROM part WHERE
 
 
 def candidates(c: Cdm) -> DataFrame:
-    return c.raw("part").where("p_partkey % 7 = 0").select((LEAF + F.col("p_partkey")).alias("concept_id")).unionByName(ids(c, BRAND1, TYPE + 2)).distinct()
+    return c.raw("part").select((LEAF + F.col("p_partkey")).alias("concept_id")).unionByName(ids(c, BRAND1, TYPE + 2)).distinct()
 
 
 @query(f"WITH {CANDIDATES} SELECT concept_id FROM cand WHERE concept_id NOT IN (SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id <> descendant_concept_id AND ancestor_concept_id IN (SELECT concept_id FROM cand))")
