@@ -30,6 +30,8 @@ from .common import partitions, ship, shuffle_files_dropped, staged
 SPAN, ANCHOR, BLOCK_BYTES = 50, 16, 2_000_000
 #: An anchor in more documents than this sends its windows one by one, by their own content, so that no partition gathers them all.
 COMMON = 1000
+#: Partitions that blocks and parts are dealt to at most (Spark refuses more than 100,000 buckets).
+PARTITIONS = 20_000
 _U = np.uint64
 _STEP = 1 << 18
 
@@ -113,14 +115,34 @@ class Block:
         return units, first, last, rows, [k[0] for k in unit_of], [zlib.crc32(k[0]) if k[1] else x for k, x in zip(unit_of, spread(h[once]).tolist())], self.ids[rows[once]] if len(once) else np.zeros(0, np.int64)
 
 
-def planes(a: np.ndarray) -> bytes:
-    """A blob with equal bytes of neighbouring numbers together, which compresses better."""
-    return a.view(np.uint8).reshape(len(a), -1).T.tobytes()
+def ragged(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A blob a row, values[starts[i]:starts[i + 1]] (the last up to the end), without a step of Python for each."""
+    v = np.ascontiguousarray(values)
+    offsets = (np.r_[starts, len(v)] * v.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(v)])
 
 
-def unplaned(blob: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.frombuffer(blob, np.uint8).reshape(size, -1).T.copy().view(dtype).ravel()
+def flat(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of blobs end to end, and how many each row has (none for null)."""
+    parts, lengths = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for chunk in column.chunks:
+        if len(chunk):
+            off = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            if off[-1] > off[0]:
+                parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[off[0] : off[-1]])
+            lengths.append(np.diff(off).astype(np.int64))
+    return np.concatenate(parts).view(dtype), np.concatenate(lengths) // np.dtype(dtype).itemsize
+
+
+def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def picked(rows: np.ndarray, keep: np.ndarray, *values: np.ndarray):
+    """The rows that keep something, and for each column of values its blobs of what is kept. rows: the row of each value."""
+    mine = rows[keep]
+    heads = starts_of(mine)
+    return mine[heads], [ragged(v[keep], heads) for v in values]
 
 
 # ---- two-stage suffix sorting --------------------------------------------------------------
@@ -243,7 +265,7 @@ def later_windows(texts: bytes, lengths: np.ndarray, docs: np.ndarray) -> np.nda
 
 
 def _batch(**cols) -> pa.Table:
-    return pa.table({k: pa.array(v, t) for k, (v, t) in cols.items()})
+    return pa.table({k: v if isinstance(v, pa.Array) else pa.array(*v) for k, v in cols.items()})
 
 
 def keep_leaders(key, texts, leaders):
@@ -253,7 +275,7 @@ def keep_leaders(key, texts, leaders):
 
 
 def say_anchors(parts: int):
-    """The block's anchors to the partitions of their hash: part, block, hashes (low 32 bits), in how many documents (up to 255)."""
+    """The block's anchors to the parts of their hash: part, block, hashes, in how many documents (up to 255)."""
 
     def run(key, texts):
         block = Block(texts)
@@ -267,77 +289,53 @@ def say_anchors(parts: int):
         h = h[heads]
         part = (spread(h) * _U(parts) >> _U(32)).astype(np.int64)
         by = np.argsort(part, kind="stable")
-        h, many, part = h[by], many[by], part[by]
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(h) else []
-        rows = [(int(part[a]), key[0].as_py(), h[a:z].tobytes(), many[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(h)])] if len(h) else []
-        p, b, hs, ms = zip(*rows) if rows else ((), (), (), ())
-        return _batch(part=(p, pa.int32()), block=(b, pa.int32()), hashes=([planes(np.frombuffer(x, _U)) for x in hs], pa.binary()), many=(ms, pa.binary()))
+        starts = starts_of(part[by])
+        return _batch(part=(part[by][starts], pa.int32()), block=(np.full(len(starts), key[0].as_py()), pa.int32()), hashes=ragged(h[by], starts), many=ragged(many[by], starts))
 
     return run
 
 
 def find_shared(key, said):
     """To each block those of its anchors that two documents or more have: block, hashes, common."""
-    blocks = said.column("block").to_pylist()
-    hashes = [unplaned(x, _U) for x in said.column("hashes").to_pylist()]
-    h = np.concatenate(hashes)
-    many = np.concatenate([np.frombuffer(x, np.uint8) for x in said.column("many").to_pylist()]).astype(np.int64)
-    of = np.repeat(np.arange(len(blocks)), [len(x) for x in hashes])
+    blocks = said.column("block").to_numpy()
+    h, lengths = flat(said.column("hashes"), _U)
+    many = flat(said.column("many"), np.uint8)[0].astype(np.int64)
     by = np.argsort(h, kind="stable")
-    heads = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]])
+    heads = starts_of(h[by])
     total = np.zeros(len(h), np.int64)
     total[by] = np.repeat(np.add.reduceat(many[by], heads), np.diff(np.r_[heads, len(h)]))
-    rows = []
-    for i, b in enumerate(blocks):
-        lo, hi = np.searchsorted(of, [i, i + 1])
-        good = total[lo:hi] > 1
-        if good.any():
-            rows.append((b, h[lo:hi][good].tobytes(), (total[lo:hi][good] > COMMON).tobytes()))
-    b, hs, cs = zip(*rows) if rows else ((), (), ())
-    return _batch(block=(b, pa.int32()), hashes=(hs, pa.binary()), common=(cs, pa.binary()))
+    rows, (hashes, common) = picked(np.repeat(np.arange(len(blocks)), lengths), total > 1, h, (total > COMMON).astype(np.uint8))
+    return _batch(block=(blocks[rows], pa.int32()), hashes=hashes, common=common)
 
 
 def shared_anchors(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    hs = [x for x in told.column("hashes").to_pylist() if x]
-    if not hs:
-        return np.zeros(0, _U), np.zeros(0, bool)
-    h = np.concatenate([np.frombuffer(x, _U) for x in hs])
-    common = np.concatenate([np.frombuffer(x, bool) for x in told.column("common").to_pylist() if x is not None and len(x)])
+    h, common = flat(told.column("hashes"), _U)[0], flat(told.column("common"), np.uint8)[0] > 0
     by = np.argsort(h, kind="stable")
     return h[by], common[by]
 
 
 def say_fragments(parts: int):
     def run(key, texts, told):
-        block = Block(texts)
-        _, _, _, _, bodies, routes, docs = block.fragments(*shared_anchors(told))
+        _, _, _, _, bodies, routes, docs = Block(texts).fragments(*shared_anchors(told))
         part = np.array(routes, np.int64) * parts >> 32
         by = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, part[by][1:] != part[by][:-1]]).tolist() if len(by) else []
-        rows = []
-        for a, z in zip(cuts, [*cuts[1:], len(by)]):
-            mine = by[a:z]
-            rows.append((int(part[mine[0]]), key[0].as_py(), planes(mine.astype("<u4")), planes(docs[mine]), bytes(len(bodies[i]) for i in mine.tolist()), b"".join([bodies[i] for i in mine.tolist()])))
-        cols = list(zip(*rows)) if rows else [()] * 6
-        return _batch(part=(cols[0], pa.int32()), block=(cols[1], pa.int32()), units=(cols[2], pa.binary()), docs=(cols[3], pa.binary()), lengths=(cols[4], pa.binary()), bodies=(cols[5], pa.binary()))
+        starts = starts_of(part[by])
+        sizes = np.array([len(bodies[i]) for i in by.tolist()], np.uint8)
+        text = np.frombuffer(b"".join([bodies[i] for i in by.tolist()]), np.uint8)
+        places = np.r_[0, np.cumsum(sizes, dtype=np.int64)][starts]
+        return _batch(part=(part[by][starts], pa.int32()), block=(np.full(len(starts), key[0].as_py()), pa.int32()), units=ragged(by.astype("<u4"), starts), docs=ragged(docs[by], starts), lengths=ragged(sizes, starts), bodies=ragged(text, places))
 
     return run
 
 
 def find_later(key, said):
     """To each block the masks of its fragments' windows that a smaller doc_id has too: block, units, masks."""
-    blocks = said.column("block").to_pylist()
-    lengths = [np.frombuffer(x, np.uint8).astype(np.int64) for x in said.column("lengths").to_pylist()]
-    docs = np.concatenate([unplaned(x, np.int64) for x in said.column("docs").to_pylist()])
-    masks = later_windows(b"".join(said.column("bodies").to_pylist()), np.concatenate(lengths), docs)
-    rows, at = [], 0
-    for b, units, n in zip(blocks, said.column("units").to_pylist(), map(len, lengths)):
-        m, u = masks[at : at + n], unplaned(units, "<u4")
-        at += n
-        if m.any():
-            rows.append((b, u[m > 0].tobytes(), m[m > 0].tobytes()))
-    b, us, ms = zip(*rows) if rows else ((), (), ())
-    return _batch(block=(b, pa.int32()), units=(us, pa.binary()), masks=(ms, pa.binary()))
+    blocks = said.column("block").to_numpy()
+    units, counts = flat(said.column("units"), "<u4")
+    docs = flat(said.column("docs"), np.int64)[0]
+    masks = later_windows(flat(said.column("bodies"), np.uint8)[0].tobytes(), flat(said.column("lengths"), np.uint8)[0].astype(np.int64), docs)
+    rows, (units, masks) = picked(np.repeat(np.arange(len(blocks)), counts), masks > 0, units, masks)
+    return _batch(block=(blocks[rows], pa.int32()), units=units, masks=masks)
 
 
 def cut_texts(key, texts, told):
@@ -345,9 +343,7 @@ def cut_texts(key, texts, told):
     block = Block(texts)
     units, first, last, rows, bodies, _, docs = block.fragments(*shared_anchors(told))
     masks = np.zeros(len(bodies), _U)
-    for u, m in zip(told.column("units").to_pylist(), told.column("masks").to_pylist()):
-        if u:
-            masks[np.frombuffer(u, "<u4")] |= np.frombuffer(m, _U)
+    np.bitwise_or.at(masks, flat(told.column("units"), "<u4")[0], flat(told.column("masks"), _U)[0])
     step = np.zeros(len(block.b) + 1, np.int32)
     if len(units):
         again = block.ids[rows] > docs[units]  # the block itself has the fragment in a smaller doc_id
@@ -375,6 +371,15 @@ def cut_digest(key, texts, told):
     return _batch(doc_id=(cols[0], pa.int64()), digest=(cols[1], pa.binary()), n_removed=(cols[2], pa.int64()), n_spans=(cols[3], pa.int64()), kept_sha256=(cols[4], pa.string()))
 
 
+def sizes_for(total: int, least: int, block_bytes: int) -> tuple[int, int, int]:
+    """(blocks, parts, partitions) for so many bytes. Blocks and parts grow with the bytes, so that one of them fits a worker at any size;
+    a partition takes several in turn, so that their number stays within what Spark can deal out. Blocks are larger where there are many, so
+    that a block's row to a part holds more than an anchor or two."""
+    parts = max(least, math.ceil(total / block_bytes)) | 1
+    blocks = max(least, math.ceil(total / min(max(block_bytes, total // PARTITIONS), 8 * block_bytes))) | 1
+    return blocks, parts, min(blocks, PARTITIONS)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row per input row.
 
@@ -382,7 +387,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first of equal texts goes through the suffix arrays. Null text: empty. Texts under 50 bytes: kept
     whole. Rows of equal doc_id are not compared with each other; equal rows get equal results. Null doc_id: no
     document is smaller and it is smaller than none: nothing removed. Empty table: no
-    rows. Other columns are dropped. Whole texts of any length are read.
+    rows. Other columns are dropped. Whole texts of any length that a row can hold are read (a text is never split over blocks: one of
+    a gigabyte is a block of its own, and its worker needs some ten times that).
+    The table of texts that the steps read by block is dropped at the end.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -390,24 +397,28 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     digest = F.unhex(F.md5("body"))
     info = staged(rows.select("doc_id", digest.alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"), F.when((F.octet_length("body") < SPAN) | F.col("doc_id").isNull(), F.sha2("body", 256)).alias("own_sha")), "repeat-info")
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
-    n = max(partitions(spark), math.ceil(total / block_bytes)) | 1
-    block = F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 16)), F.lit(n)).cast("int").alias("block")
-    leaders = info.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
-    wanted = leaders.where(F.col("n_bytes") >= SPAN).select(block, "doc_id", "digest").repartition(n, "block")
-    bodies = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("body") >= SPAN)).select(block, "doc_id", digest.alias("digest"), "body").repartition(n, "block")
+    n, parts, dealt = sizes_for(total, partitions(spark), block_bytes)
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
+    # staged, so that the join of copies to leaders below has plain shuffles on both sides and Spark can split a hot digest
+    leaders = staged(info.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes")), "repeat-leaders")
+    wanted = leaders.where(F.col("n_bytes") >= SPAN).select(block, "doc_id", "digest").repartition(dealt, "block")
+    bodies = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("body") >= SPAN)).select(block, "doc_id", digest.alias("digest"), "body").repartition(dealt, "block")
     schema = "block int, doc_id long, digest binary, body binary"
     firsts = bodies.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(keep_leaders, schema)
     table = f"tessera_texts_{uuid.uuid4().hex[:12]}"
-    with shuffle_files_dropped(spark):  # bucketed by block: the steps below read it without a shuffle
-        firsts.write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(table)
-    texts = spark.table(table)
-    said = texts.groupBy("block").applyInArrow(say_anchors(n), "part int, block int, hashes binary, many binary")
-    shared = staged(said.groupBy("part").applyInArrow(find_shared, "block int, hashes binary, common binary"), "repeat-anchors")
-    fragments = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(say_fragments(n), "part int, block int, units binary, docs binary, lengths binary, bodies binary")
-    later = staged(fragments.groupBy("part").applyInArrow(find_later, "block int, units binary, masks binary"), "repeat-windows")
-    none = F.lit(None).cast("binary")
-    told = shared.select("block", "hashes", "common", none.alias("units"), none.alias("masks")).unionByName(later.select("block", none.alias("hashes"), none.alias("common"), "units", "masks"))
-    cut = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut_digest, "doc_id long, digest binary, n_removed long, n_spans long, kept_sha256 string")
+    try:
+        with shuffle_files_dropped(spark):  # bucketed by block: the steps below read it without a shuffle
+            firsts.write.bucketBy(dealt, "block").option("compression", "zstd").saveAsTable(table)
+        texts = spark.table(table)
+        said = texts.groupBy("block").applyInArrow(say_anchors(parts), "part int, block int, hashes binary, many binary")
+        shared = staged(said.repartition(dealt, "part").groupBy("part").applyInArrow(find_shared, "block int, hashes binary, common binary"), "repeat-anchors")
+        fragments = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(say_fragments(parts), "part int, block int, units binary, docs binary, lengths binary, bodies binary")
+        later = staged(fragments.repartition(dealt, "part").groupBy("part").applyInArrow(find_later, "block int, units binary, masks binary"), "repeat-windows")
+        none = F.lit(None).cast("binary")
+        told = shared.select("block", "hashes", "common", none.alias("units"), none.alias("masks")).unionByName(later.select("block", none.alias("hashes"), none.alias("common"), "units", "masks"))
+        cut = staged(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut_digest, "doc_id long, digest binary, n_removed long, n_spans long, kept_sha256 string"), "repeat-cuts")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     led = info.join(leaders.select("digest", F.col("doc_id").alias("leader")), "digest", "left")
     out = led.join(cut, ["doc_id", "digest"], "left")
     copy = (F.col("doc_id") > F.col("leader")) & (F.col("n_bytes") >= SPAN)

@@ -106,10 +106,9 @@ def test_shards_are_balanced_and_gapless(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_repeats_are_removed_as_by_brute_force(docs, empty):
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs, block_bytes=5000).collect()), key=repr)
+def repeats_brute(texts):
     least = {}
-    texts = [(i, t.encode()) for i, t in pairs(corpus())]
+    texts = [(i, t.encode()) for i, t in pairs(texts)]
     for i, t in texts:
         if i is not None:
             for a in range(len(t) - 49):
@@ -123,8 +122,29 @@ def test_repeats_are_removed_as_by_brute_force(docs, empty):
                 gone[a : a + 50] = True
         kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
         want.append((i, len(t), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    assert got == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def repeats(docs, **how):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs, **how).collect()), key=repr)
+
+
+def test_repeats_are_removed_as_by_brute_force(spark, docs, empty):
+    assert repeats(docs, block_bytes=5000) == repeats_brute(corpus())
     assert suffixes.remove_repeats(empty).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_texts")]
+
+
+def test_more_blocks_than_partitions_change_nothing(docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "PARTITIONS", 5)
+    assert suffixes.sizes_for(10**6, 4, 500) == (251, 2001, 5)
+    assert repeats(docs, block_bytes=500) == repeats_brute(corpus())
+
+
+def test_sizes_stay_within_what_spark_deals_out():
+    for total in (0, 10**9, 10**12, 10**14):
+        blocks, parts, dealt = suffixes.sizes_for(total, 200, suffixes.BLOCK_BYTES)
+        assert dealt <= 20_000 and total / blocks <= 16_000_000 and total / parts <= 2_000_000 and parts < 2**31
 
 
 def test_two_stage_order_groups_equal_prefixes():
@@ -157,14 +177,20 @@ def test_runs_of_dashes_are_removed(spark):
     assert sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == [(1, 0, 0, hashlib.sha256(b"a" + b"-" * 60).hexdigest()), (2, 60, 1, hashlib.sha256(b"b").hexdigest())]
 
 
-def test_a_common_anchor_changes_nothing(spark, docs, monkeypatch):
-    want = sorted((tuple(r) for r in suffixes.remove_repeats(docs).collect()), key=repr)
-    monkeypatch.setattr(suffixes, "COMMON", 1)
+def test_common_anchors_change_nothing(docs, monkeypatch):
+    shared = np.unique(suffixes.Block(__import__("pyarrow").table({"doc_id": [1], "digest": [b"a"], "body": [b"x" * 40 + b"abcdefgh" * 9]})).hash)
     block = suffixes.Block(__import__("pyarrow").table({"doc_id": [1, 2], "digest": [b"a", b"b"], "body": [b"x" * 40 + b"abcdefgh" * 9, b"y" * 30 + b"abcdefgh" * 9]}))
-    shared = np.unique(block.hash)
-    units, first, last, _, bodies, _, _ = block.fragments(shared, np.ones(len(shared), bool))
-    assert (first == last).all() and all(len(b) == 50 for b in bodies) and len(units) == len(block.b) - 2 * 49
-    assert len(want) == len(corpus())
+    _, first, last, _, bodies, _, _ = block.fragments(np.union1d(shared, block.hash), np.ones(len(np.union1d(shared, block.hash)), bool))
+    assert (first == last).all() and all(len(b) == 50 for b in bodies)
+    real = suffixes.find_shared
+
+    def all_common(key, said):
+        out = real(key, said)
+        lengths = [len(x) for x in out.column("common").to_pylist()]
+        return out.set_column(2, "common", __import__("pyarrow").array([b"\x01" * n for n in lengths], "binary"))
+
+    monkeypatch.setattr(suffixes, "find_shared", all_common)
+    assert repeats(docs, block_bytes=5000) == repeats_brute(corpus())
 
 
 def jaccard_brute(texts, words=5, least=0.8):
