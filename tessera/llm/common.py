@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship as ship  # for the operators
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         else:
             folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
             spark.sparkContext.setCheckpointDir(folder)
@@ -57,3 +59,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only doc_id and text, null text as empty: other columns, whatever their names, never reach an operator's plan."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that df's own columns do not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (name + "_" * i for i in range(1, len(taken) + 2)) if x.lower() not in taken) for name in names]
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """df's columns by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, partitions, ship, staged
+from .common import fresh, keyed_text, partitions, ship, staged
 from .graphs import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -359,7 +359,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """docs without all but the least doc_id of each class, with all their columns."""
+    """docs without all but the least doc_id of each class, with all their columns.
+
+    Rows that share that doc_id all stay if their texts are of the class. Null doc_id: never dropped. Null or empty
+    text: a class of its own. Empty table: no rows. Extra columns, whatever their names, stay as they are.
+    """
+    (gone,) = fresh(docs, "gone")
     found = near_duplicates(docs, similarity, words)
-    gone = found.where(F.col("doc_id") > F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    dropped = found.where(F.col("doc_id") > F.col("class_id")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

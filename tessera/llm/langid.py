@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import fresh, own_columns, ship
 
 UNKNOWN = "und"
-#: Bounds of the fit, all parameters of fit(): documents sampled per language, landmarks among them, symbols of the alphabet.
-PER_LANGUAGE, LANDMARKS, SYMBOLS = 240, 32, 64
+#: Bounds of the fit, parameters of fit(): labelled documents sampled per language, landmarks among them.
+PER_LANGUAGE, LANDMARKS = 240, 32
+#: Code points that there are.
+POINTS = 0x110000
 #: Most code points turned into n-grams at once; longer texts are read in pieces that overlap by two.
 PIECE = 1 << 20
 
@@ -23,96 +25,99 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class Spectrum:
-    """Presence of the 1-, 2- and 3-grams of a dictionary, by direct tables over a bounded alphabet.
+    """The distinct 1-, 2- and 3-grams of a text, as numbers, over all letters there are.
 
-    Symbol 0 stands for all that is no letter, the last symbol for letters outside the alphabet.
+    What is no letter counts as one sign. A gram's number is made of its code points and its order, so that no two grams share one.
     """
 
-    def __init__(self, alphabet: list[str], grams: np.ndarray):
-        self.alphabet, self.grams, self.width = alphabet, grams, len(grams)
-        self.letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        self.symbol = np.where(self.letters, SYMBOLS - 1, 0).astype(np.int32)
-        for i, c in enumerate(alphabet):
-            self.symbol[ord(c)] = i + 1
-        self.at = np.full(3 * SYMBOLS**3, self.width, np.int32)
-        self.at[grams] = np.arange(self.width, dtype=np.int32)
-
-    def keys(self, text: str):
-        """Gram numbers of a text, in pieces; n-grams of each order have their own range of numbers."""
-        low = text.lower()
-        for lo in range(0, max(len(low), 1), PIECE):
+    def __init__(self):
+        points = range(POINTS)
+        self.letters = np.fromiter((chr(i).isalpha() for i in points), bool, POINTS)
+        self.sign = np.where(self.letters, np.arange(POINTS), 0)
+
+    def grams(self, text: str) -> tuple[np.ndarray, bool]:
+        """(sorted numbers of the distinct grams, whether the text has a letter). Long texts are read in pieces."""
+        low, found, lettered = text.lower(), [], False
+        for lo in range(0, len(low), PIECE):
             points = np.frombuffer(low[max(lo - 2, 0) : lo + PIECE].encode("utf-32-le", "replace"), np.uint32)
-            s = self.symbol[points]
-            two = s[:-1] * SYMBOLS + s[1:]
-            three = two[:-1] * SYMBOLS + s[2:]
-            yield np.concatenate([s, two + SYMBOLS**3, three + 2 * SYMBOLS**3]), points
-
-    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """0/1 rows, and whether a text has a letter."""
-        rows, lettered = np.zeros((len(texts), self.width + 1), np.float32), np.zeros(len(texts), bool)
-        for i, text in enumerate(texts):
-            for keys, points in self.keys(text):
-                rows[i, self.at[keys]] = 1
-                lettered[i] |= bool(self.letters[points].any())
-        return rows[:, : self.width], lettered
+            s = self.sign[points]
+            two = s[:-1] * POINTS + s[1:]
+            three = two[:-1] * POINTS + s[2:]
+            found.append(np.unique(np.concatenate([s, two + POINTS**3, three + 2 * POINTS**3])))
+            lettered = lettered or bool(self.letters[points].any())
+        if not found:
+            return np.zeros(0, np.int64), False
+        return (found[0] if len(found) == 1 else np.unique(np.concatenate(found))), lettered
 
 
 class Model:
-    """Scores = K(x, landmarks) @ weights, where K is the presence kernel scaled to unit self-similarity."""
+    """Scores = K(x, landmarks) @ weights, where K is the presence kernel scaled to unit self-similarity.
+
+    grams: all grams of any landmark, sorted; landmarks: a column each, its grams over the root of their number. A text's grams that no
+    landmark has add nothing to a product but count in its own norm.
+    """
 
-    def __init__(self, spectrum: Spectrum, languages: list[str], landmarks: np.ndarray, weights: np.ndarray):
-        self.spectrum, self.languages, self.landmarks, self.weights = spectrum, languages, landmarks, weights
+    def __init__(self, grams: np.ndarray, languages: list[str], landmarks: np.ndarray, weights: np.ndarray):
+        self.grams, self.languages, self.landmarks, self.weights, self.spectrum = grams, languages, landmarks, weights, Spectrum()
 
-    def kernel(self, rows: np.ndarray) -> np.ndarray:
-        return rows @ self.landmarks / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+    def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of K as one product for the batch, and whether a text has a letter."""
+        rows, norm, lettered = np.zeros((len(texts), len(self.grams)), np.float32), np.ones(len(texts)), np.zeros(len(texts), bool)
+        for i, text in enumerate(texts):
+            mine, lettered[i] = self.spectrum.grams(text)
+            at = np.searchsorted(self.grams, mine)
+            at[at == len(self.grams)] = 0
+            rows[i, at[self.grams[at] == mine]] = 1
+            norm[i] = max(len(mine), 1)
+        return (rows @ self.landmarks).astype(np.float64) / np.sqrt(norm)[:, None], lettered
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         names: list[str] = []
         scores = np.zeros(len(texts))
         for lo in range(0, len(texts), 64):
             part = texts[lo : lo + 64]
-            rows, lettered = self.spectrum.presence(part)
-            out = self.kernel(rows) @ self.weights
+            k, lettered = self.kernel(part)
+            out = k @ self.weights
             best = out.argmax(1)
             scores[lo : lo + len(part)] = np.where(lettered, np.clip((1 + out[np.arange(len(part)), best]) / 2, 0, 1), 0)
             names += [self.languages[b] if has else UNKNOWN for b, has in zip(best.tolist(), lettered.tolist())]
         return names, scores
 
+    def parts(self):
+        return self.grams, self.languages, self.landmarks, self.weights
+
 
 def train(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = 1e-3) -> Model | None:
     """One-versus-rest kernel ridge regression in the span of the landmarks (Nyström). samples: (text, language), each language's in a fixed order."""
     languages = sorted({lang for _, lang in samples})
     if not languages:
         return None
-    counts = Counter(c for text, _ in samples for c in text.lower() if c.isalpha())
-    alphabet = sorted(sorted(counts, key=lambda c: (-counts[c], c))[: SYMBOLS - 2])
-    free = Spectrum(alphabet, np.zeros(0, np.int64))
-    seen = np.zeros(3 * SYMBOLS**3, np.int32)
-    for text, _ in samples:
-        mine = np.zeros(len(seen), bool)
-        for keys, _ in free.keys(text):
-            mine[keys] = True
-        seen += mine
-    grams = np.flatnonzero(seen >= min(2, len(samples)))
-    spectrum = Spectrum(alphabet, grams)
-    rows, _ = spectrum.presence([text for text, _ in samples])
-    unit = rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
     nth: Counter = Counter()
     chosen = []
     for i, (_, lang) in enumerate(samples):
         nth[lang] += 1
         if nth[lang] <= landmarks:
             chosen.append(i)
-    base = unit[chosen].T.astype(np.float32)
-    values, vectors = np.linalg.eigh((base.T @ base).astype(np.float64))
+    spectrum = Spectrum()
+    sets = [spectrum.grams(samples[i][0])[0] for i in chosen]
+    grams = np.unique(np.concatenate(sets))
+    if not len(grams):  # only empty texts teach: nothing to tell languages by
+        return None
+    base = np.zeros((len(grams), len(chosen)), np.float32)
+    for j, mine in enumerate(sets):
+        base[np.searchsorted(grams, mine), j] = 1 / np.sqrt(max(len(mine), 1))
+    model = Model(grams, languages, base, np.zeros((len(chosen), len(languages))))
+    texts = [text for text, _ in samples]
+    k = np.vstack([model.kernel(texts[lo : lo + 64])[0] for lo in range(0, len(texts), 64)])
+    values, vectors = np.linalg.eigh(k[chosen])
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = np.hstack([(unit @ base).astype(np.float64) @ root])
+    features = k @ root
     target = np.array([[1.0 if lang == c else -1.0 for c in languages] for _, lang in samples])
     mass = np.array([1 / nth[lang] for _, lang in samples])[:, None]  # each language weighs the same
     gram = features.T @ (features * mass) + ridge * np.eye(features.shape[1])
-    weights = root @ np.linalg.solve(gram, features.T @ (target * mass))
-    return Model(spectrum, languages, base, weights.astype(np.float32))
+    model.weights = root @ np.linalg.solve(gram, features.T @ (target * mass))
+    return model
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
@@ -137,13 +142,10 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     ship(docs.sparkSession)
     model = model or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model and (model.spectrum.alphabet, model.spectrum.grams, model.languages, model.landmarks, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast(model and model.parts())
 
     def score(batches):
-        m = None
-        if shared.value:
-            alphabet, grams, languages, base, weights = shared.value
-            m = Model(Spectrum(alphabet, grams), languages, base, weights)
+        m = Model(*shared.value) if shared.value else None
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, scores = m.predict(texts) if m else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
@@ -155,19 +157,20 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose text has a language, with all their columns.
 
-    The text is scored as in identify(); 'und' and scores under `least` are rejected.
+    The text is scored as in identify(); 'und' (null, empty or without letters) and scores under `least` are rejected. Repeated
+    rows: each is judged. Empty table: no rows. Extra columns, whatever their names, stay as they are.
     """
-    model = fit(docs)
-    scored = score_column(docs, model)
-    return scored.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang_pred", "_score")
+    (said,) = fresh(docs, "language")
+    scored = docs.withColumn(said, predictor(docs.sparkSession, fit(docs))("text"))
+    return scored.where((F.col(said)["lang"] != UNKNOWN) & (F.col(said)["score"] >= least)).select(*own_columns(docs))
 
 
-def score_column(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with _lang_pred and _score beside its own columns."""
+def predictor(spark, model: Model | None):
+    """text -> struct<lang, score>, by batches."""
     from pyspark.sql.functions import pandas_udf
 
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model and (model.spectrum.alphabet, model.spectrum.grams, model.languages, model.landmarks, model.weights))
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model and model.parts())
     kept: list[Model] = []
 
     @pandas_udf("lang string, score double")
@@ -178,9 +181,8 @@ def score_column(docs: DataFrame, model: Model | None) -> DataFrame:
         if not shared.value:
             return pd.DataFrame({"lang": [UNKNOWN] * len(values), "score": [0.0] * len(values)})
         if not kept:
-            alphabet, grams, languages, base, weights = shared.value
-            kept.append(Model(Spectrum(alphabet, grams), languages, base, weights))
+            kept.append(Model(*shared.value))
         names, scores = kept[0].predict(values)
         return pd.DataFrame({"lang": names, "score": scores})
 
-    return docs.withColumn("_p", predict("text")).withColumn("_lang_pred", F.col("_p.lang")).withColumn("_score", F.col("_p.score")).drop("_p")
+    return predict

@@ -305,6 +305,45 @@ def test_secrets_are_those_of_the_rules(spark, docs, empty):
     assert secret_scan.redact(df).columns == df.columns and secret_scan.scan(empty).count() == 0
 
 
+HOSTILE = ["_id", "id", "rules", "_rules", "its_rules", "_text", "_spans", "_new", "whole_", "spans_", "new_", "known_", "_score", "_p", "_lang_pred", "language_", "_gone", "gone_", "h", "Trigram", "with.dot"]
+
+
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), *(StructField(c, StringType()) for c in HOSTILE)])
+    en = "the river and the house of the green stone were there for all to see "
+    texts = [(1, en + "token=abcdef12"), (2, None), (3, ""), (None, en + "paper token=abcdef12"), (4, "x " + en * 20000 + " password: hunter22x"), (1, en + "token=abcdef12"), (5, en + "light")]
+    table = spark.createDataFrame([(i, t, "en" if t else None, *(f"{c}!" for c in HOSTILE)) for i, t in texts], schema)
+    empty = table.limit(0)
+    items = spark.createDataFrame([(1, "no such passage is anywhere in this table at all")], "item_id long, text string")
+    stages = [langid.accepted, jaccard.one_of_each, lambda d: decontamination.decontaminated(d, items), secret_scan.redact]
+    for stage in stages:
+        out = stage(table)
+        assert out.columns == table.columns and all(r[c] == f"{c}!" for r in out.collect() for c in HOSTILE)
+        assert stage(empty).count() == 0
+    assert sorted((r.doc_id or 0) for r in langid.accepted(table).collect()) == [0, 1, 1, 4, 5]
+    clean = {(r.doc_id, r.text) for r in secret_scan.redact(table).collect()}
+    assert clean == {(i, t and re.sub("token=abcdef12|password: hunter22x", "[secret]", t)) for i, t in texts}
+
+
+def test_spans_and_marks_of_long_texts(spark):
+    rnd = random.Random(6)
+    parts = ["token=abcdefg ", "é𝒳 word ", "AKIA" + "Z9" * 10 + " ", "deadbeef" * 4 + ".", "token=" + "0123456789abcdef" * 2 + " ", "plain text here "]
+    texts = ["".join(rnd.choice(parts) for _ in range(n)) for n in (0, 1, 2, 7, 300, 30000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(df).collect()}
+    assert got == {i: secrets_brute(t) for i, t in enumerate(texts)}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for a, z in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in got[i].split(",") if x):
+            if a >= at:
+                out += t[at:a] + "[secret]"
+            at = max(at, z)
+        texts[i] = out + t[at:]
+    assert {r.doc_id: r.text for r in secret_scan.redact(df).collect()} == dict(enumerate(texts))
+
+
 def test_mandatory_trigrams():
     assert secret_scan.trigram_clauses("AKIA[A-Z0-9]{16,}") == [frozenset({"aki", "kia"})]
     assert secret_scan.trigram_clauses("[0-9a-f]{24,}") == []
@@ -343,6 +382,23 @@ def test_quality_learns_the_labels(half):
     assert np.mean([e[0] + odds["quality"] >= 0 for r, e in rest if r["quality"]]) >= 0.98 and np.mean([e[0] + odds["quality"] >= 0 for r, e in rest if not r["quality"]]) <= 0.05
 
 
+def test_kernel_and_weights_are_those_of_their_definition():
+    rnd = random.Random(8)
+    letters = ["abcdefgh ", "abxyzéß ", "漢字仮名交文私書 ", "אבגדה "]
+    samples = [("".join(rnd.choice(letters[n % 4]) for _ in range(rnd.randint(3, 60))), f"l{n % 4}") for n in range(40)]
+    model = langid.train(samples, landmarks=10, ridge=1e-3)
+    sets = []
+    for t, _ in samples:
+        s = [c if c.isalpha() else "-" for c in t.lower()]
+        sets.append({"".join(s[i : i + k]) for k in (1, 2, 3) for i in range(len(s) - k + 1)})
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    assert np.abs(model.kernel([t for t, _ in samples])[0] - k).max() < 1e-6
+    y = np.array([[1.0 if lang == c else -1.0 for c in model.languages] for _, lang in samples])
+    # with all samples as landmarks Nyström is exact: K w = K (K + ridge * 10 I)^-1 y, as each document weighs a tenth
+    assert np.abs(k @ model.weights - k @ np.linalg.solve(k + 1e-2 * np.eye(40), y)).max() < 1e-4
+    assert sum(model.predict([t for t, _ in samples])[0][i] == samples[i][1] for i in range(40)) == 40
+
+
 def test_quality_of_documents(spark, empty):
     folder = "/root/testdata/sf0.01"
     table, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
