@@ -3,7 +3,7 @@
 Texts of equal shingle sets are one class from the start. Each class's set is embedded as COORDINATES
 minimum hashes. A run of the chosen-path tree samples coordinates at every node, on average
 1 / similarity of them, and splits a bucket by the values of each; two sets of the wanted similarity keep meeting in one child on
-average. Runs are repeated for the target recall. Small buckets are compared in full. In a large one
+average. Runs are repeated for the target recall: the deeper the buckets that sets were in, the more runs they go through. Small buckets are compared in full. In a large one
 every member is compared with some representatives; those near one leave, as whatever is similar to
 them is near that representative too and tied to it; the others split again. Ties are
 loose on purpose: they gather groups in which afterwards all pairs are counted exactly on the
@@ -24,8 +24,8 @@ from .common import fresh, keyed_text, partitions, ship, staged
 from .graphs import components
 
 WORDS, SIMILARITY = 5, 0.8
-#: Coordinates of the embedding; runs of the tree: with 10 runs a pair of similarity 0.8 misses all root buckets with probability under 1e-7 on average.
-COORDINATES, RUNS = 64, 10
+#: Coordinates of the embedding; share of linked pairs that the ties must join, on average, however deep their buckets are.
+COORDINATES, RECALL = 64, 0.999
 #: Largest bucket compared in full; representatives of a larger one; levels after which what is left counts as one group (and is counted exactly).
 SMALL, REPRESENTATIVES, LEVELS = 192, 16, 12
 #: Agreement of coordinates to be tied (four deviations under the similarity), tied to a representative (two distances of 0.2 and noise), to leave a bucket.
@@ -92,7 +92,7 @@ def node_of(sets: np.ndarray) -> int:
 
 
 def embedded(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, node (the set's digest; null without words), embedding."""
+    """row (a number), doc_id, node (the set's digest; null without words), embedding, text. Rows are numbered as they lie, so only what is stored has lasting numbers."""
 
     def run(batches):
         shingles = Shingles(words)
@@ -102,9 +102,9 @@ def embedded(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 s = shingles(t.as_py())
                 nodes.append(node_of(s) if len(s) else None)
                 sigs.append(embedding(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "node", "embedding"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary()), batch.column("text")], ["doc_id", "node", "embedding", "text"])
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, node long, embedding binary")
+    return keyed_text(docs).mapInArrow(run, "doc_id long, node long, embedding binary, text string").withColumn("row", F.monotonically_increasing_id())
 
 
 # ---- the chosen-path tree --------------------------------------------------------------------
@@ -127,10 +127,23 @@ def children(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "path long, node long")
 
 
-def roots(sets: DataFrame, runs: int) -> DataFrame:
-    """Every set at the root of every run."""
+def survival(depth: int) -> float:
+    """How likely a pair of the wanted similarity still shares a bucket after so many levels of one run: a branching process of mean one."""
+    s = 1.0
+    for _ in range(depth):
+        s = 1 - (1 - s / COORDINATES) ** COORDINATES
+    return s
+
+
+def runs_for(recall: float, depth: int) -> int:
+    """Runs after which a pair that has to go so deep shares a bucket in one of them. Half of what may be missed is left to the noise of ties."""
+    return math.ceil(math.log((1 - recall) / 2) / math.log(1 - survival(depth)))
+
+
+def roots(sets: DataFrame, first: int, last: int) -> DataFrame:
+    """Every set at the root of every run from first to last."""
     root = F.xxhash64(F.lit("root"), F.col("run"))
-    return sets.select("node", "embedding", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).select(root.alias("path"), "node", "embedding")
+    return sets.select("node", "embedding", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run")).select(root.alias("path"), "node", "embedding")
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -193,34 +206,56 @@ def grouped(batches, key: str, columns: tuple[str, ...]):
         yield current, *held
 
 
-def candidate_ties(sets: DataFrame, similarity: float, runs: int) -> DataFrame:
-    """a, b: ties that join every two sets of the wanted similarity that the runs bring together."""
-    spark = sets.sparkSession
-    n = partitions(spark)
-    level, found = roots(sets, runs), []
+def candidate_ties(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """a, b: ties that join every two sets of the wanted similarity that the runs bring together.
+
+    All sets go through the runs that a tree of one level needs; those that were split again go through the further runs that
+    two levels need, and so on, until no set has been deeper than its runs allow for.
+    """
+    found: list[DataFrame] = []
+    deeper: dict[int, list[DataFrame]] = {}
+    now, done, depth = sets, 0, 1
+    while now is not None:
+        need = runs_for(recall, depth)
+        for level, nodes in descend(now, similarity, done + 1, need, found, f"{depth}"):
+            deeper.setdefault(level, []).append(nodes)
+        done, depth = need, depth + 1
+        split = union(deeper[depth]) if depth in deeper else None
+        now = None if split is None else staged(sets.join(split, "node"), f"split-{depth}")
+    return starred(union(found))
+
+
+def descend(sets: DataFrame, similarity: float, first: int, last: int, found: list[DataFrame], name: str) -> list[tuple[int, DataFrame]]:
+    """One tree for each run: its ties are added to found; (level, nodes that had to split for it) come back."""
+    n = partitions(sets.sparkSession)
+    level, split = roots(sets, first, last), []
     signature = sets.select("node", "embedding")
     for depth in range(LEVELS):
         below = children(level, similarity)
         if depth:
             below = below.distinct()
-        below = staged(below, f"paths-{depth}")
+        below = staged(below, f"paths-{name}-{depth}")
         sizes = below.groupBy("path").count().where("count > 1")
-        kept = staged(below.join(sizes, "path").join(signature, "node"), f"buckets-{depth}")
+        kept = staged(below.join(sizes, "path").join(signature, "node"), f"buckets-{name}-{depth}")
         small, large = kept.where(F.col("count") <= SMALL), kept.where(F.col("count") > SMALL)
-        found.append(staged(ties_within(small.select("path", "node", "embedding"), n), f"ties-{depth}"))
+        found.append(staged(ties_within(small.select("path", "node", "embedding"), n), f"ties-{name}-{depth}"))
         if not large.limit(1).count():
-            return starred(union(found))
+            return split
         # a bucket's representatives: about REPRESENTATIVES of its members, those of least hash, so that buckets with the same members have the same ones
         pick = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) * F.col("count") < REPRESENTATIVES << 40
         few = large.where(pick).groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.pmod(F.xxhash64("node"), F.lit(1 << 40)).alias("h"), "node", "embedding"))).alias("r"))
-        few = few.select("path", F.col("r.node").alias("r_nodes"), F.col("r.embedding").alias("r_sigs"))
-        judged = staged(large.select("path", "node", "embedding").join(few, "path", "left").mapInArrow(against_representatives, "path long, node long, embedding binary, leaves boolean, root array<long>"), f"judged-{depth}")
-        found.append(staged(judged.select(F.col("node").alias("a"), F.explode("root").alias("b")).where("a <> b").distinct(), f"tied-to-one-{depth}"))
+        # staged: the join then has plain shuffles on both sides, and Spark can split a hot path
+        few = staged(few.select("path", F.col("r.node").alias("r_nodes"), F.col("r.embedding").alias("r_sigs")), f"representatives-{name}-{depth}")
+        judged = staged(large.select("path", "node", "embedding").join(few, "path", "left").mapInArrow(against_representatives, "path long, node long, embedding binary, leaves boolean, root array<long>"), f"judged-{name}-{depth}")
+        found.append(staged(judged.select(F.col("node").alias("a"), F.explode("root").alias("b")).where("a <> b").distinct(), f"tied-to-one-{name}-{depth}"))
         level = judged.where(~F.col("leaves")).select("path", "node", "embedding")
+        if not level.limit(1).count():
+            return split
+        split.append((depth + 2, level.select("node")))
     # what no level has split: each bucket as one group, so that its pairs are counted exactly all the same
     rest = level.groupBy("path").agg(F.min("node").alias("b"))
-    found.append(staged(level.join(rest, "path").select(F.col("node").alias("a"), "b").where("a <> b"), "ties-rest"))
-    return starred(union(found))
+    found.append(staged(level.join(rest, "path").select(F.col("node").alias("a"), "b").where("a <> b"), f"ties-rest-{name}"))
+    return split
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -322,38 +357,42 @@ def count_links(words: int, similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, runs: int = RUNS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """doc_id, set_id, class_id, n_links, a row per input row.
 
     set_id: least doc_id with the same set of word runs; class_id: least doc_id of the connected group
     of sets whose Jaccard similarity is `similarity` or more; n_links: documents, but this one, of such a set
-    or the same. Texts of fewer than `words` words have one run of all their words. Null text or no words: a class
-    of its own, no links. Rows that share a doc_id: each has its own set; their classes are told apart by their sets. Null
-    doc_id: set_id and class_id may be null. Empty table: no rows. Other columns are dropped. Whole texts.
+    or the same. recall: the share of linked pairs of sets that must be brought together. Texts of fewer than `words` words have one run of
+    all their words. Null text or no words: a class of its own, no links. Rows that share a doc_id: each has its own set; their
+    classes are told apart by their sets. Null doc_id: linked like any row; set_id and class_id are null where no row of the set or class has
+    an id. Empty table: no rows. Other columns are dropped. Whole texts.
     """
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
     rows = staged(embedded(docs, words), "sets")
     plain = rows.select("doc_id", "node")
-    classes = staged(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "classes")
-    ties = candidate_ties(classes.select("node", "embedding"), similarity, runs)
-    groups = staged(components(ties, "groups").join(classes.select("node", "set_id", "weight"), "node"), "grouped")
+    # a set's text is that of one stored row, so sets without any doc_id have theirs too
+    of_set = [F.min("doc_id").alias("set_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"), F.min("row").alias("row")]
+    classes = staged(rows.where(F.col("node").isNotNull()).groupBy("node").agg(*of_set), "classes")
+    ties = candidate_ties(classes.select("node", "embedding"), similarity, recall)
+    groups = staged(components(ties, "groups").join(classes.select("node", "row", "weight"), "node"), "grouped")
     # blocks of a group: by hash, as many as its size asks for, so that sizes stay near BLOCK
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = staged(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "group-sizes")
     placed = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     # members' texts come by shuffle at every size: groups grow with the documents, and so would a broadcast
-    texts = keyed_text(docs).hint("merge").join(placed.select(F.col("set_id").alias("doc_id"), "node", "component", "block", "weight", pairs.alias("pairs")), "doc_id")
+    texts = rows.select("row", "text").hint("merge").join(placed.select("row", "node", "component", "block", "weight", pairs.alias("pairs")), "row")
     tasks = texts.select("component", "block", "node", "weight", "text", F.explode("pairs").alias("pair")).withColumn("task", F.xxhash64("component", "pair"))
     counted = staged(tasks.repartition(n * 2, "task").sortWithinPartitions("task").mapInArrow(count_links(words, similarity), "node long, links long, b long"), "links")
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(counted.where("node <> b").select(F.col("node").alias("a"), "b"), "near")
-    named = joined.join(classes.select("node", "set_id"), "node")
-    least = named.groupBy("component").agg(F.min("set_id").alias("class_id"))
+    named = staged(joined.join(classes.select("node", "set_id"), "node"), "named")
+    least = staged(named.groupBy("component").agg(F.min("set_id").alias("class_id")), "least")
     of_node = named.join(least, "component").select("node", "class_id")
     facts = classes.select("node", "set_id", "weight").join(of_node, "node", "left").join(links, "node", "left")
-    facts = facts.select("node", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    # staged as the others are, for a set that many rows have
+    facts = staged(facts.select("node", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "facts")
     out = plain.join(facts, "node", "left")
     return out.select("doc_id", F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

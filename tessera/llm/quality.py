@@ -128,11 +128,15 @@ class Sample:
         self.names = list(index)
         self.word_start = np.cumsum([0] + [len(g) for g in each])[:-1]
         self.word_grams = np.array([g for gs in each for g in gs], np.int64)
-        per = np.diff(np.r_[self.word_start, len(self.word_grams)])[self.word] if len(number) else np.zeros(0, np.int64)
-        flat = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.word_start[self.word], per)
-        key = np.repeat(self.row, per) * max(len(index), 1) + self.word_grams[flat]
-        keys, at = np.unique(key, return_inverse=True)
-        self.g_row, self.g_gram, self.g_count = keys // max(len(index), 1), keys % max(len(index), 1), np.bincount(at, np.repeat(self.count, per), len(keys))
+        size = np.diff(np.r_[self.word_start, len(self.word_grams)])
+        held = []
+        for words, counts in zip(words_of, counts_of):  # a text at a time, so that memory stays near what is kept
+            per = size[words]
+            flat = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.word_start[words], per)
+            found, at = np.unique(self.word_grams[flat], return_inverse=True)
+            held.append((found.astype(np.int32), np.bincount(at, np.repeat(counts, per), len(found)).astype(np.float32)))
+        self.g_row = np.repeat(np.arange(self.n, dtype=np.int32), [len(g) for g, _ in held])
+        self.g_gram, self.g_count = (np.concatenate(x) for x in zip(*held))
 
     def lexicon(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
         """Log ratio of rates of each gram, 0 for all but those whose rate follows y beyond doubt, by the documents in use."""

@@ -215,25 +215,63 @@ def test_near_duplicates_are_those_of_brute_force(spark, empty, monkeypatch, sma
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", 4 if small == 3 else jaccard.BLOCK)
     rnd = random.Random(9)
-    texts = [(i, t) for i, t in corpus() if i is not None and i != 307]
+    texts = corpus()
     base = [rnd.choice(WORDS) + str(rnd.randint(0, 999)) for _ in range(120)]
     for i in range(24):
         new = list(base)
         for _ in range(rnd.randint(0, 2)):
             new[rnd.randrange(120)] = "edit" + str(rnd.randint(0, 9999))
         texts.append((1000 + i, " ".join(new)))
+    texts += [(None, " ".join(base[:118])), (None, " ".join(base[1:119])), (None, " ".join(base[1:119])), (1000, texts[-1][1])]
     got = jaccard.near_duplicates(spark.createDataFrame(rows(texts), SCHEMA)).collect()
     links, roots = jaccard_brute([(i, t or "") for i, t in texts])
     ids = [i for i, _ in texts]
     least = {}
     for n, r in enumerate(roots):
-        least[r] = min(least.get(r, ids[n]), ids[n])
-    want = sorted((ids[n], least[roots[n]], links[n]) for n in range(len(texts)))
-    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == want
+        if ids[n] is not None:
+            least[r] = min(least.get(r, ids[n]), ids[n])
+    want = sorted(((ids[n], least.get(roots[n]), links[n]) for n in range(len(texts))), key=repr)
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == want
     if small == 192:
         assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_links_of_rows_without_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words)), (None, " ".join(words[:58])), (None, " ".join(words[:58]))]
+    got = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == [(1, 1, 2), (None, 1, 2), (None, 1, 2)]
+
+
+def test_runs_grow_with_depth():
+    assert [jaccard.runs_for(0.999, d) for d in (1, 2, 3, 4)] == [8, 12, 17, 21]
+    rnd = np.random.default_rng(0)
+    met = 0
+    for _ in range(4000):  # one level of one run: do two sets that agree in a coordinate with probability 0.8 share a child?
+        met += ((rnd.random(64) < 0.8) & (rnd.random(64) < 1 / (0.8 * 64))).any()
+    assert abs(met / 4000 - jaccard.survival(1)) < 0.03
+
+
+@pytest.mark.parametrize("least", [0.8, 0.6])
+def test_recall_in_large_buckets(spark, monkeypatch, least):
+    """Pairs hidden in texts that all share a frequent passage, with buckets so small that the tree must go deep: the ties join nearly all."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    rnd = random.Random(12)
+    new = lambda n: [f"u{rnd.randint(0, 10**9)}" for _ in range(n)]
+    passage, texts = new(40), []
+    for _ in range(150):
+        body = new(100)
+        texts.append(passage + body)
+        other = list(body)
+        other[rnd.randrange(100)] = "edit" + str(len(texts))
+        texts.append(passage + other)
+    texts = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    links, _ = jaccard_brute(texts, least=least)
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), similarity=least).collect()}
+    assert sum(got.values()) >= jaccard.RECALL * sum(links.values()) and sum(links.values()) >= 300
+    assert all(got[i] <= links[i] for i in got)
+
+
 def test_passages_are_found_with_their_edits(spark, empty):
     item = "the quick brown fox jumps over the lazy dog while seven wizards brew a very strong potion near the old mill"
     worn = item.replace("quick", "quik").replace("seven", "sevan")
