@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import defaultdict
 
 import pyarrow as pa
@@ -106,7 +106,7 @@ class Matcher:
         return sorted(out)
 
 
-_kept: dict[int, Matcher] = {}
+_kept: dict[bytes, Matcher] = {}
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, ite
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     out = None
     for block in item_blocks(items, item_id, item_text, block_bytes):
-        key = zlib.crc32(repr((sorted(block, key=repr), rate)).encode())
+        key = hashlib.sha256(repr((sorted(block, key=repr), rate)).encode()).digest()
         shared = spark.sparkContext.broadcast((key, block, rate))
 
         def find(batches, shared=shared):
@@ -161,7 +161,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -
 
     clean = docs
     for block in item_blocks(items, "item_id", "text", BLOCK_BYTES):
-        key = zlib.crc32(repr((sorted(block, key=repr), rate)).encode())
+        key = hashlib.sha256(repr((sorted(block, key=repr), rate)).encode()).digest()
         shared = spark.sparkContext.broadcast((key, block, rate))
 
         @pandas_udf("boolean")

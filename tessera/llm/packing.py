@@ -100,9 +100,9 @@ def minimum_slack_plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame
 
 
 def ranked(pieces: DataFrame) -> DataFrame:
-    """rank from 0 within each length. Ranks are counted in (length, bucket) groups, so a common length never meets in one task."""
+    """rank from 0 within each length. Ranks are counted in (length, bucket) groups, so a common length never meets in one task, nor do rows without a doc_id."""
     n = 4 * partitions(pieces.sparkSession)
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32"))

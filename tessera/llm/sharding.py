@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import keyed_text, partitions, staged
 
-#: A group of equal texts of up to this part of a shard stays whole; a larger one is cut like any rows.
-WHOLE_GROUP = 1 / 256
-
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Documents stand in one order (hash of the text, then doc_id), so equal texts are
-    neighbours. Totals of range partitions give each partition's start, running sums inside it
+    neighbours, and at most one group of them is cut by each border between shards. Totals of range partitions give each partition's start, running sums inside it
     each document's start, and equal cuts of the grand total the shards: contiguous in that order,
     their sizes apart by about a document. Null text: no bytes, size 1. Ties and repeated
     rows: each takes its own slot (equal rows are interchangeable). Null doc_id: first among
@@ -33,12 +30,8 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     starts = totals.select("part", F.coalesce(F.sum("bytes").over(by_part), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(by_part), F.lit(0)).alias("rows_before"))
     grand = totals.agg(F.sum("bytes").alias("total"))
     placed = run.join(F.broadcast(starts), "part").crossJoin(F.broadcast(grand))  # the grand total is one row
-    placed = placed.select("doc_id", "size", "text_crc32", "h", (F.col("bytes_before") + F.col("upto") - F.col("size")).alias("at"), (F.col("rows_before") + F.col("nth") - 1).alias("row"), "total")
-    key = ["h", "text_crc32", "size"]
-    groups = placed.groupBy(*key).agg(F.min("at").alias("group_at"), F.sum("size").alias("group_size"), F.count("*").alias("n"), F.max("total").alias("t"))
-    groups = groups.where((F.col("n") > 1) & (F.col("group_size") <= F.col("t") / shards * WHOLE_GROUP)).select(*key, "group_at", "group_size")
-    cut = placed.join(groups, key, "left")
-    middle = F.coalesce(F.col("group_at"), F.col("at")) * 2 + F.coalesce(F.col("group_size"), F.col("size"))
-    cut = staged(cut.select("doc_id", "size", "text_crc32", "row", F.least(F.floor(middle * F.lit(shards) / (F.col("total") * 2)), F.lit(shards - 1)).cast("int").alias("shard")), "shard-cuts")
+    middle = (F.col("bytes_before") + F.col("upto")) * 2 - F.col("size")  # twice the place of a document's middle
+    to = F.least(F.floor(middle * F.lit(shards) / (F.col("total") * 2)), F.lit(shards - 1)).cast("int")
+    cut = staged(placed.select("doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("nth") - 1).alias("row"), to.alias("shard")), "shard-cuts")
     first = cut.groupBy("shard").agg(F.min("row").alias("first"))  # one row for each shard
     return cut.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

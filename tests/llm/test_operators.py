@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, fingerprints, jaccard, langid, packing, quality, secret_scan, sharding, suffixes, token_counts
@@ -316,12 +319,65 @@ def test_fingerprints_of_texts_and_edits(docs, empty):
     assert fingerprints.fingerprint(empty).count() == 0
 
 
-def test_signature_numbers_occurrences(spark):
-    texts = spark.createDataFrame([(1, "a b c a b c a b c x"), (2, ""), (3, "one two")], "i int, text string")
-    got = {r.i: r for r in texts.select("i", fingerprints.kmers(F.col("text")).alias("k"), fingerprints.signature(F.col("text")).alias("s"), fingerprints.occurrence_numbered(fingerprints.kmers(F.col("text"))).alias("o")).collect()}
-    assert len(got[1].k) == 8 and len({x >> 25 for x in got[1].k}) == 4 and len({x >> 25 for x in got[1].o}) == 8
-    assert sorted(x & ((1 << 25) - 1) for x in got[1].o) == list(range(8))
-    assert got[2].s == [] and len(got[3].s) == 1
+def xx(*values):
+    """xxhash64 of columns: each value's hash is the seed of the next one's."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def signature_brute(text, most=128):
+    tokens = [xx(w) for w in regex.findall(r"[\p{L}\p{M}\p{N}]{1,8}|[^\s\p{L}\p{M}\p{N}]", text)]
+    if not tokens:
+        return []
+    low = lambda h: h & 0xFFFFFFFF
+    seen, numbered = defaultdict(int), []
+    for i in range(max(len(tokens) - 2, 1)):
+        kmer = low(fingerprint_kmer(tokens, i))
+        numbered.append((low(xx(kmer, (seen[kmer],))), i))
+        seen[kmer] += 1
+    kept = [h for h, i in sorted(sorted(numbered)[:most], key=lambda x: x[1])]
+    out = []
+    for n in range(1, fingerprints.ORDERS + 1):
+        ranks = [xx(h, (n,)) for h in kept]
+        least = sorted(set(ranks))[:2]
+        out.append(low(xx(*sorted(least, key=ranks.index))))
+    return out
+
+
+def fingerprint_kmer(tokens, i):
+    return xx(*tokens[i : i + 3])
+
+
+def test_signatures_are_those_of_brute_force(spark):
+    rnd = random.Random(2)
+    texts = ["a b c a b c a b c x", "", "one two", "one", "!?", "𝒳é straße 12345678901", " ".join(rnd.choice(WORDS) for _ in range(900)), " ".join(f"w{rnd.randint(0, 99)}" for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.s for r in df.select("i", fingerprints.signature(F.col("text")).alias("s")).collect()}
+    assert got == {i: signature_brute(t) for i, t in enumerate(texts)}
+
+
+def test_signatures_see_the_order_of_words(spark):
+    """Halves swapped: k-mers stay but for those at the seams; a pair of least k-mers keeps its order only if both are of one half."""
+    rnd = random.Random(3)
+    texts = []
+    for n in range(60):
+        w = [f"{n}x{i}y{rnd.randint(0, 99)}" for i in range(16)]
+        texts.append((n, " ".join(w), " ".join(w[8:] + w[:8])))
+    df = spark.createDataFrame(texts, "i int, a string, b string")
+    a, b = (fingerprints.signature(F.col(c)) for c in "ab")
+    found = df.select(fingerprints.likeness(a, b).alias("x"), fingerprints.likeness(a, a).alias("y")).collect()
+    assert abs(np.mean([r.x for r in found]) - 0.25) < 0.06 and all(r.y == 1 for r in found)
+
+
+def test_equal_rows_follow_each_other(spark):
+    texts = [(5, "a b c d"), (5, "a b c d"), (5, "a b c d"), (4, "e f g h i"), (None, "x y z"), (None, "x y z"), (None, "q")]
+    got = fingerprints.fingerprint(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_chars) for r in got), key=repr) == sorted(((i, len(t)) for i, t in texts), key=repr)
+    assert sorted(r.edited_sha256 for r in got if r.doc_id == 5) == sorted(hashlib.sha256(t).hexdigest() for t in (b"a b ca ", b"a b ca ", b"a b ce "))
+    assert fingerprints.fingerprint(spark.createDataFrame([(1, "one row")], "doc_id long, text string")).collect()[0].near_next == 1
 
 
 def secrets_brute(text):
