@@ -1,7 +1,8 @@
 """A cohort document as a DataFrame plan.
 
-Entry events are filtered scans against broadcastable concept sets; all criteria's hits form one long table (entry,
-criterion), counted in one aggregation however many rules there are; rules are then boolean columns.
+Entry events are filtered scans against concept sets. For the rules each event domain is scanned once and joined once to all its
+concept sets; the events found meet the entries in one join by person, and one aggregation counts for every criterion what falls
+in its window. Rules are boolean columns after that.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Days
 from pyspark.sql import functions as F
 
 from ..operators import cohorts, vocabulary
@@ -35,46 +36,42 @@ class Compiler:
     """tables: Drug, Condition, Procedure, Measurement events by domain, and person, observation_period, concept, concept_ancestor, concept_relationship."""
 
     def __init__(self, cohort: Cohort, cdm):
-        self.cohort, self.cdm = prepared(cohort), cdm
+        self.cohort, self.report = prepared(cohort)
+        self.cdm = cdm
         spark = cdm.person.sparkSession
         rows = [(k, i.concept_id, i.descendants, i.mapped, i.excluded) for k, items in self.cohort.codesets.items() for i in items]
         items = spark.createDataFrame(rows, "codeset_id int, concept_id long, include_descendants boolean, include_mapped boolean, is_excluded boolean")
-        # used by every criterion: kept for the compile, on disk where memory is short
-        self.codesets = vocabulary.closure(items, cdm.concept_ancestor, cdm.concept_relationship, cdm.concept).persist(StorageLevel.MEMORY_AND_DISK)
-        self._entries: DataFrame | None = None
+        self.codesets = vocabulary.closure(items, cdm.concept_ancestor, cdm.concept_relationship, cdm.concept)
 
-    def release(self) -> None:
-        """Drop what the compile keeps."""
-        for df in (self.codesets, self._entries):
-            if df is not None:
-                df.unpersist()
-
-    def rows(self, c: Criterion) -> DataFrame:
-        """person_id, start_date, end_date of the events that a criterion selects."""
-        events = self.cdm.events(c.domain)
-        hit = events.join(self.codesets.where(F.col("codeset_id") == c.codeset).select("concept_id"), "concept_id", "left_semi")
+    @staticmethod
+    def holds(c: Criterion) -> Column:
+        """Whether an event's values are what the criterion asks for."""
+        tests = [F.lit(True)]
         if c.value:
-            hit = hit.where(compare(F.col("value_as_number"), c.value))
+            tests.append(compare(F.col("value_as_number"), c.value))
         if c.ratio_high:
-            hit = hit.where(ratio(F.col("value_as_number"), F.col("range_high"), c.ratio_high))
+            tests.append(ratio(F.col("value_as_number"), F.col("range_high"), c.ratio_high))
         if c.ratio_low:
-            hit = hit.where(ratio(F.col("value_as_number"), F.col("range_low"), c.ratio_low))
+            tests.append(ratio(F.col("value_as_number"), F.col("range_low"), c.ratio_low))
         if c.units:
-            hit = hit.where(F.col("unit_concept_id").isin(list(c.units)))
+            tests.append(F.col("unit_concept_id").isin(list(c.units)))
+        return F.coalesce(reduce(and_, tests), F.lit(False))
+
+    def rows(self, c: Criterion) -> DataFrame:
+        """person_id, start_date, end_date of the events that a criterion selects."""
+        events = self.cdm.events(c.domain)
+        hit = events.join(self.codesets.where(F.col("codeset_id") == c.codeset).select("concept_id"), "concept_id", "left_semi").where(self.holds(c))
         if c.first:
             hit = cohorts.first_per_person(hit)
         return hit.select("person_id", "start_date", "end_date")
 
     def entries(self) -> DataFrame:
         """person_id, index_date, op_start, op_end: entry events inside an observation period long enough around them."""
-        if self._entries is not None:
-            return self._entries
         c = self.cohort
         events = reduce(DataFrame.unionByName, map(self.rows, c.entry)).select("person_id", F.col("start_date").alias("index_date")).distinct()
         period = self.cdm.observation_period.select("person_id", F.col("start_date").alias("op_start"), F.col("end_date").alias("op_end"))
         inside = (F.col("index_date") >= F.date_add("op_start", c.prior_days)) & (F.date_add("index_date", c.post_days) <= F.col("op_end"))
-        self._entries = self.limited(events.join(period, "person_id").where(inside), c.primary_limit).persist(StorageLevel.MEMORY_AND_DISK)
-        return self._entries
+        return self.limited(events.join(period, "person_id").where(inside), c.primary_limit)
 
     @staticmethod
     def limited(entries: DataFrame, limit: str) -> DataFrame:
@@ -83,27 +80,41 @@ class Compiler:
     def counted(self) -> list[Counted]:
         return [k for r in self.cohort.rules for k in r.group.every()]
 
-    def matches(self, entries: DataFrame) -> DataFrame:
-        """person_id, index_date, k: a row for each hit of the k-th criterion of an entry."""
-
-        def of(n: int, k: Counted) -> DataFrame:
-            found = entries.select("person_id", "index_date").join(self.rows(k.criterion), "person_id")
-            for w, col in ((k.window, "start_date"), (k.end_window or Window(), "end_date")):
-                if w.start is not None:
-                    found = found.where(F.col(col) >= F.date_add("index_date", w.start))
-                if w.end is not None:
-                    found = found.where(F.col(col) <= F.date_add("index_date", w.end))
-            return found.select("person_id", "index_date", F.lit(n).alias("k"))
-
-        return reduce(DataFrame.unionByName, [of(n, k) for n, k in enumerate(self.counted())])
+    def found(self, domain: str, numbered: list[tuple[int, Counted]]) -> DataFrame:
+        """person_id, s, e, ok: the domain's events in any concept set of its criteria, s and e their days, ok the numbers of the criteria whose set, values and order they meet."""
+        sets = sorted({k.criterion.codeset for _, k in numbered})
+        hits = self.cdm.events(domain).join(self.codesets.where(F.col("codeset_id").isin(sets)), "concept_id")
+        meets = {}
+        for n, k in numbered:
+            mine = (F.col("codeset_id") == k.criterion.codeset) & self.holds(k.criterion)
+            if k.criterion.first:  # a person's first event of those that hold; the windows of all such criteria share one shuffle
+                order = Days.partitionBy("person_id", "codeset_id").orderBy(F.when(mine, 0).otherwise(1), "start_date", "concept_id")
+                hits = hits.withColumn(f"_first_{n}", F.row_number().over(order) == 1)
+                mine = mine & F.col(f"_first_{n}")
+            meets[n] = mine
+        ok = F.array_compact(F.array(*(F.when(m, F.lit(n)) for n, m in meets.items())))
+        return hits.select("person_id", F.col("start_date").alias("s"), F.col("end_date").alias("e"), ok.alias("ok")).where(F.size("ok") > 0)
 
     def judged(self) -> DataFrame:
         """Entries with a boolean column rule_i for each rule."""
-        entries, criteria = self.entries(), self.counted()
-        out = entries.join(self.cdm.person, "person_id", "left")
+        entries, criteria = self.entries().select("person_id", "index_date", "op_end"), self.counted()
         if criteria:
-            counts = self.matches(entries).groupBy("person_id", "index_date").agg(*(F.count_if(F.col("k") == n).alias(f"n_{n}") for n in range(len(criteria))))
-            out = out.join(counts, ["person_id", "index_date"], "left")
+            domains: dict[str, list[tuple[int, Counted]]] = {}
+            for n, k in enumerate(criteria):
+                domains.setdefault(k.criterion.domain, []).append((n, k))
+            found = reduce(DataFrame.unionByName, [self.found(d, ks) for d, ks in domains.items()])
+            counts = []
+            for n, k in enumerate(criteria):
+                tests = [F.array_contains("ok", n)]
+                for w, col in ((k.window, "s"), (k.end_window or Window(), "e")):
+                    if w.start is not None:
+                        tests.append(F.col(col) >= F.date_add("index_date", w.start))
+                    if w.end is not None:
+                        tests.append(F.col(col) <= F.date_add("index_date", w.end))
+                counts.append(F.count_if(reduce(and_, tests)).alias(f"n_{n}"))
+            # entries appear once in the plan: those that no event meets come through the outer join with counts of 0
+            entries = entries.join(found, "person_id", "left").groupBy("person_id", "index_date", "op_end").agg(*counts)
+        out = entries.join(self.cdm.person, "person_id", "left")
         number = iter(range(len(criteria)))
 
         def one(k: Counted) -> Column:
@@ -167,9 +178,17 @@ class Compiler:
         return cohorts.eras(spans, c.era_pad).select("person_id", F.col("start_date").alias("cohort_start_date"), F.col("end_date").alias("cohort_end_date"))
 
 
-def compile_cohort(cohort: Cohort, cdm, definition_id: int | None = None) -> DataFrame:
-    """The cohort's rows; with a definition id in the layout of the result table."""
-    rows = Compiler(cohort, cdm).cohort_rows()
+def compile_cohort(cohort: Cohort, cdm, definition_id: int | None = None, healed: bool = False) -> DataFrame:
+    """The cohort's rows; with a definition id in the layout of the result table.
+
+    healed: accept a document some of whose criteria have no concept set; what was left out is in Compiler.report. Without it such a
+    document is an error, as rules without their criteria let more persons in.
+    """
+    compiler = Compiler(cohort, cdm)
+    lost = [r for r in compiler.report if r[1] != "KEEP"]
+    if lost and not healed:
+        raise ValueError(f"criteria without a concept set: {lost}")
+    rows = compiler.cohort_rows()
     if definition_id is None:
         return rows
     return rows.select(F.lit(definition_id).cast("long").alias("cohort_definition_id"), F.col("person_id").alias("subject_id"), "cohort_start_date", "cohort_end_date")

@@ -140,10 +140,10 @@ def arms(target: Cohort, drug_codeset: int, comparator_codeset: int | None = Non
     return {"target": target, "treatment": replace(target, rules=(*target.rules, with_)), "comparator": replace(target, rules=(*target.rules, without))}
 
 
-def prepared(c: Cohort) -> Cohort:
-    """The passes that a document goes through before it is compiled."""
+def prepared(c: Cohort) -> tuple[Cohort, list[tuple[str, str]]]:
+    """The passes that a document goes through before it is compiled, and what became of each rule (KEEP, PARTIAL, SKIP)."""
     errors = [e for e in validate(c) if e[0] != "codeset_zero"]
     if errors:
         raise ValueError(f"cohort document: {errors}")
-    healthy, _, _ = healed(c)
-    return pruned(washout_before_index(healthy))
+    healthy, report, _ = healed(c)
+    return pruned(washout_before_index(healthy)), report
