@@ -913,3 +913,7 @@ def hourly_counts(c):
 def user_sessions(c):
     s = streams.sessions(c.raw("events"), "2 hours")
     return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+# queries of other modules, which register themselves here
+from . import catalogue_criteria  # noqa: E402, F401

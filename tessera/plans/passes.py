@@ -1,10 +1,10 @@
-"""Checks and rewrites of cohort documents before they are compiled. Each is a function of the document, with what it did as plain rows."""
+"""Checks and rewrites of cohort documents before they are compiled. Only what compiling needs; checks and repairs of many documents are in operators/criteria.py, as joins and groupings."""
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from .definition import Bound, Cohort, Counted, Criterion, Group, Rule, Window
+from .definition import Cohort, Counted, Criterion, Group, Rule, Window
 
 #: Event domains whose rows have a number, and so can be asked for one.
 WITH_VALUE = ("Measurement",)
@@ -64,73 +64,6 @@ def washout_before_index(c: Cohort) -> Cohort:
     return replace(c, rules=tuple(replace(r, group=walk(r.group)) for r in c.rules))
 
 
-def ranges_joined(c: Cohort) -> Cohort:
-    """ANY of 'at least a' and 'at most b' with a <= b on the same measurement, meant as one range, becomes between a and b."""
-
-    def walk(g: Group) -> Group:
-        g = replace(g, groups=tuple(map(walk, g.groups)))
-        if g.kind != "ANY" or len(g.criteria) != 2 or g.groups or g.demographics:
-            return g
-        low, high = sorted(g.criteria, key=lambda k: k.criterion.value.value if k.criterion.value else 0)
-        a, b = low.criterion.value, high.criterion.value
-        alike = replace(low, criterion=replace(low.criterion, value=None)) == replace(high, criterion=replace(high.criterion, value=None))
-        if alike and a and b and a.op == "gte" and b.op == "lte" and a.value <= b.value:
-            return replace(g, kind="ALL", criteria=(replace(low, criterion=replace(low.criterion, value=Bound("bt", a.value, b.value))),))
-        return g
-
-    return replace(c, rules=tuple(replace(r, group=walk(r.group)) for r in c.rules))
-
-
-def interval(b: Bound | None) -> tuple[float, float, bool, bool]:
-    """(low, high, low closed, high closed)."""
-    inf = float("inf")
-    if b is None:
-        return -inf, inf, False, False
-    return {
-        "gt": (b.value, inf, False, False), "gte": (b.value, inf, True, False), "lt": (-inf, b.value, False, False), "lte": (-inf, b.value, False, True),
-        "eq": (b.value, b.value, True, True), "bt": (b.value, b.extent, True, True),
-    }.get(b.op, (-inf, inf, False, False))
-
-
-def contradictions(c: Cohort) -> list[tuple[str, str]]:
-    """Pairs of rules of which one asks for what the other forbids: same domain and codeset, windows and values that cover."""
-
-    def alone(r: Rule) -> Counted | None:
-        g = r.group
-        return g.criteria[0] if len(g.criteria) == 1 and not g.groups and not g.demographics and g.kind == "ALL" else None
-
-    def covers(a: Window, b: Window) -> bool:
-        return (a.start is None or (b.start is not None and a.start <= b.start)) and (a.end is None or (b.end is not None and a.end >= b.end))
-
-    def holds(x: Criterion, y: Criterion) -> bool:
-        (a, b, ac, bc), (p, q, pc, qc) = interval(x.value), interval(y.value)
-        units = not x.units or set(y.units) == set(x.units)
-        return units and (a < p or (a == p and (ac or not pc))) and (b > q or (b == q and (bc or not qc)))
-
-    one = [(r, k) for r in c.rules if (k := alone(r))]
-    out = []
-    for r, k in one:
-        for s, m in one:
-            wants, forbids = k.kind == 2 and k.count >= 1, m.kind in (0, 1) and m.count == 0
-            same = (k.criterion.domain, k.criterion.codeset) == (m.criterion.domain, m.criterion.codeset)
-            if wants and forbids and same and covers(m.window, k.window) and holds(m.criterion, k.criterion) and not m.criterion.ratio_high and not m.criterion.ratio_low:
-                out.append((r.name, s.name))
-    return out
-
-
-def no_op_groups(c: Cohort) -> list[str]:
-    """Rules that accept everyone: ANY over two or more absences."""
-    out = []
-    for r in c.rules:
-        stack = [r.group]
-        while stack:
-            g = stack.pop()
-            stack += g.groups
-            if g.kind == "ANY" and len(g.criteria) >= 2 and all(k.kind in (0, 1) and k.count == 0 for k in g.criteria):
-                out.append(r.name)
-    return out
-
-
 def arms(target: Cohort, drug_codeset: int, comparator_codeset: int | None = None) -> dict[str, Cohort]:
     """Target, treatment (with the drug before or on index) and comparator (never the drug so far, or with another one)."""
     ever = Window(-9999, 0)

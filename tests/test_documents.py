@@ -5,6 +5,8 @@ import json
 import pytest
 
 from tessera.plans import passes
+from tessera.plans.compile import compile_cohort
+from tessera.sources.cdm import Cdm
 from tessera.plans.definition import Bound, Cohort, Counted, Criterion, Exit, Group, Item, Rule, Window, parse
 
 SETS = {1: (Item(10, True),), 2: (Item(20),), 3: (Item(30),)}
@@ -69,25 +71,10 @@ def test_washout_on_the_entry_set_stops_a_day_before():
     assert a.window == Window(-365, -1) and b.window == Window(-365, 0)
 
 
-def test_two_bounds_become_a_range():
-    low, high = (Counted(Criterion("Measurement", 2, value=Bound(o, v))) for o, v in (("gte", 2), ("lte", 9)))
-    joined = passes.ranges_joined(with_rules(Group("ANY", criteria=(high, low)))).rules[0].group
-    assert joined.kind == "ALL" and joined.criteria[0].criterion.value == Bound("bt", 2, 9)
-    apart = Group("ANY", criteria=(low, Counted(Criterion("Measurement", 3, value=Bound("lte", 9)))))
-    assert passes.ranges_joined(with_rules(apart)).rules[0].group == apart
-
-
-def test_contradictions():
-    want = Counted(Criterion("Measurement", 2, value=Bound("bt", 3, 5)), Window(-30, 0))
-    wide = Counted(Criterion("Measurement", 2, value=Bound("gte", 3)), Window(-365, 0), None, 0, 0)
-    narrow = Counted(Criterion("Measurement", 2, value=Bound("gt", 3)), Window(-365, 0), None, 0, 0)
-    assert passes.contradictions(with_rules(Group(criteria=(want,)), Group(criteria=(wide,)))) == [("r0", "r1")]
-    assert passes.contradictions(with_rules(Group(criteria=(want,)), Group(criteria=(narrow,)))) == []
-
-
-def test_any_of_absences_lets_all_in():
-    none = Counted(MEASURED, Window(-1, 0), None, 0, 0)
-    assert passes.no_op_groups(with_rules(Group("ANY", criteria=(none, none)), Group("ALL", criteria=(none, none)))) == ["r0"]
+def test_lost_criteria_are_an_error(spark):
+    c = with_rules(Group(criteria=(Counted(Criterion("Drug", 0)),)))
+    with pytest.raises(ValueError, match="without a concept set"):
+        compile_cohort(c, Cdm(spark, "/root/testdata/sf0.001"))
 
 
 def test_arms():
