@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import cohorts, retrieval, sites, survival, vocabulary
+from .operators import cohorts, matching, retrieval, sites, survival, vocabulary
 from .plans import passes
 from .plans.compile import Compiler, compile_cohort
 from .plans.definition import Bound, Cohort, Counted, Criterion, Demographic, Exit, Group, Item, Rule
@@ -687,13 +687,13 @@ def propensity_fit(c):
 
 @query()
 def psm_pairs(c):
-    return survival.matched(scored(c))
+    return matching.by_score(scored(c))
 
 
 @query()
 def mahalanobis_pairs(c):
     frame = analysis_frame(c).join(scored(c).select("person_id", "ps"), "person_id")
-    return survival.mahalanobis_matched(frame, ["age", "male"])
+    return matching.by_distance(frame, ["age", "male"])
 
 
 @query()

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Propensity bounds, caliper, balance threshold.
-PS_LOW, PS_HIGH, CALIPER, BALANCED = 0.01, 0.99, 0.2, 0.1
+from ..staging import staged
+
+#: Propensity bounds, balance threshold.
+PS_LOW, PS_HIGH, BALANCED = 0.01, 0.99, 0.1
 
 
 def iptw(ps: Column, treatment: Column, marginal: Column | None = None) -> Column:
@@ -102,6 +103,7 @@ def propensity(frame: DataFrame, covariates: list[str], c: float = 1.0) -> DataF
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    frame = staged(frame, "propensity")  # counted, scaled, fitted and scored
     n = frame.count()
     rows = VectorAssembler(inputCols=covariates, outputCol="_x").transform(frame)
     scaled = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True).fit(rows).transform(rows)
@@ -109,58 +111,6 @@ def propensity(frame: DataFrame, covariates: list[str], c: float = 1.0) -> DataF
     return model.transform(scaled).withColumn("ps", vector_to_array("_p")[1]).drop("_x", "_z", "_p", "_r", "_y")
 
 
-def greedy_pairs(pdf: pd.DataFrame, caliper: float, ratio: int) -> list[tuple[int, int, float]]:
-    """Treated in order of id, each with its nearest free controls within the caliper."""
-    treated = pdf[pdf.treatment == 1].sort_values("person_id")
-    control = pdf[pdf.treatment == 0].sort_values(["ps", "person_id"])
-    scores, ids, free, out = control.ps.to_numpy(), control.person_id.to_numpy(), np.ones(len(control), bool), []
-    for pid, ps in zip(treated.person_id, treated.ps):
-        lo, hi = np.searchsorted(scores, [ps - caliper, ps + caliper], side="left")
-        near = np.arange(lo, min(hi + 1, len(scores)))
-        near = near[free[near] & (np.abs(scores[near] - ps) <= caliper)]
-        for i in near[np.lexsort((ids[near], np.abs(scores[near] - ps)))][:ratio]:
-            free[i] = False
-            out.append((int(pid), int(ids[i]), float(abs(scores[i] - ps))))
-    return out
-
-
-def matched(frame: DataFrame, caliper: float = CALIPER, ratio: int = 1, cells: int = 1) -> DataFrame:
-    """person_id, control_id, distance: greedy nearest neighbours on ps without replacement.
-
-    cells = 1 is the exact greedy over all rows, for up to some tens of thousands. More cells
-    cut [0, 1] into score ranges matched apart, each in its own task; pairs across a range's edge are
-    not looked for, so this is an approximation, and no task gets more than a range.
-    """
-    cell = F.least(F.floor(F.col("ps") * cells), F.lit(cells - 1)).alias("cell")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(greedy_pairs(pdf, caliper, ratio), columns=["person_id", "control_id", "distance"])
-
-    return frame.select("person_id", "treatment", "ps", cell).groupBy("cell").applyInPandas(run, "person_id long, control_id long, distance double")
-
-
-def mahalanobis_matched(frame: DataFrame, covariates: list[str], caliper: float = CALIPER, ratio: int = 1, cells: int = 1) -> DataFrame:
-    """As matched(), by Mahalanobis distance on covariates inside the ps caliper. The inverse covariance (ridge 1e-6) is p x p sums."""
-    p = len(covariates)
-    stats = frame.agg(*(F.covar_samp(a, b).alias(f"c{i}_{j}") for i, a in enumerate(covariates) for j, b in enumerate(covariates))).first()
-    inverse = np.linalg.pinv(np.array([[stats[f"c{i}_{j}"] or 0.0 for j in range(p)] for i in range(p)]) + 1e-6 * np.eye(p))
-    cell = F.least(F.floor(F.col("ps") * cells), F.lit(cells - 1)).alias("cell")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("person_id")
-        t, c = pdf[pdf.treatment == 1], pdf[pdf.treatment == 0]
-        x, ps, ids, free, out = c[covariates].to_numpy(float), c.ps.to_numpy(), c.person_id.to_numpy(), np.ones(len(c), bool), []
-        for pid, score, row in zip(t.person_id, t.ps, t[covariates].to_numpy(float)):
-            near = np.flatnonzero(free & (np.abs(ps - score) <= caliper))
-            d = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x[near] - row, inverse, x[near] - row), 0))
-            for i in near[np.lexsort((ids[near], d))][:ratio]:
-                free[i] = False
-                out.append((int(pid), int(ids[i]), float(d[np.flatnonzero(near == i)[0]])))
-        return pd.DataFrame(out, columns=["person_id", "control_id", "distance"])
-
-    return frame.select("person_id", "treatment", "ps", *covariates, cell).groupBy("cell").applyInPandas(run, "person_id long, control_id long, distance double")
-
-
 def cox(rows: DataFrame, covariates: list[str], penalty: float = 0.01, weight: str | None = None, rounds: int = 25) -> dict[str, dict[str, float]]:
     """Hazard ratios by Breslow's partial likelihood, ridge penalty n * penalty / 2 * |b|^2: log hr, hr, 95 % interval, p.
 
@@ -170,6 +120,7 @@ def cox(rows: DataFrame, covariates: list[str], penalty: float = 0.01, weight: s
     p = len(covariates)
     w = F.col(weight) if weight else F.lit(1.0)
     base = rows.select(F.col("time").cast("double").alias("time"), F.col("event").cast("int").alias("event"), w.alias("w"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)))
+    base = staged(base, "cox")  # read in every round
     n, beta = base.count(), np.zeros(p)
     for _ in range(rounds):
         r = F.col("w") * F.exp(sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0)))

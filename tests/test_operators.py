@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import cohorts, retrieval, survival, vocabulary
+from tessera.operators import cohorts, matching, retrieval, survival, vocabulary
 from tessera.sources import cdm
 from tessera.streaming import events as streams
 
@@ -44,7 +44,7 @@ def test_balance(spark):
 
 def test_matching_without_replacement(spark):
     rows = frame(spark, [(1, 1, 0.3), (2, 1, 0.5), (3, 1, 0.7), (4, 0, 0.32), (5, 0, 0.48), (6, 0, 0.72), (7, 0, 0.1)], "person_id long, treatment int, ps double")
-    assert sorted((r.person_id, r.control_id) for r in survival.matched(rows, 0.05).collect()) == [(1, 4), (2, 5), (3, 6)]
+    assert sorted((r.person_id, r.control_id) for r in matching.by_score(rows, 0.05).collect()) == [(1, 4), (2, 5), (3, 6)]
 
 
 def test_cox_without_penalty_meets_its_score_equation(spark):
