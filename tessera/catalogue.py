@@ -916,4 +916,4 @@ def user_sessions(c):
 
 
 # queries of other modules, which register themselves here
-from . import catalogue_criteria  # noqa: E402, F401
+from . import catalogue_criteria, catalogue_selection  # noqa: E402, F401

@@ -121,3 +121,27 @@ def distinct_first(rows, key: list[str], order: list[str]):
     from pyspark.sql import Window
 
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+# What marks a query as one about time.
+TEMPORAL = ("history of", "prior", "previous", "currently", "within", "before", "after", "at least", "at most", "days", "months", "years")
+_DOSE = r"\s+[0-9]+(\.[0-9]+)?\s*(MG|ML|MCG|UNT|%).*$"
+
+
+def is_temporal(query: Column) -> Column:
+    low = F.lower(query)
+    hit = F.lit(False)
+    for word in TEMPORAL:
+        hit = hit | F.contains(low, F.lit(word))
+    return hit
+
+
+def ingredients(product: Column) -> Column:
+    """A product's ingredient names: its parts between slashes without what follows a dose."""
+    return F.transform(F.split(product, " / "), lambda part: F.lower(F.regexp_replace(F.trim(part), _DOSE, "")))
+
+
+def restated(rows, length: int = 40):
+    """stem, n, first: descriptions (id, text) that begin alike once only letters count, with how many and the least id."""
+    stem = F.left(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), F.lit(length))
+    return rows.select("id", stem.alias("stem")).where("stem <> ''").groupBy("stem").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")

@@ -37,22 +37,48 @@ def hashed_order(key: str = "person_id", seed: int = 42) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
 
-def rest_comparator(persons: DataFrame, target: DataFrame, per_treated: int = 10, seed: int = 42) -> DataFrame:
-    """Persons outside the target, at most per_treated for each treated one, by hashed order; index at the target's first start.
+def first_hashed(rows: DataFrame, facts: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows (person_id) first in hashed order, as many as facts (one row) says in _cap, with the other columns of facts.
 
     The order is not sorted as a whole: persons are counted in buckets of the hash, running sums over the buckets
     (65,536 at most) give the one in which the cap falls, and ranks are given only inside it.
     """
-    rest = persons.select("person_id").distinct().join(target.select("person_id"), "person_id", "left_anti").withColumn("_h", hashed_order(seed=seed))
-    rest = rest.withColumn("_b", F.coalesce(F.substring("_h", 1, 4), F.lit("")))  # no hash: first, as nulls are
-    facts = target.agg(F.countDistinct("person_id").alias("n"), F.min("cohort_start_date").alias("cohort_start_date"))  # one row
+    hashed = rows.withColumn("_h", hashed_order(seed=seed))
+    hashed = hashed.withColumn("_b", F.coalesce(F.substring("_h", 1, 4), F.lit("")))  # no hash: first, as nulls are
     upto = F.sum("count").over(Window.orderBy("_b"))
-    buckets = rest.groupBy("_b").count().select("_b", (upto - F.col("count")).alias("_before"), upto.alias("_upto"))
-    cap = per_treated * F.col("n")
-    room = buckets.crossJoin(F.broadcast(facts)).where(F.col("_before") < cap).select("_b", "cohort_start_date", F.when(F.col("_upto") > cap, cap - F.col("_before")).alias("_room"))
-    placed = rest.join(F.broadcast(room), "_b")
+    buckets = hashed.groupBy("_b").count().select("_b", (upto - F.col("count")).alias("_before"), upto.alias("_upto"))
+    kept = buckets.crossJoin(F.broadcast(facts)).where(F.col("_before") < F.col("_cap")).withColumn("_room", F.when(F.col("_upto") > F.col("_cap"), F.col("_cap") - F.col("_before")))
+    placed = hashed.join(F.broadcast(kept.drop("_before", "_upto", "_cap")), "_b")
     inside = placed.where("_room IS NOT NULL").withColumn("_nth", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "person_id"))).where("_nth <= _room")
-    return placed.where("_room IS NULL").unionByName(inside.drop("_nth")).select("person_id", "cohort_start_date")
+    return placed.where("_room IS NULL").unionByName(inside.drop("_nth")).drop("_h", "_b", "_room")
+
+
+def numbered(rows: DataFrame, base: int = 0, seed: int = 42) -> DataFrame:
+    """rows (person_id) with number: base + 1 and on, without gaps, in hashed order. Buckets' counts give each bucket's start."""
+    hashed = rows.withColumn("_h", hashed_order(seed=seed)).withColumn("_b", F.substring("_h", 1, 4))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = hashed.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "person_id"))
+    return hashed.withColumn("_nth", nth).join(F.broadcast(starts), "_b").withColumn("number", base + F.col("_before") + F.col("_nth")).drop("_h", "_b", "_before", "_nth")
+
+
+def sampled(persons: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """A share of the persons, rounded up, by hashed order."""
+    every = persons.select("person_id").distinct()
+    return first_hashed(every, every.agg(F.ceil(F.count("*") * share).alias("_cap")), seed)
+
+
+def rest_comparator(persons: DataFrame, target: DataFrame, per_treated: int = 10, seed: int = 42) -> DataFrame:
+    """Persons outside the target, at most per_treated for each treated one, by hashed order; index at the target's first start."""
+    rest = persons.select("person_id").distinct().join(target.select("person_id"), "person_id", "left_anti")
+    facts = target.agg((per_treated * F.countDistinct("person_id")).alias("_cap"), F.min("cohort_start_date").alias("cohort_start_date"))  # one row
+    return first_hashed(rest, facts, seed).select("person_id", "cohort_start_date")
+
+
+def fixed_comparator(persons: DataFrame, excluded: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """The same persons for every study: all but the excluded, the first `most` of them by hashed order."""
+    rest = persons.select("person_id").distinct().join(excluded.select("person_id"), "person_id", "left_anti")
+    return first_hashed(rest, rest.sparkSession.range(1).select(F.lit(most).cast("long").alias("_cap")), seed)
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str = "subject_id") -> DataFrame:

@@ -76,6 +76,15 @@ def kaplan_meier(rows: DataFrame, *keys: str) -> DataFrame:
     return t.select(*keys, "time", "at_risk", "n_events", s.alias("survival"), (s * F.sqrt(green)).alias("std_error"))
 
 
+def with_interval(curve: DataFrame, z: float = 1.959964) -> DataFrame:
+    """The curve with low and high: the interval of log(-log survival), so within 0 and 1; null where survival is 0 or 1."""
+    s = F.col("survival")
+    width = z * F.col("std_error") / (s * F.log(s))
+    inside = (s > 0) & (s < 1)
+    at = lambda sign: F.when(inside, F.pow(s, F.exp(sign * width)))
+    return curve.withColumns({"low": F.least(at(1), at(-1)), "high": F.greatest(at(1), at(-1))})
+
+
 def median_survival(curve: DataFrame, *keys: str) -> DataFrame:
     hit = curve.where("survival <= 0.5")
     return hit.groupBy(*keys).agg(F.min("time").alias("median")) if keys else hit.agg(F.min("time").alias("median"))
@@ -114,7 +123,7 @@ def propensity(frame: DataFrame, covariates: list[str], c: float = 1.0) -> DataF
 def cox(rows: DataFrame, covariates: list[str], penalty: float = 0.01, weight: str | None = None, rounds: int = 25) -> dict[str, dict[str, float]]:
     """Hazard ratios by Breslow's partial likelihood, ridge penalty n * penalty / 2 * |b|^2: log hr, hr, 95 % interval, p.
 
-    A Newton round is one aggregation by event time (sums of r, rx, rxx) and running sums over the times; p x p numbers
+    With a weight the interval is that of the robust variance. A Newton round is one aggregation by event time (sums of r, rx, rxx) and running sums over the times; p x p numbers
     for each distinct time, which follow-up days bound, come to the driver.
     """
     p = len(covariates)
@@ -140,5 +149,25 @@ def cox(rows: DataFrame, covariates: list[str], penalty: float = 0.01, weight: s
         beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
-    se = np.sqrt(np.diag(np.linalg.inv(hessian)))
+    variance = np.linalg.inv(hessian)
+    if weight:  # weights make the model's own variance too small: the sandwich of the persons' score residuals instead
+        variance = variance @ residual_products(base, beta, t["time"].to_numpy(), s0, mean, d) @ variance
+    se = np.sqrt(np.diag(variance))
     return {c: {"log_hr": float(b), "hr": math.exp(b), "low": math.exp(b - 1.959964 * s), "high": math.exp(b + 1.959964 * s), "p": math.erfc(abs(b / s) / math.sqrt(2))} for c, b, s in zip(covariates, beta, se)}
+
+
+def residual_products(base: DataFrame, beta: np.ndarray, times: np.ndarray, s0: np.ndarray, mean: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Sum of outer products of weighted score residuals. times fall; s0, mean, d: risk, its mean covariates and events at each.
+
+    A residual needs, of the times up to a person's own, only two running sums; they are a table of one row a day.
+    """
+    p = len(beta)
+    up = np.argsort(times)
+    hazard, drift = np.cumsum((d / s0)[up]), np.cumsum((mean * d / s0)[:, up], axis=1)
+    rows = [(float(times[i]), float(hazard[k]), *(float(drift[j, k]) for j in range(p)), *(float(mean[j, i]) for j in range(p))) for k, i in enumerate(up.tolist())]
+    columns = ["time double", "h double", *(f"a{j} double" for j in range(p)), *(f"m{j} double" for j in range(p))]
+    table = base.sparkSession.createDataFrame(rows, ", ".join(columns))
+    risk = F.exp(sum((F.lit(float(b)) * F.col(f"x{j}") for j, b in enumerate(beta)), F.lit(0.0)))
+    u = [F.col("w") * (F.col("event") * (F.col(f"x{j}") - F.col(f"m{j}")) - risk * (F.col(f"x{j}") * F.col("h") - F.col(f"a{j}"))) for j in range(p)]
+    one = base.join(F.broadcast(table), "time").agg(*(F.sum(u[i] * u[j]).alias(f"b{i}_{j}") for i in range(p) for j in range(i, p))).first()
+    return np.array([[one[f"b{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])

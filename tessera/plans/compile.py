@@ -192,8 +192,3 @@ def compile_cohort(cohort: Cohort, cdm, definition_id: int | None = None, healed
     if definition_id is None:
         return rows
     return rows.select(F.lit(definition_id).cast("long").alias("cohort_definition_id"), F.col("person_id").alias("subject_id"), "cohort_start_date", "cohort_end_date")
-
-
-def write_cohort(rows: DataFrame, path: str) -> None:
-    """Replace the definitions in rows in a result table partitioned by definition, leaving others."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cohort_definition_id").parquet(path)
