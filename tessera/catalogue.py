@@ -894,7 +894,8 @@ def normalised_names(c):
     return c._parts.groupBy(F.lower(F.trim("p_name")).alias("name")).agg(F.min("leaf_id").alias("concept_id"), F.countDistinct("brand_id").alias("n")).select("name", "concept_id", (F.col("n") > 1).alias("ambiguous"))
 
 
-@query()
+@query("""SELECT person_id, start_date, said, CASE WHEN concept_id % 3 = 0 THEN 'gte' WHEN concept_id % 3 = 1 THEN 'lt' ELSE 'gt' END AS op, v AS value, CAST(8840 AS BIGINT) AS unit_concept_id FROM (SELECT *, 'value ' || CASE WHEN concept_id % 3 = 0 THEN '>= ' WHEN concept_id % 3 = 1 THEN 'less than ' ELSE 'above ' END || v || ' mg/dL' AS said
+FROM (SELECT *, round(value_as_number / 1000, 1) AS v FROM measurement))""")
 def parsed_thresholds(c):
     said = F.concat(F.lit("value "), F.when(F.col("concept_id") % 3 == 0, ">= ").when(F.col("concept_id") % 3 == 1, "less than ").otherwise("above "), F.round(F.col("value_as_number") / 1000, 1).cast("string"), F.lit(" mg/dL"))
     rows = c.measurement.select("person_id", "start_date", said.alias("said"))

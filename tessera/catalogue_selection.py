@@ -139,14 +139,6 @@ def restated_clusters(c):
     return text.restated(c.raw("conversations").select(F.col("conv_id").alias("id"), "text"), 24).withColumnRenamed("first", "first_id")
 
 
-@query("""SELECT DISTINCT person_id, start_date, said, CASE WHEN concept_id % 3 = 0 THEN 'gte' WHEN concept_id % 3 = 1 THEN 'lt' ELSE 'gt' END AS op, v AS value, CAST(8840 AS BIGINT) AS unit_concept_id FROM (SELECT *, 'value ' || CASE WHEN concept_id % 3 = 0 THEN '>= ' WHEN concept_id % 3 = 1 THEN 'less than ' ELSE 'above ' END || v || ' mg/dL' AS said
-FROM (SELECT *, round(value_as_number / 1000, 1) AS v FROM measurement))""")
-def distinct_thresholds(c):
-    from .catalogue import QUERIES
-
-    return QUERIES["parsed_thresholds"](c.spark, c.folder).distinct()
-
-
 # ---- datasets and simulation ----------------------------------------------------------------------
 
 
