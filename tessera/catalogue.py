@@ -789,21 +789,21 @@ def token_jaccard(c):
     return retrieval.token_pairs(t).select("a", "b", *r6("score"))
 
 
-@query("""WITH l AS (SELECT brand_id AS id, p_brand AS name, list(leaf_id) AS m FROM parts WHERE p_partkey % 2 = 0 GROUP BY ALL), r AS (SELECT brand_id AS id, p_brand AS name, list(leaf_id) AS m FROM parts WHERE p_partkey % 3 = 0 GROUP BY ALL),
+@query("""WITH l AS (SELECT brand_id AS id, p_brand AS name, list(leaf_id) AS m FROM parts WHERE p_partkey % 3 <> 0 GROUP BY ALL), r AS (SELECT brand_id AS id, p_brand AS name, list(leaf_id) AS m FROM parts WHERE p_partkey % 3 <> 1 GROUP BY ALL),
 s AS (SELECT l.id AS left_id, r.id AS right_id, CASE WHEN l.id = r.id THEN 1.0 ELSE 1 / 3 END AS name_score, len(list_intersect(l.m, r.m)) / len(list_distinct(list_concat(l.m, r.m))) AS overlap FROM l, r)
 SELECT left_id, right_id, round(name_score, 6) AS name_score, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY name_score DESC, overlap DESC, right_id) AS q FROM s WHERE name_score >= 0.5 OR (name_score >= 0.25 AND overlap > 0) OR overlap >= 0.3) WHERE q = 1""")
 def set_pairing(c):
     def sets(where: str) -> DataFrame:
         return c._parts.where(where).groupBy(F.col("brand_id").alias("set_id"), F.col("p_brand").alias("name")).agg(F.collect_list("leaf_id").alias("members"))
 
-    return retrieval.paired_sets(sets("p_partkey % 2 = 0"), sets("p_partkey % 3 = 0")).select("left_id", "right_id", *r6("name_score", "overlap"))
+    return retrieval.paired_sets(sets("p_partkey % 3 <> 0"), sets("p_partkey % 3 <> 1")).select("left_id", "right_id", *r6("name_score", "overlap"))
 
 
-@query("""WITH p AS (SELECT brand_id AS b, count(CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 1 END) AS i, count(CASE WHEN p_partkey % 2 = 0 THEN 1 END) AS l, count(CASE WHEN p_partkey % 3 = 0 THEN 1 END) AS r FROM parts GROUP BY 1 HAVING l > 0 AND r > 0)
+@query("""WITH p AS (SELECT brand_id AS b, count(CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 3 <> 1 THEN 1 END) AS i, count(CASE WHEN p_partkey % 3 <> 0 THEN 1 END) AS l, count(CASE WHEN p_partkey % 3 <> 1 THEN 1 END) AS r FROM parts GROUP BY 1 HAVING l > 0 AND r > 0)
 SELECT count(*) AS n_pairs, round(avg(i / l), 6) AS macro_recall, round(avg(i / r), 6) AS macro_precision, round(sum(i) / sum(l), 6) AS micro_recall, round(sum(i) / sum(r), 6) AS micro_precision, round(median(i / l), 6) AS median_recall, count(CASE WHEN i = 0 THEN 1 END) AS n_zero, count(CASE WHEN r >= 3 * l THEN 1 END) AS n_over_expanded FROM p""")
 def macro_metrics(c):
-    even, third = F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0
-    p = c._parts.groupBy("brand_id").agg(F.count_if(even & third).alias("i"), F.count_if(even).alias("l"), F.count_if(third).alias("r")).where("l > 0 AND r > 0")
+    gold, made = F.col("p_partkey") % 3 != 0, F.col("p_partkey") % 3 != 1
+    p = c._parts.groupBy("brand_id").agg(F.count_if(gold & made).alias("i"), F.count_if(gold).alias("l"), F.count_if(made).alias("r")).where("l > 0 AND r > 0")
     recall, precision = F.col("i") / F.col("l"), F.col("i") / F.col("r")
     return p.agg(
         F.count("*").alias("n_pairs"), F.round(F.avg(recall), 6).alias("macro_recall"), F.round(F.avg(precision), 6).alias("macro_precision"), F.round(F.sum("i") / F.sum("l"), 6).alias("micro_recall"), F.round(F.sum("i") / F.sum("r"), 6).alias("micro_precision"),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue import query
-from .operators import criteria
-from .sources.cdm import Cdm
+from .operators import criteria, vocabulary
+from .sources.cdm import BRAND, LEAF, Cdm
 
 #: The test tables' orders as criteria: a customer is a document, five rules each; set, domain, window, bounds and flags are read off an order's columns.
 CRIT = """crit AS (SELECT o_orderkey AS id, o_custkey AS document, o_orderkey % 5 AS rule, (o_orderkey // 5) % 2 = 0 AS any_of, CASE o_orderstatus WHEN 'P' THEN 'Drug' WHEN 'F' THEN 'Condition' ELSE 'Measurement' END AS domain,
@@ -165,3 +165,40 @@ s AS (SELECT domain, CASE WHEN l.document IS NULL THEN 'only_right' WHEN r.docum
 def version_difference(c):
     left, right = versions(c)
     return criteria.set_difference(left, right, list(criteria.SET)).groupBy("domain", "side").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CRIT} SELECT id FROM crit WHERE NOT absent AND unit IS NOT NULL AND codeset IN (2, 3)")
+def repair_presence_units(c):
+    return criteria.without_unit(rows(c), [2, 3])
+
+
+# ---- a site's evidence -----------------------------------------------------------------------------
+
+#: Criteria's concepts: drugs by the order's number, some of which no table has, and every fourth a brand.
+SITE = f"""site AS (SELECT *, rule = 0 AS is_entry, CASE WHEN id % 4 = 0 THEN {BRAND} + id % 60 ELSE {LEAF} + id % 3000 END AS concept_id FROM crit),
+known AS (SELECT concept_id FROM drug_exposure GROUP BY 1 HAVING count(DISTINCT person_id) > 25), below AS (SELECT DISTINCT ancestor_concept_id AS concept_id FROM concept_ancestor JOIN known ON known.concept_id = descendant_concept_id WHERE ancestor_concept_id <> descendant_concept_id),
+proposed AS (SELECT id, document, rule, is_entry, CASE WHEN concept_id IN (SELECT * FROM known) THEN 'KEEP' WHEN concept_id IN (SELECT * FROM below) THEN 'REPOINT' WHEN is_entry THEN 'REMAP' WHEN absent THEN 'BENIGN_KEEP' ELSE 'DROP' END AS action FROM site)"""
+
+
+def proposed(c: Cdm) -> DataFrame:
+    concept = F.when(F.col("id") % 4 == 0, BRAND + F.col("id") % 60).otherwise(LEAF + F.col("id") % 3000)
+    known = c.drug_exposure.groupBy("concept_id").agg(F.countDistinct("person_id").alias("n")).where("n > 25")
+    return criteria.proposals(rows(c).withColumns({"is_entry": F.col("rule") == 0, "concept_id": concept}), known, c.concept_ancestor)
+
+
+@query(f"WITH {CRIT}, {SITE} SELECT * FROM proposed")
+def site_proposals(c):
+    return proposed(c)
+
+
+@query(f"""WITH {CRIT}, {SITE}, r AS (SELECT document, rule, bool_and(action = 'DROP') AS gone FROM proposed WHERE NOT is_entry GROUP BY ALL), n AS (SELECT document, count(*) AS n_rules, count(CASE WHEN gone THEN 1 END) AS n_dropped FROM r GROUP BY 1)
+SELECT *, n_dropped > 0.4 * n_rules AS aborted, CASE WHEN n_dropped > 0.4 * n_rules THEN n_rules ELSE n_rules - n_dropped END AS n_left FROM n""")
+def site_applied(c):
+    return criteria.applied(proposed(c))
+
+
+@query("""WITH s AS (SELECT concept_id FROM concept WHERE standard_concept = 'S' AND invalid_reason IS NULL) SELECT DISTINCT concept_id_1, concept_id_2, relationship_id FROM concept_relationship WHERE relationship_id IN ('Is a', 'Maps to') AND concept_id_1 <> concept_id_2
+AND concept_id_1 IN (SELECT * FROM s) AND concept_id_2 IN (SELECT * FROM s)""")
+def graph_edges(c):
+    """Edges of the concept graph: both ends standard and valid, none to itself."""
+    return vocabulary.edges(c.concept, c.concept_relationship)

@@ -158,3 +158,26 @@ def set_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     """keys, side: shared, only_left or only_right."""
     a, b = left.select(*keys).distinct().withColumn("l", F.lit(True)), right.select(*keys).distinct().withColumn("r", F.lit(True))
     return a.join(b, keys, "full").select(*keys, F.when(F.col("l").isNull(), "only_right").when(F.col("r").isNull(), "only_left").otherwise("shared").alias("side"))
+
+
+def without_unit(rows: DataFrame, allowed: list[int]) -> DataFrame:
+    """id of presences on allow-listed sets whose unit filter goes, as sites record these values without one."""
+    return rows.where(~F.col("absent") & F.col("unit").isNotNull() & F.col("codeset").isin(allowed)).select("id")
+
+
+def proposals(rows: DataFrame, evidence: DataFrame, ancestor: DataFrame) -> DataFrame:
+    """id, document, rule, action for criteria with a concept_id at a site: KEEP where the concept has persons, REPOINT where only concepts under it have,
+    else REMAP for entries (is_entry), BENIGN_KEEP for absences and DROP for presences. evidence: concept_id of those with persons enough."""
+    has = evidence.select("concept_id").distinct().withColumn("own", F.lit(True))
+    under = ancestor.where("ancestor_concept_id <> descendant_concept_id").join(evidence.select(F.col("concept_id").alias("descendant_concept_id")), "descendant_concept_id", "left_semi")
+    below = under.select(F.col("ancestor_concept_id").alias("concept_id")).distinct().withColumn("below", F.lit(True))
+    action = F.when(F.col("own"), "KEEP").when(F.col("below"), "REPOINT").when(F.col("is_entry"), "REMAP").when(F.col("absent"), "BENIGN_KEEP").otherwise("DROP")
+    return rows.join(has, "concept_id", "left").join(below, "concept_id", "left").select("id", "document", "rule", "is_entry", action.alias("action"))
+
+
+def applied(proposed: DataFrame, most: float = 0.4) -> DataFrame:
+    """document, n_rules, n_dropped, aborted, n_left: rules all of whose criteria are dropped go, entries never; where more than a share would go nothing is done."""
+    rules = proposed.where("NOT is_entry").groupBy("document", "rule").agg(F.bool_and(F.col("action") == "DROP").alias("gone"))
+    n = rules.groupBy("document").agg(F.count("*").alias("n_rules"), F.count_if("gone").alias("n_dropped"))
+    aborted = F.col("n_dropped") > most * F.col("n_rules")
+    return n.select("document", "n_rules", "n_dropped", aborted.alias("aborted"), F.when(aborted, F.col("n_rules")).otherwise(F.col("n_rules") - F.col("n_dropped")).alias("n_left"))

@@ -188,3 +188,10 @@ def recommended(seeds: DataFrame, edges: DataFrame, concept: DataFrame, per_seed
     nth = F.row_number().over(Window.partitionBy("seed_id").orderBy("concept_id"))
     ranked = found.withColumn("nth", nth).where(F.col("nth") <= per_seed)
     return ranked.groupBy("concept_id").agg(F.max(1 / (1 + 0.1 * (F.col("nth") - 1))).alias("score"))
+
+
+def edges(concept: DataFrame, relationship: DataFrame) -> DataFrame:
+    """concept_id_1, concept_id_2, relationship_id of 'Is a' and 'Maps to' between standard, valid concepts; none to itself."""
+    good = standard(concept).select("concept_id")
+    rows = relationship.where("relationship_id IN ('Is a', 'Maps to') AND concept_id_1 <> concept_id_2").select("concept_id_1", "concept_id_2", "relationship_id").distinct()
+    return rows.join(good.toDF("concept_id_1"), "concept_id_1", "left_semi").join(good.toDF("concept_id_2"), "concept_id_2", "left_semi").select("concept_id_1", "concept_id_2", "relationship_id")
