@@ -23,9 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends; until then results that read it may still be asked for."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: cuts lineage, survives lost executors, runs df once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    removed_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
