@@ -3,7 +3,8 @@
 Texts of equal shingle sets are one class from the start. Each class's set is embedded as COORDINATES
 minimum hashes. A run of the chosen-path tree samples coordinates at every node, on average
 1 / similarity of them, and splits a bucket by the values of each; two sets of the wanted similarity keep meeting in one child on
-average. Runs are repeated for the target recall: the deeper the buckets that sets were in, the more runs they go through. Small buckets are compared in full. In a large one
+average. Runs are repeated for the target recall, their number coming from it and from how deep a pair may have to split; a pair that must
+split more often is found less surely by the runs, but ties to representatives find most of these. Small buckets are compared in full. In a large one
 every member is compared with some representatives; those near one leave, as whatever is similar to
 them is near that representative too and tied to it; the others split again. Ties are
 loose on purpose: they gather groups in which afterwards all pairs are counted exactly on the
@@ -24,8 +25,8 @@ from .common import fresh, keyed_text, partitions, ship, staged
 from .graphs import components
 
 WORDS, SIMILARITY = 5, 0.8
-#: Coordinates of the embedding; share of linked pairs that the ties must join, on average, however deep their buckets are.
-COORDINATES, RECALL = 64, 0.999
+#: Coordinates of the embedding; share of linked pairs that the ties must join on average, and levels that a pair may have to split for that.
+COORDINATES, RECALL, DEPTH = 64, 0.995, 2
 #: Largest bucket compared in full; representatives of a larger one; levels after which what is left counts as one group (and is counted exactly).
 SMALL, REPRESENTATIVES, LEVELS = 192, 16, 12
 #: Agreement of coordinates to be tied (four deviations under the similarity), tied to a representative (two distances of 0.2 and noise), to leave a bucket.
@@ -140,10 +141,10 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log((1 - recall) / 2) / math.log(1 - survival(depth)))
 
 
-def roots(sets: DataFrame, first: int, last: int) -> DataFrame:
-    """Every set at the root of every run from first to last."""
+def roots(sets: DataFrame, runs: int) -> DataFrame:
+    """Every set at the root of every run."""
     root = F.xxhash64(F.lit("root"), F.col("run"))
-    return sets.select("node", "embedding", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run")).select(root.alias("path"), "node", "embedding")
+    return sets.select("node", "embedding", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).select(root.alias("path"), "node", "embedding")
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,55 +208,34 @@ def grouped(batches, key: str, columns: tuple[str, ...]):
 
 
 def candidate_ties(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """a, b: ties that join every two sets of the wanted similarity that the runs bring together.
-
-    All sets go through the runs that a tree of one level needs; those that were split again go through the further runs that
-    two levels need, and so on, until no set has been deeper than its runs allow for.
-    """
-    found: list[DataFrame] = []
-    deeper: dict[int, list[DataFrame]] = {}
-    now, done, depth = sets, 0, 1
-    while now is not None:
-        need = runs_for(recall, depth)
-        for level, nodes in descend(now, similarity, done + 1, need, found, f"{depth}"):
-            deeper.setdefault(level, []).append(nodes)
-        done, depth = need, depth + 1
-        split = union(deeper[depth]) if depth in deeper else None
-        now = None if split is None else staged(sets.join(split, "node"), f"split-{depth}")
-    return starred(union(found))
-
-
-def descend(sets: DataFrame, similarity: float, first: int, last: int, found: list[DataFrame], name: str) -> list[tuple[int, DataFrame]]:
-    """One tree for each run: its ties are added to found; (level, nodes that had to split for it) come back."""
-    n = partitions(sets.sparkSession)
-    level, split = roots(sets, first, last), []
-    signature = sets.select("node", "embedding")
+    """a, b: ties that join every two sets of the wanted similarity that the runs bring together."""
+    n, signature = partitions(sets.sparkSession), sets.select("node", "embedding")
+    level, found = roots(sets, runs_for(recall, DEPTH)), []
     for depth in range(LEVELS):
         below = children(level, similarity)
         if depth:
             below = below.distinct()
-        below = staged(below, f"paths-{name}-{depth}")
-        sizes = below.groupBy("path").count().where("count > 1")
-        kept = staged(below.join(sizes, "path").join(signature, "node"), f"buckets-{name}-{depth}")
+        below = staged(below, f"paths-{depth}")
+        # sizes and representatives are staged: the joins with them then have plain shuffles on both sides, and Spark can split a hot path
+        sizes = staged(below.groupBy("path").count().where("count > 1"), f"sizes-{depth}")
+        kept = staged(below.join(sizes, "path").join(signature, "node"), f"buckets-{depth}")
         small, large = kept.where(F.col("count") <= SMALL), kept.where(F.col("count") > SMALL)
-        found.append(staged(ties_within(small.select("path", "node", "embedding"), n), f"ties-{name}-{depth}"))
+        found.append(ties_within(small.select("path", "node", "embedding"), n))
         if not large.limit(1).count():
-            return split
+            return starred(staged(union(found), "ties"))
         # a bucket's representatives: about REPRESENTATIVES of its members, those of least hash, so that buckets with the same members have the same ones
         pick = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) * F.col("count") < REPRESENTATIVES << 40
         few = large.where(pick).groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.pmod(F.xxhash64("node"), F.lit(1 << 40)).alias("h"), "node", "embedding"))).alias("r"))
-        # staged: the join then has plain shuffles on both sides, and Spark can split a hot path
-        few = staged(few.select("path", F.col("r.node").alias("r_nodes"), F.col("r.embedding").alias("r_sigs")), f"representatives-{name}-{depth}")
-        judged = staged(large.select("path", "node", "embedding").join(few, "path", "left").mapInArrow(against_representatives, "path long, node long, embedding binary, leaves boolean, root array<long>"), f"judged-{name}-{depth}")
-        found.append(staged(judged.select(F.col("node").alias("a"), F.explode("root").alias("b")).where("a <> b").distinct(), f"tied-to-one-{name}-{depth}"))
+        few = staged(few.select("path", F.col("r.node").alias("r_nodes"), F.col("r.embedding").alias("r_sigs")), f"representatives-{depth}")
+        judged = staged(large.select("path", "node", "embedding").join(few, "path", "left").mapInArrow(against_representatives, "path long, node long, embedding binary, leaves boolean, root array<long>"), f"judged-{depth}")
+        found.append(judged.select(F.col("node").alias("a"), F.explode("root").alias("b")).where("a <> b"))
         level = judged.where(~F.col("leaves")).select("path", "node", "embedding")
         if not level.limit(1).count():
-            return split
-        split.append((depth + 2, level.select("node")))
+            return starred(staged(union(found), "ties"))
     # what no level has split: each bucket as one group, so that its pairs are counted exactly all the same
     rest = level.groupBy("path").agg(F.min("node").alias("b"))
-    found.append(staged(level.join(rest, "path").select(F.col("node").alias("a"), "b").where("a <> b"), f"ties-rest-{name}"))
-    return split
+    found.append(level.join(rest, "path").select(F.col("node").alias("a"), "b").where("a <> b"))
+    return starred(staged(union(found), "ties"))
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

@@ -247,7 +247,7 @@ def test_links_of_rows_without_id(spark):
 
 
 def test_runs_grow_with_depth():
-    assert [jaccard.runs_for(0.999, d) for d in (1, 2, 3, 4)] == [8, 12, 17, 21]
+    assert [jaccard.runs_for(0.999, d) for d in (1, 2, 3, 4)] == [8, 12, 17, 21] and jaccard.runs_for(jaccard.RECALL, jaccard.DEPTH) == 10
     rnd = np.random.default_rng(0)
     met = 0
     for _ in range(4000):  # one level of one run: do two sets that agree in a coordinate with probability 0.8 share a child?
@@ -328,7 +328,7 @@ def xx(*values):
     return seed - (1 << 64) if seed >> 63 else seed
 
 
-def signature_brute(text, most=128):
+def signature_brute(text, most=64):
     tokens = [xx(w) for w in regex.findall(r"[\p{L}\p{M}\p{N}]{1,8}|[^\s\p{L}\p{M}\p{N}]", text)]
     if not tokens:
         return []
