@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship as ship  # for the operators
@@ -55,3 +55,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def own_columns(df: DataFrame) -> list[Column]:
     """df's columns by name, whatever signs the names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with part (its range partition) and row, its place from 0 in the order of all rows.
+
+    Range partitions are written, their counts summed up (a row for each partition), and rows
+    counted inside each. Equal rows are dealt to several partitions, so none holds a hot key alone.
+    """
+    spread = F.xxhash64(F.monotonically_increasing_id())
+    ranges = staged(df.repartitionByRange(partitions(df.sparkSession), *order, spread).withColumn("part", F.spark_partition_id()), name)
+    starts = before_each(ranges.groupBy("part").agg(F.count("*").alias("rows")), "rows")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    placed = ranges.withColumn("nth", nth).join(F.broadcast(starts), "part")  # a row for each partition
+    return placed.withColumn("row", F.col("before") + F.col("nth") - 1).drop("nth", "before")
+
+
+def before_each(totals: DataFrame, size: str) -> DataFrame:
+    """part, before: the sum of the sizes of all parts before it. totals: part and its size, a row for each partition of a job."""
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("part", F.coalesce(F.sum(size).over(earlier), F.lit(0)).cast("long").alias("before"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, jaccard, langid, packing, quality, secret_scan, sharding, suffixes, token_counts
+from . import decontamination, fingerprints, jaccard, langid, merkle, packing, quality, resampling, secret_scan, sharding, suffixes, token_counts, token_store
 from .common import documents
 
 
@@ -48,5 +48,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_best_fit_packing, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_sharding, op7_document_fingerprints, op8_language_id, op9_secret_scans, op10_token_counts)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def op12_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(documents(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), grams=(1, 1))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_best_fit_packing, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_sharding, op7_document_fingerprints, op8_language_id, op9_secret_scans, op10_token_counts, op11_merkle_manifest, op12_token_id_output, op13_importance_resampling)}
 ORACLE_SQL: dict[str, str] = {"op9_secret_scans": secret_scan.ORACLE_SQL}
