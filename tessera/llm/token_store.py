@@ -42,17 +42,28 @@ def slot_of(keys: np.ndarray, wide: bool) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS) if wide else (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
 
 
-def chosen_places(rule: np.ndarray) -> np.ndarray:
-    """Of the places of a rule's pair (-1 elsewhere; smaller rules come first) those to replace: none overlaps another, the better rule of two neighbours wins, and every second place of a run of equals."""
-    rank = np.where(rule < 0, np.int32(2**31 - 1), rule)
-    best = rule >= 0
-    best[1:] &= rank[1:] <= rank[:-1]
-    best[:-1] &= rank[:-1] <= rank[1:]
-    at = np.flatnonzero(best)
-    new_run = np.concatenate(([True], np.diff(at) > 1)) if len(at) else np.zeros(0, bool)
-    first = np.flatnonzero(new_run)
-    nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    return at[nth % 2 == 0]
+def chosen_places(at: np.ndarray, rule: np.ndarray) -> np.ndarray:
+    """Of the places of rules' pairs (ascending; smaller rules come first) those to replace: none overlaps another, the better rule of two neighbours wins, and every second place of a run of equals."""
+    beside = np.diff(at) == 1
+    best = np.ones(len(at), bool)
+    best[1:] &= ~beside | (rule[1:] <= rule[:-1])
+    best[:-1] &= ~beside | (rule[:-1] <= rule[1:])
+    index = np.flatnonzero(best)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(at[index]) > 1))) if len(index) else np.zeros(0, np.int64)
+    nth = np.arange(len(index)) - np.repeat(first, np.diff(np.append(first, len(index))))
+    return index[nth % 2 == 0]
+
+
+def dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct ids, ascending; each id's place among them)."""
+    if not len(ids) or ids.max() >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(int(ids.max()) + 1, bool)
+    there[ids] = True
+    terminals = np.flatnonzero(there).astype(ids.dtype)
+    place = np.zeros(len(there), np.int64 if len(terminals) > 1 << 16 else np.uint16)
+    place[terminals] = np.arange(len(terminals))
+    return terminals, place[ids]
 
 
 def repair(ids: np.ndarray, end_id: int = END_ID, least_uses: int = LEAST_USES, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,40 +73,43 @@ def repair(ids: np.ndarray, end_id: int = END_ID, least_uses: int = LEAST_USES,
     places that do not overlap are replaced at once, and the pairs of the next round may hold the new symbols. Pairs whose first
     symbol ends a document are never replaced.
     """
-    terminals, symbols = np.unique(ids, return_inverse=True)
+    terminals, symbols = dense(ids)
     wide = len(terminals) > 40_000  # else terminals and rules fit 16 bits
     kind, key_kind, most = (np.uint32, np.uint64, 1 << 31) if wide else (np.uint16, np.uint32, 1 << 16)
     symbols = symbols.astype(kind)
-    shift = key_kind(32 if wide else 16)
+    shift, low = key_kind(32 if wide else 16), key_kind((1 << (32 if wide else 16)) - 1)
     rules, lengths = [], [np.ones(len(terminals), np.int64)]
     ends = [terminals == end_id]
     n_symbols = len(terminals)
     while len(symbols) > 1 and n_symbols < most:
         ending, length = np.concatenate(ends), np.concatenate(lengths)
-        keys = (symbols[:-1].astype(key_kind) << shift) | symbols[1:]
-        open_ = ~ending[symbols[:-1]]
-        pairs, _ = pair_counts(keys[open_], least_uses)
-        pairs = pairs[: most - n_symbols]
+        keys = symbols[:-1].astype(key_kind)
+        keys <<= shift
+        keys |= symbols[1:]
+        pairs, _ = pair_counts(keys, least_uses)
+        pairs = pairs[~ending[pairs >> shift]][: most - n_symbols]
         if not len(pairs):
             break
-        slots = slot_of(pairs, wide)
-        _, winner = np.unique(slots, return_index=True)  # the first of each slot: the most frequent
+        _, winner = np.unique(slot_of(pairs, wide), return_index=True)  # the first of each slot: the most frequent
         pairs = pairs[np.sort(winner)]
         table = np.full(1 << SLOT_BITS, -1, np.int32)
         table[slot_of(pairs, wide)] = np.arange(len(pairs), dtype=np.int32)
         rule = table[slot_of(keys, wide)]
-        rule[(rule >= 0) & ((pairs[rule] != keys) | ~open_)] = -1
-        at = chosen_places(rule)
-        used = np.bincount(rule[at], minlength=len(pairs)) >= max(2, least_uses // 2)
-        at = at[used[rule[at]]]
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at]
+        same = pairs[rule] == keys[at]
+        at, rule = at[same], rule[same]
+        index = chosen_places(at, rule)
+        at, rule = at[index], rule[index]
+        used = np.bincount(rule, minlength=len(pairs)) >= max(2, least_uses // 2)
+        at, rule = at[used[rule]], rule[used[rule]]
         if not len(at):
             break
-        number = np.cumsum(used) - 1
         pairs = pairs[used]
-        left, right = (pairs >> shift).astype(np.int64), (pairs & key_kind((1 << int(shift)) - 1)).astype(np.int64)
+        left, right = (pairs >> shift).astype(np.int64), (pairs & low).astype(np.int64)
         kept = np.ones(len(symbols), bool)
         kept[at + 1] = False
-        symbols[at] = (n_symbols + number[rule[at]]).astype(kind)
+        symbols[at] = (n_symbols + np.cumsum(used) - 1).astype(kind)[rule]
         before, symbols = len(symbols), symbols[kept]
         rules.append(np.stack([left, right], 1))
         lengths.append(length[left] + length[right])
@@ -114,6 +128,8 @@ class Grammar:
         n = len(terminals)
         self.length = np.concatenate((np.ones(n, np.int64), lengths))
         self.first = np.concatenate(([0], np.cumsum(self.length)))[:-1]
+        small = int(self.first[-1] + self.length[-1]) < 1 << 31 if len(self.first) else True
+        self.length, self.first = (x.astype(np.int32 if small else np.int64) for x in (self.length, self.first))
         self.flat = np.empty(int(self.length.sum()), "<u4")
         self.flat[:n] = terminals
         # rules only use symbols before them: those whose parts are all unfolded go together
@@ -138,8 +154,12 @@ class Grammar:
 
 def ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... for each range, one after another."""
-    upto = np.cumsum(length)
-    return np.repeat(first - (upto - length), length) + np.arange(int(upto[-1]) if len(upto) else 0)
+    upto = np.cumsum(length, dtype=np.int64)
+    total = int(upto[-1]) if len(upto) else 0
+    kind = first.dtype if total < 1 << 31 else np.int64
+    out = np.repeat((first - (upto - length)).astype(kind), length)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def packed(ids: list[bytes], doc_ids: list[int | None], part: int, shard: int, before: int, end_id: int) -> dict:
