@@ -134,8 +134,11 @@ class Grammar:
         self.flat[:n] = terminals
         # rules only use symbols before them: those whose parts are all unfolded go together
         depth = np.zeros(n + len(rules), np.int32)
-        for i, (a, b) in enumerate(rules.tolist(), n):
-            depth[i] = 1 + max(depth[a], depth[b])
+        while True:
+            deeper = 1 + np.maximum(depth[rules[:, 0]], depth[rules[:, 1]])
+            if (deeper == depth[n:]).all():
+                break
+            depth[n:] = deeper
         for level in range(1, int(depth.max(initial=0)) + 1):
             these = np.flatnonzero(depth == level)
             for part, shift in ((rules[these - n, 0], 0), (rules[these - n, 1], self.length[rules[these - n, 0]])):

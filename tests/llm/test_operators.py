@@ -328,7 +328,7 @@ def xx(*values):
     return seed - (1 << 64) if seed >> 63 else seed
 
 
-def signature_brute(text, most=64):
+def signature_brute(text):
     tokens = [xx(w) for w in regex.findall(r"[\p{L}\p{M}\p{N}]{1,8}|[^\s\p{L}\p{M}\p{N}]", text)]
     if not tokens:
         return []
@@ -338,7 +338,7 @@ def signature_brute(text, most=64):
         kmer = low(fingerprint_kmer(tokens, i))
         numbered.append((low(xx(kmer, (seen[kmer],))), i))
         seen[kmer] += 1
-    kept = [h for h, i in sorted(sorted(numbered)[:most], key=lambda x: x[1])]
+    kept = [h for h, i in numbered]
     out = []
     for n in range(1, fingerprints.ORDERS + 1):
         ranks = [xx(h, (n,)) for h in kept]
@@ -359,6 +359,37 @@ def test_signatures_are_those_of_brute_force(spark):
     assert got == {i: signature_brute(t) for i, t in enumerate(texts)}
 
 
+def test_fingerprints_of_texts_edits_and_neighbours_are_those_of_brute_force(docs, empty):
+    texts = [(i, t) for i, t in pairs(corpus()) if i is not None]
+    ids = [i for i, _ in texts]
+    single = sorted(((i, t) for i, t in texts if ids.count(i) == 1), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.fingerprint(docs.join(docs.groupBy("doc_id").count().where("count = 1"), "doc_id", "left_semi")).collect()}
+    alike = lambda a, b: 1.0 if not a and not b else 0.0 if not a or not b else sum(x == y for x, y in zip(a, b)) / len(a)
+    for k, (i, t) in enumerate(single):
+        # the one row without an id comes last
+        after = single[k + 1][1] if k + 1 < len(single) else next(t for j, t in corpus() if j is None)
+        third = len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        own, new, following = signature_brute(t), signature_brute(edited), signature_brute(after)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), ".".join(f"{x:x}" for x in own))
+        assert r.edited_fingerprint == ".".join(f"{x:x}" for x in new) and abs(r.near_edited - alike(own, new)) < 1e-12 and abs(r.near_next - alike(own, following)) < 1e-12
+    assert fingerprints.fingerprint(empty).count() == 0
+
+
+def test_likeness_of_long_texts_is_that_of_many_orders(spark):
+    """Edited copies of some 400 k-mers: 24 orders over all k-mers estimate the likeness without bias."""
+    rnd, rows_, truth = random.Random(9), [], []
+    for n in range(40):
+        w = [f"w{rnd.randint(0, 5000)}" for _ in range(400)]
+        edited = w[:300] + [f"v{rnd.randint(0, 5000)}" for _ in range(100)]
+        rows_.append((n, " ".join(w), " ".join(edited)))
+        truth.append(np.mean([(297 / 501) ** 2]))
+    a, b = (fingerprints.signature(F.col(c)) for c in "ab")
+    found = [r.x for r in spark.createDataFrame(rows_, "i int, a string, b string").select(fingerprints.likeness(a, b).alias("x")).collect()]
+    assert abs(np.mean(found) - np.mean(truth)) < 0.04
+
+
 def test_signatures_see_the_order_of_words(spark):
     """Halves swapped: k-mers stay but for those at the seams; a pair of least k-mers keeps its order only if both are of one half."""
     rnd = random.Random(3)
