@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, staged
 
-#: Tokens of a k-mer; orders of a signature; least k-mers of an order that are kept in text order; k-mers that the orders look at, the least by one common order.
-K, ORDERS, KEPT, LOOKED_AT = 3, 24, 2, 64
+#: Tokens of a k-mer; orders of a signature. Of each order the two least k-mers are kept in text order.
+K, ORDERS = 3, 24
 #: Words in runs of at most eight letters or digits, and each other visible character alone, so that scripts without spaces have tokens too.
 TOKEN = r"[\p{L}\p{M}\p{N}]{1,8}|[^\s\p{L}\p{M}\p{N}]"
 #: A k-mer is one long: 32 bits of hash above 31 bits of place in the text, as many as an array can have.
@@ -65,28 +65,27 @@ def occurrence_numbered(s: Column) -> Column:
     return let(first, numbered)
 
 
-def looked_at(text: Column, k: int = K, most: int = LOOKED_AT) -> Column:
-    """array<long>: hashes of the text's numbered k-mers, the `most` least of them (all, if there are no more), in text order."""
-    numbered = let(kmers(text, k), lambda s: F.sort_array(occurrence_numbered(s)))
-    by_place = F.sort_array(F.transform(F.slice(numbered, 1, most), lambda x: F.shiftleft(place_of(x), 32).bitwiseOR(high(x))))
-    return F.transform(by_place, lambda x: x.bitwiseAND(F.lit(HASH)))
+def in_text_order(text: Column, k: int = K) -> Column:
+    """array<long>: 32-bit hashes of all the text's numbered k-mers, as they stand in the text."""
+    numbered = let(kmers(text, k), lambda s: F.transform(occurrence_numbered(s), lambda x: F.shiftleft(place_of(x), 32).bitwiseOR(high(x))))
+    return F.transform(F.sort_array(numbered), lambda x: x.bitwiseAND(F.lit(HASH)))
 
 
 def signature(text: Column, k: int = K, orders: int = ORDERS) -> Column:
-    """array<long>: for each of `orders` independent orders of the numbered k-mers 32 bits of the hash of its two least, as they stand in the text. No k-mers: empty."""
+    """array<long>: for each of `orders` independent orders of all the text's numbered k-mers 32 bits of the hash of its two least, as they stand in the text. No k-mers: empty."""
 
     def entry(a: Column) -> Column:  # a: the k-mers' ranks in one order, in text order
         def of(x: Column, y: Column) -> Column:
             pair = F.when(F.array_position(a, x) < F.array_position(a, y), F.xxhash64(x, y)).otherwise(F.xxhash64(y, x))
             return F.when(y.isNull(), F.xxhash64(x)).otherwise(pair).bitwiseAND(F.lit(HASH))
 
-        return let(F.array_min(a), lambda x: let(F.array_min(F.filter(a, lambda z: z != x)), lambda y: of(x, y)))
+        return let(F.array_min(a), lambda x: let(F.array_min(F.array_remove(a, x)), lambda y: of(x, y)))
 
     def signed(kept: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.lit(orders)), lambda n: let(F.transform(kept, lambda h: F.xxhash64(h, n)), entry))
         return F.when(F.size(kept) > 0, each).otherwise(F.array().cast("array<bigint>"))
 
-    return let(looked_at(text, k), signed)
+    return let(in_text_order(text, k), signed)
 
 
 def likeness(a: Column, b: Column) -> Column:
