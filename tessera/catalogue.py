@@ -917,4 +917,4 @@ def user_sessions(c):
 
 
 # queries of other modules, which register themselves here
-from . import catalogue_criteria, catalogue_selection  # noqa: E402, F401
+from . import catalogue_criteria, catalogue_documents, catalogue_search, catalogue_selection  # noqa: E402, F401

@@ -171,3 +171,71 @@ def residual_products(base: DataFrame, beta: np.ndarray, times: np.ndarray, s0:
     u = [F.col("w") * (F.col("event") * (F.col(f"x{j}") - F.col(f"m{j}")) - risk * (F.col(f"x{j}") * F.col("h") - F.col(f"a{j}"))) for j in range(p)]
     one = base.join(F.broadcast(table), "time").agg(*(F.sum(u[i] * u[j]).alias(f"b{i}_{j}") for i in range(p) for j in range(i, p))).first()
     return np.array([[one[f"b{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+
+
+def concordance(rows: DataFrame, buckets: int = 256) -> DataFrame:
+    """One row: concordant, tied, comparable pairs and c_index of rows (risk, time, event).
+
+    A pair is comparable if one had its event and the other was still at risk later, or censored the same day; concordant if who had it
+    first has the higher risk, tied if the risks are equal. No comparable pair: c_index null. Null risk, time or event: left out.
+
+    Equal rows are counted first. Range partitions by risk (no more than `buckets`, equal risks together) are compared by their counts a day, a small table;
+    inside a partition pairs are counted by sorting, each pair of risks where their ranks first differ.
+    """
+    spark = rows.sparkSession
+    known = rows.where("risk IS NOT NULL AND time IS NOT NULL AND event IS NOT NULL")
+    same = known.groupBy(F.col("risk").cast("double").alias("risk"), F.col("time").cast("double").alias("time"), F.col("event").cast("int").alias("event")).agg(F.count("*").alias("n"))
+    n = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = staged(same.repartitionByRange(n, "risk").withColumn("part", F.spark_partition_id()), "concordance")
+    inside = parts.groupBy("part").applyInPandas(_pairs_inside, "concordant double, tied double, comparable double")
+    # between partitions: a row for each partition, day and outcome
+    daily = parts.groupBy("part", "time", "event").agg(F.sum("n").alias("n")).toPandas()
+    lower, higher = _pairs_between(daily)
+    between = spark.createDataFrame([(lower, 0.0, lower + higher)], "concordant double, tied double, comparable double")
+    total = inside.unionByName(between).agg(*(F.coalesce(F.sum(c), F.lit(0.0)).cast("long").alias(c) for c in ("concordant", "tied", "comparable")))
+    return total.withColumn("c_index", F.when(F.col("comparable") > 0, (F.col("concordant") + F.col("tied") / 2) / F.col("comparable")))
+
+
+def _pairs_between(daily) -> tuple[float, float]:
+    """Of persons with an event, how many later ones stand in partitions of lower and of higher risk."""
+    if not len(daily):
+        return 0.0, 0.0
+    times, part = np.unique(daily["time"], return_inverse=True), daily["part"].to_numpy()
+    died, gone = np.zeros((part.max() + 1, len(times[0]))), np.zeros((part.max() + 1, len(times[0])))
+    for table, flag in ((died, 1), (gone, 0)):
+        here = (daily["event"] == flag).to_numpy()
+        np.add.at(table, (part[here], times[1][here]), daily["n"].to_numpy(float)[here])
+    after = (died + gone)[:, ::-1].cumsum(1)[:, ::-1] - died  # later, or censored the same day
+    below = after.cumsum(0) - after
+    return float((died * below).sum()), float((died * (after.sum(0) - below - after)).sum())
+
+
+def _pairs_inside(rows):
+    """Pairs within one partition: by risk rank, bit by bit from the highest, each half against the other; equal ranks by time alone."""
+    import pandas as pd
+
+    rank = np.unique(rows["risk"].to_numpy(), return_inverse=True)[1]
+    day = np.unique(rows["time"].to_numpy(), return_inverse=True)[1] * 2 + (rows["event"].to_numpy() == 0)
+    n, event = rows["n"].to_numpy(float), rows["event"].to_numpy() == 1
+    lower, tied, higher = 0.0, _later(rank, day, n, event, None)[0], 0.0
+    for bit in range(int(rank.max()).bit_length()):
+        below, above = _later(rank >> (bit + 1), day, n, event, (rank >> bit) & 1)
+        lower, higher = lower + below, higher + above
+    return pd.DataFrame({"concordant": [lower], "tied": [tied], "comparable": [lower + tied + higher]})
+
+
+def _later(group, day, n, event, half) -> tuple[float, float]:
+    """In each group, events times later rows: all of them (half None), or those of the upper half against the lower half's rows, and the other way round."""
+    order = np.lexsort((day, group))
+    g, d, n, e = group[order], day[order], n[order], event[order]
+    new = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))
+    last = np.concatenate((np.flatnonzero(new)[1:], [len(g)]))[np.cumsum(new) - 1]  # behind the rows of the same group and day
+    start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    end = np.concatenate((start[1:], [len(g)]))[np.cumsum(np.concatenate(([True], g[1:] != g[:-1]))) - 1]
+    out = []
+    for of, among in ((None, None),) if half is None else ((1, 0), (0, 1)):
+        h = None if half is None else half[order]
+        held = np.concatenate(([0.0], np.cumsum(n if among is None else np.where(h == among, n, 0))))
+        after = held[end] - held[last]
+        out.append(float((n * after)[e if of is None else e & (h == of)].sum()))
+    return (out[0], 0.0) if half is None else (out[0], out[1])
