@@ -21,6 +21,8 @@ from .tokens import encoder, prove_whole, slices, vocabulary_text
 END_ID, SHARD_TOKENS = 1, 1 << 20
 #: Least number of places of a pair that becomes a rule; a round that shortens a shard by a smaller share is its last.
 LEAST_USES, LEAST_GAIN = 8, 0.01
+#: Entries of a worker's table of resolved chunks, twice over: some 150 MB. With 150,000 a third more chunks are merged anew.
+CHUNKS = 400_000
 #: Slots of the table from pair to rule; of pairs that meet in one the most frequent takes it, the others wait for the next round.
 SLOT_BITS = 18
 
@@ -197,7 +199,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str | None = None, end_id
         part = None
         schema = pa.schema([(f, t) for f, t in zip((x.split()[0] for x in STORE.split(", ")), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.int32(), *[pa.binary()] * 4))])
         for batch in batches:
-            enc = enc or encoder(*shared.value)
+            enc = enc or encoder(*shared.value, CHUNKS)
             part = batch.column("part")[0].as_py() if batch.num_rows else part
             texts, numbers = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for lo, hi in slices(texts):

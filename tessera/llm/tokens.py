@@ -70,7 +70,8 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, equal to the library's."""
 
-    def __init__(self, vocabulary: str, whole: dict[str, int]):
+    def __init__(self, vocabulary: str, whole: dict[str, int], entries: int = TABLE_ENTRIES):
+        self.entries = entries
         self.tokenizer = load(vocabulary)
         self.pattern = regex.compile(PRE_TOKEN)
         described = json.loads(vocabulary)
@@ -99,7 +100,7 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """The ids of each of the chunks, which the table then has too."""
-        if len(self.words) > TABLE_ENTRIES:
+        if len(self.words) > self.entries:
             self.words, self.older_words = {}, self.words
         merged, whole, older, learned = self.merged, self.whole, self.older_chunks, {}
         for c in chunks:
@@ -112,7 +113,7 @@ class Encoder:
                 learned[c] = merged(c[:-1]) + merged(c[-1])
             else:
                 learned[c] = b"".join([merged(w) for w in self.pattern.findall(c)])
-        if len(self.chunks) + len(learned) > TABLE_ENTRIES:
+        if len(self.chunks) + len(learned) > self.entries:
             self.chunks, self.older_chunks = dict(learned), self.chunks
         else:
             self.chunks.update(learned)
@@ -163,11 +164,11 @@ class Encoder:
 _kept: dict[int, Encoder] = {}
 
 
-def encoder(key: int, vocabulary: str, whole: dict[str, int]) -> Encoder:
+def encoder(key: int, vocabulary: str, whole: dict[str, int], entries: int = TABLE_ENTRIES) -> Encoder:
     """One encoder per Python worker, so that later tasks of that worker start with a filled table."""
-    if key not in _kept:
+    if key not in _kept or _kept[key].entries != entries:
         _kept.clear()
-        _kept[key] = Encoder(vocabulary, whole)
+        _kept[key] = Encoder(vocabulary, whole, entries)
     return _kept[key]
 
 
