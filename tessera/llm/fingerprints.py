@@ -9,6 +9,8 @@ from .common import partitions, staged
 
 #: Tokens of a k-mer; orders of a signature. Of each order the two least k-mers are kept in text order.
 K, ORDERS = 3, 24
+#: Orders whose ranks are columns at the same time.
+AT_ONCE = 6
 #: Words in runs of at most eight letters or digits, and each other visible character alone, so that scripts without spaces have tokens too.
 TOKEN = r"[\p{L}\p{M}\p{N}]{1,8}|[^\s\p{L}\p{M}\p{N}]"
 #: A k-mer is one long: 32 bits of hash above 31 bits of place in the text, as many as an array can have.
@@ -71,21 +73,37 @@ def in_text_order(text: Column, k: int = K) -> Column:
     return F.transform(F.sort_array(numbered), lambda x: x.bitwiseAND(F.lit(HASH)))
 
 
-def signature(text: Column, k: int = K, orders: int = ORDERS) -> Column:
-    """array<long>: for each of `orders` independent orders of all the text's numbered k-mers 32 bits of the hash of its two least, as they stand in the text. No k-mers: empty."""
+def signed(df: DataFrame, of: dict[str, str], k: int = K, orders: int = ORDERS) -> DataFrame:
+    """df with a column array<long> for each text column (of: its name to the text's): for each of `orders` independent orders of all the text's numbered
+    k-mers 32 bits of the hash of its two least, as they stand in the text. No k-mers: empty.
+
+    A few orders at a time are columns of their own, so that the least of each are found by compiled code; a row then holds some times its text.
+    """
+    for out, text in of.items():
+        kept, entries = F.col("_kept"), []
+        df = df.withColumn("_kept", in_text_order(F.col(text), k))
+        for start in range(1, orders + 1, AT_ONCE):
+            these = range(start, min(start + AT_ONCE, orders + 1))
+            a, x, y = ({n: F.col(f"_{c}{n}") for n in these} for c in "axy")
+            df = df.withColumns({f"_a{n}": ranks(kept, n) for n in these})
+            df = df.withColumns({f"_x{n}": F.array_min(a[n]) for n in these})
+            df = df.withColumns({f"_y{n}": F.array_min(F.array_remove(a[n], x[n])) for n in these})
+            df = df.withColumns({f"_e{n}": entry(a[n], x[n], y[n]) for n in these}).drop(*(f"_{c}{n}" for c in "axy" for n in these))
+            entries += [f"_e{n}" for n in these]
+        made = F.when(F.size(kept) > 0, F.array(*entries)).otherwise(F.array().cast("array<bigint>"))
+        df = df.withColumn(out, made).drop("_kept", *entries)
+    return df
 
-    def entry(a: Column) -> Column:  # a: the k-mers' ranks in one order, in text order
-        def of(x: Column, y: Column) -> Column:
-            pair = F.when(F.array_position(a, x) < F.array_position(a, y), F.xxhash64(x, y)).otherwise(F.xxhash64(y, x))
-            return F.when(y.isNull(), F.xxhash64(x)).otherwise(pair).bitwiseAND(F.lit(HASH))
 
-        return let(F.array_min(a), lambda x: let(F.array_min(F.array_remove(a, x)), lambda y: of(x, y)))
+def ranks(kmers_: Column, order: int) -> Column:
+    """The k-mers' ranks in one order."""
+    return F.transform(kmers_, lambda h: F.xxhash64(h, F.lit(order)))
 
-    def signed(kept: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.lit(orders)), lambda n: let(F.transform(kept, lambda h: F.xxhash64(h, n)), entry))
-        return F.when(F.size(kept) > 0, each).otherwise(F.array().cast("array<bigint>"))
 
-    return let(in_text_order(text, k), signed)
+def entry(a: Column, x: Column, y: Column) -> Column:
+    """32 bits of the hash of the two least ranks of an order (a: the k-mers' ranks in text order), the one that stands first in front."""
+    pair = F.when(F.array_position(a, x) < F.array_position(a, y), F.xxhash64(x, y)).otherwise(F.xxhash64(y, x))
+    return F.when(y.isNull(), F.xxhash64(x)).otherwise(pair).bitwiseAND(F.lit(HASH))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -140,9 +158,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     whole = base.join(heads, (F.col("key") == F.col("of_key")) & (F.col("h") == F.col("of_h")))
     edited = F.concat(F.left("text", (F.col("n_chars") - F.col("third")).cast("int")), F.col("head"))
     about = ["key", "h", "next_key", "next_h", "n_chars", "copies"]
-    both = whole.select(*about, F.array("text", edited).alias("texts"))
-    signed = both.select(*about, F.sha2(F.get("texts", F.lit(1)), 256).alias("edited_sha256"), F.transform("texts", lambda t: signature(t)).alias("s"))
-    done = staged(signed.select(*about, "edited_sha256", F.col("s")[0].alias("sig"), F.col("s")[1].alias("edited_sig")), "fingerprint-signatures")
+    both = signed(whole.select(*about, "text", edited.alias("edited")), {"sig": "text", "edited_sig": "edited"})
+    done = staged(both.select(*about, F.sha2("edited", 256).alias("edited_sha256"), "sig", "edited_sig"), "fingerprint-signatures")
     other = done.where((F.col("key") != F.col("next_key")) | (F.col("h") != F.col("next_h")) | (F.col("copies") == 1)).groupBy("key", "h").agg(F.first("sig").alias("next_sig"))
     other = other.select(F.col("key").alias("other_key"), F.col("h").alias("other_h"), "next_sig")
     out = done.join(other, (F.col("next_key") == F.col("other_key")) & (F.col("next_h") == F.col("other_h")))
