@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, shuffle_files_dropped, staged
+from .common import new_path, partitions, removed, removed_at_exit, ship, shuffle_files_dropped, staged
 
 #: Length of a repeat, of the strings that anchors are chosen among, bytes of text in a block.
 SPAN, ANCHOR, BLOCK_BYTES = 50, 16, 2_000_000
@@ -405,10 +405,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bodies = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("body") >= SPAN)).select(block, "doc_id", digest.alias("digest"), "body").repartition(dealt, "block")
     schema = "block int, doc_id long, digest binary, body binary"
     firsts = bodies.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(keep_leaders, schema)
-    table = f"tessera_texts_{uuid.uuid4().hex[:12]}"
+    table, path = f"tessera_texts_{uuid.uuid4().hex[:12]}", new_path(spark, "repeat-texts")  # in the folder that all nodes share, wherever the warehouse is
+    removed_at_exit(spark, path)
     try:
         with shuffle_files_dropped(spark):  # bucketed by block: the steps below read it without a shuffle
-            firsts.write.bucketBy(dealt, "block").option("compression", "zstd").saveAsTable(table)
+            firsts.write.bucketBy(dealt, "block").option("compression", "zstd").option("path", path).saveAsTable(table)
         texts = spark.table(table)
         said = texts.groupBy("block").applyInArrow(say_anchors(parts), "part int, block int, hashes binary, many binary")
         shared = staged(said.repartition(dealt, "part").groupBy("part").applyInArrow(find_shared, "block int, hashes binary, common binary"), "repeat-anchors")
@@ -419,6 +420,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         cut = staged(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut_digest, "doc_id long, digest binary, n_removed long, n_spans long, kept_sha256 string"), "repeat-cuts")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+        removed(spark, path)
     led = info.join(leaders.select("digest", F.col("doc_id").alias("leader")), "digest", "left")
     out = led.join(cut, ["doc_id", "digest"], "left")
     copy = (F.col("doc_id") > F.col("leader")) & (F.col("n_bytes") >= SPAN)

@@ -355,7 +355,7 @@ def test_signatures_are_those_of_brute_force(spark):
     rnd = random.Random(2)
     texts = ["a b c a b c a b c x", "", "one two", "one", "!?", "𝒳é straße 12345678901", " ".join(rnd.choice(WORDS) for _ in range(900)), " ".join(f"w{rnd.randint(0, 99)}" for _ in range(400))]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r.i: r.s for r in df.select("i", fingerprints.signature(F.col("text")).alias("s")).collect()}
+    got = {r.i: r.s for r in fingerprints.signed(df, {"s": "text"}).select("i", "s").collect()}
     assert got == {i: signature_brute(t) for i, t in enumerate(texts)}
 
 
@@ -366,8 +366,7 @@ def test_fingerprints_of_texts_edits_and_neighbours_are_those_of_brute_force(doc
     got = {r.doc_id: r for r in fingerprints.fingerprint(docs.join(docs.groupBy("doc_id").count().where("count = 1"), "doc_id", "left_semi")).collect()}
     alike = lambda a, b: 1.0 if not a and not b else 0.0 if not a or not b else sum(x == y for x, y in zip(a, b)) / len(a)
     for k, (i, t) in enumerate(single):
-        # the one row without an id comes last
-        after = single[k + 1][1] if k + 1 < len(single) else next(t for j, t in corpus() if j is None)
+        after = single[(k + 1) % len(single)][1]  # the last one's next is the first
         third = len(t) // 3
         edited = t[: len(t) - third] + after[:third]
         own, new, following = signature_brute(t), signature_brute(edited), signature_brute(after)
@@ -385,8 +384,8 @@ def test_likeness_of_long_texts_is_that_of_many_orders(spark):
         edited = w[:300] + [f"v{rnd.randint(0, 5000)}" for _ in range(100)]
         rows_.append((n, " ".join(w), " ".join(edited)))
         truth.append(np.mean([(297 / 501) ** 2]))
-    a, b = (fingerprints.signature(F.col(c)) for c in "ab")
-    found = [r.x for r in spark.createDataFrame(rows_, "i int, a string, b string").select(fingerprints.likeness(a, b).alias("x")).collect()]
+    df = fingerprints.signed(spark.createDataFrame(rows_, "i int, a string, b string"), {"x": "a", "y": "b"})
+    found = [r.x for r in df.select(fingerprints.likeness(F.col("x"), F.col("y")).alias("x")).collect()]
     assert abs(np.mean(found) - np.mean(truth)) < 0.04
 
 
@@ -397,9 +396,8 @@ def test_signatures_see_the_order_of_words(spark):
     for n in range(60):
         w = [f"{n}x{i}y{rnd.randint(0, 99)}" for i in range(16)]
         texts.append((n, " ".join(w), " ".join(w[8:] + w[:8])))
-    df = spark.createDataFrame(texts, "i int, a string, b string")
-    a, b = (fingerprints.signature(F.col(c)) for c in "ab")
-    found = df.select(fingerprints.likeness(a, b).alias("x"), fingerprints.likeness(a, a).alias("y")).collect()
+    df = fingerprints.signed(spark.createDataFrame(texts, "i int, a string, b string"), {"s": "a", "t": "b"})
+    found = df.select(fingerprints.likeness(F.col("s"), F.col("t")).alias("x"), fingerprints.likeness(F.col("s"), F.col("s")).alias("y")).collect()
     assert abs(np.mean([r.x for r in found]) - 0.25) < 0.06 and all(r.y == 1 for r in found)
 
 
@@ -560,3 +558,30 @@ def test_sites_are_shrunk_as_by_hand(spark):
         host = shrunk([(h, len(x), np.mean(x), world) for h, x in hosts.items()], t)
         path = shrunk([(p, len(x), np.mean(x), host[p[0]]) for p, x in paths.items()], t)
         assert got.keys() == path.keys() and all(abs(got[p][t - 2] - path[p]) < 1e-9 for p in path)
+
+
+def test_the_table_of_texts_lies_in_the_shared_folder(spark, tmp_path):
+    """A session that says nothing of a warehouse: the texts' table is under the checkpoint folder alone, and gone at the end."""
+    import subprocess
+    import sys
+    import textwrap
+    from pathlib import Path
+
+    code = f"""
+        from pathlib import Path
+        from pyspark.sql import DataFrameWriter, SparkSession
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate()
+        from tessera.llm import suffixes
+        seen, save = [], DataFrameWriter.saveAsTable
+        def watched(self, name, *a, **k):
+            save(self, name, *a, **k)
+            seen.append([str(p) for p in Path("{tmp_path}").rglob("*repeat-texts*/*.parquet")])
+        DataFrameWriter.saveAsTable = watched
+        docs = spark.createDataFrame([(i, "the same fifty bytes and some more of them, over and over " * 2 + str(i)) for i in range(6)], "doc_id long, text string")
+        assert suffixes.remove_repeats(docs).where("n_removed > 0").count() == 5
+        assert seen[0] and all("/shared/" in p for p in seen[0])
+        assert not list(Path("{tmp_path}").rglob("*repeat-texts*")) and not list(Path(".").rglob("tessera_texts*"))
+        spark.stop()
+    """
+    root = Path(__file__).resolve().parents[2]
+    subprocess.run([sys.executable, "-c", textwrap.dedent(code)], check=True, cwd=tmp_path, env=__import__("os").environ | {"PYTHONPATH": str(root)}, timeout=300)
