@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .catalogue import query
 from .operators import document_checks as checks
+from .operators import site_documents
 from .plans import rows as plan_rows
 from .plans.rows import Rows, documents_of, rows_of
-from .sources.cdm import BRAND, Cdm, choice
+from .sources.cdm import BRAND, LEAF, Cdm, choice
+from .staging import staged
 
 #: Orders as criteria: a customer's orders are its document, dealt to four rules and four places in each. Sets 1 to 6 hold three pairs of the same concepts, 7 is the entry's.
 CRIT = """crit AS (SELECT *, t0 = 'ALL' AND (spot IN (0, 3) OR t1 = 'ALL') AS conjoined, NOT absent AS required, (codeset - 1) % 3 AS members, op IS NULL AND units IS NULL AS bare FROM (SELECT o_orderkey AS id, o_custkey AS document, 'r' || o_orderkey % 4 AS rule, (o_orderkey // 4) % 4 AS spot,
@@ -183,14 +185,14 @@ def shaped(c: Cdm) -> DataFrame:
 
 
 def resolved(c: Cdm, r: Rows) -> DataFrame:
-    return checks.closures(r, c.concept_ancestor, c.concept_relationship, c.concept)
+    return staged(checks.closures(r, c.concept_ancestor, c.concept_relationship, c.concept), "resolved")
 
 
 @query(f"WITH {SHAPES} SELECT document, CAST(a AS DOUBLE) AS low, CAST(b AS DOUBLE) AS high FROM merged WHERE one")
 def document_ranges_joined(c):
     """From JSON text to repaired JSON text, read once more: the closed ranges that two bounds became."""
     r = rows_of(shaped(c))
-    again = rows_of(documents_of(checks.ranges_joined(r, checks.closure_keys(resolved(c, r)))))
+    again = rows_of(documents_of(checks.ranges_joined(r, staged(checks.closure_keys(resolved(c, r)), "closure-keys"))))
     return again.criteria.where("op = 'bt' AND conjoined AND required AND path = ''").select("document", F.col("value").alias("low"), F.col("extent").alias("high"))
 
 
@@ -198,7 +200,7 @@ def document_ranges_joined(c):
 def document_restated_removed(c):
     """The number of rules after split ranges are joined and the absences that restate them are removed."""
     r = rows_of(shaped(c))
-    keys = checks.closure_keys(resolved(c, r))
+    keys = staged(checks.closure_keys(resolved(c, r)), "closure-keys")
     left = checks.restated_absences_removed(checks.ranges_joined(r, keys), keys)
     return rows_of(documents_of(left)).rules.groupBy("document").agg(F.count("*").cast("int").alias("n_rules"))
 
@@ -223,3 +225,42 @@ def document_units_dropped(c):
     allowed = c.spark.createDataFrame(ALLOWED, "analyte string, concept_id long, unit_id long, other_low double, other_high double")
     again = rows_of(documents_of(checks.units_dropped(r, allowed)))
     return again.criteria.where("size(units) > 0").groupBy("document").agg(F.count("*").alias("n_with_unit"))
+
+
+# ---- documents at a site ---------------------------------------------------------------------------
+
+#: Of each customer four rules over a set each: three drugs by number, of which the site knows a third, one of them a brand; every fourth rule forbids. Some drugs have a replacement.
+AT_SITE = f"""item AS (SELECT c_custkey AS document, r, j, CASE WHEN r = 3 AND j = 0 THEN {BRAND} + 1 + c_custkey % 25 ELSE {LEAF} + (c_custkey * 7 + r * 31 + j * 13) % 400 END AS concept_id, (c_custkey + r) % 4 = 0 AS absent FROM customer, (SELECT unnest(range(4)) AS r), (SELECT unnest(range(3)) AS j)),
+pop AS (SELECT DISTINCT concept_id FROM drug_exposure WHERE concept_id % 3 = 0), below AS (SELECT DISTINCT ancestor_concept_id AS concept_id FROM concept_ancestor JOIN pop ON pop.concept_id = descendant_concept_id WHERE ancestor_concept_id <> descendant_concept_id),
+act AS (SELECT *, {LEAF} + concept_id % 7 AS new_id, CASE WHEN absent OR concept_id IN (SELECT * FROM pop) THEN 'KEEP' WHEN concept_id IN (SELECT * FROM below) THEN 'WIDEN' WHEN concept_id % 5 = 0 AND {LEAF} + concept_id % 7 <> concept_id THEN 'REPLACE' ELSE 'PRUNE' END AS action FROM item),
+st AS (SELECT document, r, bool_and(action = 'PRUNE') AS gone FROM act GROUP BY ALL), rp AS (SELECT document, count(*) AS n_rules, count(CASE WHEN gone THEN 1 END) AS n_dropped, count(CASE WHEN gone THEN 1 END) > 0.4 * count(*) AS aborted FROM st GROUP BY 1)"""
+
+
+def at_site(c: Cdm) -> tuple[Rows, DataFrame]:
+    k = F.col("c_custkey")
+    leaf = lambda r, j: F.lit(LEAF) + (k * 7 + r * 31 + j * 13) % 400
+    item = lambda i: text_of(concept=text_of(CONCEPT_ID=i.cast("string")))
+    members = lambda r: F.array(*(item(F.lit(BRAND + 1) + k % 25 if (r, j) == (3, 0) else leaf(r, j)) for j in range(3)))
+    written = joined(F.array(*(text_of(id=str(r + 1), name=f'"set {r}"', expression=text_of(items=joined(members(r)))) for r in range(4))))
+    how = lambda r: F.when((k + r) % 4 == 0, '{"Type":0,"Count":0}').otherwise('{"Type":2,"Count":1}')
+    rule = lambda r: text_of(name=f'"r{r}"', expression=text_of(Type='"ALL"', CriteriaList=joined(F.array(text_of(Criteria=f'{{"DrugExposure":{{"CodesetId":{r + 1}}}}}', Occurrence=how(r))))))
+    docs = c.raw("customer").select(k.alias("document"), text_of(ConceptSets=written, InclusionRules=joined(F.array(*map(rule, range(4))))).alias("expression"))
+    known = c.drug_exposure.where("concept_id % 3 = 0").select("concept_id").distinct()
+    other = c.spark.range(400).select((F.lit(LEAF) + F.col("id")).alias("concept_id")).where("concept_id % 5 = 0").select("concept_id", (F.lit(LEAF) + F.col("concept_id") % 7).alias("new_id"), F.lit("another").alias("new_name"))
+    return site_documents.fitted(rows_of(docs), known, c.concept_ancestor, other)
+
+
+@query(f"""WITH {AT_SITE} SELECT document, 'r' || r AS rule, CASE WHEN action = 'REPLACE' AND NOT aborted THEN new_id ELSE concept_id END AS concept_id, action IN ('WIDEN', 'REPLACE') AND NOT aborted AS include_descendants
+FROM act JOIN st USING (document, r) JOIN rp USING (document) WHERE aborted OR (NOT gone AND action <> 'PRUNE')""")
+def site_fitted_documents(c):
+    """From JSON text to documents fitted to a site, read once more: the concepts of each rule that is left."""
+    r, _ = at_site(c)
+    again = rows_of(documents_of(r))
+    named = again.rules.select("document", "rule", "name").join(again.criteria.select("document", "rule", "codeset"), ["document", "rule"])
+    return named.join(again.items, ["document", "codeset"]).select("document", F.col("name").alias("rule"), "concept_id", "include_descendants")
+
+
+@query(f"WITH {AT_SITE} SELECT * FROM rp")
+def site_report(c):
+    """How many rules a site would cost each document, and whether that is too many."""
+    return at_site(c)[1]

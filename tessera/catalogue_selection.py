@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalogue import ARMS, BRAND1, BRAND2, KM, KNN, OUTCOME, TYPE, arm, follow_up, nearest_of_all, outcomes, query, r6, under, vectors
+from .catalogue import ANY_ENTRY, ARMS, BRAND1, BRAND2, KM, KNN, OUTCOME, SQL_ENTRY, TYPE, _in_set, arm, cohort, entries_of, follow_up, nearest_of_all, outcomes, query, r6, under, vectors
 from .functions import text
 from .operators import cohorts, dataset, survival
+from .plans.definition import Counted, Criterion, Group
+from .plans.definition import Window as Days
 from .sources.results import bound_scan
 
 HASHED = "(SELECT person_id, row_number() OVER (ORDER BY md5(person_id || '|42')) AS r, count(*) OVER () AS n FROM {})"
@@ -170,3 +172,24 @@ def rebased_windows(c):
     spans, x = arm(c, BRAND1), outcomes(c).select("person_id", "start_date")
     around = lambda day: F.col("start_date").between(F.date_sub(day, 30), F.date_add(day, 30))
     return spans.join(x, "person_id", "left").groupBy("person_id").agg(F.count_if(around("cohort_start_date")).alias("n_from_start"), F.count_if(around("cohort_end_date")).alias("n_from_end"))
+
+
+@query(f"""WITH ev AS (SELECT person_id, start_date AS index_date, max(end_date) AS index_end FROM ({_in_set(BRAND1)}) GROUP BY ALL),
+ent AS (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY e.person_id ORDER BY index_date) AS r FROM ev e JOIN observation_period p ON p.person_id = e.person_id AND e.index_date >= p.start_date + 180 AND e.index_date <= p.end_date) WHERE r = 1)
+SELECT person_id, index_date FROM ent WHERE EXISTS (SELECT 1 FROM condition_occurrence x WHERE x.person_id = ent.person_id AND x.concept_id = {OUTCOME} AND x.start_date BETWEEN index_end - 90 AND index_end + 90)""")
+def rule_rebased_window(c):
+    """A rule whose window is counted from the day the index event ends."""
+    near = Counted(Criterion("Condition", 2), Days(-90, 90, from_end=True))
+    return entries_of(cohort(c, [Group(criteria=(near,))], entry=ANY_ENTRY, primary_limit="First"))
+
+
+@query(f"WITH {SQL_ENTRY} SELECT person_id, index_date FROM ent WHERE EXISTS (SELECT 1 FROM ({_in_set(BRAND2)}) x WHERE x.person_id = ent.person_id AND x.start_date >= index_date - 90 AND x.end_date BETWEEN index_date AND index_date + 200)")
+def rule_end_window(c):
+    """A rule on when events begin and when they end."""
+    return entries_of(cohort(c, [Group(criteria=(Counted(Criterion("Drug", 3), Days(-90, None), Days(0, 200)),))]))
+
+
+@query(f"WITH {SQL_ENTRY} SELECT person_id, index_date FROM ent WHERE EXISTS (SELECT 1 FROM ({_in_set(BRAND2)}) x WHERE x.person_id = ent.person_id AND x.end_date BETWEEN index_date - 30 AND index_date + 90)")
+def rule_event_end(c):
+    """A rule whose window must hold the events' last days."""
+    return entries_of(cohort(c, [Group(criteria=(Counted(Criterion("Drug", 3), Days(-30, 90, of_end=True)),))]))

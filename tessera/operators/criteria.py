@@ -12,6 +12,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .document_checks import end_of, merged
+
 #: The only domain whose events carry numbers; least change of a mean that counts, draws below which a smaller one says nothing.
 MEASURED, FLOOR, DRAWS = "Measurement", 0.02, 6
 SET = ("document", "domain", "codeset")
@@ -67,11 +69,20 @@ def islands(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def covered(rows: DataFrame) -> DataFrame:
-    """id of measured presences whose whole range is forbidden by the absences of the document on the same set, taken together."""
-    closed = rows.where(F.col("domain") == MEASURED).where(bounded()).withColumns({"low": F.coalesce("low", F.lit(-OPEN)), "high": F.coalesce("high", F.lit(OPEN))})
-    forbidden = islands(closed.where("absent").select("document", "codeset", "low", "high"), ("document", "codeset")).select(F.col("document").alias("d"), F.col("codeset").alias("c"), F.col("low").alias("from"), F.col("high").alias("to"))
-    inside = (F.col("document") == F.col("d")) & (F.col("codeset") == F.col("c")) & (F.col("low") >= F.col("from")) & (F.col("high") <= F.col("to"))
-    return closed.where("NOT absent").join(forbidden, inside, "left_semi").select("id")
+    """id of measured presences whose whole range is forbidden by absences on the same set, in some unit that both sides allow.
+
+    Neither side may be one of several choices (any_of). An absence counts if its window holds the presence's and their units are equal or one has none; for each unit that
+    absences name, those with it and those without a unit count together.
+    """
+    must = rows.where(F.col("domain") == MEASURED).where("NOT any_of").withColumns({"lo": end_of(F.coalesce("low", F.lit(-OPEN)), F.lit(0)), "hi": end_of(F.coalesce("high", F.lit(OPEN)), F.lit(1))})
+    ask = must.where("NOT absent").select("id", "document", "codeset", F.col("unit").alias("p_unit"), F.col("w_start").alias("p_start"), F.col("w_end").alias("p_end"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
+    no = must.where("absent").select("document", "codeset", "unit", "w_start", "w_end", "lo", "hi")
+    fits = (F.col("w_start") <= F.col("p_start")) & (F.col("w_end") >= F.col("p_end")) & (F.col("unit").isNull() | F.col("p_unit").isNull() | (F.col("unit") == F.col("p_unit")))
+    pairs = ask.join(no, ["document", "codeset"]).where(fits)
+    none = F.lit(-1).cast("long")
+    named = pairs.select("id", F.explode(F.array_distinct(F.array(none, F.coalesce("unit", none)))).alias("in_unit")).distinct()
+    islands = merged(pairs.join(named, "id").where(F.col("unit").isNull() | (F.col("unit") == F.col("in_unit"))).select("id", "in_unit", "lo", "hi"), ["id", "in_unit"])
+    return ask.join(islands, "id").where("lo <= p_lo AND p_hi <= hi").select("id").distinct()
 
 
 def unreadable(rows: DataFrame) -> DataFrame:
@@ -100,24 +111,24 @@ def wrong_domain(rows: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def restated(rows: DataFrame) -> DataFrame:
-    """id of absences that only say what a presence of the same rule says already: no value beyond the bound that it sets."""
-    asked = rows.where("NOT absent").select("document", "rule", "domain", "codeset", F.col("low").alias("p_low"), F.col("high").alias("p_high"))
+    """id of absences that only say what a presence of the same rule, set, unit and window says already: no value beyond the bound that it sets."""
+    asked = rows.where("NOT absent").select("document", "rule", "domain", "codeset", "w_start", "w_end", "unit", F.col("low").alias("p_low"), F.col("high").alias("p_high"))
     no = rows.where("absent").where(F.col("low").isNull() != F.col("high").isNull())
-    same = reduce(and_, [no[c] == asked[c] for c in ("document", "rule", "domain", "codeset")])
+    same = reduce(and_, [no[c] == asked[c] for c in ("document", "rule", "domain", "codeset", "w_start", "w_end")]) & no["unit"].eqNullSafe(asked["unit"])
     beyond = (no["low"].isNull() & (no["high"] <= asked["p_low"])) | (no["high"].isNull() & (no["low"] >= asked["p_high"]))
     return no.join(asked, same & beyond, "left_semi").select("id")
 
 
 def split_bands(rows: DataFrame) -> DataFrame:
-    """document, rule, codeset, low, high: 'at least low' beside 'none above high' on one measurement, meant as one range."""
+    """document, rule, codeset, unit, w_start, w_end, low, high: 'at least low' beside 'none above high' on one measurement, unit and window, meant as one range."""
     measured = rows.where(F.col("domain") == MEASURED).where("low IS NOT NULL AND high IS NULL")
-    sides = measured.groupBy("document", "rule", "codeset").agg(F.count_if(~F.col("absent")).alias("n"), F.count_if("absent").alias("m"), F.min(F.when(~F.col("absent"), F.col("low"))).alias("low"), F.min(F.when(F.col("absent"), F.col("low"))).alias("high"))
-    return sides.where("n = 1 AND m = 1 AND low <= high").select("document", "rule", "codeset", "low", "high")
+    sides = measured.groupBy("document", "rule", "codeset", "unit", "w_start", "w_end").agg(F.count_if(~F.col("absent")).alias("n"), F.count_if("absent").alias("m"), F.min(F.when(~F.col("absent"), F.col("low"))).alias("low"), F.min(F.when(F.col("absent"), F.col("low"))).alias("high"))
+    return sides.where("n = 1 AND m = 1 AND low <= high").select("document", "rule", "codeset", "unit", "w_start", "w_end", "low", "high")
 
 
 def alternative_bands(rows: DataFrame) -> DataFrame:
-    """Islands of two or more different closed bands on one set, unit and polarity, which together mean any of them."""
-    return islands(rows.where("low IS NOT NULL AND high IS NOT NULL"), ("document", "domain", "codeset", "absent")).where("n_distinct >= 2")
+    """Islands of two or more different closed bands on one set, unit, window and polarity, which together mean any of them."""
+    return islands(rows.where("low IS NOT NULL AND high IS NOT NULL"), ("document", "domain", "codeset", "absent", "unit", "w_start", "w_end")).where("n_distinct >= 2")
 
 
 def stated_bounds(rows: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ def closures(rows: Rows, ancestor: DataFrame, relationship: DataFrame, concept:
     items = rows.items.where(F.col("concept_id").isNotNull())
     keyed = items.groupBy("document", "codeset").agg(F.sha2(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", *flags))), ","), 256).alias("codeset_id"))
     distinct = items.join(keyed, ["document", "codeset"]).select("codeset_id", *flags).distinct()
-    return keyed.join(closure(distinct, ancestor, relationship, concept), "codeset_id").select("document", "codeset", "concept_id")
+    resolved = staged(closure(staged(distinct, "distinct-sets"), ancestor, relationship, concept), "closures")
+    return keyed.join(resolved, "codeset_id").select("document", "codeset", "concept_id")
 
 
 def end_of(value: Column, beyond: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from . import vocabulary
 
 #: Most results of a seed, levels and hops, least information content of an ancestor, how much less than the seed's it may have.
@@ -21,7 +22,7 @@ def greedy(branches: DataFrame, members: DataFrame, cap: int = CAP) -> DataFrame
     least = F.row_number().over(Window.partitionBy("branch").orderBy("concept_id"))
     few = members.join(branches.select("branch").distinct(), "branch", "left_semi").distinct().withColumn("least", least).where(F.col("least") <= cap).drop("least")
     first = F.row_number().over(Window.partitionBy("seed_id", "concept_id").orderBy("place"))
-    met = branches.join(few, "branch").withColumn("first", first).where("first = 1").drop("first")
+    met = staged(branches.join(few, "branch").withColumn("first", first).where("first = 1").drop("first"), "branch-members")
     new = met.groupBy("seed_id", "place").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("seed_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     opened = new.withColumn("before", before).where(F.col("before") < cap).select("seed_id", "place")
@@ -30,13 +31,14 @@ def greedy(branches: DataFrame, members: DataFrame, cap: int = CAP) -> DataFrame
 
 def climbed(seeds: DataFrame, ancestor: DataFrame, is_a: DataFrame, cap: int = CAP, least_content: float = LEAST_CONTENT, slack: float = SLACK) -> DataFrame:
     """seed_id, concept_id, nth: up to specific enough ancestors, nearest and broadest first, and three hops down from each until the cap; of more than `cap` concepts the most specific stay."""
-    counts = vocabulary.descendant_counts(ancestor.select(F.col("ancestor_concept_id").alias("concept_id")).distinct(), ancestor).withColumn("ic", vocabulary.information_content(F.col("n_descendants")))
+    counts = vocabulary.descendant_counts(ancestor.select(F.col("ancestor_concept_id").alias("concept_id")).distinct(), ancestor)
+    counts = staged(counts.withColumn("ic", vocabulary.information_content(F.col("n_descendants"))), "contents")
     own = seeds.join(counts, "concept_id").select(F.col("concept_id").alias("seed_id"), F.col("ic").alias("seed_ic"))
     up = own.join(ancestor.where(F.col("min_levels_of_separation").between(1, HOPS)), F.col("seed_id") == F.col("descendant_concept_id"))
     up = up.select("seed_id", "seed_ic", F.col("ancestor_concept_id").alias("concept_id"), F.col("min_levels_of_separation").alias("separation")).join(counts, "concept_id")
     fit = up.where(F.col("ic") > F.greatest(F.lit(least_content), F.col("seed_ic") - slack))
     place = F.row_number().over(Window.partitionBy("seed_id").orderBy("separation", F.desc("n_descendants"), "concept_id"))
-    branches = fit.select("seed_id", F.col("concept_id").alias("branch"), place.alias("place"))
+    branches = staged(fit.select("seed_id", F.col("concept_id").alias("branch"), place.alias("place")), "branches")
     below = vocabulary.k_hop(branches.select(F.col("branch").alias("concept_id")).distinct(), is_a, HOPS).select(F.col("seed_id").alias("branch"), "concept_id").where("branch <> concept_id")
     taken = greedy(branches, below, cap).join(counts.select("concept_id", "ic"), "concept_id", "left")
     rank = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc(F.coalesce("ic", F.lit(vocabulary.LEAF_CONTENT))), "concept_id"))

@@ -66,9 +66,9 @@ class Compiler:
         return hit.select("person_id", "start_date", "end_date")
 
     def entries(self) -> DataFrame:
-        """person_id, index_date, op_start, op_end: entry events inside an observation period long enough around them."""
+        """person_id, index_date, index_end, op_start, op_end: entry events inside an observation period long enough around them; of events of one day the last end counts."""
         c = self.cohort
-        events = reduce(DataFrame.unionByName, map(self.rows, c.entry)).select("person_id", F.col("start_date").alias("index_date")).distinct()
+        events = reduce(DataFrame.unionByName, map(self.rows, c.entry)).groupBy("person_id", F.col("start_date").alias("index_date")).agg(F.max("end_date").alias("index_end"))
         period = self.cdm.observation_period.select("person_id", F.col("start_date").alias("op_start"), F.col("end_date").alias("op_end"))
         inside = (F.col("index_date") >= F.date_add("op_start", c.prior_days)) & (F.date_add("index_date", c.post_days) <= F.col("op_end"))
         return self.limited(events.join(period, "person_id").where(inside), c.primary_limit)
@@ -97,7 +97,10 @@ class Compiler:
 
     def judged(self) -> DataFrame:
         """Entries with a boolean column rule_i for each rule."""
-        entries, criteria = self.entries().select("person_id", "index_date", "op_end"), self.counted()
+        criteria = self.counted()
+        rebased = any(w.from_end for k in criteria for w in (k.window, k.end_window or Window()))
+        keys = ["person_id", "index_date", "op_end"] + ["index_end"] * rebased
+        entries = self.entries().select(*keys)
         if criteria:
             domains: dict[str, list[tuple[int, Counted]]] = {}
             for n, k in enumerate(criteria):
@@ -107,13 +110,14 @@ class Compiler:
             for n, k in enumerate(criteria):
                 tests = [F.array_contains("ok", n)]
                 for w, col in ((k.window, "s"), (k.end_window or Window(), "e")):
+                    day, index = "e" if w.of_end else col, "index_end" if w.from_end else "index_date"
                     if w.start is not None:
-                        tests.append(F.col(col) >= F.date_add("index_date", w.start))
+                        tests.append(F.col(day) >= F.date_add(index, w.start))
                     if w.end is not None:
-                        tests.append(F.col(col) <= F.date_add("index_date", w.end))
+                        tests.append(F.col(day) <= F.date_add(index, w.end))
                 counts.append(F.count_if(reduce(and_, tests)).alias(f"n_{n}"))
             # entries appear once in the plan: those that no event meets come through the outer join with counts of 0
-            entries = entries.join(found, "person_id", "left").groupBy("person_id", "index_date", "op_end").agg(*counts)
+            entries = entries.join(found, "person_id", "left").groupBy(*keys).agg(*counts)
         out = entries.join(self.cdm.person, "person_id", "left")
         number = iter(range(len(criteria)))
 

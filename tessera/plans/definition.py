@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 #: Days back that a criterion looks when it states no window, by domain; all end on the index day.
@@ -33,14 +33,16 @@ class Bound:
 
 @dataclass(frozen=True)
 class Window:
-    """Closed window in days from the index; None is unbounded."""
+    """Closed window in days from the index; None is unbounded. from_end: counted from the day the index event ends; of_end: the event's last day must lie in it, not its first."""
 
     start: int | None = None
     end: int | None = None
+    from_end: bool = False
+    of_end: bool = False
 
     def straightened(self) -> Window:
         if self.start is not None and self.end is not None and self.start > self.end:
-            return Window(self.end, self.start)
+            return replace(self, start=self.end, end=self.start)
         return self
 
 
@@ -141,7 +143,8 @@ def _days(end: dict | None) -> int | None:
 
 
 def _window(d: dict | None) -> Window:
-    return Window(_days((d or {}).get("Start")), _days((d or {}).get("End"))).straightened()
+    d = d or {}
+    return Window(_days(d.get("Start")), _days(d.get("End")), bool(d.get("UseIndexEnd")), bool(d.get("UseEventEnd"))).straightened()
 
 
 def _criterion(d: dict) -> Criterion:

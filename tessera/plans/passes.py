@@ -54,8 +54,8 @@ def washout_before_index(c: Cohort) -> Cohort:
 
     def fix(k: Counted) -> Counted:
         absent = k.kind in (0, 1) and k.count == 0
-        if absent and (k.criterion.domain, k.criterion.codeset) in entry and (k.window.end is None or k.window.end >= 0) and (k.window.start is None or k.window.start < 0):
-            return replace(k, window=Window(k.window.start, -1))
+        if absent and not (k.window.from_end or k.window.of_end) and (k.criterion.domain, k.criterion.codeset) in entry and (k.window.end is None or k.window.end >= 0) and (k.window.start is None or k.window.start < 0):
+            return replace(k, window=replace(k.window, end=-1))
         return k
 
     def walk(g: Group) -> Group:

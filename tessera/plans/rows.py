@@ -160,7 +160,7 @@ def rows_of(documents: DataFrame) -> Rows:
     nested = groups[0]
     for more in groups[1:]:
         nested = nested.unionByName(more)
-    return Rows(heads, sets, items, entries, rules, nested, staged(with_types(every), "criteria"))
+    return Rows(heads, sets, staged(items, "items"), entries, rules, nested, staged(with_types(every), "criteria"))
 
 
 def listed(df: DataFrame, keys: list[str], nth: str, text: str, name: str) -> DataFrame:

@@ -13,7 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHOSEN = [
     "exposure_span_having", "covariate_prevalence_topn", "outcome_post_index", "censoring_tar_obs", "rest_comparator", "era_collapse", "cohort_overlap", "codeset_closure", "retired_forwarding", "rollup_redundant", "lca", "k_hop_descendants",
     "rule_absence", "group_nested", "attrition_levels", "exit_custom_era", "cohort_collapsed_eras", "compiled_from_json", "weight_trim_p99", "smd_weighted", "km_curve", "logrank", "vector_topk", "rrf", "set_pairing", "evidence_states", "user_sessions",
-    "lint_contradicted", "lint_covered_ranges", "lint_unsatisfiable", "repair_alternative_bands", "inherited_bounds", "bound_agreement", "audit_reconciled",
+    "document_criteria", "document_covered_ranges", "document_ranges_joined", "synonym_expansion", "synonym_graph_reached", "expanded_clinical", "two_stage_search", "concordance_index",
+    "lint_contradicted", "lint_covered_ranges", "repair_restated_absences", "repair_split_bands", "lint_unsatisfiable", "repair_alternative_bands", "inherited_bounds", "bound_agreement", "audit_reconciled",
 ]
 
 
