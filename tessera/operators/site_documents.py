@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.rows import Rows, set_key
-from ..staging import staged
+from ..staging import grown
 from .vocabulary import proper
 
 #: Fixed value: the share of a document's rules that may be dropped; beyond it the document stays as it was.
@@ -37,15 +37,15 @@ def fitted(rows: Rows, populated: DataFrame, ancestor: DataFrame, replacements:
     Sets that keep an item lose those to be pruned; a set that would lose all stays as it is and its rules go. Where more than a share of `most` of
     a document's rules would go, nothing of it is changed.
     """
-    told = staged(edits(rows, populated, ancestor, replacements), "site-edits")
+    told = grown(edits(rows, populated, ancestor, replacements), "site-edits")
     place = ["document", "set_nth", "nth"]
     gone = told.where("action = 'PRUNE'").select(*place).distinct()
     left = rows.items.join(gone, place, "left_anti").select("document", "set_nth").distinct()
     lost = told.where("action = 'PRUNE'").join(left, ["document", "set_nth"], "left_anti").select("document", "rule").distinct()
     counted = rows.rules.select("document", "rule").join(lost.withColumn("gone", F.lit(1)), ["document", "rule"], "left").groupBy("document").agg(F.count("*").alias("n_rules"), F.count("gone").alias("n_dropped"))
-    report = staged(counted.withColumn("aborted", F.col("n_dropped") > F.lit(most) * F.col("n_rules")), "site-report")
+    report = grown(counted.withColumn("aborted", F.col("n_dropped") > F.lit(most) * F.col("n_rules")), "site-report")
     kept = report.where("NOT aborted").select("document")
-    lost = staged(lost.join(kept, "document", "left_semi"), "site-dropped")
+    lost = grown(lost.join(kept, "document", "left_semi"), "site-dropped")
     change = told.join(kept, "document", "left_semi").where("action <> 'PRUNE'").groupBy(*place).agg(F.min("action").alias("action"), F.min("new_id").alias("new_id"), F.min("new_name").alias("new_name"))
     prune = gone.join(left, ["document", "set_nth"], "left_semi").join(kept, "document", "left_semi")
     wide = set_key(F.col("raw"), ("includeDescendants",), F.lit("true"))

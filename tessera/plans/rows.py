@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import grown
 
 #: Keys of a criterion's body that have columns of their own; the others narrow it further and stay text.
 READ = ("CodesetId", "ValueAsNumber", "Unit")
@@ -39,7 +39,7 @@ class Rows:
 
     def written(self, *names: str) -> Rows:
         """These frames written in the shared folder and read again, so that what made them runs once and stands in no later plan."""
-        return self.but(**{name: staged(getattr(self, name), name) for name in names})
+        return self.but(**{name: grown(getattr(self, name), name) for name in names})
 
 
 def get(path: str, kind: str, v: str = "v") -> Column:
@@ -88,14 +88,14 @@ def rejected(documents: DataFrame) -> DataFrame:
 
 
 def with_types(criteria: DataFrame) -> DataFrame:
-    """criteria with what raw says, by column.
+    """criteria with what raw says, by column; raw is not parsed where it stands parsed in a column v.
 
     domain, codeset: of its body; kind and count of its occurrence, absent (exactly none), required (one or more); w_start, w_end: days
     from the index, both null where the document does not fix them (no window, no days, counted from another date); end_day: the end alone; window: as
     text; op, value, extent: the bound; units: ascending, empty for any; bare: the body names its set alone; residue: other attributes as text.
     """
-    kept = [c for c in criteria.columns if c not in TYPES]
-    df = parsed(criteria.select(*kept), "raw")
+    kept = [c for c in criteria.columns if c not in (*TYPES, "v")]
+    df = criteria.select(*kept, "v") if "v" in criteria.columns else parsed(criteria.select(*kept), "raw")
     body = "coalesce(try_variant_get(v, '$.Criteria', 'map<string,variant>'), try_variant_get(v, '$', 'map<string,variant>'))"
     df = df.withColumn("found", F.expr(f"get(filter(map_entries({body}), e -> try_variant_get(e.value, '$.CodesetId', 'variant') IS NOT NULL), 0)"))
     df = df.withColumn("b", F.col("found.value"))
@@ -125,8 +125,7 @@ def rows_of(documents: DataFrame) -> Rows:
     What is no JSON object has no rows (see rejected), and neither have elements that are no objects in lists of rules, groups and sets. Rules, groups or criteria may be missing or
     empty lists. The document key must be unique. Levels of nested groups are opened one after another, each written in the shared folder.
     """
-    docs = staged(opened(documents).where(is_object()).select("document", F.expr("to_json(v)").alias("text")), "documents")
-    d = parsed(docs)
+    d = grown(opened(documents).select("document", F.when(is_object(), F.col("v")).alias("v")), "documents").where("v IS NOT NULL")
     heads = d.select("document", rest("ConceptSets", "InclusionRules").alias("rest"), has("$.ConceptSets").alias("has_sets"), has("$.InclusionRules").alias("has_rules"))
     whole_sets = each(d, "$.ConceptSets", "document").where(is_object())
     sets = whole_sets.select("document", F.col("nth").alias("set_nth"), get("$.id", "bigint").alias("codeset"), get("$.name", "string").alias("name"), rest("expression", kind="OBJECT").alias("rest"), has("$.expression", "OBJECT").alias("has_expression"), has("$.expression.items").alias("has_items"), rest("items", of="$.expression").alias("inner_rest"))
@@ -142,17 +141,17 @@ def rows_of(documents: DataFrame) -> Rows:
     rules = whole_rules.select("document", F.col("nth").alias("rule"), get("$.name", "string").alias("name"), any_of.alias("any_of"), rest("expression", kind="OBJECT").alias("rest"), has("$.expression", "OBJECT").alias("has_expression"))
     conjoined = F.coalesce(get("$.Type", "string"), F.lit("ALL")) == "ALL"
     level = whole_rules.select("document", F.col("nth").alias("rule"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("nth"), get("$.expression", "variant").alias("v"))
-    level = level.where(is_object()).select("document", "rule", "path", "parent", "nth", conjoined.alias("conjoined"), F.expr("to_json(v)").alias("text"))
+    level = level.where(is_object()).select("document", "rule", "path", "parent", "nth", conjoined.alias("conjoined"), "v")
     groups, criteria, depth = [], [], 0
     while True:
-        nodes = parsed(staged(level, f"groups-{depth}"))
+        nodes = grown(level, f"groups-{depth}")
         groups.append(nodes.select("document", "rule", "path", "parent", F.lit(depth).alias("depth"), "nth", get("$.Type", "string").alias("kind"), "conjoined", rest("CriteriaList", "Groups").alias("rest"), has("$.CriteriaList").alias("has_criteria"), has("$.Groups").alias("has_groups")))
-        criteria.append(each(nodes, "$.CriteriaList", "document", "rule", "path", "conjoined").select("document", "rule", "path", "nth", "conjoined", F.col("text").alias("raw")))
+        criteria.append(each(nodes, "$.CriteriaList", "document", "rule", "path", "conjoined").select("document", "rule", "path", "nth", "conjoined", F.col("text").alias("raw"), "v"))
         below = each(nodes, "$.Groups", "document", "rule", "path", "conjoined").where(is_object())
         if below.isEmpty():
             break
         path = F.concat(F.col("path"), F.lit("/"), F.lpad(F.col("nth").cast("string"), 4, "0"))
-        level = below.select("document", "rule", path.alias("path"), F.col("path").alias("parent"), "nth", (F.col("conjoined") & conjoined).alias("conjoined"), "text")
+        level = below.select("document", "rule", path.alias("path"), F.col("path").alias("parent"), "nth", (F.col("conjoined") & conjoined).alias("conjoined"), "v")
         depth += 1
     every = criteria[0]
     for more in criteria[1:]:
@@ -160,7 +159,7 @@ def rows_of(documents: DataFrame) -> Rows:
     nested = groups[0]
     for more in groups[1:]:
         nested = nested.unionByName(more)
-    return Rows(heads, sets, staged(items, "items"), entries, rules, nested, staged(with_types(every), "criteria"))
+    return Rows(heads, sets, grown(items, "items"), entries, rules, nested, grown(with_types(every), "criteria"))
 
 
 def listed(df: DataFrame, keys: list[str], nth: str, text: str, name: str) -> DataFrame:
@@ -178,8 +177,8 @@ def obj(rest_text: Column, *parts: tuple[str, Column, Column]) -> Column:
 def documents_of(rows: Rows) -> DataFrame:
     """document, expression: the documents as JSON text, put together from the deepest groups up. Lists that lost all their rows stay as empty lists."""
     none = F.lit("[]")
-    groups = staged(rows.groups, "groups")
-    lists = staged(listed(rows.criteria, ["document", "rule", "path"], "nth", "raw", "criteria"), "criteria-lists")
+    groups = grown(rows.groups, "groups")
+    lists = grown(listed(rows.criteria, ["document", "rule", "path"], "nth", "raw", "criteria"), "criteria-lists")
     deepest = groups.agg(F.max("depth")).head()[0]
     below = None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
