@@ -13,7 +13,7 @@ from .operators import site_documents
 from .plans import rows as plan_rows
 from .plans.rows import Rows, documents_of, rows_of
 from .sources.cdm import BRAND, LEAF, Cdm, choice
-from .staging import staged
+from .staging import grown
 
 #: Orders as criteria: a customer's orders are its document, dealt to four rules and four places in each. Sets 1 to 6 hold three pairs of the same concepts, 7 is the entry's.
 CRIT = """crit AS (SELECT *, t0 = 'ALL' AND (spot IN (0, 3) OR t1 = 'ALL') AS conjoined, NOT absent AS required, (codeset - 1) % 3 AS members, op IS NULL AND units IS NULL AS bare FROM (SELECT o_orderkey AS id, o_custkey AS document, 'r' || o_orderkey % 4 AS rule, (o_orderkey // 4) % 4 AS spot,
@@ -184,15 +184,15 @@ def shaped(c: Cdm) -> DataFrame:
 
 
 
-def resolved(c: Cdm, r: Rows) -> DataFrame:
-    return staged(checks.closures(r, c.concept_ancestor, c.concept_relationship, c.concept), "resolved")
+def resolved(c: Cdm, r: Rows) -> checks.Closures:
+    return checks.set_closures(r, c.concept_ancestor, c.concept_relationship, c.concept)
 
 
 @query(f"WITH {SHAPES} SELECT document, CAST(a AS DOUBLE) AS low, CAST(b AS DOUBLE) AS high FROM merged WHERE one")
 def document_ranges_joined(c):
     """From JSON text to repaired JSON text, read once more: the closed ranges that two bounds became."""
     r = rows_of(shaped(c))
-    again = rows_of(documents_of(checks.ranges_joined(r, staged(checks.closure_keys(resolved(c, r)), "closure-keys"))))
+    again = rows_of(documents_of(checks.ranges_joined(r, grown(checks.closure_keys(resolved(c, r)), "closure-keys"))))
     return again.criteria.where("op = 'bt' AND conjoined AND required AND path = ''").select("document", F.col("value").alias("low"), F.col("extent").alias("high"))
 
 
@@ -200,7 +200,7 @@ def document_ranges_joined(c):
 def document_restated_removed(c):
     """The number of rules after split ranges are joined and the absences that restate them are removed."""
     r = rows_of(shaped(c))
-    keys = staged(checks.closure_keys(resolved(c, r)), "closure-keys")
+    keys = grown(checks.closure_keys(resolved(c, r)), "closure-keys")
     left = checks.restated_absences_removed(checks.ranges_joined(r, keys), keys)
     return rows_of(documents_of(left)).rules.groupBy("document").agg(F.count("*").cast("int").alias("n_rules"))
 

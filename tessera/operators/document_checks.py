@@ -7,12 +7,13 @@ closed ends. Everything is a join or grouping inside documents, so any number of
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rows import PLACE, Rows, drop_key, set_key, with_types
-from ..staging import staged
+from ..staging import grown, staged
 
 #: Phrases that state a bound and words for its sides, which a rule's name is rid of to see what it is about.
 BOUND_PHRASES = (
@@ -32,6 +33,8 @@ POINTING_HEADS = ("above", "foregoing", "following", "former", "latter", "rest",
 POINTING_WORDS = ("specified", "allowed", "permitted", "listed", "mentioned", "stated", "described", "noted", "these", "those", "such", "aforementioned")
 LONGEST_EXCEPTION = 8
 OPEN = 1e300
+#: Parts of a resolved set that are keyed one by one.
+PARTS = 256
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -53,25 +56,47 @@ def identities(rows: Rows) -> DataFrame:
     return _keyed(held.groupBy("document", "codeset").agg(F.sort_array(F.collect_set(F.concat_ws(":", "concept_id", "is_excluded"))).alias("ids")))
 
 
-def closure_keys(closures: DataFrame) -> DataFrame:
-    """document, codeset, members, n_members of resolved closures (document, codeset, concept_id)."""
-    return _keyed(closures.groupBy("document", "codeset").agg(F.sort_array(F.collect_set("concept_id")).alias("ids")))
+@dataclass(frozen=True)
+class Closures:
+    """What sets resolve to, held once for all sets of the same items, whatever documents they are in. sets: document, codeset, codeset_id. members: codeset_id, concept_id."""
+
+    sets: DataFrame
+    members: DataFrame
+
+
+def closure_keys(closures: DataFrame | Closures) -> DataFrame:
+    """document, codeset, members, n_members of resolved closures (Closures, or document, codeset, concept_id)."""
+    if isinstance(closures, DataFrame):
+        return _keyed(closures.groupBy("document", "codeset").agg(F.sort_array(F.collect_set("concept_id")).alias("ids")))
+    # a set can hold the whole vocabulary: keys of parts by hash first
+    part = F.pmod(F.xxhash64("concept_id"), F.lit(PARTS)).alias("part")
+    parts = closures.members.groupBy("codeset_id", part).agg(F.sort_array(F.collect_set("concept_id")).alias("ids"))
+    parts = parts.select("codeset_id", F.struct("part", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("key")).alias("x"), F.size("ids").alias("n"))
+    whole = F.concat_ws(",", F.transform(F.sort_array(F.collect_list("x")), lambda x: F.concat_ws(":", x["part"].cast("string"), x["key"])))
+    keys = parts.groupBy("codeset_id").agg(F.sha2(whole, 256).alias("members"), F.sum("n").cast("int").alias("n_members"))
+    return closures.sets.join(keys, "codeset_id").select("document", "codeset", "members", "n_members")
 
 
 def _keyed(sets: DataFrame) -> DataFrame:
     return sets.select("document", "codeset", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("members"), F.size("ids").alias("n_members"))
 
 
-def closures(rows: Rows, ancestor: DataFrame, relationship: DataFrame, concept: DataFrame) -> DataFrame:
-    """document, codeset, concept_id: what each set resolves to. Sets with the same items are resolved once, whatever documents they are in."""
+def set_closures(rows: Rows, ancestor: DataFrame, relationship: DataFrame, concept: DataFrame) -> Closures:
+    """What each set resolves to. Sets with the same items are resolved once, and their members are not repeated for each document."""
     from .vocabulary import closure
 
     flags = ["concept_id", "include_descendants", "include_mapped", "is_excluded"]
     items = rows.items.where(F.col("concept_id").isNotNull())
     keyed = items.groupBy("document", "codeset").agg(F.sha2(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", *flags))), ","), 256).alias("codeset_id"))
+    keyed = grown(keyed, "set-ids")
     distinct = items.join(keyed, ["document", "codeset"]).select("codeset_id", *flags).distinct()
-    resolved = staged(closure(staged(distinct, "distinct-sets"), ancestor, relationship, concept), "closures")
-    return keyed.join(resolved, "codeset_id").select("document", "codeset", "concept_id")
+    return Closures(keyed, grown(closure(staged(distinct, "distinct-sets"), ancestor, relationship, concept), "closures"))
+
+
+def closures(rows: Rows, ancestor: DataFrame, relationship: DataFrame, concept: DataFrame) -> DataFrame:
+    """document, codeset, concept_id: what each set resolves to, a row for each document and member; set_closures does not repeat them."""
+    found = set_closures(rows, ancestor, relationship, concept)
+    return found.sets.join(found.members, "codeset_id").select("document", "codeset", "concept_id")
 
 
 def end_of(value: Column, beyond: Column) -> Column:
@@ -185,12 +210,25 @@ def covered(rows: Rows) -> DataFrame:
     return per_piece.groupBy(*place, "unit").agg(F.bool_and(F.col("in") | (F.col("n") == 0)).alias("all_in")).where("all_in").select(*place).distinct()
 
 
-def containing(rows: Rows, resolved: DataFrame) -> DataFrame:
-    """document, codeset of sets whose closure holds the whole closure of the document's entries: members met are counted against the entry's. resolved: document, codeset, concept_id."""
-    entry = resolved.join(rows.entries.select("document", "codeset").distinct(), ["document", "codeset"], "left_semi").select("document", "concept_id").distinct()
-    n = entry.groupBy("document").agg(F.count("*").alias("n_entry"))
-    met = resolved.join(entry, ["document", "concept_id"], "left_semi").groupBy("document", "codeset").agg(F.count("*").alias("n_met"))
-    return met.join(n, "document").where("n_met = n_entry").select("document", "codeset")
+def containing(rows: Rows, resolved: DataFrame | Closures) -> DataFrame:
+    """document, codeset of sets whose closure holds the whole closure of the document's entries: members met are counted against the entry's. resolved: Closures, or document, codeset, concept_id.
+
+    With Closures, documents with the same entry sets are one entry, and each of their distinct sets is counted against it once.
+    """
+    named = rows.entries.select("document", "codeset").distinct()
+    if isinstance(resolved, DataFrame):
+        entry = resolved.join(named, ["document", "codeset"], "left_semi").select("document", "concept_id").distinct()
+        n = entry.groupBy("document").agg(F.count("*").alias("n_entry"))
+        met = resolved.join(entry, ["document", "concept_id"], "left_semi").groupBy("document", "codeset").agg(F.count("*").alias("n_met"))
+        return met.join(n, "document").where("n_met = n_entry").select("document", "codeset")
+    own = resolved.sets.join(named, ["document", "codeset"]).groupBy("document").agg(F.sort_array(F.collect_set("codeset_id")).alias("entry"))
+    sets = grown(resolved.sets.join(own, "document"), "entry-sets")
+    held = sets.select("entry").distinct().select("entry", F.explode("entry").alias("codeset_id")).join(resolved.members, "codeset_id").select("entry", "concept_id").distinct()
+    held = grown(held, "entry-members")
+    n = held.groupBy("entry").agg(F.count("*").alias("n_entry"))
+    met = sets.select("entry", "codeset_id").distinct().join(resolved.members, "codeset_id").join(held, ["entry", "concept_id"], "left_semi").groupBy("entry", "codeset_id").agg(F.count("*").alias("n_met"))
+    whole = met.join(n, "entry").where("n_met = n_entry").select("entry", "codeset_id")
+    return sets.join(whole, ["entry", "codeset_id"], "left_semi").select("document", "codeset")
 
 
 # ---- what names say -----------------------------------------------------------------------------
@@ -279,7 +317,7 @@ def split_ranges(rows: Rows, keys: DataFrame) -> DataFrame:
 
 def ranges_joined(rows: Rows, keys: DataFrame) -> Rows:
     """Rules of split_ranges become one criterion with a closed range, that of the lower bound, under ALL."""
-    found = staged(split_ranges(rows, keys), "split-ranges")
+    found = grown(split_ranges(rows, keys), "split-ranges")
     at = ["document", "rule"]
     bound = F.concat(F.lit('{"Value":'), F.col("low"), F.lit(',"Extent":'), F.col("high"), F.lit(',"Op":"bt"}'))
     kept = rows.criteria.join(found, at).where("path = low_path AND nth = low_nth")
@@ -321,12 +359,12 @@ def restated_absences(rows: Rows, keys: DataFrame) -> DataFrame:
 
 
 def restated_absences_removed(rows: Rows, keys: DataFrame) -> Rows:
-    gone = staged(restated_absences(rows, keys).select("document", "rule"), "restated-absences")
+    gone = grown(restated_absences(rows, keys).select("document", "rule"), "restated-absences")
     without = lambda df: df.join(gone, ["document", "rule"], "left_anti")
     return rows.but(rules=without(rows.rules), groups=without(rows.groups), criteria=without(rows.criteria))
 
 
-def entry_exclusions(rows: Rows, resolved: DataFrame) -> DataFrame:
+def entry_exclusions(rows: Rows, resolved: DataFrame | Closures) -> DataFrame:
     """document, set_nth, codeset: sets of mandatory absences that reach the index day, hold the whole closure of the entries, and whose rule's name states an exception. Documents whose entry sets exclude something themselves are left alone."""
     covers = (F.coalesce("w_start", F.lit(-OPEN)) <= 0) & (F.coalesce("end_day", F.lit(OPEN)) >= 0)
     stated = rows.rules.where(exception(F.col("name")).isNotNull()).select("document", "rule")
@@ -337,11 +375,11 @@ def entry_exclusions(rows: Rows, resolved: DataFrame) -> DataFrame:
     return hit.join(rows.sets.select("document", "set_nth", "codeset"), ["document", "codeset"]).select("document", "set_nth", "codeset")
 
 
-def entry_exclusions_mirrored(rows: Rows, resolved: DataFrame) -> Rows:
+def entry_exclusions_mirrored(rows: Rows, resolved: DataFrame | Closures) -> Rows:
     """The entry sets' items are put at the end of such sets as exclusions, once each, but for concepts already excluded there."""
-    hit = entry_exclusions(rows, resolved)
+    hit = grown(entry_exclusions(rows, resolved), "entry-exclusions")
     entry = rows.items.join(rows.entries.select("document", "codeset").distinct(), ["document", "codeset"], "left_semi").where("concept_id IS NOT NULL")
-    entry = entry.groupBy("document", "concept_id").agg(F.min(F.struct("set_nth", "nth", "raw", "include_descendants", "include_mapped")).alias("x"))
+    entry = entry.groupBy("document", "concept_id").agg(F.min(F.struct("set_nth", "nth", "raw", "include_descendants", "include_mapped")).alias("x")).hint("merge")
     already = rows.items.where("is_excluded").select("document", "set_nth", "concept_id")
     new = hit.join(entry, "document").join(already, ["document", "set_nth", "concept_id"], "left_anti")
     last = rows.items.groupBy("document", "set_nth").agg(F.max("nth").alias("last"))
@@ -366,9 +404,9 @@ def units_dropped(rows: Rows, allowed: DataFrame) -> Rows:
     return rewritten(rows, safe.select(*PLACE, drop_key(F.col("raw"), ("Criteria", "Measurement", "Unit")).alias("new_raw")))
 
 
-def repaired(rows: Rows, resolved: DataFrame, allowed: DataFrame | None = None) -> Rows:
+def repaired(rows: Rows, resolved: DataFrame | Closures, allowed: DataFrame | None = None) -> Rows:
     """All repairs in the order that they need: split ranges joined, their restated absences removed, exclusions mirrored, washouts moved, units dropped."""
-    keys = staged(closure_keys(resolved), "closure-keys")
+    keys = grown(closure_keys(resolved), "closure-keys")
     rows = restated_absences_removed(ranges_joined(rows, keys), keys)
     rows = washouts_before_index(entry_exclusions_mirrored(rows, resolved))
     return rows if allowed is None else units_dropped(rows, allowed)
