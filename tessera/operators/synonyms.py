@@ -47,7 +47,7 @@ def holding(queries: DataFrame, names: DataFrame) -> DataFrame:
     held = names.select("cui", F.lower("str").alias("name")).distinct()
     found = None
     for size in range(1, PIECE + 1):
-        posted = held.select("cui", "name", F.explode(pieces_of(F.col("name"), size)).alias("piece"))
+        posted = held.select("cui", "name", F.explode(pieces_of(F.col("name"), size)).alias("piece")).hint("merge")  # many rows a name, which the planner does not count
         rare = asked.where(F.col("size") == size).select("query_id", "wanted", F.explode(pieces_of(F.col("wanted"), size)).alias("piece"))
         counts = posted.join(rare.select("piece").distinct(), "piece", "left_semi").groupBy("piece").count()
         first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("count", F.lit(0)), "piece"))
