@@ -45,10 +45,14 @@ def climbed(seeds: DataFrame, ancestor: DataFrame, is_a: DataFrame, cap: int = C
     return taken.withColumn("nth", rank).where(F.col("nth") <= cap).select("seed_id", "concept_id", "nth")
 
 
-def from_parents(seeds: DataFrame, ancestor: DataFrame, is_a: DataFrame, concept: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """seed_id, concept_id, separation: what stands below a seed's parents."""
+def from_parents(seeds: DataFrame, ancestor: DataFrame, is_a: DataFrame, concept: DataFrame, levels: int = LEVELS, most: int | None = None) -> DataFrame:
+    """seed_id, concept_id, separation: what stands below a seed's parents. With `most`, no less than the so many nearest (then least ids): of each parent only its most + 1 nearest, one of which may be the seed."""
     up = seeds.join(is_a, seeds["concept_id"] == is_a["child"]).select(F.col("concept_id").alias("seed_id"), "parent").distinct()
     down = vocabulary.descendants_within(up.select(F.col("parent").alias("concept_id")).distinct(), ancestor, concept, levels).select(F.col("seed_id").alias("parent"), "concept_id", "min_levels_of_separation")
+    if most is not None:
+        down = down.groupBy("parent", "concept_id").agg(F.min("min_levels_of_separation").alias("min_levels_of_separation"))
+        nth = F.row_number().over(Window.partitionBy("parent").orderBy("min_levels_of_separation", "concept_id"))
+        down = down.withColumn("nth", nth).where(F.col("nth") <= most + 1).drop("nth")
     return up.join(down, "parent").groupBy("seed_id", "concept_id").agg(F.min("min_levels_of_separation").alias("separation"))
 
 
@@ -57,6 +61,7 @@ def expanded(seeds: DataFrame, strategy: str, ancestor: DataFrame, is_a: DataFra
 
     descendants, siblings, maps_to, ancestor_climb: that branch alone. clinical: descendants (a leaf's: what is below its parents), siblings, mapped concepts, the climb, near
     ancestors. clinical_anchor: near ancestors, siblings, mapped concepts, the climb, no descendants. In a branch the nearest come first, then the least ids.
+    Whoever stands behind `cap` others of its branch stands behind them in the whole, so big families are cut at the cap before they meet their members.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"no such strategy: {strategy}")
@@ -68,9 +73,9 @@ def expanded(seeds: DataFrame, strategy: str, ancestor: DataFrame, is_a: DataFra
             if strategy != "clinical":
                 return down
             leaves = seeds.join(down.select(F.col("seed_id").alias("concept_id")).distinct(), "concept_id", "left_anti")
-            return down.unionByName(from_parents(leaves, ancestor, is_a, concept).select("seed_id", "concept_id", F.col("separation").alias("far")))
+            return down.unionByName(from_parents(leaves, ancestor, is_a, concept, most=cap).select("seed_id", "concept_id", F.col("separation").alias("far")))
         if name == "siblings":
-            return vocabulary.siblings(seeds, is_a).withColumn("far", F.lit(0))
+            return vocabulary.siblings(seeds, is_a, cap).withColumn("far", F.lit(0))
         if name == "maps_to":
             maps = relationship.where("relationship_id = 'Maps to'").select(F.col("concept_id_1").alias("seed_id"), F.col("concept_id_2").alias("concept_id")).distinct()
             return maps.join(seeds.select(F.col("concept_id").alias("seed_id")), "seed_id", "left_semi").withColumn("far", F.lit(0))

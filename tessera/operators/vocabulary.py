@@ -118,10 +118,13 @@ def lowest_common_ancestor(groups: DataFrame, ancestor: DataFrame, max_separatio
     return common.join(size, "group_id").where("n = size").withColumn("r", best).where("r = 1").select("group_id", "ancestor_concept_id", "separation")
 
 
-def siblings(ids: DataFrame, is_a: DataFrame) -> DataFrame:
-    """seed_id, concept_id: other children of the seed's parents."""
+def siblings(ids: DataFrame, is_a: DataFrame, most: int | None = None) -> DataFrame:
+    """seed_id, concept_id: other children of the seed's parents. With `most`, no less than the so many least ids: of each parent only its most + 1 least children are looked at, one of which may be the seed."""
     up = ids.join(is_a, ids["concept_id"] == is_a["child"]).select(F.col("concept_id").alias("seed_id"), "parent")
     down = is_a.select(F.col("child").alias("concept_id"), "parent")
+    if most is not None:
+        nth = F.row_number().over(Window.partitionBy("parent").orderBy("concept_id"))
+        down = down.distinct().withColumn("nth", nth).where(F.col("nth") <= most + 1).drop("nth")
     return up.join(down, "parent").where("concept_id <> seed_id").select("seed_id", "concept_id").distinct()
 
 
