@@ -93,9 +93,9 @@ def subsumers(candidates: DataFrame, members: DataFrame, ancestor: DataFrame) ->
 
 
 def descendant_counts(ids: DataFrame, ancestor: DataFrame) -> DataFrame:
-    """concept_id, n_descendants without itself; 0 for leaves and unknown ids."""
+    """concept_id, n_descendants without itself; 0 for leaves and unknown ids. A row an id, however often it is given."""
     below = proper(ancestor).groupBy(F.col("ancestor_concept_id").alias("concept_id")).agg(F.countDistinct("descendant_concept_id").alias("n"))
-    return ids.join(below, "concept_id", "left").select("concept_id", F.coalesce("n", F.lit(0)).alias("n_descendants"))
+    return ids.select("concept_id").distinct().join(below, "concept_id", "left").select("concept_id", F.coalesce("n", F.lit(0)).alias("n_descendants"))
 
 
 def information_content(n_descendants: Column) -> Column:
