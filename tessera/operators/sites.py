@@ -31,9 +31,9 @@ def evidence(concepts: DataFrame, snapshot: DataFrame, concept: DataFrame, small
 
 
 def descendant_bound(concepts: DataFrame, snapshot: DataFrame, ancestor: DataFrame) -> DataFrame:
-    """concept_id, upper_bound: sum of persons of proper descendants, a person counted for each; null if there are none."""
+    """concept_id, upper_bound: sum of persons of proper descendants in all analyses, a person counted for each; null if there are none."""
     below = concepts.join(ancestor.where("ancestor_concept_id <> descendant_concept_id"), concepts["concept_id"] == F.col("ancestor_concept_id")).select("concept_id", "descendant_concept_id")
-    counts = snapshot.groupBy(F.col("concept_id").alias("descendant_concept_id")).agg(F.max("n_persons").alias("n"))
+    counts = snapshot.groupBy(F.col("concept_id").alias("descendant_concept_id")).agg(F.sum("n_persons").alias("n"))
     total = below.join(counts, "descendant_concept_id").groupBy("concept_id").agg(F.sum("n").alias("s"))
     return concepts.join(total, "concept_id", "left").select("concept_id", F.when(F.col("s") > 0, F.col("s")).alias("upper_bound"))
 
