@@ -130,8 +130,9 @@ def by_names(queries: DataFrame, concept: DataFrame, n: int = NAMES) -> DataFram
     good = concept.where("standard_concept = 'S' AND invalid_reason IS NULL")
     asked = queries.select("query_id", F.lower(F.trim("text")).alias("wanted")).where("wanted <> ''")
     hit = holding(asked, good.select(F.col("concept_id").alias("cui"), F.col("concept_name").alias("str")))
-    facts = good.select(F.col("concept_id").alias("cui"), "domain_id", F.length("concept_name").alias("length"))
-    fit = hit.join(facts, "cui").join(queries.select("query_id", "domain"), "query_id").where("domain IS NULL OR domain = domain_id")
+    facts = good.select(F.col("concept_id").alias("cui"), "domain_id", F.length("concept_name").alias("length"), F.lower("concept_name").alias("name"))
+    fit = hit.join(facts, "cui").join(asked, "query_id").where(F.col("name").contains(F.col("wanted")))  # of an id with several names only those that hold the text
+    fit = fit.join(queries.select("query_id", "domain"), "query_id").where("domain IS NULL OR domain = domain_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("length", "cui"))
     return fit.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", F.col("cui").alias("item_id"), "rank")
 
