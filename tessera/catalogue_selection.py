@@ -97,7 +97,8 @@ def fetched_then_sorted(c):
     q, v = vectors(c)
     n, by_query = 20, Window.partitionBy("query_id")
     near = nearest_of_all(q, v, max(3 * n, 60))
-    score = F.col("distance") / F.avg("distance").over(by_query) + F.when(F.col("item_id") % 7 == 0, -0.05).otherwise(0.0)
+    mean = F.avg("distance").over(by_query)  # 0 where all that was fetched are copies of the query
+    score = F.when(mean > 0, F.col("distance") / F.when(mean > 0, mean)).otherwise(F.lit(float("nan"))) + F.when(F.col("item_id") % 7 == 0, -0.05).otherwise(0.0)
     ranked = near.select("query_id", "item_id", score.alias("score")).withColumn("rank", F.row_number().over(by_query.orderBy("score", "item_id")))
     return ranked.where(F.col("rank") <= n).select("query_id", "item_id", *r6("score"), "rank")
 

@@ -84,3 +84,12 @@ def test_an_id_with_two_names(spark):
     concept = spark.createDataFrame([(7, "a long name with ring", "Drug", "S", None), (7, "Brand", "Drug", "S", None), (8, "ring", "Drug", "S", None)], "concept_id long, concept_name string, domain_id string, standard_concept string, invalid_reason string")
     asked = spark.createDataFrame([(1, "ring", None)], "query_id long, text string, domain string")
     assert sorted((r.item_id, r["rank"]) for r in index.by_names(asked, concept).collect()) == [(7, 2), (8, 1)]
+
+
+def test_all_fetched_are_copies_of_the_query(spark, tmp_path):
+    """Their mean distance is 0: scores are no numbers, ranks go by id, and the query does not end in an error."""
+    from tessera import catalogue
+
+    spark.createDataFrame([(i, [1.0, 2.0], 1) for i in range(100)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalogue.QUERIES["fetched_then_sorted"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.item_id, r["rank"]) for r in got) == [(q, i, i + 1) for q in (0, 50) for i in range(20)] and all(np.isnan(r.score) for r in got)
