@@ -1,14 +1,20 @@
 """What must not grow faster than the input: joins of documents, resolved sets, families of siblings, nearest vectors."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera import catalogue
+from tessera.operators import cohorts, expansion, index, retrieval, sites, vocabulary
 from tessera.operators import document_checks as checks
-from tessera.operators import expansion, index, retrieval, sites, vocabulary
 from tessera.plans import rows as R
+from tessera.sources.cdm import Cdm
 
 from .test_rows import NO, YES, document, entry, group, opened, rule
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def test_repetitive_documents_do_not_go_through_the_driver(spark):
     """They are small on disk and large in memory, so the planner must not broadcast them by their size on disk."""
@@ -88,3 +94,27 @@ def test_all_fetched_are_copies_of_the_query(spark, tmp_path):
     spark.createDataFrame([(i, [1.0, 2.0], 1) for i in range(100)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = catalogue.QUERIES["fetched_then_sorted"](spark, str(tmp_path)).collect()
     assert sorted((r.query_id, r.item_id, r["rank"]) for r in got) == [(q, i, i + 1) for q in (0, 50) for i in range(20)] and all(np.isnan(r.score) for r in got)
+
+
+def test_arms_come_from_one_pass_over_their_own_exposures(spark):
+    """Both arms read the items once, those of other drugs are left out before they meet orders, and persons by concept are not made distinct twice."""
+    c = Cdm(spark, FOLDER)
+    arms = catalogue.both_arms(c)
+    assert len(set(re.findall(r"l_shipdate#\d+", arms._jdf.queryExecution().optimizedPlan().toString()))) == 1
+    want = cohorts.target_wins(catalogue.arm(c, catalogue.BRAND1), catalogue.arm(c, catalogue.BRAND2))
+    assert sorted(map(tuple, arms.collect())) == sorted((r.person_id, r.treatment, r.cohort_start_date) for r in want.collect())
+    rows = [(1, 1, "2020-02-01"), (1, 0, "2020-01-01"), (2, 0, "2020-03-01"), (2, 0, "2020-02-02"), (3, 1, None)]
+    got = cohorts.arms_of(spark.createDataFrame(rows, "person_id long, treatment int, start_date string")).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == [(1, 1, "2020-02-01"), (2, 0, "2020-02-02"), (3, 1, None)]
+    seen = spark.createDataFrame([(1, 7), (2, 7), (None, 7), (1, 8)], "person_id long, concept_id long").distinct()
+    plan = cohorts.by_concept(seen, "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and {tuple(r) for r in cohorts.by_concept(seen, "n").collect()} == {(7, 2), (8, 1)}
+
+
+def test_lookbacks_and_periods_move_an_order_once(spark):
+    c = Cdm(spark, FOLDER)
+    index = catalogue.both_arms(c).select("person_id", "index_date")
+    assert {tuple(r) for r in catalogue.drugs_before(c, index, 365).collect()} == {tuple(r) for r in cohorts.in_lookback(index, c.drug_exposure, 365).collect()}
+    spans = c.drug_exposure.select("person_id", "start_date", "end_date").unionByName(c.condition_occurrence.select("person_id", "start_date", "end_date"))
+    want = spans.groupBy("person_id").agg(F.min("start_date"), F.max("end_date"))
+    assert sorted(map(tuple, c.observation_period.collect())) == sorted(map(tuple, want.collect()))
