@@ -245,3 +245,21 @@ def test_balls_look_at_few_controls_and_lose_none(spark):
     assert got == want
     few = balls.asked(treated.withColumn("theta", F.lit(0.3)), True)
     assert few.count() < 0.5 * treated.count() * len(balls.cells)
+
+
+def test_similar_tokens_meet_on_a_piece_and_its_place():
+    """No similar pair is missed, and few others meet; coverage stops where it cannot reach what is asked."""
+    rnd = random.Random(1)
+    tokens = sorted({"".join(rnd.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha")) for _ in range(rnd.randint(1, 6)))[: rnd.randint(2, 12)] for _ in range(400)})
+    kept, asked, met = {t: set(restatement.kept_pieces(t)) for t in tokens}, {t: set(restatement.asked_pieces(t)) for t in tokens}, 0
+    for a in tokens:
+        for b in tokens:
+            alike = 2 * min(len(a), len(b)) >= 0.85 * (len(a) + len(b)) and SequenceMatcher(None, a, b).ratio() >= 0.85
+            assert restatement.similar(a, b) == alike and (not alike or asked[a] & kept[b]), (a, b)
+            met += bool(asked[a] & kept[b])
+    assert met < len(tokens) ** 2 / 8
+    assert restatement.coverage(["aa", "bb", "cc", "dd"], set(), ["aa", "bb", "cc"], set(), 0.75) == 0.75 and restatement.coverage(["aa", "bb", "cc", "dd"], set(), ["aa", "bb"], set(), 0.75) == 0
+
+
+def test_short_rows_that_cost_much_are_spread(spark):
+    assert restatement.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
