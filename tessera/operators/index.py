@@ -17,6 +17,8 @@ from .synonyms import holding
 #: Vectors that centroids are fitted on, queries that the number of probes is chosen by: bounds of two samples. Everything is indexed.
 FITTED_ON, TRIED = 20_000, 200
 ROUNDS, MOST_CELLS, BLOCK = 8, 4096, 20_000
+#: Rows whose distances to all cells are worked out at once, cells of theirs that are sent on at once.
+ROWS, WIDE = 256, 64
 #: Results of the first stage, seeds of the second, recommendations for each seed, names looked at.
 KEPT, SEEDS, PER_SEED, NAMES = 20, 10, 5, 50
 
@@ -48,6 +50,15 @@ def fitted(sample: np.ndarray, k: int) -> np.ndarray:
     return centroids
 
 
+def nearest_cells(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest cells of each row, a few rows at a time: all distances of a batch would take as much memory as it has rows times cells."""
+    n, out = min(n, len(centroids)), [np.zeros((0, min(n, len(centroids))), np.int64)]
+    for at in range(0, len(x), ROWS):
+        d = squared(x[at : at + ROWS], centroids)
+        out.append(d.argmin(1)[:, None] if n == 1 else np.argpartition(d, n - 1, axis=1)[:, :n])
+    return np.concatenate(out).astype(np.int64)
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), float) if len(column) else np.zeros((0, 1))
 
@@ -69,7 +80,7 @@ def build(items: DataFrame, n: int = KEPT, target: float = 0.95) -> Index:
 
     def place(batches):
         for pdf in batches:
-            pdf["cell"] = squared(matrix(pdf["v"]), shared.value).argmin(1).astype(np.int64)
+            pdf["cell"] = nearest_cells(matrix(pdf["v"]), shared.value, 1)[:, 0]
             yield pdf
 
     cells = staged(held.mapInPandas(place, "item_id long, domain string, v array<double>, cell long"), "index-cells")
@@ -93,11 +104,14 @@ def looked_up(index: Index, queries: DataFrame, n: int) -> DataFrame:
 
     def probe(batches):
         for pdf in batches:
-            d = squared(matrix(pdf["q"]), shared.value)
-            near = np.argpartition(d, min(probes, d.shape[1]) - 1, axis=1)[:, :probes] if len(pdf) else np.zeros((0, probes), int)
-            out = pdf.loc[pdf.index.repeat(near.shape[1])].copy()
-            out["cell"] = near.ravel().astype(np.int64)
-            yield out
+            for at in range(0, len(pdf), ROWS):
+                some = pdf.iloc[at : at + ROWS]
+                near = nearest_cells(matrix(some["q"]), shared.value, probes)
+                for first in range(0, near.shape[1], WIDE):
+                    cells = near[:, first : first + WIDE]
+                    out = some.loc[some.index.repeat(cells.shape[1])].copy()
+                    out["cell"] = cells.ravel()
+                    yield out
 
     asked = staged(queries.where("q IS NOT NULL").select("query_id", "domain", F.col("q").cast("array<double>").alias("q")).mapInPandas(probe, "query_id long, domain string, q array<double>, cell long"), "index-probes")
 

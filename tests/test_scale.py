@@ -118,3 +118,12 @@ def test_lookbacks_and_periods_move_an_order_once(spark):
     spans = c.drug_exposure.select("person_id", "start_date", "end_date").unionByName(c.condition_occurrence.select("person_id", "start_date", "end_date"))
     want = spans.groupBy("person_id").agg(F.min("start_date"), F.max("end_date"))
     assert sorted(map(tuple, c.observation_period.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cells_are_found_a_few_rows_at_a_time(monkeypatch):
+    rng, seen = np.random.default_rng(1), []
+    x, centroids, whole = rng.normal(size=(700, 4)), rng.normal(size=(30, 4)), index.squared
+    monkeypatch.setattr(index, "squared", lambda a, b: seen.append(len(a)) or whole(a, b))
+    got = index.nearest_cells(x, centroids, 5)
+    assert max(seen) <= index.ROWS and (np.sort(got) == np.sort(whole(x, centroids).argsort(1)[:, :5])).all()
+    assert (index.nearest_cells(x, centroids, 1)[:, 0] == whole(x, centroids).argmin(1)).all() and index.nearest_cells(x[:0], centroids, 5).shape == (0, 5)
