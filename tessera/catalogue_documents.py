@@ -13,7 +13,7 @@ from .operators import site_documents
 from .plans import rows as plan_rows
 from .plans.rows import Rows, documents_of, rows_of
 from .sources.cdm import BRAND, LEAF, Cdm, choice
-from .staging import grown
+from .staging import grown, partitions
 
 #: Orders as criteria: a customer's orders are its document, dealt to four rules and four places in each. Sets 1 to 6 hold three pairs of the same concepts, 7 is the entry's.
 CRIT = """crit AS (SELECT *, t0 = 'ALL' AND (spot IN (0, 3) OR t1 = 'ALL') AS conjoined, NOT absent AS required, (codeset - 1) % 3 AS members, op IS NULL AND units IS NULL AS bare FROM (SELECT o_orderkey AS id, o_custkey AS document, 'r' || o_orderkey % 4 AS rule, (o_orderkey // 4) % 4 AS spot,
@@ -30,7 +30,7 @@ SETS = {n: [100 * ((n - 1) % 3 + 1) + 1, 100 * ((n - 1) % 3 + 1) + 2] for n in r
 def text_of(**parts: Column | str) -> Column:
     """A JSON object of columns that hold JSON text; null ones are left out."""
     pieces = [F.when(c.isNotNull(), F.concat(F.lit(f'"{k}":'), c)) for k, c in ((k, F.lit(c) if isinstance(c, str) else c) for k, c in parts.items())]
-    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*pieces)), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
 
 
 def quoted(c: Column) -> Column:
@@ -59,7 +59,9 @@ def documents(c: Cdm) -> DataFrame:
     window = F.when(k % 17 > 0, text_of(Start=edge(-180 * (1 + over(3) % 2)), End=edge(over(5) % 3 - 1)))
     occurrence = F.when(over(2) % 3 == 0, '{"Type":0,"Count":0}').otherwise('{"Type":2,"Count":1}')
     criteria = F.when(measured, text_of(Measurement=body)).otherwise(text_of(ConditionOccurrence=body))
-    entry = c.raw("orders").select(F.col("o_custkey").alias("document"), (k % 4).alias("rule"), (over(4) % 4).alias("spot"), k.alias("id"), text_of(Id=k.cast("string"), Criteria=criteria, StartWindow=window, Occurrence=occurrence).alias("text"))
+    # an order moves once, before it is text; the partitions are not made fewer, as the text is much larger than the orders
+    orders = c.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").repartition(partitions(c.spark), "o_custkey")
+    entry = orders.select(F.col("o_custkey").alias("document"), (k % 4).alias("rule"), (over(4) % 4).alias("spot"), k.alias("id"), text_of(Id=k.cast("string"), Criteria=criteria, StartWindow=window, Occurrence=occurrence).alias("text"))
     at = lambda n: joined(F.transform(F.array_sort(F.collect_list(F.when(F.col("spot") == n, F.struct("id", "text")))), lambda x: x["text"]))
     lists = entry.groupBy("document", "rule").agg(*(at(n).alias(f"at{n}") for n in range(4)))
     kind = lambda n: F.when((F.col("document") + F.col("rule")) % n == 0, '"ANY"').otherwise('"ALL"')

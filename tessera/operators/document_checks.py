@@ -142,6 +142,7 @@ def no_op_rules(rows: Rows) -> DataFrame:
 
 def washouts(rows: Rows) -> DataFrame:
     """document, rule, path, nth, end_day of mandatory absences over concepts of the entry's own set, unless their window provably ends before the index day: they empty the cohort."""
+    rows = rows.written("items")
     first = rows.entries.where("nth = 0").select("document", "codeset")
     entry = rows.items.join(first, ["document", "codeset"], "left_semi").select("document", "concept_id").distinct()
     shared = rows.items.where(~F.col("is_excluded")).join(entry, ["document", "concept_id"], "left_semi").select("document", "codeset").distinct()

@@ -17,6 +17,10 @@ from ..staging import grown
 #: Keys of a criterion's body that have columns of their own; the others narrow it further and stay text.
 READ = ("CodesetId", "ValueAsNumber", "Unit")
 PLACE = ("document", "rule", "path", "nth")
+#: What with_types reads of a criterion, of its body and of its window; variant: what must be known to be a number, and what stays text.
+CRITERION = "struct<StartWindow:variant,Occurrence:struct<Type:int,Count:int>>"
+BODY = "struct<CodesetId:bigint,ValueAsNumber:struct<Op:string,Value:variant,Extent:variant>,Unit:array<struct<CONCEPT_ID:bigint>>>"
+WINDOW = "struct<UseIndexEnd:boolean,UseEventEnd:boolean,Start:struct<Days:variant,Coeff:variant>,End:struct<Days:variant,Coeff:variant>>"
 
 
 @dataclass(frozen=True)
@@ -46,19 +50,23 @@ def get(path: str, kind: str, v: str = "v") -> Column:
     return F.expr(f"try_variant_get({v}, '{path}', '{kind}')")
 
 
-def number(path: str, v: str = "v") -> Column:
-    """The number at a path; text and truth values are none."""
-    return F.expr(f"CASE WHEN schema_of_variant(try_variant_get({v}, '{path}', 'variant')) IN ('STRING', 'BOOLEAN') THEN NULL ELSE try_variant_get({v}, '{path}', 'double') END")
+def number(x: Column) -> Column:
+    """The number that a variant is; text and truth values are none."""
+    return F.when(~F.schema_of_variant(x).isin("STRING", "BOOLEAN"), F.try_variant_get(x, "$", "double"))
+
+
+#: Types that only objects and only lists can be read as; nothing inside them is copied or looked at.
+SHAPES = {"OBJECT": "struct<>", "ARRAY": "array<struct<>>"}
 
 
 def rest(*keys: str, of: str = "$", kind: str = "ARRAY") -> Column:
     """The object as JSON text, without those of the keys that hold a list (or, with kind, an object): these have rows of their own."""
     names = ", ".join(f"'{k}'" for k in keys)
-    return F.expr(f"to_json(map_filter(coalesce(try_variant_get(v, '{of}', 'map<string,variant>'), cast(map() AS map<string,variant>)), (k, x) -> NOT (k IN ({names}) AND coalesce(schema_of_variant(x) LIKE '{kind}<%', false))))")
+    return F.expr(f"to_json(map_filter(coalesce(try_variant_get(v, '{of}', 'map<string,variant>'), cast(map() AS map<string,variant>)), (k, x) -> NOT (k IN ({names}) AND try_variant_get(x, '$', '{SHAPES[kind]}') IS NOT NULL)))")
 
 
 def has(path: str, kind: str = "ARRAY") -> Column:
-    return F.coalesce(F.expr(f"schema_of_variant(try_variant_get(v, '{path}', 'variant')) LIKE '{kind}<%'"), F.lit(False))
+    return get(path, SHAPES[kind]).isNotNull()
 
 
 def each(df: DataFrame, path: str, *keep: str) -> DataFrame:
@@ -72,14 +80,14 @@ def parsed(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def is_object() -> Column:
-    return get("$", "map<string,variant>").isNotNull()
+    return has("$", "OBJECT")
 
 
 def opened(documents: DataFrame) -> DataFrame:
     """document, v: the expression, which may stand under the key 'expression', as an object or as text."""
     v = documents.select("document", F.try_parse_json("expression").alias("v"))
     inner = v.select("document", "v", F.try_parse_json(get("$.expression", "string")).alias("inner"))
-    return inner.select("document", F.when(get("$", "map<string,variant>", "inner").isNotNull(), F.col("inner")).otherwise(F.col("v")).alias("v"))
+    return inner.select("document", F.when(get("$", SHAPES["OBJECT"], "inner").isNotNull(), F.col("inner")).otherwise(F.col("v")).alias("v"))
 
 
 def rejected(documents: DataFrame) -> DataFrame:
@@ -97,22 +105,21 @@ def with_types(criteria: DataFrame) -> DataFrame:
     kept = [c for c in criteria.columns if c not in (*TYPES, "v")]
     df = criteria.select(*kept, "v") if "v" in criteria.columns else parsed(criteria.select(*kept), "raw")
     body = "coalesce(try_variant_get(v, '$.Criteria', 'map<string,variant>'), try_variant_get(v, '$', 'map<string,variant>'))"
-    df = df.withColumn("found", F.expr(f"get(filter(map_entries({body}), e -> try_variant_get(e.value, '$.CodesetId', 'variant') IS NOT NULL), 0)"))
-    df = df.withColumn("b", F.col("found.value"))
-    rebased = F.coalesce(get("$.StartWindow.UseIndexEnd", "boolean"), F.lit(False)) | F.coalesce(get("$.StartWindow.UseEventEnd", "boolean"), F.lit(False))
-    start = number("$.StartWindow.Start.Days") * number("$.StartWindow.Start.Coeff")
-    end = number("$.StartWindow.End.Days") * number("$.StartWindow.End.Coeff")
-    fixed = ~rebased & start.isNotNull() & end.isNotNull()
+    # what the columns need is read in one walk over the criterion and one over its body
+    df = df.withColumns({"found": F.expr(f"get(filter(map_entries({body}), e -> try_variant_get(e.value, '$.CodesetId', 'variant') IS NOT NULL), 0)"), "c": get("$", CRITERION)})
+    df = df.withColumns({"b": get("$", BODY, "found.value"), "keys": F.map_keys(get("$", "map<string,struct<>>", "found.value")), "w": get("$", WINDOW, "c.StartWindow")})
+    rebased = F.coalesce(F.col("w.UseIndexEnd"), F.lit(False)) | F.coalesce(F.col("w.UseEventEnd"), F.lit(False))
+    df = df.withColumns({"start": number(F.col("w.Start.Days")) * number(F.col("w.Start.Coeff")), "end": number(F.col("w.End.Days")) * number(F.col("w.End.Coeff")), "rebased": rebased})
+    fixed = ~F.col("rebased") & F.col("start").isNotNull() & F.col("end").isNotNull()
     others = ", ".join(f"'{k}'" for k in READ)
-    kind, count = get("$.Occurrence.Type", "int"), get("$.Occurrence.Count", "int")
-    unit = F.expr("filter(transform(coalesce(try_variant_get(b, '$.Unit', 'array<variant>'), array()), u -> try_variant_get(u, '$.CONCEPT_ID', 'bigint')), u -> u IS NOT NULL)")
+    kind, count, none = F.col("c.Occurrence.Type"), F.col("c.Occurrence.Count"), F.array().cast("array<bigint>")
     return df.select(
-        *kept, F.col("found.key").alias("domain"), get("$.CodesetId", "bigint", "b").alias("codeset"), kind.alias("kind"), count.alias("count"),
+        *kept, F.col("found.key").alias("domain"), F.col("b.CodesetId").alias("codeset"), kind.alias("kind"), count.alias("count"),
         F.coalesce((kind == 0) & (count == 0), F.lit(False)).alias("absent"), F.coalesce((kind == 2) & (count >= 1), F.lit(False)).alias("required"),
-        F.when(fixed, start).alias("w_start"), F.when(fixed, end).alias("w_end"), F.when(~rebased, end).alias("end_day"), F.expr("coalesce(to_json(try_variant_get(v, '$.StartWindow', 'variant')), '')").alias("window"),
-        F.lower(F.trim(get("$.ValueAsNumber.Op", "string", "b"))).alias("op"), number("$.ValueAsNumber.Value", "b").alias("value"), number("$.ValueAsNumber.Extent", "b").alias("extent"),
-        F.sort_array(F.array_distinct(unit)).alias("units"), F.coalesce(F.expr("map_keys(try_variant_get(b, '$', 'map<string,variant>')) = array('CodesetId')"), F.lit(False)).alias("bare"),
-        F.expr(f"to_json(map_filter(coalesce(try_variant_get(b, '$', 'map<string,variant>'), cast(map() AS map<string,variant>)), (k, x) -> k NOT IN ({others})))").alias("residue"),
+        F.when(fixed, F.col("start")).alias("w_start"), F.when(fixed, F.col("end")).alias("w_end"), F.when(~F.col("rebased"), F.col("end")).alias("end_day"), F.coalesce(F.to_json("c.StartWindow"), F.lit("")).alias("window"),
+        F.lower(F.trim(F.col("b.ValueAsNumber.Op"))).alias("op"), number(F.col("b.ValueAsNumber.Value")).alias("value"), number(F.col("b.ValueAsNumber.Extent")).alias("extent"),
+        F.sort_array(F.array_except(F.coalesce(F.col("b.Unit.CONCEPT_ID"), none), F.array(F.lit(None).cast("bigint")))).alias("units"), F.coalesce(F.col("keys") == F.array(F.lit("CodesetId")), F.lit(False)).alias("bare"),
+        F.when(F.size(F.array_except("keys", F.array(*map(F.lit, READ)))) > 0, F.expr(f"to_json(map_filter(try_variant_get(found.value, '$', 'map<string,variant>'), (k, x) -> k NOT IN ({others})))")).otherwise("{}").alias("residue"),
     )
 
 
@@ -134,22 +141,23 @@ def rows_of(documents: DataFrame) -> Rows:
     items = each(held, "$.expression.items", "document", "set_nth", "codeset").select(
         "document", "set_nth", "nth", "codeset", get("$.concept.CONCEPT_ID", "bigint").alias("concept_id"), flag("includeDescendants").alias("include_descendants"), flag("includeMapped").alias("include_mapped"), flag("isExcluded").alias("is_excluded"), F.col("text").alias("raw"),
     )
-    entry = each(d, "$.PrimaryCriteria.CriteriaList", "document").withColumn("e", F.expr("get(filter(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> try_variant_get(e.value, '$', 'map<string,variant>') IS NOT NULL), 0)"))
+    entry = each(d, "$.PrimaryCriteria.CriteriaList", "document").withColumn("e", F.expr(f"get(filter(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> try_variant_get(e.value, '$', '{SHAPES['OBJECT']}') IS NOT NULL), 0)"))
     entries = entry.select("document", "nth", F.col("e.key").alias("domain"), F.expr("try_variant_get(e.value, '$.CodesetId', 'bigint')").alias("codeset"))
     whole_rules = each(d, "$.InclusionRules", "document").where(is_object())
     any_of = F.coalesce(get("$.expression.Type", "string") == "ANY", F.lit(False))
     rules = whole_rules.select("document", F.col("nth").alias("rule"), get("$.name", "string").alias("name"), any_of.alias("any_of"), rest("expression", kind="OBJECT").alias("rest"), has("$.expression", "OBJECT").alias("has_expression"))
     conjoined = F.coalesce(get("$.Type", "string"), F.lit("ALL")) == "ALL"
-    level = whole_rules.select("document", F.col("nth").alias("rule"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("nth"), get("$.expression", "variant").alias("v"))
-    level = level.where(is_object()).select("document", "rule", "path", "parent", "nth", conjoined.alias("conjoined"), "v")
+    # the expressions alone are taken out of the documents, once
+    level = d.select("document", F.posexplode(get("$.InclusionRules", "array<struct<expression:variant>>")).alias("rule", "x")).select("document", "rule", F.col("x.expression").alias("v")).where(is_object())
+    level = level.select("document", "rule", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("nth"), conjoined.alias("conjoined"), "v")
     groups, criteria, depth = [], [], 0
     while True:
         nodes = grown(level, f"groups-{depth}")
         groups.append(nodes.select("document", "rule", "path", "parent", F.lit(depth).alias("depth"), "nth", get("$.Type", "string").alias("kind"), "conjoined", rest("CriteriaList", "Groups").alias("rest"), has("$.CriteriaList").alias("has_criteria"), has("$.Groups").alias("has_groups")))
         criteria.append(each(nodes, "$.CriteriaList", "document", "rule", "path", "conjoined").select("document", "rule", "path", "nth", "conjoined", F.col("text").alias("raw"), "v"))
-        below = each(nodes, "$.Groups", "document", "rule", "path", "conjoined").where(is_object())
-        if below.isEmpty():
+        if nodes.where(F.exists(F.coalesce(get("$.Groups", SHAPES["ARRAY"]), F.array()), lambda x: x.isNotNull())).isEmpty():
             break
+        below = each(nodes, "$.Groups", "document", "rule", "path", "conjoined").where(is_object())
         path = F.concat(F.col("path"), F.lit("/"), F.lpad(F.col("nth").cast("string"), 4, "0"))
         level = below.select("document", "rule", path.alias("path"), F.col("path").alias("parent"), "nth", (F.col("conjoined") & conjoined).alias("conjoined"), "v")
         depth += 1
@@ -159,7 +167,7 @@ def rows_of(documents: DataFrame) -> Rows:
     nested = groups[0]
     for more in groups[1:]:
         nested = nested.unionByName(more)
-    return Rows(heads, sets, grown(items, "items"), entries, rules, nested, grown(with_types(every), "criteria"))
+    return Rows(heads, sets, items, entries, rules, nested, grown(with_types(every), "criteria"))
 
 
 def listed(df: DataFrame, keys: list[str], nth: str, text: str, name: str) -> DataFrame:
@@ -171,7 +179,7 @@ def obj(rest_text: Column, *parts: tuple[str, Column, Column]) -> Column:
     """An object of the rest's keys and of those parts (key, whether it has it, its value)."""
     inner = F.when(F.length(rest_text) > 2, F.substring(rest_text, F.lit(2), F.length(rest_text) - 2))
     pieces = [F.when(there, F.concat(F.lit(f'"{key}":'), value)) for key, there, value in parts]
-    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(inner, *pieces)), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.concat_ws(",", inner, *pieces), F.lit("}"))
 
 
 def documents_of(rows: Rows) -> DataFrame:

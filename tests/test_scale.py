@@ -127,3 +127,16 @@ def test_cells_are_found_a_few_rows_at_a_time(monkeypatch):
     got = index.nearest_cells(x, centroids, 5)
     assert max(seen) <= index.ROWS and (np.sort(got) == np.sort(whole(x, centroids).argsort(1)[:, :5])).all()
     assert (index.nearest_cells(x, centroids, 1)[:, 0] == whole(x, centroids).argmin(1)).all() and index.nearest_cells(x[:0], centroids, 5).shape == (0, 5)
+
+
+def test_opened_documents_are_written_whole(spark, tmp_path):
+    """No field of a staged document has a column of its own (the writer infers them from rows that share fields, and the reader puts the values together again); items are written by who reads them twice."""
+    import json
+
+    import pyarrow.parquet as pq
+
+    d = json.dumps({"InclusionRules": [{"name": "r", "expression": {"Type": "ALL", "CriteriaList": [{"Criteria": {"Measurement": {"CodesetId": 1}}}]}}], "ConceptSets": [{"id": 1, "expression": {"items": [{"concept": {"CONCEPT_ID": 1}}]}}]})
+    r = R.rows_of(spark.range(50).select(F.col("id").alias("document"), F.lit(d).alias("expression")))
+    files = [f.removeprefix("file:") for f in (*r.groups.inputFiles(), *r.heads.inputFiles())]
+    assert files and not any("typed_value" in str(pq.ParquetFile(f).schema) for f in files)
+    assert r.items.count() == 50 and set(r.items.inputFiles()) == set(r.heads.inputFiles())
