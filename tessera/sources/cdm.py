@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from ..staging import partitions
 
 #: Tables of a clinical data set and of its vocabulary, with the columns that the operators use.
 SCHEMAS = {
@@ -31,6 +32,9 @@ SCHEMAS = {
 #: The vocabulary is small beside the events and read many times in a query: it is kept, on disk where memory is short. Events are not.
 KEPT = StorageLevel.MEMORY_AND_DISK
 
+#: Rows of a large table that one task joins, sorts or groups at most, but for hot keys.
+ROWS_A_TASK = 1_000_000
+
 MALE, FEMALE = 8507, 8532
 LEAF, BRAND, TYPE, ROOT, CONDITION, MEASURE, PROCEDURE, OBSERVED = 1_000_000, 2_000_000, 3_000_000, 4_000_000, 2_100_000, 2_200_000, 2_300_000, 2_400_000
 STATUS_CODE = {"F": 1, "O": 2, "P": 3}
@@ -86,9 +90,17 @@ class Cdm:
     def _people_of_orders(self) -> DataFrame:
         return self.raw("orders").select("o_orderkey", F.col("o_custkey").alias("person_id"))
 
+    def tasks(self, name: str) -> int | None:
+        """Among how many tasks a table's rows are dealt so that none gets more than ROWS_A_TASK; None where the session's own number is enough. The count comes from the files' footers."""
+        wanted = -(-self.raw(name).count() // ROWS_A_TASK)
+        return wanted if wanted > partitions(self.spark) else None
+
     @cached_property
     def _items(self) -> DataFrame:
-        return self.raw("lineitem").join(self._people_of_orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        items, orders = self.raw("lineitem"), self._people_of_orders
+        if (n := self.tasks("lineitem")) is not None:  # the planner would send the orders to every task, or sort more in one the larger the tables are
+            items, orders = items.repartition(n, "l_orderkey"), orders.repartition(n, "o_orderkey").hint("merge")
+        return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     @cached_property
     def _drugs(self) -> tuple[F.Column, ...]:
@@ -109,11 +121,14 @@ class Cdm:
         orders = self._people_of_orders.join(people, "person_id")
         return self.raw("lineitem").select("l_orderkey", *self._drugs).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
 
+    @cached_property
+    def _procedure(self) -> F.Column:
+        return (PROCEDURE + F.ascii("l_returnflag") * 100 + F.ascii("l_linestatus")).cast("long")
+
     @cached_property
     def procedure_occurrence(self) -> DataFrame:
         day = F.col("l_shipdate").cast("date")
-        code = (PROCEDURE + F.ascii("l_returnflag") * 100 + F.ascii("l_linestatus")).cast("long")
-        return self._items.select("person_id", code.alias("concept_id"), day.alias("start_date"), day.alias("end_date"))
+        return self._items.select("person_id", self._procedure.alias("concept_id"), day.alias("start_date"), day.alias("end_date"))
 
     @cached_property
     def condition_occurrence(self) -> DataFrame:

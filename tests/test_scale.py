@@ -140,3 +140,19 @@ def test_opened_documents_are_written_whole(spark, tmp_path):
     files = [f.removeprefix("file:") for f in (*r.groups.inputFiles(), *r.heads.inputFiles())]
     assert files and not any("typed_value" in str(pq.ParquetFile(f).schema) for f in files)
     assert r.items.count() == 50 and set(r.items.inputFiles()) == set(r.heads.inputFiles())
+
+
+def test_tasks_grow_with_the_items(spark, monkeypatch):
+    """No task gets more than so many items, and orders are not sent to all tasks; the rows stay the same."""
+    from tessera.sources import cdm
+
+    names = ["drug_eras", "era_collapse"]
+    before = {n: sorted(map(tuple, catalogue.QUERIES[n](spark, FOLDER).collect())) for n in names}
+    monkeypatch.setattr(cdm, "ROWS_A_TASK", 500)
+    n = Cdm(spark, FOLDER).tasks("lineitem")
+    assert n > 4
+    for name in names:
+        found = catalogue.QUERIES[name](spark, FOLDER)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == before[name]
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1 and f", {n})" in plan
