@@ -111,6 +111,11 @@ class Cdm:
     def drug_exposure(self) -> DataFrame:
         return self._items.select("person_id", *self._drugs)
 
+    @cached_property
+    def item_concepts(self) -> DataFrame:
+        """concept_id of drug_exposure and procedure_occurrence: both come from the items, which meet their orders once."""
+        return self._items.select(F.explode(F.array(self._drugs[0], self._procedure)).alias("concept_id"))
+
     def drugs_of(self, concepts: DataFrame) -> DataFrame:
         """drug_exposure of some concepts (concept_id, and what else they have): the other items are left out before they meet their orders."""
         some = self.raw("lineitem").select("l_orderkey", *self._drugs).join(concepts, "concept_id")

@@ -143,10 +143,10 @@ def test_opened_documents_are_written_whole(spark, tmp_path):
 
 
 def test_tasks_grow_with_the_items(spark, monkeypatch):
-    """No task gets more than so many items, and orders are not sent to all tasks; the rows stay the same."""
+    """No task gets more than so many items, and orders are not sent to all tasks; the rows stay the same. Items meet their orders once for drugs and procedures together."""
     from tessera.sources import cdm
 
-    names = ["drug_eras", "era_collapse"]
+    names = ["drug_eras", "era_collapse", "union_used_concepts"]
     before = {n: sorted(map(tuple, catalogue.QUERIES[n](spark, FOLDER).collect())) for n in names}
     monkeypatch.setattr(cdm, "ROWS_A_TASK", 500)
     n = Cdm(spark, FOLDER).tasks("lineitem")
