@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_text, ship
+from .holding import held
 
 #: Edits allowed, as a part of a passage's length; bytes of passages that one pass over the documents takes.
 EDIT_RATE, BLOCK_BYTES = 0.05, 4 << 20
@@ -106,9 +107,6 @@ class Matcher:
         return sorted(out)
 
 
-_kept: dict[bytes, Matcher] = {}
-
-
 def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
     """The items in lists of about block_bytes, each small enough to send to every task."""
     chosen = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).distinct()
@@ -139,10 +137,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, ite
 
         def find(batches, shared=shared):
             key, block, rate = shared.value
-            if key not in _kept:
-                _kept.clear()
-                _kept[key] = Matcher(block, rate)
-            matcher = _kept[key]
+            matcher = held(("matcher", key), lambda: Matcher(block, rate))
             for batch in batches:
                 rows = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")) for m in matcher.matches(t.as_py())]
                 cols = list(zip(*rows)) or [()] * 5
@@ -169,10 +164,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -
             import pandas as pd
 
             key, block, rate = shared.value
-            if key not in _kept:
-                _kept.clear()
-                _kept[key] = Matcher(block, rate)
-            return pd.Series([bool(t) and bool(_kept[key].matches(t)) for t in texts], dtype=bool)
+            matcher = held(("matcher", key), lambda: Matcher(block, rate))
+            return pd.Series([bool(t) and bool(matcher.matches(t)) for t in texts], dtype=bool)
 
         clean = clean.where(~holds("text"))
     return clean

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, keyed_text, partitions, ship, staged
 from .graphs import components
+from .holding import let_go
 
 WORDS, SIMILARITY = 5, 0.8
 #: Coordinates of the embedding; share of linked pairs that the ties must join on average, and levels that a pair may have to split for that.
@@ -96,6 +97,7 @@ def embedded(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """row (a number), doc_id, node (the set's digest; null without words), embedding, text. Rows are numbered as they lie, so only what is stored has lasting numbers."""
 
     def run(batches):
+        let_go()
         shingles = Shingles(words)
         for batch in batches:
             nodes, sigs = [], []
@@ -308,6 +310,7 @@ def count_links(words: int, similarity: float):
     """For each pair of blocks of a group: node, links (documents linked), b (the root of its tree in this pair's forest)."""
 
     def run(batches):
+        let_go()
         shingles = Shingles(words)
         for _, blocks, nodes, weights, texts, ij in grouped(batches, "task", ("block", "node", "weight", "text", "pair")):
             i, j = ij[0]["i"], ij[0]["j"]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, own_columns, ship
+from .holding import let_go
 
 UNKNOWN = "und"
 #: Bounds of the fit, parameters of fit(): labelled documents sampled per language, landmarks among them.
@@ -145,6 +146,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model and model.parts())
 
     def score(batches):
+        let_go()
         m = Model(*shared.value) if shared.value else None
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -181,6 +183,7 @@ def predictor(spark, model: Model | None):
         if not shared.value:
             return pd.DataFrame({"lang": [UNKNOWN] * len(values), "score": [0.0] * len(values)})
         if not kept:
+            let_go()
             kept.append(Model(*shared.value))
         names, scores = kept[0].predict(values)
         return pd.DataFrame({"lang": names, "score": scores})

@@ -16,6 +16,8 @@ from collections.abc import Iterable
 import numpy as np
 import regex
 
+from .holding import held
+
 #: Fixed value: the vocabulary's own pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Anything but plain Latin text; U+0130 is out since its lower case has two code points.
@@ -161,15 +163,9 @@ class Encoder:
         return out
 
 
-_kept: dict[int, Encoder] = {}
-
-
 def encoder(key: int, vocabulary: str, whole: dict[str, int], entries: int = TABLE_ENTRIES) -> Encoder:
     """One encoder per Python worker, so that later tasks of that worker start with a filled table."""
-    if key not in _kept or _kept[key].entries != entries:
-        _kept.clear()
-        _kept[key] = Encoder(vocabulary, whole, entries)
-    return _kept[key]
+    return held(("encoder", key, entries), lambda: Encoder(vocabulary, whole, entries))
 
 
 def slices(texts: Iterable[str | None], most_chars: int = 2_000_000) -> Iterable[tuple[int, int]]:

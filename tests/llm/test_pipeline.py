@@ -1,6 +1,9 @@
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline
+from tessera.llm import jaccard, packing
 from tessera.llm.decontamination import normal
 
 
@@ -27,3 +30,22 @@ def test_each_stage_decides_on_what_the_one_before_kept(spark, tmp_path):
     assert docs.select("sequence_id").distinct().count() == -(-total // 2048)
     again = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, again.select("doc_id", "piece", "length").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "length").collect()))
+
+
+def test_a_worker_keeps_only_what_its_last_operator_made(spark):
+    """Tables of resolved words, which packing leaves in the Python workers, are gone when the next operator works there."""
+    texts = spark.range(0, 64, 1, 64).selectExpr("id AS doc_id", "concat('a word or ', id) AS text")
+
+    def held():
+        def run(batches):
+            from tessera.llm import holding
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([sum(k[0] == "encoder" for k in holding._held)] * batch.num_rows, pa.int64())], ["n"])
+
+        return texts.mapInArrow(run, "n long").groupBy().sum("n").first()[0]
+
+    packing.pieces_of(texts).write.format("noop").mode("overwrite").save()
+    assert held() > 0
+    jaccard.embedded(texts).write.format("noop").mode("overwrite").save()
+    assert held() == 0
