@@ -402,6 +402,16 @@ def test_signatures_see_the_order_of_words(spark):
     assert abs(np.mean([r.x for r in found]) - 0.25) < 0.06 and all(r.y == 1 for r in found)
 
 
+def test_texts_that_begin_alike_are_ranked_once_for_both(spark):
+    """Signatures of a text and its edit together, over several blocks: those of each alone and of brute force, with repeats, short, equal and empty texts."""
+    rnd = random.Random(4)
+    long_ = [f"w{rnd.randint(0, 60)}" for _ in range(300)]
+    texts = [" ".join(long_), " ".join(long_[:200] + ["x"] * 9 + long_[:40]), "a b c a b c", "one", ""]
+    rows_ = [(a, b) for a in texts for b in texts]
+    got = [r.s for r in spark.createDataFrame(rows_, "a string, b string").coalesce(1).select(fingerprints.signatures(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got == [[signature_brute(a), signature_brute(b)] for a, b in rows_]
+
+
 def test_equal_rows_follow_each_other(spark):
     texts = [(5, "a b c d"), (5, "a b c d"), (5, "a b c d"), (4, "e f g h i"), (None, "x y z"), (None, "x y z"), (None, "q")]
     got = fingerprints.fingerprint(spark.createDataFrame(texts, "doc_id long, text string")).collect()
