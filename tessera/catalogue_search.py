@@ -93,17 +93,20 @@ ORACLE_SQL["synonym_graph_reached"] = ORACLE_SQL["synonym_graph_reached"].replac
 # ---- expansion -------------------------------------------------------------------------------------
 
 SLACK = 10.0
-BRANCHES = f"""seeds AS (SELECT {LEAF} + p_partkey AS seed_id FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT DISTINCT brand_id FROM parts WHERE brand_id % 5 = 0),
+UP_AND_DOWN = f"""seeds AS (SELECT {LEAF} + p_partkey AS seed_id FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT DISTINCT brand_id FROM parts WHERE brand_id % 5 = 0),
 dn AS (SELECT ancestor_concept_id AS c, count(DISTINCT descendant_concept_id) AS n FROM concept_ancestor WHERE ancestor_concept_id <> descendant_concept_id GROUP BY 1),
 ic AS (SELECT concept_id AS c, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 20.0 ELSE -log2(n / 2750364.0) END AS ic FROM concept LEFT JOIN dn ON c = concept_id),
 up AS (SELECT seed_id, a.ancestor_concept_id AS branch, a.min_levels_of_separation AS sep, i.n FROM seeds JOIN ic s ON s.c = seed_id JOIN concept_ancestor a ON a.descendant_concept_id = seed_id AND a.min_levels_of_separation BETWEEN 1 AND 3 JOIN ic i ON i.c = a.ancestor_concept_id WHERE i.ic > greatest(8.0, s.ic - {SLACK})),
 pl AS (SELECT seed_id, branch, row_number() OVER (PARTITION BY seed_id ORDER BY sep, n DESC, branch) AS place FROM up),
 h1 AS (SELECT parent AS branch, child FROM is_a WHERE parent IN (SELECT branch FROM pl)), h2 AS (SELECT DISTINCT branch, i.child FROM h1 JOIN is_a i ON i.parent = h1.child), h3 AS (SELECT DISTINCT branch, i.child FROM h2 JOIN is_a i ON i.parent = h2.child),
-hop AS (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3), few AS (SELECT branch, child AS concept_id FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY child) AS r FROM hop WHERE branch <> child) WHERE r <= 50),
+hop AS (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3),"""
+#: Branch by branch of the climb until the cap, and all of its branches whole.
+TO_THE_CAP = """few AS (SELECT branch, child AS concept_id FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY child) AS r FROM hop WHERE branch <> child) WHERE r <= 50),
 mt AS (SELECT seed_id, concept_id, min(place) AS place FROM pl JOIN few USING (branch) GROUP BY ALL), nw AS (SELECT seed_id, place, count(*) AS n FROM mt GROUP BY ALL),
 op AS (SELECT seed_id, place FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY seed_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM nw) WHERE b < 50),
-br_ancestor_climb AS (SELECT seed_id, concept_id, nth AS far FROM (SELECT m.seed_id, m.concept_id, row_number() OVER (PARTITION BY m.seed_id ORDER BY i.ic DESC, m.concept_id) AS nth FROM mt m JOIN op USING (seed_id, place) JOIN ic i ON i.c = m.concept_id) WHERE nth <= 50),
-good AS (SELECT concept_id FROM concept WHERE standard_concept = 'S' AND invalid_reason IS NULL),
+br_ancestor_climb AS (SELECT seed_id, concept_id, nth AS far FROM (SELECT m.seed_id, m.concept_id, row_number() OVER (PARTITION BY m.seed_id ORDER BY i.ic DESC, m.concept_id) AS nth FROM mt m JOIN op USING (seed_id, place) JOIN ic i ON i.c = m.concept_id) WHERE nth <= 50)"""
+WHOLE_CLIMB = "br_ancestor_climb AS (SELECT seed_id, concept_id, row_number() OVER (PARTITION BY seed_id ORDER BY i.ic DESC, concept_id) AS far FROM (SELECT DISTINCT seed_id, child AS concept_id FROM pl JOIN hop USING (branch) WHERE branch <> child) JOIN ic i ON i.c = concept_id)"
+NEAR = """good AS (SELECT concept_id FROM concept WHERE standard_concept = 'S' AND invalid_reason IS NULL),
 br_descendants AS (SELECT seed_id, descendant_concept_id AS concept_id, min_levels_of_separation AS far FROM seeds JOIN concept_ancestor ON ancestor_concept_id = seed_id AND min_levels_of_separation BETWEEN 1 AND 3 WHERE descendant_concept_id IN (SELECT * FROM good)),
 br_below_parents AS (SELECT seed_id, descendant_concept_id AS concept_id, min(min_levels_of_separation) AS far FROM seeds JOIN is_a ON child = seed_id JOIN concept_ancestor ON ancestor_concept_id = parent AND min_levels_of_separation BETWEEN 1 AND 3 WHERE seed_id NOT IN (SELECT seed_id FROM br_descendants) AND descendant_concept_id IN (SELECT * FROM good) GROUP BY ALL),
 br_siblings AS (SELECT DISTINCT seed_id, b.child AS concept_id, 0 AS far FROM seeds JOIN is_a a ON a.child = seed_id JOIN is_a b ON b.parent = a.parent WHERE b.child <> seed_id),
@@ -111,9 +114,10 @@ br_maps_to AS (SELECT DISTINCT seed_id, concept_id_2 AS concept_id, 0 AS far FRO
 br_ancestors AS (SELECT seed_id, ancestor_concept_id AS concept_id, min_levels_of_separation AS far FROM seeds JOIN concept_ancestor ON descendant_concept_id = seed_id AND min_levels_of_separation BETWEEN 1 AND 2)"""
 
 
-def strategy_sql(*branches: tuple[str, str]) -> str:
+def strategy_sql(*branches: tuple[str, str], climb: str = TO_THE_CAP) -> str:
     union = " UNION ALL ".join(f"SELECT *, {place} AS place, '{name}' AS branch FROM br_{table}" for place, (name, table) in enumerate(branches))
-    return f"""WITH {BRANCHES}, u AS ({union}), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, concept_id ORDER BY place, far) AS f FROM u WHERE concept_id <> seed_id) WHERE f = 1)
+    return f"""WITH {UP_AND_DOWN} {climb},
+{NEAR}, u AS ({union}), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, concept_id ORDER BY place, far) AS f FROM u WHERE concept_id <> seed_id) WHERE f = 1)
 SELECT seed_id, concept_id, rank, branch FROM (SELECT seed_id, concept_id, row_number() OVER (PARTITION BY seed_id ORDER BY place, far, concept_id) AS rank, branch FROM o) WHERE rank <= 50"""
 
 
@@ -133,7 +137,7 @@ def strategy(name: str):
 
 for _name, _branches in WHOLE.items():
     query(strategy_sql(*_branches), name=f"expanded_{_name}")(strategy(_name))
-_clinical = strategy_sql(("descendants", "descendants"), ("siblings", "siblings"), ("maps_to", "maps_to"), ("ancestor_climb", "ancestor_climb"), ("ancestors", "ancestors"))
+_clinical = strategy_sql(("descendants", "descendants"), ("siblings", "siblings"), ("maps_to", "maps_to"), ("ancestor_climb", "ancestor_climb"), ("ancestors", "ancestors"), climb=WHOLE_CLIMB)
 query(_clinical.replace("FROM br_descendants UNION ALL", "FROM (SELECT * FROM br_descendants UNION ALL SELECT * FROM br_below_parents) UNION ALL", 1), name="expanded_clinical")(strategy("clinical"))
 
 

@@ -1,4 +1,4 @@
-"""Expansion of seed concepts along the hierarchy: unions of named branches, taken greedily up to a cap."""
+"""Expansion of seed concepts along the hierarchy: unions of named branches up to a cap."""
 
 from __future__ import annotations
 
@@ -29,8 +29,23 @@ def greedy(branches: DataFrame, members: DataFrame, cap: int = CAP) -> DataFrame
     return met.join(opened, ["seed_id", "place"], "left_semi").select("seed_id", "concept_id", "branch")
 
 
-def climbed(seeds: DataFrame, ancestor: DataFrame, is_a: DataFrame, cap: int = CAP, least_content: float = LEAST_CONTENT, slack: float = SLACK) -> DataFrame:
-    """seed_id, concept_id, nth: up to specific enough ancestors, nearest and broadest first, and three hops down from each until the cap; of more than `cap` concepts the most specific stay."""
+def most_specific(branches: DataFrame, members: DataFrame, cap: int = CAP) -> DataFrame:
+    """seed_id, concept_id, nth: all different members (branch, concept_id, ic) of all a seed's branches, the most specific first, then the least ids; no less than the first `cap` that are not the seed.
+
+    Whoever stands behind `cap` + 1 others of a branch, one of which may be the seed, stands behind them in the whole, so a branch's members are ordered once and only its first meet seeds.
+    """
+    order = [F.desc("ic"), F.asc("concept_id")]
+    here = F.row_number().over(Window.partitionBy("branch").orderBy(*order))
+    first = members.distinct().withColumn("here", here).where(F.col("here") <= cap + 1).drop("here")
+    nth = F.row_number().over(Window.partitionBy("seed_id").orderBy(*order))
+    return branches.join(first, "branch").select("seed_id", "concept_id", "ic").distinct().withColumn("nth", nth).where(F.col("nth") <= cap + 1).select("seed_id", "concept_id", "nth")
+
+
+def climbed(seeds: DataFrame, ancestor: DataFrame, is_a: DataFrame, cap: int = CAP, least_content: float = LEAST_CONTENT, slack: float = SLACK, whole: bool = False) -> DataFrame:
+    """seed_id, concept_id, nth: up to specific enough ancestors, nearest and broadest first, and three hops down from each until the cap; of more than `cap` concepts the most specific stay.
+
+    whole: down from all of them, to all that stands there, the most specific first.
+    """
     counts = vocabulary.descendant_counts(ancestor.select(F.col("ancestor_concept_id").alias("concept_id")).distinct(), ancestor)
     counts = staged(counts.withColumn("ic", vocabulary.information_content(F.col("n_descendants"))), "contents")
     own = seeds.join(counts, "concept_id").select(F.col("concept_id").alias("seed_id"), F.col("ic").alias("seed_ic"))
@@ -40,6 +55,9 @@ def climbed(seeds: DataFrame, ancestor: DataFrame, is_a: DataFrame, cap: int = C
     place = F.row_number().over(Window.partitionBy("seed_id").orderBy("separation", F.desc("n_descendants"), "concept_id"))
     branches = staged(fit.select("seed_id", F.col("concept_id").alias("branch"), place.alias("place")), "branches")
     below = vocabulary.k_hop(branches.select(F.col("branch").alias("concept_id")).distinct(), is_a, HOPS).select(F.col("seed_id").alias("branch"), "concept_id").where("branch <> concept_id")
+    if whole:
+        ic = F.coalesce("ic", F.lit(vocabulary.LEAF_CONTENT)).alias("ic")
+        return most_specific(branches.select("seed_id", "branch"), below.join(counts.select("concept_id", "ic"), "concept_id", "left").select("branch", "concept_id", ic), cap)
     taken = greedy(branches, below, cap).join(counts.select("concept_id", "ic"), "concept_id", "left")
     rank = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc(F.coalesce("ic", F.lit(vocabulary.LEAF_CONTENT))), "concept_id"))
     return taken.withColumn("nth", rank).where(F.col("nth") <= cap).select("seed_id", "concept_id", "nth")
@@ -59,7 +77,7 @@ def from_parents(seeds: DataFrame, ancestor: DataFrame, is_a: DataFrame, concept
 def expanded(seeds: DataFrame, strategy: str, ancestor: DataFrame, is_a: DataFrame, relationship: DataFrame, concept: DataFrame, cap: int = CAP, **climb: float) -> DataFrame:
     """seed_id, concept_id, rank, branch: a seed's expansion by a named strategy, each concept in its first branch, the seed itself left out, at most `cap`.
 
-    descendants, siblings, maps_to, ancestor_climb: that branch alone. clinical: descendants (a leaf's: what is below its parents), siblings, mapped concepts, the climb, near
+    descendants, siblings, maps_to, ancestor_climb: that branch alone. clinical: descendants (a leaf's: what is below its parents), siblings, mapped concepts, the whole climb, near
     ancestors. clinical_anchor: near ancestors, siblings, mapped concepts, the climb, no descendants. In a branch the nearest come first, then the least ids.
     Whoever stands behind `cap` others of its branch stands behind them in the whole, so big families are cut at the cap before they meet their members.
     """
@@ -80,7 +98,7 @@ def expanded(seeds: DataFrame, strategy: str, ancestor: DataFrame, is_a: DataFra
             maps = relationship.where("relationship_id = 'Maps to'").select(F.col("concept_id_1").alias("seed_id"), F.col("concept_id_2").alias("concept_id")).distinct()
             return maps.join(seeds.select(F.col("concept_id").alias("seed_id")), "seed_id", "left_semi").withColumn("far", F.lit(0))
         if name == "ancestor_climb":
-            return climbed(seeds, ancestor, is_a, cap, **climb).select("seed_id", "concept_id", F.col("nth").alias("far"))
+            return climbed(seeds, ancestor, is_a, cap, whole=strategy == "clinical", **climb).select("seed_id", "concept_id", F.col("nth").alias("far"))
         return vocabulary.ancestors_within(seeds, ancestor, 2).select("seed_id", "concept_id", F.col("min_levels_of_separation").alias("far"))
 
     rows = None

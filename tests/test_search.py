@@ -158,6 +158,36 @@ def test_branches_are_taken_until_the_cap(spark, cap):
     assert {tuple(r) for r in expansion.greedy(branches, held, cap).collect()} == want
 
 
+@pytest.mark.parametrize("cap", [1, 4, 100])
+def test_whole_climb_is_that_of_brute_force(spark, cap):
+    """All members of all of a seed's branches count, also those of greater ids and of branches behind full ones; the seed itself takes no place."""
+    rnd = random.Random(cap)
+    content_of = {m: float(rnd.randrange(4)) for m in range(60)}
+    members = {b: sorted(rnd.sample(range(60), rnd.randrange(25))) for b in range(8)}
+    order = {s: rnd.sample(range(8), rnd.randrange(1, 8)) for s in range(20)}
+    branches = spark.createDataFrame([(s, b) for s, bs in order.items() for b in bs], "seed_id long, branch long")
+    held = spark.createDataFrame([(b, m, content_of[m]) for b, ms in members.items() for m in ms] * 2, "branch long, concept_id long, ic double")
+    got = {s: [] for s in order}
+    for r in expansion.most_specific(branches, held, cap).orderBy("seed_id", "nth").collect():
+        got[r.seed_id].append(r.concept_id)
+    for s, bs in order.items():
+        want = sorted({m for b in bs for m in members[b]}, key=lambda m: (-content_of[m], m))
+        assert [m for m in got[s] if m != s][:cap] == [m for m in want if m != s][:cap]
+
+
+def test_clinical_expansion_has_the_most_specific_of_a_large_family(spark):
+    """Above the seed's parent stand 70 others: those of greatest ids are leaves, the rest have children of their own and are less specific."""
+    top, parent, seed, rest, leaves = 1, 2, 500, range(100, 165), range(600, 605)
+    edges = [(top, parent), (parent, seed), *((top, m) for m in (*rest, *leaves)), *((m, 1000 * k + m) for m in rest for k in (1, 2, 3))]
+    tree = [(p, c, 1) for p, c in edges] + [(top, seed, 2)] + [(top, 1000 * k + m, 2) for m in rest for k in (1, 2, 3)] + [(x, x, 0) for x in {x for e in edges for x in e}]
+    concept = spark.createDataFrame([(x, "x", None, None) for x, y, n in tree if n == 0], "concept_id long, concept_name string, standard_concept string, invalid_reason string")
+    ancestor = spark.createDataFrame(tree, "ancestor_concept_id long, descendant_concept_id long, min_levels_of_separation int")
+    none = spark.createDataFrame([], "concept_id_1 long, concept_id_2 long, relationship_id string")
+    seeds, is_a = spark.createDataFrame([(seed,)], "concept_id long"), spark.createDataFrame(edges, "parent long, child long")
+    got = [r.concept_id for r in expansion.expanded(seeds, "clinical", ancestor, is_a, none, concept, slack=20.0).orderBy("rank").collect()]
+    assert got == [parent, *leaves, *range(1100, 1144)]
+
+
 def test_strategies_have_names(spark):
     none = spark.createDataFrame([], "concept_id long")
     with pytest.raises(ValueError, match="no such strategy"):
