@@ -32,6 +32,8 @@ SPAN, ANCHOR, BLOCK_BYTES = 50, 16, 2_000_000
 COMMON = 1000
 #: Partitions that blocks and parts are dealt to at most (Spark refuses more than 100,000 buckets).
 PARTITIONS = 20_000
+#: Above so many, blocks grow to eight times their size and up to eight parts are sent as one: each block has a row for each of these, so rows would grow with the square of the bytes.
+MANY, TOGETHER = 256, 8
 _U = np.uint64
 _STEP = 1 << 18
 
@@ -314,26 +316,33 @@ def shared_anchors(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return h[by], common[by]
 
 
-def say_fragments(parts: int):
+def say_fragments(parts: int, together: int = 1):
+    """The block's fragments to the parts of their anchors, `together` parts in a row: part (of these), block, and of each fragment unit, place among the parts, doc_id, length, bytes."""
+
     def run(key, texts, told):
         _, _, _, _, bodies, routes, docs = Block(texts).fragments(*shared_anchors(told))
-        part = np.array(routes, np.int64) * parts >> 32
+        fine = np.array(routes, np.int64) * parts >> 32
+        part, sub = fine // together, (fine % together).astype(np.uint8)
         by = np.argsort(part, kind="stable")
         starts = starts_of(part[by])
         sizes = np.array([len(bodies[i]) for i in by.tolist()], np.uint8)
         text = np.frombuffer(b"".join([bodies[i] for i in by.tolist()]), np.uint8)
         places = np.r_[0, np.cumsum(sizes, dtype=np.int64)][starts]
-        return _batch(part=(part[by][starts], pa.int32()), block=(np.full(len(starts), key[0].as_py()), pa.int32()), units=ragged(by.astype("<u4"), starts), docs=ragged(docs[by], starts), lengths=ragged(sizes, starts), bodies=ragged(text, places))
+        return _batch(part=(part[by][starts], pa.int32()), block=(np.full(len(starts), key[0].as_py()), pa.int32()), units=ragged(by.astype("<u4"), starts), subs=ragged(sub[by], starts), docs=ragged(docs[by], starts), lengths=ragged(sizes, starts), bodies=ragged(text, places))
 
     return run
 
 
 def find_later(key, said):
-    """To each block the masks of its fragments' windows that a smaller doc_id has too: block, units, masks."""
+    """To each block the masks of its fragments' windows that a smaller doc_id has too: block, units, masks. The parts that were sent as one are gone through in turn."""
     blocks = said.column("block").to_numpy()
     units, counts = flat(said.column("units"), "<u4")
-    docs = flat(said.column("docs"), np.int64)[0]
-    masks = later_windows(flat(said.column("bodies"), np.uint8)[0].tobytes(), flat(said.column("lengths"), np.uint8)[0].astype(np.int64), docs)
+    docs, subs = flat(said.column("docs"), np.int64)[0], flat(said.column("subs"), np.uint8)[0]
+    bodies, lengths = flat(said.column("bodies"), np.uint8)[0], flat(said.column("lengths"), np.uint8)[0].astype(np.int64)
+    masks = np.zeros(len(units), _U)
+    for sub in np.unique(subs).tolist():
+        here = subs == sub
+        masks[here] = later_windows(bodies[np.repeat(here, lengths)].tobytes(), lengths[here], docs[here])
     rows, (units, masks) = picked(np.repeat(np.arange(len(blocks)), counts), masks > 0, units, masks)
     return _batch(block=(blocks[rows], pa.int32()), units=units, masks=masks)
 
@@ -344,7 +353,7 @@ def cut_texts(key, texts, told):
     units, first, last, rows, bodies, _, docs = block.fragments(*shared_anchors(told))
     masks = np.zeros(len(bodies), _U)
     np.bitwise_or.at(masks, flat(told.column("units"), "<u4")[0], flat(told.column("masks"), _U)[0])
-    step = np.zeros(len(block.b) + 1, np.int32)
+    step = np.zeros(len(block.b) + 1, np.int8)  # no place begins or ends more than one window
     if len(units):
         again = block.ids[rows] > docs[units]  # the block itself has the fragment in a smaller doc_id
         n = last - first + 1
@@ -352,9 +361,9 @@ def cut_texts(key, texts, told):
         nth = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n)
         gone = again[source] | ((masks[units[source]] >> nth.astype(_U)) & _U(1) > 0)
         at = (first[source] + nth)[gone]
-        step += np.bincount(at, minlength=len(step)).astype(np.int32)[: len(step)]
-        step -= np.bincount(at + SPAN, minlength=len(step)).astype(np.int32)[: len(step)]
-    removed = np.cumsum(step[:-1]) > 0
+        step[at] += 1
+        step[at + SPAN] -= 1
+    removed = np.cumsum(step[:-1], dtype=np.int8) > 0
     out = []
     lo = 0
     for doc_id, digest, hi in zip(block.ids.tolist(), block.digests, block.ends.tolist()):
@@ -376,10 +385,15 @@ def sizes_for(total: int, least: int, block_bytes: int) -> tuple[int, int, int]:
     a partition takes several in turn, so that their number stays within what Spark can deal out. Blocks are larger where there are many, so
     that a block's row to a part holds more than an anchor or two."""
     parts = max(least, math.ceil(total / block_bytes)) | 1
-    blocks = max(least, math.ceil(total / min(max(block_bytes, total // PARTITIONS), 8 * block_bytes))) | 1
+    blocks = max(least, math.ceil(total / min(max(block_bytes, total // min(MANY, PARTITIONS)), TOGETHER * block_bytes))) | 1
     return blocks, parts, min(blocks, PARTITIONS)
 
 
+def sent_as_one(parts: int, least: int) -> int:
+    """How many parts a row of a block holds: one while there are few, so that all cores have parts to work on."""
+    return min(max(parts // max(MANY, least), 1), TOGETHER)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row per input row.
 
@@ -398,6 +412,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     info = staged(rows.select("doc_id", digest.alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"), F.when((F.octet_length("body") < SPAN) | F.col("doc_id").isNull(), F.sha2("body", 256)).alias("own_sha")), "repeat-info")
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
     n, parts, dealt = sizes_for(total, partitions(spark), block_bytes)
+    together = sent_as_one(parts, partitions(spark))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
     # staged, so that the join of copies to leaders below has plain shuffles on both sides and Spark can split a hot digest
     leaders = staged(info.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes")), "repeat-leaders")
@@ -411,9 +426,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         with shuffle_files_dropped(spark):  # bucketed by block: the steps below read it without a shuffle
             firsts.write.bucketBy(dealt, "block").option("compression", "zstd").option("path", path).saveAsTable(table)
         texts = spark.table(table)
-        said = texts.groupBy("block").applyInArrow(say_anchors(parts), "part int, block int, hashes binary, many binary")
+        said = texts.groupBy("block").applyInArrow(say_anchors(math.ceil(parts / together)), "part int, block int, hashes binary, many binary")
         shared = staged(said.repartition(dealt, "part").groupBy("part").applyInArrow(find_shared, "block int, hashes binary, common binary"), "repeat-anchors")
-        fragments = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(say_fragments(parts), "part int, block int, units binary, docs binary, lengths binary, bodies binary")
+        fragments = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(say_fragments(parts, together), "part int, block int, units binary, subs binary, docs binary, lengths binary, bodies binary")
         later = staged(fragments.repartition(dealt, "part").groupBy("part").applyInArrow(find_later, "block int, units binary, masks binary"), "repeat-windows")
         none = F.lit(None).cast("binary")
         told = shared.select("block", "hashes", "common", none.alias("units"), none.alias("masks")).unionByName(later.select("block", none.alias("hashes"), none.alias("common"), "units", "masks"))

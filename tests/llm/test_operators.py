@@ -1,6 +1,7 @@
 """Each document operator against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -150,6 +151,22 @@ def test_sizes_stay_within_what_spark_deals_out():
         assert dealt <= 20_000 and total / blocks <= 16_000_000 and total / parts <= 2_000_000 and parts < 2**31
 
 
+def test_rows_between_blocks_and_parts_do_not_grow_with_the_square_of_the_bytes():
+    """Ten times the bytes have at most five times the rows, which without growing blocks and parts sent as one would be 100 times as many."""
+    rows = {}
+    for total in (10**9, 10**10):
+        blocks, parts, _ = suffixes.sizes_for(total, 100, suffixes.BLOCK_BYTES)
+        rows[total] = blocks * math.ceil(parts / suffixes.sent_as_one(parts, 100))
+    assert rows[10**10] <= 5 * rows[10**9] and rows[10**10] < 500_000
+    assert suffixes.sent_as_one(13, 12) == suffixes.sent_as_one(87, 12) == suffixes.sent_as_one(5001, 5000) == 1
+
+
+def test_parts_sent_as_one_change_nothing(docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY", 5)
+    assert suffixes.sent_as_one(suffixes.sizes_for(10**6, 4, 500)[1], 4) == 8
+    assert repeats(docs, block_bytes=500) == repeats_brute(corpus())
+
+
 def test_two_stage_order_groups_equal_prefixes():
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(50, 90))) for _ in range(60)]
