@@ -92,6 +92,28 @@ def test_items_that_restate_a_group(spark):
     assert got == {("a", i) for i, (_, hit) in enumerate(cases) if hit}
 
 
+def test_sentences_of_all_turns_cover_one_another(spark, tmp_path):
+    """The assistant's as well, those of no role, and those that begin like a group; copies are members of a class, with the links of its least one."""
+    from tessera import catalogue
+
+    turns = [
+        (1, 0, "user", "Severe renal failure. Heart failure and stroke"), (1, 1, "assistant", "Renal failure, severe. Chronic cough"), (2, 0, None, "Stroke and heart failure. Severe renal failure"),
+        (2, 1, "user", "[OR-GROUP] chronic cough"), (3, 0, "system", None), (3, 1, "assistant", "Severe renal failure"),
+    ]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    texts = {}
+    for conv, turn, _, text in turns:
+        texts |= {conv * 100_000_000 + turn * 10_000 + i: s for i, s in enumerate((text or "").split(". ")) if s}
+    classes = {i: min(j for j in texts if texts[j] == t) for i, t in texts.items()}
+    facts = {i: (content(t), caps(t), turned(t), set(re.findall(r"\d+(?:\.\d+)?", t))) for i, t in texts.items()}
+    links = {(i, j) for i in texts for j in texts if i != j and facts[i][2:] == facts[j][2:] and covers(*facts[i][:2], *facts[j][:2]) >= 0.7}
+    rows = catalogue.QUERIES["covered_criteria"](spark, str(tmp_path)).collect()
+    assert {r.id: r.class_id for r in rows} == classes
+    between = {(r.class_id, r.reference_id) for r in rows if r.reference_id is not None}
+    got = {(i, j) for i in texts for j in texts if i != j and (classes[i] == classes[j] or (classes[i], classes[j]) in between)}
+    assert got == links and len(links) > len(between) > 3
+
+
 # ---- dictionaries ----------------------------------------------------------------------------------
 
 
