@@ -306,7 +306,9 @@ def split_ranges(rows: Rows, keys: DataFrame) -> DataFrame:
     shaped = root.join(n_groups.where("n_top = 2 AND n_deep = 0"), ["document", "rule"]).join(n_criteria.where("n_criteria = 2 AND n_root = 0"), ["document", "rule"]).select("document", "rule")
     asked = rows.criteria.where("domain = 'Measurement' AND extent IS NULL AND value IS NOT NULL").join(plain.select("document", "rule", "path"), ["document", "rule", "path"], "left_semi").join(shaped, ["document", "rule"], "left_semi")
     same = drop_key(drop_key(F.col("raw"), ("Criteria", "Measurement", "CodesetId")), ("Criteria", "Measurement", "ValueAsNumber"))
-    asked = asked.withColumn("same", same).join(keys.select("document", "codeset", "members"), ["document", "codeset"])
+    asked = asked.join(keys.select("document", "codeset", "members"), ["document", "codeset"])
+    # both bounds read it: what a criterion says besides set and bound is made once
+    asked = grown(asked.select("document", "rule", "path", "nth", "op", "value", "members", same.alias("same")), "asked-bounds")
     low = asked.where("op = 'gte'").select("document", "rule", "same", "members", F.col("value").alias("low"), F.col("path").alias("low_path"), F.col("nth").alias("low_nth"))
     high = asked.where("op = 'lte'").select("document", "rule", "same", "members", F.col("value").alias("high"), F.col("path").alias("high_path"))
     both = low.join(high, ["document", "rule", "same", "members"]).where("low < high").join(rows.rules.select("document", "rule", "name"), ["document", "rule"])

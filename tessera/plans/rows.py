@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import grown
+from ..staging import grown, partitions
 
 #: Keys of a criterion's body that have columns of their own; the others narrow it further and stay text.
 READ = ("CodesetId", "ValueAsNumber", "Unit")
@@ -132,7 +132,9 @@ def rows_of(documents: DataFrame) -> Rows:
     What is no JSON object has no rows (see rejected), and neither have elements that are no objects in lists of rules, groups and sets. Rules, groups or criteria may be missing or
     empty lists. The document key must be unique. Levels of nested groups are opened one after another, each written in the shared folder.
     """
-    d = grown(opened(documents).select("document", F.when(is_object(), F.col("v")).alias("v")), "documents").where("v IS NOT NULL")
+    # a table of few bytes is one task's otherwise, however many documents are made of its rows
+    dealt = documents.repartition(partitions(documents.sparkSession), "document")
+    d = grown(opened(dealt).select("document", F.when(is_object(), F.col("v")).alias("v")), "documents").where("v IS NOT NULL")
     heads = d.select("document", rest("ConceptSets", "InclusionRules").alias("rest"), has("$.ConceptSets").alias("has_sets"), has("$.InclusionRules").alias("has_rules"))
     whole_sets = each(d, "$.ConceptSets", "document").where(is_object())
     sets = whole_sets.select("document", F.col("nth").alias("set_nth"), get("$.id", "bigint").alias("codeset"), get("$.name", "string").alias("name"), rest("expression", kind="OBJECT").alias("rest"), has("$.expression", "OBJECT").alias("has_expression"), has("$.expression.items").alias("has_items"), rest("items", of="$.expression").alias("inner_rest"))
@@ -215,11 +217,15 @@ def drop_key(raw: Column, path: tuple[str, ...]) -> Column:
 
 
 def _changed(raw: Column, path: tuple[str, ...], value: Column | None) -> Column:
+    """raw is parsed once, however deep the path: what stands on the way is taken apart and put together as variants."""
+    change = _members if value is None else lambda v, path, new=value: _members(v, path, F.try_parse_json(new))
+    return F.get(F.transform(F.array(F.try_parse_json(raw)), lambda v: F.to_json(change(v, path))), F.lit(0))
+
+
+def _members(v: Column, path: tuple[str, ...], value: Column | None = None) -> Column:
+    """The members of an object, the key at path being value, or gone."""
     key, *deeper = path
-    held = F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>")
-    others = F.map_filter(held, lambda k, v: k != key)
+    others = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: k != key)
     if deeper:
-        value = _changed(F.to_json(F.try_variant_get(F.try_parse_json(raw), f"$.{key}", "variant")), tuple(deeper), value)
-    if value is None:
-        return F.to_json(others)
-    return F.to_json(F.map_concat(others, F.create_map(F.lit(key), F.try_parse_json(value))))
+        value = F.to_variant_object(_members(F.try_variant_get(v, f"$.{key}", "variant"), tuple(deeper), value))
+    return others if value is None else F.map_concat(others, F.create_map(F.lit(key), value))

@@ -11,7 +11,7 @@ from tessera.operators import document_checks as checks
 from tessera.plans import rows as R
 from tessera.sources.cdm import Cdm
 
-from .test_rows import NO, YES, document, entry, group, opened, rule
+from .test_rows import NO, YES, document, entry, frame, group, opened, rule
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -156,3 +156,19 @@ def test_tasks_grow_with_the_items(spark, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, found.collect())) == before[name]
         assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1 and f", {n})" in plan
+
+
+def test_a_deep_key_is_reached_by_one_parse(spark):
+    """Each level must not parse the text again, and two keys taken out of a criterion must not do so nine times."""
+    raw = spark.createDataFrame([('{"z":1,"A":{"b":{"c":5,"k":[1,null]},"a":"t"}}',), ("broken",)], "raw string")
+    without = raw.select(R.drop_key(F.col("raw"), ("A", "b", "c")).alias("x"))
+    assert without._jdf.queryExecution().analyzed().toString().count("parse_json(") == 1
+    assert [r.x for r in without.collect()] == ['{"z":1,"A":{"a":"t","b":{"k":[1,null]}}}', None]
+    assert raw.select(R.set_key(F.col("raw"), ("A", "b"), F.lit("[2]")).alias("x")).first().x == '{"z":1,"A":{"a":"t","b":[2]}}'
+
+
+def test_documents_of_one_small_file_are_opened_by_all_tasks(spark, tmp_path):
+    docs = [document(rule(group(entry(1), groups=[group(entry(2, NO))])))] * 40
+    frame(spark, *docs).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    r = R.rows_of(spark.read.parquet(str(tmp_path / "docs")))
+    assert r.heads.rdd.getNumPartitions() > 1
