@@ -19,6 +19,8 @@ FITTED_ON, TRIED = 20_000, 200
 ROUNDS, MOST_CELLS, BLOCK = 8, 4096, 20_000
 #: Rows whose distances to all cells are worked out at once, cells of theirs that are sent on at once.
 ROWS, WIDE = 256, 64
+#: How far a squared distance from a product of matrices may be off, as a share of the squared lengths: far more than it is.
+SLACK = 1e-9
 #: Results of the first stage, seeds of the second, recommendations for each seed, names looked at.
 KEPT, SEEDS, PER_SEED, NAMES = 20, 10, 5, 50
 
@@ -119,16 +121,33 @@ def looked_up(index: Index, queries: DataFrame, n: int) -> DataFrame:
         out = []
         if len(left) and len(right):
             v, ids, domains = matrix(right["v"]), right["item_id"].to_numpy(np.int64), right["domain"].to_numpy(object)
-            for query, domain, q in left[["query_id", "domain", "q"]].itertuples(index=False):
-                ok = np.arange(len(ids)) if domain is None else np.flatnonzero(domains == domain)
-                d = np.sqrt(((v[ok] - np.asarray(q, float)) ** 2).sum(1))
-                first = np.lexsort((ids[ok], d))[:n]
-                out.append(pd.DataFrame({"query_id": query, "item_id": ids[ok][first], "distance": d[first]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
+            for domain, some in left.groupby("domain", dropna=False):
+                ok = np.arange(len(ids)) if pd.isna(domain) else np.flatnonzero(domains == domain)
+                out += firsts(some["query_id"].to_numpy(np.int64), matrix(some["q"]), ids[ok], v[ok], n)
+        names = ("query_id", "item_id", "distance")
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out))))) if out else pd.DataFrame({k: [] for k in names})
 
     return met(asked, index.cells, ["cell"], "query_id", "item_id", BLOCK, best, "query_id long, item_id long, distance double")
 
 
+def firsts(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each query its id, and ids and distances of the n nearest items, equal distances by id.
+
+    Products of matrices choose, with room for their error, what is compared exactly; what they cannot tell (no numbers, infinite ones) is compared too.
+    """
+    lengths, out = (v * v).sum(1), []
+    size = lengths.max(initial=0.0, where=np.isfinite(lengths))
+    for at in range(0, len(q), ROWS):
+        rough, room = squared(q[at : at + ROWS], v), SLACK * ((q[at : at + ROWS] ** 2).sum(1) + size)
+        last = np.partition(rough, n - 1, axis=1)[:, n - 1] + room if len(ids) > n else np.full(len(rough), np.inf)
+        for i in range(len(rough)):
+            near = np.flatnonzero(~(rough[i] > last[i]))
+            d = np.sqrt(((v[near] - q[at + i]) ** 2).sum(1))
+            first = np.lexsort((ids[near], d))[:n]
+            out.append((np.full(len(first), queries[at + i]), ids[near[first]], d[first]))
+    return out
+
+
 def ranked(hits: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "item_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= n)

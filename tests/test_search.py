@@ -315,3 +315,20 @@ def test_similar_tokens_meet_on_a_piece_and_its_place():
 
 def test_short_rows_that_cost_much_are_spread(spark):
     assert restatement.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_first_items_of_a_cell_are_those_of_all_distances(monkeypatch):
+    """Also of copies, far from the origin, of infinite numbers and none; few of them are compared one by one."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(500, 16)) + 30
+    v[100:160] = v[7]
+    v[3, 0], v[4, 0] = np.nan, np.inf
+    q, ids, looked, sort = np.concatenate([v[[7, 20]], rng.normal(size=(300, 16)) + 30]), rng.permutation(500), [], np.lexsort
+    monkeypatch.setattr(index.np, "lexsort", lambda keys: looked.append(len(keys[0])) or sort(keys))
+    got = index.firsts(np.arange(len(q)), q, ids, v, 20)
+    monkeypatch.undo()
+    for i, (query, items, distance) in enumerate(got):
+        d = np.sqrt(((v - q[i]) ** 2).sum(1))
+        first = np.lexsort((ids, d))[:20]
+        assert (query == i).all() and items.tolist() == ids[first].tolist() and distance.tolist() == d[first].tolist()
+    assert [len(x[1]) for x in index.firsts(np.arange(2), q[:2], ids[:5], v[:5], 20)] == [5, 5] and sorted(looked)[len(looked) // 2] < 50
